@@ -129,13 +129,14 @@ def _classes(rows: DataFrame, *kept: str) -> DataFrame:
 def _left(classes: DataFrame) -> DataFrame:
     """One row of each class whose key has several classes, one of them still undecided."""
     mixed = classes.groupBy("g").agg(F.count("*").alias("k"), F.max((F.col("n") == 1) & ~F.col("had")).alias("open")).where("k > 1 and open")
+    mixed = cut(mixed.select("g"))
     return classes.join(mixed, "g", "left_semi").select("one.*", ((F.col("n") > 1) | F.col("had")).alias("done"))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """rid, spans (array of first and last start of windows that occur elsewhere too). docs: rid, text."""
     nodes = cut(_mapped(docs.select("rid", "text"), _NODES, lambda rid, text: _phrases(rid, text, length)))
-    often = nodes.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    often = cut(nodes.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))  # written, so that the join may split a frequent trigger's rows
     shared = cut(nodes.join(often, "g", "left_semi"))
     classes = cut(_classes(shared))
     whole = shared.join(classes.where("n > 1").select("g", "f"), ["g", "f"], "left_semi").select("rid", *_bounds())
@@ -148,7 +149,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     asked = _left(fine_classes).groupBy("rid", F.col("node").alias("at")).agg(F.collect_list(F.struct("at", "done")).alias("wanted"))
     single = cut(_mapped(contexts.select("rid", "at", "bytes").join(asked, ["rid", "at"]).select("rid", "at", "bytes", "wanted"), _WINDOWS, lambda *row: _windows(*row, length)))
-    again = single.groupBy("g", "f").agg(F.count("*").alias("n")).where("n > 1").select("g", "f")
+    again = cut(single.groupBy("g", "f").agg(F.count("*").alias("n")).where("n > 1").select("g", "f"))
     ones = single.where("not done").join(again, ["g", "f"], "left_semi").select("rid", F.col("at").alias("lo"), F.col("at").alias("hi"))
     return whole.unionByName(equal).unionByName(ones).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 

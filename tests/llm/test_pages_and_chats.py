@@ -18,7 +18,7 @@ def test_extract():
     assert html_text.extract(None) == html_text.extract("") == html_text.extract("<nav>x</nav>") == ""
     assert html_text.extract("just text &lt;b&gt; 1 < 2") == "just text <b> 1 < 2"
     assert html_text.extract("<p>open <b>never<br><p>closed") == "open never\nclosed"
-    assert html_text.extract("<article><p>a</p><div class='ad'>buy</div><section><p>b</p></section></article><p>rest") == "a\nb"
+    assert html_text.extract("<article><p>some text</p><div class='ad'>buy</div><section><p>more</p></section></article><p>rest") == "some text\nmore"
     assert html_text.extract('<p title="a > b">x</p><!-- <p>no</p> --><p>y') == "x\ny"
     assert html_text.extract("<p>" * 3000 + "deep") == "deep"
     assert html_text.extract("<div>" * 3000 + "deep") == "deep"
