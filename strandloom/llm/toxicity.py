@@ -4,12 +4,12 @@ Words of a clause become symbols (insult, threat, target, negation, report,
 quote, other). Five deterministic transducers, composed into one machine, read the symbols:
 negation marks insults and threats within its reach, reported speech marks what
 follows a verb of saying or stands in quotes, threats need a target after them, insults are
-bare or bound to a target in the clause, and the last maps what is left to
+asserted, and aimed if the clause has a target, and the last maps what is left to
 events. A clause's score is the weight of its events and insults; a text's score
 is a logistic function of the weighted event sums, fitted on labelled rows.
 
-Fixed are the small seed lists below; further insult terms and all weights are
-learned from a bounded sample (``SAMPLE`` labelled rows at most, lowest hash of the id first)
+Fixed are the small seed lists below. Further insults, as whole words or as stems of
+longer words, and all weights are learned from a bounded sample (``SAMPLE`` labelled rows at most, lowest hash of the id first)
 outside the held-out fold. Labels, lang, source and doc_id are no inputs of a score.
 
 Null, empty and wordless texts get the score of a text without events. With no
@@ -31,7 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import filter_rows, held_out, map_rows
 
-SAMPLE, MIN_SHARE, MIN_SUPPORT, MIN_ODDS, THRESHOLD = 6000, 0.05, 8, 3.0, 0.3
+SAMPLE, THRESHOLD = 8000, 0.3
+#: A learned term: so many toxic texts at least that no other term explains, so high a share of toxic ones among all texts with it.
+MIN_SUPPORT, MIN_PRECISION = 4, 0.5
+#: Shortest and longest stem.
+STEM = (3, 10)
 
 # The seed lists of the grammar.
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown clowns dumb fool fools jerk imbecile dimwit vermin filth garbage lowlife bastard bitch asshole idiota estúpido basura imbécil crétin ordure dummkopf abschaum trottel"
@@ -41,7 +45,9 @@ NEGATIONS = "not no never nor neither isn't aren't wasn't weren't don't doesn't
 REPORTS = "said says say told called calls wrote writes quoted claimed reported sagte dit dijo schrieb"
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = "wihtnrq"
-EVENTS = ("bare", "aimed", "negated", "reported", "threat")
+EVENTS = ("asserted", "aimed", "negated", "reported", "threat")
+#: What a text is scored by: events of words, asserted stems (their number, and whether there are two), a constant.
+FEATURES = (*EVENTS, "stems", "two stems", "one")
 _CLAUSE = re.compile(r"[.!?;\n]+")
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”„«»]")
 
@@ -124,63 +130,95 @@ def grammar() -> Transducer:
     return machine
 
 
-#: Which event an output symbol counts for.
-_COUNTS = {"B": 0, "A": 1, "a": 1, "N": 2, "R": 3, "K": 4}
+#: Which events an output symbol counts for.
+_COUNTS = {"B": (0,), "A": (0, 1), "a": (1,), "N": (2,), "R": (3,), "K": (4,)}
 
 
 @dataclass
 class Model:
     insults: dict[str, float] = field(default_factory=lambda: {w: 1.0 for w in INSULTS.split()})
-    #: By event, then the constant.
-    weights: tuple[float, ...] = (3.0, 4.0, 0.5, 1.0, 4.0, -3.0)
+    #: By feature.
+    weights: tuple[float, ...] = (5.0, 1.0, 0.5, 1.0, 4.0, 0.5, 2.0, -3.0)
+    stems: list[str] = field(default_factory=list)
 
     def __post_init__(self):
         kinds = ((REPORTS, REPORT), (NEGATIONS, NEGATION), (TARGETS, TARGET), (THREATS, THREAT))
         self.symbols = {w: s for ws, s in kinds for w in ws.split()} | {w: INSULT for w in self.insults} | dict.fromkeys('"“”„«»', QUOTE)
-        self.trigger = re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, {*self.insults, *THREATS.split()}))) + r")\b")
-        self.machine = grammar()
+        words, stems = ("|".join(sorted(map(re.escape, x), key=len, reverse=True)) for x in ({*self.insults, *THREATS.split()}, self.stems))
+        self.trigger = re.compile(rf"\b(?:(?:{words})\b" + (f"|(?:{stems})[^\\W\\d_]" if stems else "") + ")")
+        self.machine, self.begins = grammar(), tuple(self.stems)
+
+    def symbol(self, token: str) -> str:
+        known = self.symbols.get(token)
+        return known or (INSULT if token.startswith(self.begins) and token not in self.stems else OTHER)
 
     def features(self, text: str | None) -> list[float]:
         """Weighted sums of events over the clauses with a trigger."""
         text = (text or "").lower()
-        sums, at = [0.0] * len(EVENTS), 0
+        sums, stems, at = [0.0] * len(EVENTS), 0, 0
         while found := self.trigger.search(text, at):
             start = max((text.rfind(c, at, found.start()) for c in ".!?;\n"), default=-1) + 1
             stop = _CLAUSE.search(text, found.end())
             at = stop.end() if stop else len(text)
             tokens = _TOKEN.findall(text, max(start, 0), at)
-            made = self.machine("".join(self.symbols.get(t, OTHER) for t in tokens))
+            made = self.machine("".join(map(self.symbol, tokens)))
             for token, symbol in zip(tokens, made, strict=True):
-                if (k := _COUNTS.get(symbol)) is not None:
+                if symbol in "AB" and token not in self.insults:
+                    stems += 1
+                    continue
+                for k in _COUNTS.get(symbol, ()):
                     sums[k] += self.insults.get(token, 1.0)
-        return [math.log1p(x) for x in sums]
+        return [*(math.log1p(x) for x in (*sums, stems)), float(stems > 1), 1.0]
 
     def score(self, text: str | None) -> float:
-        z = sum(w * x for w, x in zip(self.weights, [*self.features(text), 1.0], strict=True))
+        z = sum(w * x for w, x in zip(self.weights, self.features(text), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def learn_terms(rows: list[tuple[str | None, int]]) -> dict[str, float]:
-    """Words that mark toxic texts: a share of the toxic texts at least, and by log-odds; each different text counts once."""
-    seen, toxic, other, n = set(), Counter(), Counter(), Counter()
-    for text, label in rows:
-        if (text, label) not in seen:
-            seen.add((text, label))
-            n[label] += 1
-            (toxic if label else other).update(set(_TOKEN.findall((text or "").lower())))
-    odds = {w: math.log((k + 0.5) / (n[1] + 1)) - math.log((other[w] + 0.5) / (n[0] + 1)) for w, k in toxic.items() if k >= max(MIN_SUPPORT, MIN_SHARE * n[1])}
-    return {w: min(2.0, x / 4) for w, x in odds.items() if x >= MIN_ODDS and w.isalpha()}
+def _terms(tokens: list[str], possible: set | None = None) -> set[tuple[str, bool]]:
+    """The words themselves, and (True) the stems that begin two longer words of the text."""
+    low, high = STEM
+    stems = Counter(x for w in tokens for k in range(low, min(high, len(w) - 1) + 1) if (x := (w[:k], True)) and (possible is None or x in possible))
+    return {x for w in {*tokens} if (x := (w, False)) and (possible is None or x in possible)} | {x for x, n in stems.items() if n > 1}
+
+
+def learn_terms(rows: list[tuple[str | None, int]], known: set[str]) -> tuple[dict[str, float], list[str]]:
+    """Words and stems that mark toxic texts, by greedy cover: again and again the term that explains most of the
+    toxic texts without one yet, among those precise enough; of equal ones the longer. Each different text counts once."""
+    bags = {(t or "").lower(): label for t, label in rows}
+    words = {t: [w for w in _TOKEN.findall(t) if w.isalpha()] for t in bags}
+    other = [words[t] for t, label in bags.items() if not label]
+    open_bags = {t: _terms(words[t]) for t, label in bags.items() if label and not known.intersection(words[t])}
+    support = Counter(x for terms in open_bags.values() for x in terms)
+    possible = {x for x, k in support.items() if k >= MIN_SUPPORT}
+    against = Counter(x for bag in other for x in _terms(bag, possible))
+    precise = {x for x in possible if support[x] / (support[x] + against[x]) >= MIN_PRECISION}
+    insults, stems = {}, []
+    while precise:
+        gain = Counter(x for terms in open_bags.values() for x in terms if x in precise)
+        best = max(gain, key=lambda x: (gain[x] - against[x], len(x[0]), x), default=None)
+        if best is None or gain[best] < MIN_SUPPORT:
+            break
+        if best[1]:
+            stems.append(best[0])
+        else:
+            odds = math.log((support[best] + 0.5) / (sum(bags.values()) + 1)) - math.log((against[best] + 0.5) / (len(other) + 1))
+            insults[best[0]] = max(0.25, min(2.0, odds / 4))
+        precise.discard(best)
+        open_bags = {t: terms for t, terms in open_bags.items() if best not in terms}
+    return insults, stems
 
 
 def fit(rows: list[tuple[str | None, int]], rounds: int = 30, ridge: float = 0.05) -> Model:
     """rows: text, label. Insult terms, then logistic regression by Newton steps, with non-negative weights for what is asserted."""
     if len({label for _, label in rows}) < 2:
         return Model()
-    learned = learn_terms(rows)
-    model = Model({w: 1.0 for w in INSULTS.split()} | learned)
-    x = np.array([[*model.features(t), 1.0] for t, _ in rows])
+    seeds = {w: 1.0 for w in INSULTS.split()}
+    learned, stems = learn_terms(rows, {*seeds})
+    model = Model(seeds | learned, stems=stems)
+    x = np.array([model.features(t) for t, _ in rows])
     y = np.array([float(label) for _, label in rows])
-    prior = np.array([2.0, 2.0, 0.5, 0.5, 2.0, math.log(y.mean() / (1 - y.mean()))])
+    prior = np.array([2.0, 0.5, 0.5, 0.5, 2.0, 0.5, 2.0, math.log(y.mean() / (1 - y.mean()))])
     w = prior.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -189,8 +227,8 @@ def fit(rows: list[tuple[str | None, int]], rounds: int = 30, ridge: float = 0.0
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
-    w[[0, 1, 4]] = np.maximum(w[[0, 1, 4]], 0)
-    return Model(model.insults, tuple(float(v) for v in w))
+    w[[0, 1, 4, 5, 6]] = np.maximum(w[[0, 1, 4, 5, 6]], 0)
+    return Model(model.insults, tuple(float(v) for v in w), stems)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -205,7 +243,7 @@ OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.insults, model.weights))
+    sent = docs.sparkSession.sparkContext.broadcast((model.insults, model.weights, model.stems))
 
     def make():
         own = Model(*sent.value)
@@ -221,7 +259,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 def keep_civil(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score under the threshold, columns unchanged."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.insults, model.weights))
+    sent = docs.sparkSession.sparkContext.broadcast((model.insults, model.weights, model.stems))
 
     def make():
         own = Model(*sent.value)
