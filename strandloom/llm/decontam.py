@@ -4,8 +4,8 @@ The test items are the indexed side; every passage of every training document
 is a query. A passage is two neighbouring steps of ``step`` words (the longest item's length
 at least), so an item that a document contains lies whole in one of them.
 BM25 weights are divided by the item's own full score, so that one threshold
-holds for all items and 1 is a complete match. Items are laid out in blocks;
-each term keeps its largest weight by block. A passage drops out when the sum
+holds for all items and 1 is a complete match. Items are laid out in blocks by length,
+so that weights in a block are alike; each term keeps its largest weight by block. A passage drops out when the sum
 of its terms' largest weights is under the threshold, then block by block; only
 blocks that stay are scored from their postings. What scores above the
 threshold is verified: the shares of the question's and of the answer's
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import arrow_ddl, filter_rows
 
 K1, B, THRESHOLD, OVERLAP, WORDS = 1.2, 0.75, 0.5, 0.8, 5
-SHARD, BLOCK = 20_000, 16
+SHARD, BLOCK = 2_000, 4
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
@@ -61,7 +61,7 @@ def question_and_answer(text: str | None) -> tuple[list[str], list[str]]:
 
 class BlockMaxIndex:
     def __init__(self, items: list[tuple[int, str | None]], k1: float = K1, b: float = B, block: int = BLOCK):
-        self.items = [(i, *question_and_answer(t)) for i, t in items if i is not None and words(t)]
+        self.items = sorted(((i, *question_and_answer(t)) for i, t in items if i is not None and words(t)), key=lambda x: (len(x[1]) + len(x[2]), x))
         bags = [Counter(q + a) for _, q, a in self.items]
         n, lengths = len(bags), [sum(x.values()) for x in bags]
         mean = sum(lengths) / max(n, 1)
