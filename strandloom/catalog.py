@@ -1,4 +1,773 @@
-"""All registered queries of the sequence operators and the SQL that each must equal."""
+"""All registered queries of the sequence operators, and the SQL that each must equal.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Sequences are derived from the whole tables: ``dna`` (64 letters of hashes of each document's id), ``letters`` (all letters of a
+document's text, as a protein would be) and ``text_dna`` (those letters mapped to A, C, G and T). Keys are the operator's
+number in the inventory and a name.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import seq as S
+from .operators import align, graph, kmers, mass, match, pairs, runs, uniq
+from .plans import chooser, formats
+from .plans.lineage import shared_dir
+from .sources import files
+from .streaming import per_entry
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+# Example primers, and an expected size.
+PRIMERS = "AGAAGCGAGTTCT CGCCAGCAGAGTT TTTTCTGAGAATCAAG CTATTGATAAGGGAGTGC ATGGCGGTTTTGTCGAA AAGAAAAGGGGGAAA TCATGAAGTAAAC TTGGCTGCTGCCCCCAG AGAAAAGGGGGAAA CTATTGATAAGGGAGTG"
+_HEX = ("0123456789abcdef", "ACGTACGTACGTACGT")
+_AZ = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC")
+
+VIEWS = f"""
+dna as (select doc_id as entry_id, translate(md5('a' || cast(doc_id as varchar)) || md5('b' || cast(doc_id as varchar)), '{_HEX[0]}', '{_HEX[1]}') as seq from documents),
+letters as (select doc_id as entry_id, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) as seq from documents),
+text_dna as (select entry_id, translate(seq, '{_AZ[0]}', '{_AZ[1]}') as seq from letters),
+patterns as (select cast(n_nationkey + 1 as bigint) as pattern_id, substr(translate(md5(n_name), '{_HEX[0]}', '{_HEX[1]}'), 1, cast(8 + n_nationkey % 3 as integer)) as pattern from nation)
+"""
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    half = lambda x: F.md5(F.concat(F.lit(x), F.col("doc_id").cast("string")).cast("binary"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), F.translate(F.concat(half("a"), half("b")), *_HEX).alias("seq"))
+
+
+def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")).alias("seq"))
+
+
+def text_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return letters(spark, sf_dir).withColumn("seq", F.translate("seq", *_AZ))
+
+
+def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select((n + 1).cast("bigint").alias("pattern_id"), F.substring(F.translate(F.md5(F.col("n_name").cast("binary")), *_HEX), F.lit(1), (F.lit(8) + n % 3).cast("int")).alias("pattern"))
+
+
+def query(sql: str | None = None, views: bool = True):
+    """Registers a function under its own name; integers become long so that both sides have one type."""
+
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(spark, sf_dir)
+            return out.select(*(F.col(f"`{c}`").cast("bigint").alias(c) if t in ("int", "smallint", "tinyint") else F.col(f"`{c}`") for c, t in out.dtypes))
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE_SQL[f.__name__] = f"with {VIEWS.strip()}{',' if not sql.lstrip().startswith('select') else ''} {sql.strip()}" if views else sql.strip()
+        return f
+
+    return register
+
+
+# --- Projections and scalar functions ---------------------------------------
+
+
+@query("select entry_id, reverse(translate(seq, 'ACGTMRWSYKVHDB', 'TGCAKYWSRMBDHV')) as rc from text_dna")
+def x3_reverse_complement(spark, sf_dir):
+    return text_dna(spark, sf_dir).select("entry_id", S.reverse_complement("seq").alias("rc"))
+
+
+@query("select entry_id, translate(seq, 'IK', 'LQ') as mapped, reverse(seq) as turned from letters")
+def x5_remap(spark, sf_dir):
+    return letters(spark, sf_dir).select("entry_id", S.remap("seq", lysine=True).alias("mapped"), F.reverse("seq").alias("turned"))
+
+
+_CODONS = "map([" + ",".join(f"'{a}{b}{c}'" for a in "TCAG" for b in "TCAG" for c in "TCAG") + "], [" + ",".join(f"'{x}'" for x in S.CODE) + "])"
+
+
+@query(f"""
+frames as (select entry_id, f, case when f >= 3 then reverse(translate(seq, 'ACGT', 'TGCA')) else seq end as s from dna, unnest(range(0, 6)) t(f))
+select entry_id, f::bigint as frame, array_to_string(list_transform(range(0, (length(s) - f % 3) // 3), lambda i: coalesce({_CODONS}[substr(s, i * 3 + f % 3 + 1, 3)], 'X')), '') as protein from frames
+""")
+def x6_six_frames(spark, sf_dir):
+    rows = dna(spark, sf_dir).select("entry_id", "seq", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("frame"))
+    return rows.select("entry_id", "frame", S.translation("seq", F.col("frame")).alias("protein"))
+
+
+def _mass_sql(column: str, masses: dict[str, float]) -> str:
+    known = "".join(sorted(masses))
+    total = " + ".join(f"(length({column}) - length(replace({column}, '{c}', ''))) * {m!r}e0" for c, m in sorted(masses.items()))
+    return f"case when length(translate({column}, '{known}', '')) = 0 then 0e0 + {total} end"
+
+
+@query(f"clean as (select entry_id, regexp_replace(seq, '[BJOUXZ]', '', 'g') as s from letters) select entry_id, round({_mass_sql('s', S.MONO)}, 3) as mono, round({_mass_sql('s', S.AVERAGE)}, 3) as average from clean")
+def a7_protein_masses(spark, sf_dir):
+    own = letters(spark, sf_dir).select("entry_id", F.regexp_replace("seq", "[BJOUXZ]", "").alias("seq"))
+    both = mass.protein_masses(own).select("entry_id", F.round("mw", 3).alias("mono"))
+    return both.join(mass.protein_masses(own, S.AVERAGE).select("entry_id", F.round("mw", 3).alias("average")), "entry_id")
+
+
+@query("select entry_id, regexp_extract(defline, '^[^ \\t]*') as name, upper(regexp_replace(raw, '[^!-~]', '', 'g')) as seq from (select doc_id as entry_id, 'doc' || cast(doc_id as varchar) || ' ' || lang as defline, coalesce(text, '') as raw from documents)", views=False)
+def p1_clean(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(" "), "lang").alias("defline"), F.coalesce("text", F.lit("")).alias("raw"))
+    return d.select("entry_id", S.first_word("defline").alias("name"), S.clean("raw").alias("seq"))
+
+
+_PLACES = "select l_partkey as entry_id, cast(l_suppkey * 7 % 70 as bigint) as start, cast(l_quantity as bigint) % 20 as length, cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar) as id, cast(l_orderkey % 2 as bigint) as sense_seq, cast(l_linenumber % 2 as bigint) as sense_comp from lineitem"
+
+
+def places(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").selectExpr("l_partkey as entry_id", "cast(l_suppkey * 7 % 70 as bigint) as start", "cast(l_quantity as bigint) % 20 as length", "concat(l_orderkey, '-', l_linenumber) as id", "cast(l_orderkey % 2 as bigint) as sense_seq", "cast(l_linenumber % 2 as bigint) as sense_comp")
+
+
+@query(f"places as ({_PLACES}) select id, p.entry_id, start, length, substr(seq, start + 1, length) as text from places p join dna using (entry_id) where start + length <= length(seq)")
+def p3_extract(spark, sf_dir):
+    return runs.extract(dna(spark, sf_dir), places(spark, sf_dir).select("id", "entry_id", "start", "length"))
+
+
+@query(f"""
+places as ({_PLACES}), cut as (select id, p.entry_id, start, length, substr(translate(seq, 'A', 'N'), start + 1, length) as t, sense_seq, sense_comp from places p join dna using (entry_id) where start + length <= length(seq)),
+own as (select *, case when sense_seq = 1 and sense_comp = 1 then reverse(translate(t, 'ACGT', 'TGCA')) else t end as text from cut)
+select id, entry_id, start, length, id || ' /start=' || start || ' /end=' || (start + length) || ' /length=' || length
+    || case when contains(text, 'N') then ' /Ns=' || (length - length(replace(text, 'N', ''))) || ' /nonNs=' || length(replace(text, 'N', '')) || ' /maxContigN=' || list_max(list_transform(regexp_extract_all(text, 'N+'), lambda x: length(x))) else '' end as header, text from own
+""")
+def p4_annotated(spark, sf_dir):
+    return runs.annotated(dna(spark, sf_dir).withColumn("seq", F.translate("seq", "A", "N")), places(spark, sf_dir))
+
+
+_INTERVALS = "select l_orderkey * 10 + l_linenumber as k, cast(l_orderkey * 10 + l_linenumber as varchar) as id, l_suppkey as entry_id, cast(l_orderkey * 3 + l_partkey % 40 as bigint) as start, cast(l_quantity as bigint) as length from lineitem"
+
+
+def intervals(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").selectExpr("cast(l_orderkey * 10 + l_linenumber as string) as id", "l_suppkey as entry_id", "cast(l_orderkey * 3 + l_partkey % 40 as bigint) as start", "cast(l_quantity as bigint) as length")
+
+
+@query(f"""
+iv as ({_INTERVALS}), a as (select *, max(start + length) over (partition by entry_id order by start, length, id rows between unbounded preceding and 1 preceding) as b from iv),
+i as (select *, sum(case when b is null or start >= b then 1 else 0 end) over (partition by entry_id order by start, length, id rows unbounded preceding) as island from a)
+select entry_id, min(start) as start, (max(start + length) - min(start))::bigint as length, string_agg(id, ':' order by start, length, id) as ids from i group by entry_id, island
+""")
+def p6_merged_intervals(spark, sf_dir):
+    return runs.merged(intervals(spark, sf_dir))
+
+
+@query(f"iv as ({_INTERVALS}), a as (select *, max(start + length) over (partition by entry_id order by start, length rows between unbounded preceding and 1 preceding) as b from iv) select entry_id, b as start, start - b as length from a where start > b")
+def p5_between_intervals(spark, sf_dir):
+    own = intervals(spark, sf_dir)
+    return runs.between(own, own.select("entry_id").distinct().withColumn("size", F.lit(0)))
+
+
+@query("select pattern_id, pattern_id as base_id, 'F' as strand, pattern from patterns union all select pattern_id + 25, pattern_id, 'R', reverse(translate(pattern, 'ACGT', 'TGCA')) from patterns")
+def p7_both_strands(spark, sf_dir):
+    return match.both_strands(patterns(spark, sf_dir))
+
+
+@query("select pattern_id, greatest(2, length(pattern) - 5)::bigint as lconst, greatest(3, 0)::bigint as rconst from patterns")
+def p9_constraints(spark, sf_dir):
+    left, right = S.constraints(F.length("pattern"), five=2, three=3, end_inexact=5)
+    return patterns(spark, sf_dir).select("pattern_id", left.alias("lconst"), right.alias("rconst"))
+
+
+@query("c as (select entry_id, 'G' || seq as s from dna) select entry_id, 'G' || array_to_string(list_transform(range(1, length(s)), lambda i: cast(xor(instr('ACGT', substr(s, i, 1)) - 1, instr('ACGT', substr(s, i + 1, 1)) - 1) as varchar)), '') as colours from c")
+def p13_colour_space(spark, sf_dir):
+    return dna(spark, sf_dir).select("entry_id", S.colour_space("seq").alias("colours"))
+
+
+@query("select entry_id, regexp_replace(seq, '[^ACGT]', 'N', 'g') as fwd, reverse(translate(regexp_replace(seq, '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA')) as rev from letters")
+def p14_canonical(spark, sf_dir):
+    own = letters(spark, sf_dir).select("entry_id", S.canonical("seq").alias("fwd"))
+    return own.withColumn("rev", S.reverse_complement("fwd"))
+
+
+@query("w as (select distinct substr(seq, i::bigint, 6) as kmer from dna, unnest(range(1, length(seq) - 4)) t(i)) select kmer, list_sum(list_transform(range(1, 7), lambda i: (instr('ACGT', substr(kmer, i, 1)) - 1) * 4 ** (6 - i)))::bigint as code, kmer as word from w")
+def x10_kmer_codes(spark, sf_dir):
+    w = kmers.words(dna(spark, sf_dir), 6).select("kmer").distinct().withColumn("code", S.kmer_code("kmer"))
+    return w.withColumn("word", S.kmer_word("code", 6))
+
+
+@query("n as (select entry_id, translate(seq, 'A', 'N') as s from dna) select entry_id, (length(s) - length(replace(s, 'N', '')))::bigint as n_count, coalesce(list_max(list_transform(regexp_extract_all(s, 'N+'), lambda x: length(x))), 0)::bigint as longest from n")
+def a9_n_statistics(spark, sf_dir):
+    own = dna(spark, sf_dir).withColumn("seq", F.translate("seq", "A", "N"))
+    return own.select("entry_id", S.n_count("seq").alias("n_count"), S.longest_n_run("seq").alias("longest"))
+
+
+@query("select l_orderkey, l_linenumber::bigint as l_linenumber, greatest(q - 30, 20 - q, 0)::bigint as deviance, (floor(log2(q::double) + 0.001e0) + 1)::bigint as logged, least(q, 2)::bigint as two from (select *, cast(l_quantity as bigint) as q from lineitem)", views=False)
+def x17_x18_number_functions(spark, sf_dir):
+    q = table(spark, sf_dir, "lineitem").withColumn("q", F.col("l_quantity").cast("bigint"))
+    return q.select("l_orderkey", "l_linenumber", S.deviance("q", F.lit(20), F.lit(30)).cast("bigint").alias("deviance"), S.count_transform("q", 1).cast("bigint").alias("logged"), S.count_transform("q", 2).cast("bigint").alias("two"))
+
+
+@query("""
+p as (select pattern_id, pattern, list_transform(range(1, length(pattern)), lambda i: substr(pattern, i, 2)) as pairs from patterns)
+select pattern_id, round((h * 1000 / (s + 0.368e0 * (length(pattern) - 1) * ln(0.05e0) + 1.987e0 * ln(2.5e-7 / 4)) - 273.15e0), 6) as tm from (
+  select *, list_sum(list_transform(pairs, lambda x: hm[x])) + eh[substr(pattern, 1, 1)] + eh[right(pattern, 1)] as h, list_sum(list_transform(pairs, lambda x: sm[x])) + es[substr(pattern, 1, 1)] + es[right(pattern, 1)] as s from (
+    select *, map([%s], [%s]) as hm, map([%s], [%s]) as sm, map([%s], [%s]) as eh, map([%s], [%s]) as es from p))
+""" % tuple(x for t, i in ((S.STACKS, 0), (S.STACKS, 1), (S.ENDS, 0), (S.ENDS, 1)) for x in (",".join(f"'{k}'" for k in sorted(t)), ",".join(f"{t[k][i]!r}e0" for k in sorted(t)))))
+def f7_melting_temperature(spark, sf_dir):
+    return patterns(spark, sf_dir).select("pattern_id", F.round(S.melting_temperature("pattern"), 6).alias("tm"))
+
+
+# --- Words --------------------------------------------------------------------
+
+
+def _words_sql(source: str, k: int) -> str:
+    return f"w as (select entry_id, i as pos, substr(seq, i + 1, {k}) as kmer from {source}, unnest(range(0, length(seq) - {k} + 1)) t(i))"
+
+
+@query(f"{_words_sql('text_dna', 5)} select entry_id, kmer, count(*) as n from w group by all")
+def a4_kmers_by_entry(spark, sf_dir):
+    return kmers.count(kmers.dna_words(text_dna(spark, sf_dir), 5), by_entry=True)
+
+
+@query(f"{_words_sql('text_dna', 8)} select kmer, count(*) as n from w group by all")
+def a5_kmers(spark, sf_dir):
+    return kmers.count(kmers.dna_words(text_dna(spark, sf_dir), 8))
+
+
+@query(f"{_words_sql('letters', 4)}, d as (select kmer from w where regexp_full_match(kmer, '[ACGT]+')) select kmer, count(*) as n from (select kmer from d union all select reverse(translate(kmer, 'ACGT', 'TGCA')) from d) group by all")
+def a6_kmers_of_both_strands(spark, sf_dir):
+    return kmers.count(kmers.dna_words(letters(spark, sf_dir), 4), both_strands=True)
+
+
+@query(f"{_words_sql('text_dna', 4)}, c as (select entry_id, kmer, count(*) as n from w group by all) select entry_id, kmer, n, rank from (select *, row_number() over (partition by entry_id order by n desc, kmer desc) as rank from c) where rank <= 3")
+def o2_top_kmers(spark, sf_dir):
+    return kmers.top(kmers.count(kmers.dna_words(text_dna(spark, sf_dir), 4), by_entry=True), 3)
+
+
+@query(f"{_words_sql('dna', 6)}, c as (select kmer, count(*) as n from w group by all) select w.entry_id, w.pos, (coalesce(a.n, 0) + coalesce(b.n, 0))::bigint as n from w left join c a on a.kmer = w.kmer left join c b on b.kmer = reverse(translate(w.kmer, 'ACGT', 'TGCA'))")
+def j18_annotate_kmers(spark, sf_dir):
+    own = dna(spark, sf_dir)
+    return kmers.annotate(own, kmers.count(kmers.dna_words(own, 6)), 6)
+
+
+@query("select entry_id, 0::bigint as tag, i as pos, substr(seq, i + 1, 2) || substr(seq, i + 4, 2) as word from dna, unnest(range(0, length(seq) - 4)) t(i) union all select entry_id, 1, i, substr(seq, i + 1, 1) || substr(seq, i + 3, 1) || substr(seq, i + 4, 1) from dna, unnest(range(0, length(seq) - 3)) t(i)")
+def w11_spaced_words(spark, sf_dir):
+    return kmers.spaced(dna(spark, sf_dir), ["11011", "1011"])
+
+
+@query("r as (select substr(seq, i + 1, 6) as kmer, case when i = 0 then '$' else substr(seq, i, 1) end as l, case when i + 6 = length(seq) then '$' else substr(seq, i + 7, 1) end as r from dna, unnest(range(0, length(seq) - 5)) t(i)) select kmer, count(*) as n, least(count(distinct l), 2)::bigint as n_left, least(count(distinct r), 2)::bigint as n_right, max(case when l = '$' or r = '$' then 1 else 0 end)::bigint as at_end from r group by kmer")
+def a15_neighbours(spark, sf_dir):
+    return kmers.neighbours(dna(spark, sf_dir), 6)
+
+
+@query("""
+p as (select substr(seq, i + 1, 3) as a, substr(seq, i + 9, 3) as b from text_dna, unnest(range(0, length(seq) - 10)) t(i)),
+q as (select a, b from p union all select reverse(translate(b, 'ACGT', 'TGCA')), reverse(translate(a, 'ACGT', 'TGCA')) from p), c as (select a, b, count(*) as n from q group by all)
+select count(*) filter (n = 1) as once, count(*) filter (n > 1) as again, (4096 - count(*))::bigint as unseen from c
+""")
+def q15_pairs_seen(spark, sf_dir):
+    return kmers.seen(kmers.pair_codes(text_dna(spark, sf_dir), 3, 5), 3)
+
+
+# --- Matching ------------------------------------------------------------------
+
+_EXACT = "hits as (select entry_id, pattern_id, i as start_pos, i + length(pattern) as end_pos, 0::bigint as edits from text_dna, unnest(range(0, length(seq))) t(i), patterns where substr(seq, i + 1, length(pattern)) = pattern)"
+#: The same by words: an engine without a planner for this join would compare each place with each pattern.
+_EXACT = "hits as (select entry_id, pattern_id, i as start_pos, i + n as end_pos, 0::bigint as edits from (select entry_id, i, n, substr(seq, i + 1, n) as mer from text_dna, unnest([8, 9, 10]) s(n), unnest(range(0, length(seq) - n + 1)) t(i)) w join patterns on pattern = mer)"
+
+
+@query(f"{_EXACT} select * from hits")
+def j1_exact_match(spark, sf_dir):
+    return match.exact(text_dna(spark, sf_dir), patterns(spark, sf_dir))
+
+
+@query("select entry_id, 1::bigint as pattern_id, i as start_pos, i + 8 as end_pos, 0::bigint as edits from text_dna, unnest(range(0, length(seq) - 7)) t(i) where regexp_full_match(substr(seq, i + 1, 8), 'A[ACGT]G[AG]T[CT][AT]C') union all select entry_id, 2, i, i + 6, 0 from text_dna, unnest(range(0, length(seq) - 5)) t(i) where regexp_full_match(substr(seq, i + 1, 6), '[CG][AC]TT[GT]A')")
+def j4_wildcard_match(spark, sf_dir):
+    return match.scan(text_dna(spark, sf_dir), [(1, "ANGRTYWC"), (2, "SMTTKA")])
+
+
+@query("select entry_id, 1::bigint as pattern_id, i as start_pos, i + 4 as end_pos, 0::bigint as edits from letters, unnest(range(0, length(seq) - 3)) t(i) where regexp_full_match(substr(seq, i + 1, 4), 'T.[^ACGT]S') union all select entry_id, 2, i, i + 3, 0 from letters, unnest(range(0, length(seq) - 2)) t(i) where regexp_full_match(substr(seq, i + 1, 3), 'H[^ACDEFGHIKLMNPQRSTVWY]E')")
+def j5_regex_lite_match(spark, sf_dir):
+    return match.scan(letters(spark, sf_dir), [(1, "T.;S"), (2, "H:E")], wildcards=False, lite=True)
+
+
+_SUBS = "tries as (select entry_id, pattern_id, i as start_pos, pattern, substr(seq, i + 1, length(pattern)) as t from dna, unnest(range(0, length(seq) - 7)) t(i), patterns), near as (select entry_id, pattern_id, start_pos, start_pos + length(pattern) as end_pos, hamming(u, pattern)::bigint as edits from (select *, case when length(t) = length(pattern) then t else repeat('.', length(pattern)) end as u from tries) where hamming(u, pattern) <= 2)"
+
+
+@query(f"{_SUBS} select * from near")
+def j6_mismatches(spark, sf_dir):
+    return match.mismatches(dna(spark, sf_dir), patterns(spark, sf_dir), 2)
+
+
+@query(f"{_SUBS} select near.* from near join dna using (entry_id) join patterns using (pattern_id) where substr(seq, start_pos + 1, 4) = substr(pattern, 1, 4) and substr(seq, end_pos, 1) = right(pattern, 1)")
+def j8_anchored_mismatches(spark, sf_dir):
+    return match.mismatches(dna(spark, sf_dir), patterns(spark, sf_dir), 2, left=4, right=1)
+
+
+@query(f"{_SUBS} select distinct near.* from near join dna using (entry_id) join patterns using (pattern_id), unnest(range(0, length(pattern) - 3)) t(o) where substr(seq, start_pos + o + 1, 4) = substr(pattern, o + 1, 4)")
+def j10_seeded_mismatches(spark, sf_dir):
+    return match.mismatches(dna(spark, sf_dir), patterns(spark, sf_dir), 2, word=4)
+
+
+_ENDS = "ends as (select entry_id, pattern_id, e as end_pos, min(levenshtein(substr(seq, e - l + 1, l), pattern))::bigint as edits from dna, patterns, unnest(range(1, length(seq) + 1)) t(e), unnest(range(length(pattern) - 1, length(pattern) + 2)) u(l) where l <= e group by all having min(levenshtein(substr(seq, e - l + 1, l), pattern)) <= 1)"
+
+
+@query(f"{_ENDS} select * from ends")
+def j7_edit_ends(spark, sf_dir):
+    return match.edit_ends(dna(spark, sf_dir), patterns(spark, sf_dir), 1)
+
+
+_CLUSTERS = f"{_ENDS}, a as (select *, case when end_pos - lag(end_pos) over (partition by entry_id, pattern_id order by end_pos) <= 3 then 0 else 1 end as fresh from ends), c as (select *, sum(fresh) over (partition by entry_id, pattern_id order by end_pos) as cluster from a), cl as (select entry_id, pattern_id, min(end_pos) as first_end, max(end_pos) as last_end, min(edits) as edits from c group by entry_id, pattern_id, cluster)"
+
+
+@query(f"{_CLUSTERS} select * from cl")
+def w5_clustered_hits(spark, sf_dir):
+    return match.clusters(match.edit_ends(dna(spark, sf_dir), patterns(spark, sf_dir), 1), 1)
+
+
+@query()
+def u1_alignments(spark, sf_dir):
+    """Clustered hits with their alignment; tested against brute force and worked examples."""
+    own, pats = dna(spark, sf_dir), patterns(spark, sf_dir)
+    hits = chooser.find(own, pats, k=1).join(own, "entry_id").join(pats, "pattern_id")
+    return hits.select("entry_id", "pattern_id", align.aligned("seq", "pattern", "first_end", "last_end", 1).alias("a")).select("entry_id", "pattern_id", "a.start", "a.end", "a.edits", "a.text", "a.ops", F.col("a.pattern").alias("aligned"))
+
+
+_AMINO = S.amino_distance_map()
+_AMINO_SQL = "map([" + ",".join(f"'{k}'" for k in sorted(_AMINO)) + "], [" + ",".join(str(_AMINO[k]) for k in sorted(_AMINO)) + "])"
+
+
+@query(f"""
+m as (select {_AMINO_SQL} as cost), w as (select distinct substr(seq, i + 1, 4) as peptide from letters, unnest(range(0, length(seq) - 3)) t(i) where regexp_full_match(substr(seq, i + 1, 4), 'TH[A-Z][A-Z]'))
+select peptide, list_sum(list_transform(range(1, 5), lambda i: case when substr(peptide, i, 1) = substr('THEN', i, 1) then 0 else coalesce(cost[substr(peptide, i, 1) || substr('THEN', i, 1)], 3) end))::bigint as cost from w, m
+""")
+def j13_mutation_cost(spark, sf_dir):
+    w = kmers.words(letters(spark, sf_dir), 4).select(F.col("kmer").alias("peptide")).where("peptide rlike '^TH'").distinct()
+    return w.withColumn("cost", S.mutation_cost(F.col("peptide"), F.lit("THEN")))
+
+
+@query(f"""
+frames as (select entry_id, f, length(seq) as n, case when f >= 3 then reverse(translate(seq, 'ACGT', 'TGCA')) else seq end as s from dna, unnest(range(0, 6)) t(f)),
+prot as (select entry_id, f, n, array_to_string(list_transform(range(0, (length(s) - f % 3) // 3), lambda i: coalesce({_CODONS}[substr(s, i * 3 + f % 3 + 1, 3)], 'X')), '') as p from frames),
+h as (select entry_id, f, n, i as aa from prot, unnest(range(0, length(p) - 1)) t(i) where substr(p, i + 1, 2) = 'LK')
+select entry_id, f::bigint as frame, aa as aa_start, (case when f >= 3 then n - (aa * 3 + f % 3) - 6 else aa * 3 + f % 3 end)::bigint as dna_start from h
+""")
+def j14_peptides_in_frames(spark, sf_dir):
+    own = dna(spark, sf_dir).select("entry_id", F.length("seq").alias("n"), "seq", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("frame"))
+    found = own.select(F.struct("entry_id", "frame", "n").alias("key"), S.translation("seq", F.col("frame")).alias("seq"))
+    at = found.select("key", "seq", F.explode(S.positions("seq", 2)).alias("aa_start")).where("substring(seq, aa_start + 1, 2) = 'LK'")
+    start, _ = S.codon_to_dna("aa_start", F.lit(2), "frame", "n")
+    return at.select("key.*", "aa_start").select("entry_id", "frame", "aa_start", start.alias("dna_start"))
+
+
+_PAIRS = f"""
+strands as (select pattern_id, substr(pattern, 1, 5) as pattern from patterns union all select pattern_id + 25, reverse(translate(substr(pattern, 1, 5), 'ACGT', 'TGCA')) from patterns),
+hits as (select entry_id, pattern_id, i as start_pos, i + 5 as end_pos from (select entry_id, i, substr(seq, i + 1, 5) as mer from dna, unnest(range(0, length(seq) - 4)) t(i)) join strands on mer = pattern),
+roles as (select p as pair_id, 2 * p - 1 as left_id, 2 * p as right_id from unnest(range(1, 13)) t(p) union all select p, 2 * p + 25, 2 * p - 1 + 25 from unnest(range(1, 13)) t(p)),
+amp as (select a.entry_id, pair_id, left_id, right_id, a.start_pos, b.end_pos, b.end_pos - a.start_pos as length, a.end_pos as left_end, b.start_pos as right_start, 0::bigint as left_edits, 0::bigint as right_edits from roles join hits a on a.pattern_id = left_id join hits b on b.pattern_id = right_id and b.entry_id = a.entry_id where b.end_pos - a.start_pos between 8 and 40 and b.start_pos >= a.start_pos)
+"""
+
+
+def _amplicons(spark, sf_dir):
+    short = patterns(spark, sf_dir).withColumn("pattern", F.substring("pattern", 1, 5))
+    hits = match.exact(dna(spark, sf_dir), match.both_strands(short))
+    roles = spark.createDataFrame(pairs.roles(25), "pair_id bigint, left_id bigint, right_id bigint")
+    return pairs.amplicons(hits, roles, 8, 40)
+
+
+@query(f"{_PAIRS} select * from amp")
+def j15_primer_pairs(spark, sf_dir):
+    return _amplicons(spark, sf_dir)
+
+
+@query(f"{_PAIRS} select a.* , substr(seq, start_pos + 1, length) as amplicon, 0::bigint as n_count, greatest(length - 30, 20 - length, 0)::bigint as deviance from amp a join dna using (entry_id) where greatest(length - 30, 20 - length, 0) <= 5")
+def q2_pcr_match(spark, sf_dir):
+    sized = _amplicons(spark, sf_dir).withColumn("size_lb", F.lit(20)).withColumn("size_ub", F.lit(30)).withColumn("deviance", S.deviance("length", "size_lb", "size_ub")).where("deviance <= 5").drop("size_lb", "size_ub")
+    return pairs.with_sequence(sized, dna(spark, sf_dir))
+
+
+@query(f"{_EXACT} select p.pattern_id, count(h.pattern_id) as n_0, least(count(h.pattern_id), 50) as n, count(h.pattern_id) >= 50 as capped from patterns p left join hits h using (pattern_id) group by all")
+def a3_capped_counts(spark, sf_dir):
+    pats = patterns(spark, sf_dir)
+    return match.counts(match.exact(text_dna(spark, sf_dir), pats), pats, 0, cap=50)
+
+
+@query(f"{_SUBS} select p.pattern_id, count(*) filter (edits = 0) as n_0, count(*) filter (edits = 1) as n_1, count(*) filter (edits = 2) as n_2, count(edits) as n, false as capped from patterns p left join near using (pattern_id) group by all")
+def a1_counts_by_edits(spark, sf_dir):
+    pats = patterns(spark, sf_dir)
+    return match.counts(match.mismatches(dna(spark, sf_dir), pats, 2), pats, 2)
+
+
+_PRIMER_VALUES = ", ".join(f"({i}, '{p}')" for i, p in enumerate((x[:6] for x in PRIMERS.split()), 1))
+
+
+@query(f"primers as (select * from (values {_PRIMER_VALUES}) v(base_id, pattern)), strands as (select base_id, 'F' as strand, pattern from primers union all select base_id, 'R', reverse(translate(pattern, 'ACGT', 'TGCA')) from primers), w as (select substr(seq, i + 1, 6) as mer from dna, unnest(range(0, length(seq) - 5)) t(i)) select base_id::bigint as base_id, strand, pattern, count(mer) as n from strands left join w on mer = pattern group by all")
+def q1_primer_match_counts(spark, sf_dir):
+    """Exact hits of the first six letters of each example primer, by strand; primers without a hit count 0."""
+    primers = files.patterns_of(spark, PRIMERS).withColumn("pattern", F.substring("pattern", 1, 6))
+    strands = match.both_strands(primers)
+    counted = match.counts(match.exact(dna(spark, sf_dir), strands), strands)
+    return strands.join(counted, "pattern_id").select("base_id", "strand", "pattern", "n")
+
+
+@query(f"{_EXACT} select pattern_id, count(*) as n, count(*) > 0 as found, min(entry_id * 1000000 + start_pos) as first from hits group by all")
+def j25_point_queries(spark, sf_dir):
+    h = match.exact(text_dna(spark, sf_dir), patterns(spark, sf_dir))
+    return h.groupBy("pattern_id").agg(F.count("*").alias("n"), (F.count("*") > 0).alias("found"), F.min(F.col("entry_id") * 1000000 + F.col("start_pos")).alias("first"))
+
+
+@query("select count(*) as n, min(length(pattern))::bigint as shortest, avg(length(pattern)) as mean, count(*) filter (regexp_matches(pattern, '[^ACGT]')) as ambiguous from patterns")
+def a17_pattern_statistics(spark, sf_dir):
+    s = chooser.statistics(patterns(spark, sf_dir))
+    return spark.createDataFrame([(s.n, s.shortest, s.mean, s.ambiguous)], "n bigint, shortest bigint, mean double, ambiguous bigint")
+
+
+# --- Runs, intervals, sets ---------------------------------------------------
+
+_RUNS = "ch as (select entry_id, i as pos, substr(seq, i + 1, 1) as symbol from {source}, unnest(range(0, length(seq))) t(i)), isl as (select *, pos - row_number() over (partition by entry_id, symbol order by pos) as island from ch), runs as (select entry_id, symbol, min(pos) as start, count(*) as len from isl group by entry_id, symbol, island)"
+
+
+@query(f"{_RUNS.format(source='text_dna')} select * from runs where len >= 4")
+def w1_runs(spark, sf_dir):
+    return runs.runs(text_dna(spark, sf_dir), 4)
+
+
+@query(f"n as (select entry_id, regexp_replace(seq, '[^ACGT]', 'N', 'g') as seq from letters), {_RUNS.format(source='n')} select * from runs where len >= 20 and symbol = 'N'")
+def q13_ambiguous_runs(spark, sf_dir):
+    return runs.runs(letters(spark, sf_dir), 20, any_as_n=True)
+
+
+_POINTS = "points as (select distinct l_suppkey as entry_id, l_partkey as pos from lineitem)"
+_ISLANDS = f"{_POINTS}, isl as (select entry_id, min(pos) as start, count(*) as len from (select *, pos - row_number() over (partition by entry_id order by pos) as island from points) group by entry_id, island)"
+
+
+def points(spark, sf_dir, shift: int = 0):
+    return table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") + shift).alias("entry_id"), F.col("l_partkey").alias("pos")).distinct()
+
+
+@query(f"{_ISLANDS} select * from isl")
+def w2_islands(spark, sf_dir):
+    return runs.islands(points(spark, sf_dir))
+
+
+@query(f"{_ISLANDS}, s as (select distinct entry_id, 20001 as size from points) select s.entry_id, coalesce(sum(len), 0)::bigint as n_set, (20001 - coalesce(sum(len), 0))::bigint as n_unset, count(len) as n_runs from s left join isl using (entry_id) group by all")
+def a12_set_counters(spark, sf_dir):
+    own = points(spark, sf_dir)
+    return runs.counters(own, own.select("entry_id").distinct().withColumn("size", F.lit(20001)))
+
+
+@query(f"{_ISLANDS}, x as (select entry_id, start, start + len as e from isl union all select distinct entry_id, 20001, 20001 from points), g as (select entry_id, coalesce(max(e) over (partition by entry_id order by start rows between unbounded preceding and 1 preceding), 0) as f, start as t from x) select entry_id, f as start, t - f as len from g where t > f")
+def t3_complement(spark, sf_dir):
+    own = points(spark, sf_dir)
+    return runs.complement(runs.islands(own), own.select("entry_id").distinct().withColumn("size", F.lit(20001)))
+
+
+@query(f"{_ISLANDS} select entry_id, pos from points")
+def w4_points_of_runs(spark, sf_dir):
+    return runs.to_points(runs.islands(points(spark, sf_dir)))
+
+
+@query(f"{_POINTS} select entry_id, pos from points union select entry_id + 1, pos from points")
+def t1_union(spark, sf_dir):
+    return points(spark, sf_dir).union(points(spark, sf_dir, 1)).distinct()
+
+
+@query(f"{_POINTS} select entry_id, pos from points intersect select entry_id + 1, pos from points")
+def t2_intersection(spark, sf_dir):
+    return points(spark, sf_dir).intersect(points(spark, sf_dir, 1))
+
+
+@query("h as (select entry_id, n_nationkey as pattern_id, i as start_pos, 2 as m, i // 1 as p from text_dna, unnest(range(0, length(seq) - 1)) t(i), (select n_nationkey, substr('ACGTAGCTCA', n_nationkey + 1, 2) as motif from nation where n_nationkey < 5) where substr(seq, i + 1, 2) = motif), c as (select *, start_pos - 2 * row_number() over (partition by entry_id, pattern_id, start_pos % 2 order by start_pos) as chain from h) select entry_id, pattern_id::bigint as pattern_id, min(start_pos) as start, count(*) as copies, (count(*) * 2)::bigint as length from c group by entry_id, pattern_id, start_pos % 2, chain having count(*) >= 3")
+def w7_tandem_repeats(spark, sf_dir):
+    motifs = spark.createDataFrame([(i, "ACGTAGCTCA"[i : i + 2]) for i in range(5)], "pattern_id bigint, pattern string")
+    hits = match.exact(text_dna(spark, sf_dir), motifs).withColumn("m", F.lit(2))
+    return runs.tandems(hits, "m", min_copies=3)
+
+
+_ASOF = "q as (select o_custkey as k, o_orderkey as place from orders), keys as (select o_custkey as k, o_orderkey as key from orders where o_orderkey % 3 = 0)"
+
+
+def _asof(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("place"))
+    return o, o.where("place % 3 = 0").withColumnRenamed("place", "key")
+
+
+@query(f"{_ASOF} select q.k, q.place, max(key) as found from q left join keys on keys.k = q.k and key <= place group by all")
+def j22_last_at_most(spark, sf_dir):
+    return runs.last_at_most(*_asof(spark, sf_dir), "k", "place", "key")
+
+
+@query(f"{_ASOF} select q.k, q.place, min(key) as found from q left join keys on keys.k = q.k and key >= place group by all")
+def j23_first_at_least(spark, sf_dir):
+    return runs.first_at_least(*_asof(spark, sf_dir), "k", "place", "key")
+
+
+# --- Masses ---------------------------------------------------------------------
+
+
+@query(f"""
+q as (select p_partkey as query, p_retailprice as mw from part), w as (select distinct substr(seq, i + 1, 12) as pep from letters, unnest(range(0, length(seq) - 11)) t(i) where i % 50 = 0),
+x as (select pep, {_mass_sql('pep', S.MONO)} as mass from w), y as (select * from x where mass is not null)
+select query, mw, (select count(*) from y where abs(mw - mass) <= 0.1e0) as n from q
+""")
+def a8_peptide_multiplicity(spark, sf_dir):
+    q = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query"), F.col("p_retailprice").alias("mw"))
+    w = kmers.words(letters(spark, sf_dir), 12).where("pos % 50 = 0").select(F.col("kmer").alias("pep")).distinct()
+    return mass.multiplicity(q, w.withColumn("mass", S.residue_mass("pep")), 0.1)
+
+
+@query("""
+q as (select c_custkey as query, abs(c_acctbal) + 100 as mw from customer), x as (select distinct o_totalprice / 20 as mass from orders)
+select query, mw, mass from q join x on abs(mw - mass) <= 0.5e0
+""", views=True)
+def j16_mass_lookup(spark, sf_dir):
+    q = table(spark, sf_dir, "customer").selectExpr("c_custkey as query", "abs(c_acctbal) + 100 as mw")
+    return mass.near(q, table(spark, sf_dir, "orders").selectExpr("o_totalprice / 20 as mass").distinct(), 0.5)
+
+
+@query("""
+q as (select c_custkey as query, abs(c_acctbal) + 100 as mw from customer), x as (select distinct o_totalprice / 20 as mass from orders)
+select query, mw, mass from q join x on abs(mw - mass) <= mw * 0.0001e0
+""")
+def j17_relative_mass_window(spark, sf_dir):
+    q = table(spark, sf_dir, "customer").selectExpr("c_custkey as query", "abs(c_acctbal) + 100 as mw")
+    return mass.near_relative(q, table(spark, sf_dir, "orders").selectExpr("o_totalprice / 20 as mass").distinct(), 0.0001)
+
+
+@query(f"""
+s as (select entry_id, i as start, substr(seq, i + 1, 8) as rest from letters, unnest(range(0, length(seq))) t(i)), c as (select entry_id, start, l as length, substr(rest, 1, l) as piece from s, unnest(range(1, length(rest) + 1)) t(l)),
+m as (select entry_id, start, length, {_mass_sql('piece', S.MONO)} as mass from c) select entry_id, start, length, round(mass, 3) as mass from m where mass between 398.5e0 and 400.5e0
+""")
+def w13_substring_masses(spark, sf_dir):
+    return mass.substring_masses(letters(spark, sf_dir), 398.5, 400.5).withColumn("mass", F.round("mass", 3))
+
+
+@query("""
+marked as (select entry_id, regexp_replace(regexp_replace(seq, '([KR])', '\\1|', 'g'), '\\|P', 'P', 'g') as s from letters), parts as (select entry_id, list_filter(string_split(s, '|'), lambda x: x != '') as p from marked),
+frag as (select entry_id, p, i, j, array_to_string(p[i:j], '') as peptide, length(array_to_string(p[1:i - 1], '')) as start from parts, unnest(range(1, len(p) + 1)) t(i), unnest(range(i, least(i + 1, len(p)) + 1)) u(j)),
+f as (select entry_id, start::bigint as start, peptide, (j - i)::bigint as missed from frag)
+select * from f union all select entry_id, 1, substr(peptide, 2), missed from f where start = 0 and length(peptide) > 1 and peptide like 'M%'
+""")
+def w14_digest(spark, sf_dir):
+    return mass.digest(letters(spark, sf_dir))
+
+
+# --- Duplicates and uniqueness ------------------------------------------------
+
+
+@query("s as (select doc_id as entry_id, 'd' || cast(doc_id as varchar) as defline, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) as seq from documents) select min(entry_id) as entry_id, string_agg(defline, ';' order by entry_id) as deflines, count(*) as n, seq from s group by seq")
+def t4_non_redundant(spark, sf_dir):
+    own = letters(spark, sf_dir).withColumn("defline", F.concat(F.lit("d"), F.col("entry_id").cast("string")))
+    return uniq.non_redundant(own)
+
+
+_PARTS = "short as (select p_partkey as entry_id, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) as seq from part union all select 1000000 + n_nationkey, upper(regexp_replace(n_name, '[^A-Za-z]', '', 'g')) from nation union all select 2000000 + p_partkey, upper(regexp_replace(split_part(p_name, ' ', 1), '[^A-Za-z]', '', 'g')) from part where p_partkey <= 20)"
+
+
+def _short(spark, sf_dir):
+    clean = lambda c: F.upper(F.regexp_replace(c, "[^A-Za-z]", ""))
+    part, nation = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
+    own = part.select(F.col("p_partkey").cast("bigint").alias("entry_id"), clean("p_name").alias("seq"))
+    own = own.unionByName(nation.select((F.col("n_nationkey") + 1000000).cast("bigint").alias("entry_id"), clean("n_name").alias("seq")))
+    return own.unionByName(part.where("p_partkey <= 20").select((F.col("p_partkey") + 2000000).cast("bigint").alias("entry_id"), clean(F.split("p_name", " ")[0]).alias("seq")))
+
+
+@query(f"{_PARTS} select a.entry_id as part, b.entry_id as whole from short a join short b on a.entry_id != b.entry_id and length(a.seq) < length(b.seq) and contains(b.seq, a.seq) where a.seq != ''")
+def j20_containment(spark, sf_dir):
+    return uniq.contained(_short(spark, sf_dir))
+
+
+@query(f"{_words_sql('dna', 9)}, al as (select kmer from w union all select reverse(translate(kmer, 'ACGT', 'TGCA')) from w), o as (select kmer from al group by kmer having count(*) = 1) select entry_id, pos, kmer from w where kmer in (select kmer from o)")
+def q18_unique_words(spark, sf_dir):
+    return uniq.unique_words(dna(spark, sf_dir), 9)
+
+
+@query(f"{_words_sql('dna', 12)} select a.entry_id, a.pos from w a where exists (select 1 from w b where b.kmer = a.kmer and (b.entry_id != a.entry_id or abs(b.pos - a.pos) >= 12))")
+def j19_matched_elsewhere(spark, sf_dir):
+    own = dna(spark, sf_dir)
+    return uniq.matched_elsewhere(own, own, 12, 0, same=True)
+
+
+@query(f"{_words_sql('dna', 8)}, p as (select distinct substr(pattern, 1, 8) as kmer from patterns) select entry_id, pos from w where exists (select 1 from p where hamming(p.kmer, w.kmer) <= 1)")
+def a16_inexact_words(spark, sf_dir):
+    pats = patterns(spark, sf_dir).select(F.col("pattern_id").alias("entry_id"), F.substring("pattern", 1, 8).alias("seq"))
+    return uniq.matched_elsewhere(dna(spark, sf_dir), pats, 8, 1)
+
+
+# --- Graphs ------------------------------------------------------------------------
+
+_SPACES = "r as (select entry_id, i as pos, substr(seq, i + 1, 5) as kmer, case when i = 0 then null else substr(seq, i, 1) end as l, case when i + 5 = length(seq) then null else substr(seq, i + 6, 1) end as r from dna, unnest(range(0, length(seq) - 4)) t(i)), b as (select kmer from r group by kmer having count(*) > 1 and (count(l) < count(*) or count(r) < count(*) or count(distinct l) > 1 or count(distinct r) > 1)), sp as (select entry_id, pos, kmer from r where kmer in (select kmer from b))"
+_GRAPH = f"{_SPACES}, st as (select entry_id, pos, kmer as src, lead(kmer) over (partition by entry_id order by pos) as dst, lead(pos) over (partition by entry_id order by pos) as nx from sp), ed as (select src, dst, substr(seq, pos + 6, nx - pos) as label, entry_id, pos from st join dna using (entry_id) where dst is not null), e as (select src, dst, label, count(*) as n, (min((entry_id, pos))) as f from ed group by src, dst, label)"
+
+
+def _spaces(spark, sf_dir):
+    return graph.x_spaces(dna(spark, sf_dir), 5)
+
+
+def _word_graph(spark, sf_dir):
+    return graph.word_graph(_spaces(spark, sf_dir), dna(spark, sf_dir), 5)
+
+
+@query(f"{_SPACES} select * from sp")
+def g1_x_spaces(spark, sf_dir):
+    return _spaces(spark, sf_dir)
+
+
+@query(f"{_GRAPH}, g as (select src, dst, label, count(*) as n, min(entry_id * 100 + pos) as fp from ed group by all) select src, dst, label, n, fp // 100 as first_entry, fp % 100 as first_pos from g")
+def g2_word_graph(spark, sf_dir):
+    return _word_graph(spark, sf_dir)
+
+
+@query(f"{_GRAPH}, x as (select src as node, 0 as i, n as o from e union all select dst, n, 0 from e) select node, sum(i)::bigint as n_in, sum(o)::bigint as n_out, (sum(o) - sum(i))::bigint as surplus from x group by node")
+def a14_degrees(spark, sf_dir):
+    return graph.degrees(_word_graph(spark, sf_dir))
+
+
+@query(f"""{_GRAPH}, x as (select src as node, 0 as i, n as o from e union all select dst, n, 0 from e), d as (select node, sum(i)::bigint as i, sum(o)::bigint as o from x group by node)
+select count(*) as n_nodes, count(*) filter (i = o) as n_balanced, count(*) filter (o > i) as n_surplus, count(*) filter (o < i) as n_deficit, sum(greatest(o - i, 0))::bigint as units, count(*) filter (i = 0) as n_sources, count(*) filter (o = 0) as n_sinks, count(*) filter (i = 1 and o = 1) as n_trivial, (select count(*) from e) as n_edges, (select sum(n)::bigint from e) as multiplicity from d
+""")
+def g5_graph_statistics(spark, sf_dir):
+    return graph.statistics(_word_graph(spark, sf_dir))
+
+
+@query(f"{_GRAPH} select src, substr(label, 1, 1) as first, count(*) as n from e group by all having count(*) > 1")
+def g13_ambiguous_edges(spark, sf_dir):
+    return graph.ambiguous_edges(_word_graph(spark, sf_dir))
+
+
+@query(f"{_GRAPH} select src, dst, label, n from e where n > 1")
+def f10_count_filter(spark, sf_dir):
+    return graph.count_filtered(_word_graph(spark, sf_dir), ">", 1).select("src", "dst", "label", "n")
+
+
+@query("select * from (select o_orderkey * 2 as node, min(least(o_orderkey * 2, o_custkey * 2 + 1)) over (partition by o_custkey) as component from orders) union all select o_custkey * 2 + 1, min(least(o_orderkey * 2, o_custkey * 2 + 1)) from orders group by o_custkey", views=False)
+def g4_components(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return graph.components(o.select((F.col("o_orderkey") * 2).alias("a"), (F.col("o_custkey") * 2 + 1).alias("b")))
+
+
+@query(f"{_words_sql('dna', 6)}, e as (select kmer, count(*) as n from w group by kmer) select entry_id, pos, n from w join e using (kmer)")
+def g8_path_counts(spark, sf_dir):
+    own = dna(spark, sf_dir)
+    edges = kmers.count(kmers.words(own, 6)).select(F.substring("kmer", 1, 5).alias("src"), F.expr("substring(kmer, 6, 1)").alias("label"), "n")
+    return graph.path_counts(own, edges, 5)
+
+
+@query("""
+c as (select o_custkey, o_orderkey, lead(o_orderkey) over (partition by o_custkey order by o_orderkey) as nx, count(*) over (partition by o_custkey) as k from orders)
+select min(o_orderkey) as head, max(o_orderkey) as tail, string_agg(cast(o_orderkey as varchar) || '>', '' order by o_orderkey) filter (nx is not null) as label, count(*) - 1 as steps from c group by o_custkey having count(*) > 1
+""")
+def g9_unitigs(spark, sf_dir):
+    from pyspark.sql import Window
+
+    o = table(spark, sf_dir, "orders").withColumn("nx", F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).where("nx is not null")
+    return graph.unitigs(o.select(F.col("o_orderkey").alias("src"), F.col("nx").alias("dst"), F.concat(F.col("o_orderkey").cast("string"), F.lit(">")).alias("label")))
+
+
+@query()
+def g7_balance(spark, sf_dir):
+    """Restart edges; that they balance the graph is tested."""
+    return graph.balance(graph.numbered_graph(_word_graph(spark, sf_dir)))
+
+
+@query()
+def g10_euler_tours(spark, sf_dir):
+    """Tours; that each uses every edge once is tested."""
+    return graph.euler_tours(graph.numbered_graph(_word_graph(spark, sf_dir)))
+
+
+@query()
+def g12_transport(spark, sf_dir):
+    """Cheapest ways from deficit to surplus nodes along jumpers; tested against all assignments."""
+    edges = graph.numbered_graph(_word_graph(spark, sf_dir))
+    d = graph.degrees(edges).join(graph.components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "node")
+    nodes = edges.select(F.col("src").alias("node"), F.col("src_seq").alias("seq")).unionByName(edges.select(F.col("dst").alias("node"), F.col("dst_seq").alias("seq"))).distinct()
+    own = d.join(nodes, "node")
+    ways = graph.jumpers(own.where("surplus < 0").select(F.col("node").alias("a"), "seq"), own.where("surplus > 0").select(F.col("node").alias("b"), "seq"), 5, shortest=2)
+    tied = ways.join(d.select(F.col("node").alias("a"), "component"), "a").select("component", F.col("a").alias("src"), F.col("b").alias("dst"), F.col("cost").cast("bigint").alias("cost"))
+    return graph.transported(d.select("component", "node", "surplus").where("surplus != 0"), tied, "vogel")
+
+
+@query(f"{_SPACES} select row_number() over (order by kmer) as id, kmer as seq from (select distinct kmer from sp)")
+def g16_numbered_nodes(spark, sf_dir):
+    return graph.numbered(_spaces(spark, sf_dir))
+
+
+@query("n as (select n_nationkey::bigint as id, substr(n_name, 1, 1) as seq from nation), k as (select seq, min(id) as kept from n group by seq), ed as (select n_nationkey::bigint as src, (n_regionkey * 5)::bigint as dst, 'x' as label from nation) select distinct ks.kept as src, kd.kept as dst, label from ed join n a on a.id = src join k ks on ks.seq = a.seq join n b on b.id = dst join k kd on kd.seq = b.seq")
+def g14_merged_nodes(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    nodes = nation.select(F.col("n_nationkey").cast("bigint").alias("id"), F.substring("n_name", 1, 1).alias("seq"))
+    edges = nation.select(F.col("n_nationkey").cast("bigint").alias("src"), (F.col("n_regionkey") * 5).cast("bigint").alias("dst"), F.lit("x").alias("label"))
+    return graph.merged_nodes(nodes, edges).select("src", "dst", "label")
+
+
+@query("x as (select a.pattern_id as a, b.pattern_id as b, n from patterns a, patterns b, unnest(range(2, 8)) t(n) where a.pattern_id != b.pattern_id and n <= length(a.pattern) and n <= length(b.pattern) and right(a.pattern, n::integer) = left(b.pattern, n::integer)) select a, b, max(n) as overlap from x group by a, b")
+def j21_overlaps(spark, sf_dir):
+    pats = patterns(spark, sf_dir)
+    return graph.overlaps(pats.select(F.col("pattern_id").alias("a"), F.col("pattern").alias("seq")), pats.select(F.col("pattern_id").alias("b"), F.col("pattern").alias("seq")), 2, 7)
+
+
+# --- Sources, formats, streams ----------------------------------------------
+
+
+@query("select 'doc' || entry_id as name, 'doc' || entry_id || ' derived' as defline, seq, length(seq)::bigint as len from text_dna")
+def s1_fasta_round_trip(spark, sf_dir):
+    """Written as FASTA of 60 columns, read back."""
+    path = f"{shared_dir(spark)}/fasta-{uuid4().hex}"
+    files.write_fasta(text_dna(spark, sf_dir).select(F.concat(F.lit("doc"), F.col("entry_id").cast("string"), F.lit(" derived")).alias("defline"), "seq"), path)
+    return files.read_fasta(spark, path).select("name", "defline", "seq", "len")
+
+
+@query("a as (select entry_id, 1 + coalesce(sum(length(seq) + 1) over (order by entry_id rows between unbounded preceding and 1 preceding), 0) as abs_start from text_dna) select entry_id, abs_start::bigint as abs_start from a")
+def d2_absolute_starts(spark, sf_dir):
+    return files.with_absolute_starts(text_dna(spark, sf_dir)).select("entry_id", "abs_start")
+
+
+@query(f"{_ISLANDS}, x as (select entry_id, start, len, 1 as st from isl union all select entry_id, f, t - f, 0 from (select entry_id, coalesce(max(e) over (partition by entry_id order by start rows between unbounded preceding and 1 preceding), 0) as f, start as t from (select entry_id, start, start + len as e from isl union all select distinct entry_id, 20001, 20001 from points)) where t > f) select entry_id, 'BEGIN 20001 ' || case when min_by(st, start) = 1 then '0 ' else '' end || string_agg(cast(len as varchar), ' ' order by start) || ' END' as line from x group by entry_id")
+def s19_bitmap_lines(spark, sf_dir):
+    own = points(spark, sf_dir)
+    return files.bitmap_lines(runs.islands(own), own.select("entry_id").distinct().withColumn("size", F.lit(20001)))
+
+
+@query(f"{_EXACT} select entry_id || ':' || start_pos || '-' || end_pos || chr(9) || pattern || ' (' || (end_pos - start_pos) || ') 100%' as line from hits join patterns using (pattern_id)")
+def r1_hit_lines(spark, sf_dir):
+    pats = patterns(spark, sf_dir)
+    hits = match.exact(text_dna(spark, sf_dir), pats).join(pats, "pattern_id").select("entry_id", F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), (F.col("end_pos") - F.col("start_pos")).alias("length"), "pattern")
+    return hits.select(formats.compile_format("%f:%s-%e\\t%q (%l) 100%%", formats.ALIGNMENT).alias("line"))
+
+
+@query(f"{_PAIRS} select entry_id || ' ' || start_pos || '..' || right_start || ' ' || length || repeat(' ', length(cast(length as varchar))) || '|' as line from amp")
+def r3_pair_lines(spark, sf_dir):
+    a = _amplicons(spark, sf_dir).select("entry_id", "length", F.col("start_pos").alias("left_start"), F.col("right_start").alias("right_start"))
+    return a.select(formats.compile_format("%f %>s..%<s %l%!l|", formats.PAIR | {"!": "length"}, sides=True).alias("line"))
+
+
+@query(f"{_RUNS.format(source='text_dna')} select entry_id || ' ' || symbol || ' ' || start || '+' || len as line from runs where len >= 5")
+def r5_run_lines(spark, sf_dir):
+    return runs.runs(text_dna(spark, sf_dir), 5).select(formats.compile_format("%f %t %s+%l", formats.RUN).alias("line"))
+
+
+@query("select '>d' || entry_id || chr(10) || rtrim(regexp_replace(seq, '(.{60})', '\\1' || chr(10), 'g'), chr(10)) as record from dna")
+def s24_fasta_records(spark, sf_dir):
+    return dna(spark, sf_dir).select(S.fasta_record(F.concat(F.lit("d"), F.col("entry_id").cast("string")), "seq").alias("record"))
+
+
+@query()
+def s26_random_genome(spark, sf_dir):
+    """Seeded random entries; the same however they are partitioned."""
+    return files.random_genome(spark, 20, 500, 7)
+
+
+@query()
+def q27_simulated_reads(spark, sf_dir):
+    """Colour-space reads with random errors."""
+    reads = files.with_random_errors(dna(spark, sf_dir), 0.02, 11)
+    return reads.select("entry_id", S.colour_space("seq").alias("read"))
+
+
+@query(f"{_EXACT} select * from hits")
+def stream_exact_match(spark, sf_dir):
+    """The exact match over a stream of documents, drained to a table."""
+    base = f"{shared_dir(spark)}/stream-{uuid4().hex}"
+    own = table(spark, sf_dir, "documents")
+    own.write.parquet(f"{base}/in")
+    docs = per_entry.read_entries(spark, f"{base}/in", own.select("*").schema.simpleString()[7:-1].replace(":", " "))
+    entries = docs.select(F.col("doc_id").alias("entry_id"), F.translate(F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")), *_AZ).alias("seq"))
+    per_entry.drain(per_entry.exact_hits(entries, patterns(spark, sf_dir)), f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out")
