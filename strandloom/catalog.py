@@ -106,11 +106,11 @@ def _mass_sql(column: str, masses: dict[str, float]) -> str:
     return f"case when length(translate({column}, '{known}', '')) = 0 then 0e0 + {total} end"
 
 
-@query(f"clean as (select entry_id, regexp_replace(seq, '[BJOUXZ]', '', 'g') as s from letters) select entry_id, round({_mass_sql('s', S.MONO)}, 3) as mono, round({_mass_sql('s', S.AVERAGE)}, 3) as average from clean")
+@query(f"clean as (select entry_id, regexp_replace(seq, '[BJOUXZ]', '', 'g') as s from letters) select entry_id, round(({_mass_sql('s', S.MONO)}) * 1000)::bigint as mono, round(({_mass_sql('s', S.AVERAGE)}) * 1000)::bigint as average from clean")
 def a7_protein_masses(spark, sf_dir):
     own = letters(spark, sf_dir).select("entry_id", F.regexp_replace("seq", "[BJOUXZ]", "").alias("seq"))
-    both = mass.protein_masses(own).select("entry_id", F.round("mw", 3).alias("mono"))
-    return both.join(mass.protein_masses(own, S.AVERAGE).select("entry_id", F.round("mw", 3).alias("average")), "entry_id")
+    both = mass.protein_masses(own).select("entry_id", F.round(F.col("mw") * 1000).cast("bigint").alias("mono"))
+    return both.join(mass.protein_masses(own, S.AVERAGE).select("entry_id", F.round(F.col("mw") * 1000).cast("bigint").alias("average")), "entry_id")
 
 
 @query("select entry_id, regexp_extract(defline, '^[^ \\t]*') as name, upper(regexp_replace(raw, '[^!-~]', '', 'g')) as seq from (select doc_id as entry_id, 'doc' || cast(doc_id as varchar) || ' ' || lang as defline, coalesce(text, '') as raw from documents)", views=False)
@@ -267,8 +267,6 @@ def q15_pairs_seen(spark, sf_dir):
 
 # --- Matching ------------------------------------------------------------------
 
-_EXACT = "hits as (select entry_id, pattern_id, i as start_pos, i + length(pattern) as end_pos, 0::bigint as edits from text_dna, unnest(range(0, length(seq))) t(i), patterns where substr(seq, i + 1, length(pattern)) = pattern)"
-#: The same by words: an engine without a planner for this join would compare each place with each pattern.
 _EXACT = "hits as (select entry_id, pattern_id, i as start_pos, i + n as end_pos, 0::bigint as edits from (select entry_id, i, n, substr(seq, i + 1, n) as mer from text_dna, unnest([8, 9, 10]) s(n), unnest(range(0, length(seq) - n + 1)) t(i)) w join patterns on pattern = mer)"
 
 

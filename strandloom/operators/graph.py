@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seq as S
 from ..plans.lineage import cut
+from .kmers import words, words_with_neighbours
 
 
 def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
@@ -40,8 +41,8 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
 
 def x_spaces(sequences: DataFrame, m: int) -> DataFrame:
     """entry_id, pos, kmer of every occurrence of the branching words: they occur twice at least, and not all with one left and one right letter; a sequence's end is a letter of its own each time."""
-    rows = sequences.select("entry_id", "seq", F.explode(S.positions("seq", m)).alias("pos"))
-    rows = rows.select("entry_id", F.col("pos").cast("bigint").alias("pos"), F.expr(f"substring(seq, pos + 1, {m})").alias("kmer"), F.expr("if(pos = 0, null, substring(seq, pos, 1))").alias("l"), F.expr(f"if(pos + {m} = length(seq), null, substring(seq, pos + {m} + 1, 1))").alias("r"))
+    side = lambda c: F.when(F.col(c) != "$", F.col(c)).alias(c)
+    rows = words_with_neighbours(sequences, m).select("entry_id", F.col("pos").cast("bigint").alias("pos"), "kmer", side("l"), side("r"))
     branching = rows.groupBy("kmer").agg(F.count("*").alias("n"), F.min("l").alias("l0"), F.max("l").alias("l1"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.count("l").alias("nl"), F.count("r").alias("nr"))
     chosen = branching.where("n > 1 and (nl < n or nr < n or l0 != l1 or r0 != r1)").select("kmer")
     return rows.join(chosen, "kmer", "left_semi").select("entry_id", "pos", "kmer")
@@ -181,8 +182,6 @@ def euler_tours(edges: DataFrame) -> DataFrame:
 def path_counts(sequences: DataFrame, edges: DataFrame, m: int) -> DataFrame:
     """entry_id, pos, n: count of the graph's edge at each (m+1)-word of the sequences, 0 where it has none. edges: src, label of one letter, n."""
     table = edges.where("length(label) = 1").select(F.concat("src", "label").alias("kmer"), "n").groupBy("kmer").agg(F.sum("n").alias("n"))
-    from .kmers import words
-
     return words(sequences, m + 1).join(table, "kmer", "left").select("entry_id", "pos", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -8,18 +8,36 @@ from pyspark.sql import functions as F
 from ..functions import seq as S
 
 
-def chunks(sequences: DataFrame, span: int, size: int = 1 << 16) -> DataFrame:
-    """Long entries cut into rows that overlap by span - 1 letters: entry_id, chunk_start, seq.
+#: Starts in a piece, on two levels: a substring costs what lies before it, so long texts are cut twice.
+LONG, SHORT = 1 << 16, 1 << 9
 
-    A stretch of at most ``span`` letters lies whole in the one chunk that owns its start, so per-chunk results need no clean-up.
+
+def chunks(sequences: DataFrame, span: int) -> DataFrame:
+    """entry_id, base, piece: entries cut into pieces that overlap by span - 1 letters.
+
+    A stretch of ``span`` letters lies whole in the one piece that owns its start, so per-piece results need no clean-up,
+    and the work is linear in the length of an entry.
     """
-    starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(size))
-    return sequences.select("entry_id", "seq", F.explode(starts).alias("chunk_start")).select("entry_id", "chunk_start", F.expr(f"substring(seq, chunk_start + 1, {size + span - 1})").alias("seq"))
+
+    def starts(text: str, size: int) -> Column:
+        last = F.length(text) - span
+        return F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(size))).otherwise(F.array().cast("array<int>"))
+
+    rows = sequences.select("entry_id", "seq", F.explode(starts("seq", LONG)).alias("far")).select("entry_id", "far", F.expr(f"substring(seq, far + 1, {LONG + span - 1})").alias("part"))
+    rows = rows.select("entry_id", "far", "part", F.explode(starts("part", SHORT)).alias("near"))
+    return rows.select("entry_id", (F.col("far") + F.col("near")).alias("base"), F.expr(f"substring(part, near + 1, {SHORT + span - 1})").alias("piece"))
 
 
 def words(sequences: DataFrame, k: int) -> DataFrame:
     """entry_id, pos, kmer of every stretch of k letters."""
-    return sequences.select("entry_id", "seq", F.explode(S.positions("seq", k)).alias("pos")).select("entry_id", "pos", F.expr(f"substring(seq, pos + 1, {k})").alias("kmer"))
+    rows = chunks(sequences, k).select("entry_id", "base", "piece", F.explode(S.positions("piece", k)).alias("p"))
+    return rows.select("entry_id", (F.col("base") + F.col("p")).alias("pos"), F.expr(f"substring(piece, p + 1, {k})").alias("kmer"))
+
+
+def words_with_neighbours(sequences: DataFrame, k: int) -> DataFrame:
+    """entry_id, pos, kmer, l, r: the letters on both sides, $ beyond an end."""
+    padded = sequences.select("entry_id", F.concat(F.lit("$"), "seq", F.lit("$")).alias("seq"))
+    return words(padded, k + 2).select("entry_id", "pos", F.expr(f"substring(kmer, 2, {k})").alias("kmer"), F.expr("left(kmer, 1)").alias("l"), F.expr("right(kmer, 1)").alias("r"))
 
 
 def dna_words(sequences: DataFrame, k: int) -> DataFrame:
@@ -53,8 +71,8 @@ def spaced(sequences: DataFrame, templates: list[str]) -> DataFrame:
     """entry_id, tag (the template's place in the list), pos, word."""
     parts = []
     for tag, template in enumerate(templates):
-        rows = sequences.select("entry_id", "seq", F.explode(S.positions("seq", len(template))).alias("pos"))
-        parts.append(rows.select("entry_id", F.lit(tag).alias("tag"), "pos", S.template_word("seq", F.col("pos"), template).alias("word")))
+        rows = words(sequences, len(template))
+        parts.append(rows.select("entry_id", F.lit(tag).alias("tag"), "pos", S.template_word("kmer", F.lit(0), template).alias("word")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -63,8 +81,7 @@ def spaced(sequences: DataFrame, templates: list[str]) -> DataFrame:
 
 def neighbours(sequences: DataFrame, k: int) -> DataFrame:
     """kmer, n, and how many different letters (ends count as one) stand left and right of it, two at most."""
-    rows = sequences.select("entry_id", "seq", F.explode(S.positions("seq", k)).alias("pos"))
-    rows = rows.select(F.expr(f"substring(seq, pos + 1, {k})").alias("kmer"), F.expr("if(pos = 0, '$', substring(seq, pos, 1))").alias("l"), F.expr(f"if(pos + {k} = length(seq), '$', substring(seq, pos + {k} + 1, 1))").alias("r"))
+    rows = words_with_neighbours(sequences, k)
     return rows.groupBy("kmer").agg(
         F.count("*").alias("n"),
         F.least(F.count_distinct("l"), F.lit(2)).alias("n_left"),
@@ -73,11 +90,10 @@ def neighbours(sequences: DataFrame, k: int) -> DataFrame:
     )
 
 
-def pair_codes(sequences: DataFrame, m: int, gap: Column | int) -> DataFrame:
+def pair_codes(sequences: DataFrame, m: int, gap: int) -> DataFrame:
     """mer1, mer2, n: two words of m letters with a gap between, on both strands."""
-    gap = F.lit(gap) if isinstance(gap, int) else gap
-    rows = sequences.select("seq", F.explode(S.positions("seq", gap + 2 * m)).alias("pos"))
-    pairs = rows.select(F.expr(f"substring(seq, pos + 1, {m})").alias("a"), F.substring("seq", F.col("pos") + m + gap + 1, F.lit(m)).alias("b")).where("a rlike '^[ACGT]+$' and b rlike '^[ACGT]+$'")
+    rows = words(sequences, 2 * m + gap)
+    pairs = rows.select(F.expr(f"left(kmer, {m})").alias("a"), F.expr(f"right(kmer, {m})").alias("b")).where("a rlike '^[ACGT]+$' and b rlike '^[ACGT]+$'")
     both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("mer1"), F.col("b").alias("mer2")), F.struct(S.reverse_complement("b").alias("mer1"), S.reverse_complement("a").alias("mer2")))).alias("x"))
     return both.select("x.*").groupBy("mer1", "mer2").agg(F.count("*").alias("n"))
 

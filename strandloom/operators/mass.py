@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
+from .kmers import words
 
 WATER = {"mono": 18.01056, "average": 18.0153}  # fixed values
 
@@ -72,8 +73,8 @@ def substring_masses(proteins: DataFrame, low: float, high: float, table: dict[s
     """entry_id, start, length, mass of every stretch with a mass in [low, high] and at most high / 50 letters."""
     table = table or S.MONO
     most = int(high / 50)
-    rows = proteins.select("entry_id", "seq", F.explode(S.positions("seq", 1)).alias("start"))
-    rows = rows.select("entry_id", "start", F.expr(f"substring(seq, start + 1, {most})").alias("rest"))
+    padded = proteins.select("entry_id", F.concat("seq", F.lit("$" * (most - 1))).alias("seq"))
+    rows = words(padded, most).select("entry_id", F.col("pos").alias("start"), F.rtrim(F.col("kmer"), F.lit("$")).alias("rest")).where("rest != ''")
     rows = rows.select("entry_id", "start", "rest", F.explode(F.sequence(F.lit(1), F.length("rest"))).alias("length"))
     cut = rows.select("entry_id", "start", "length", F.expr("substring(rest, 1, length)").alias("piece"))
     return cut.withColumn("mass", S.residue_mass("piece", table)).where(F.col("mass").between(low, high)).drop("piece")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
+from .kmers import words
 
 HITS = "entry_id bigint, pattern_id bigint, start_pos bigint, end_pos bigint, edits int"
 
@@ -47,8 +48,7 @@ def exact(sequences: DataFrame, patterns: DataFrame) -> DataFrame:
     """Equal stretches: for each pattern length, every stretch of it is equi-joined with the patterns."""
     parts = []
     for n in lengths(patterns):
-        rows = sequences.select("entry_id", "seq", F.explode(S.positions("seq", n)).alias("p"))
-        mers = rows.select("entry_id", F.col("p").cast("bigint").alias("start_pos"), F.expr(f"substring(seq, p + 1, {n})").alias("pattern"))
+        mers = words(sequences, n).select("entry_id", F.col("pos").cast("bigint").alias("start_pos"), F.col("kmer").alias("pattern"))
         hit = mers.join(patterns.where(F.length("pattern") == n).select("pattern_id", "pattern"), "pattern")
         parts.append(hit.select("entry_id", "pattern_id", "start_pos", (F.col("start_pos") + n).alias("end_pos"), F.lit(0).alias("edits")))
     return _union(parts, _no_hits(sequences))
@@ -73,12 +73,12 @@ def expanded(patterns: DataFrame, limit: int = 4096) -> DataFrame:
     table = {c: "".join(x for x in letters if x in "ACGT") for c, letters in S.compatible_letters().items()}
     rows = []
     for r in patterns.select("pattern_id", "pattern").collect():
-        words = [""]
+        spelt = [""]
         for c in r.pattern:
-            words = [w + x for w in words for x in table.get(c, c)]
-            if len(words) > limit:
+            spelt = [w + x for w in spelt for x in table.get(c, c)]
+            if len(spelt) > limit:
                 raise ValueError(f"{r.pattern} stands for more than {limit} words: use scan")
-        rows += [(r.pattern_id, w) for w in words]
+        rows += [(r.pattern_id, w) for w in spelt]
     return patterns.sparkSession.createDataFrame(rows, "pattern_id bigint, pattern string")
 
 
@@ -100,7 +100,7 @@ def seeds(sequences: DataFrame, patterns: DataFrame, k: int, word: int | None =
     wanted = _union(parts, patterns.limit(0))
     rows = []
     for m in sorted({m for own in cut.values() for _, m in own}):
-        mers = sequences.select("entry_id", "seq", F.explode(S.positions("seq", m)).alias("p")).select("entry_id", "p", F.expr(f"substring(seq, p + 1, {m})").alias("mer"))
+        mers = words(sequences, m).select("entry_id", F.col("pos").alias("p"), F.col("kmer").alias("mer"))
         rows.append(mers.join(wanted.where(F.length("mer") == m), "mer").select("entry_id", "pattern_id", "pattern", (F.col("p") - F.col("offset")).alias("at")))
     return _union(rows, _no_hits(sequences)).distinct()
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seq as S
 from .graph import components
-from .kmers import dna_words
+from .kmers import dna_words, words
 
 
 def non_redundant(sequences: DataFrame) -> DataFrame:
@@ -24,15 +24,17 @@ def contained(sequences: DataFrame, seed: int = 6, skip_short: bool = False) ->
     """
     parts = sequences.select(F.col("entry_id").alias("part"), F.col("seq").alias("short"))
     long_enough = parts.where(F.length("short") >= seed).withColumn("mer", F.expr(f"substring(short, 1, {seed})"))
-    places = sequences.select(F.col("entry_id").alias("whole"), "seq", F.explode(S.positions("seq", seed)).alias("p")).withColumn("mer", F.expr(f"substring(seq, p + 1, {seed})"))
-    hit = places.join(long_enough, "mer").where("part != whole and length(short) < length(seq) and substring(seq, p + 1, length(short)) = short")
+    places = words(sequences, seed).select(F.col("entry_id").alias("whole"), F.col("pos").alias("p"), F.col("kmer").alias("mer"))
+    wholes = sequences.select(F.col("entry_id").alias("whole"), "seq")
+    hit = places.join(long_enough, "mer").join(wholes, "whole").where("part != whole and length(short) < length(seq) and substring(seq, p + 1, length(short)) = short")
     out = hit.select("part", "whole").distinct()
     if skip_short:
         return out
     for n in range(1, seed):
         tiny = parts.where(F.length("short") == n)
-        at = sequences.select(F.col("entry_id").alias("whole"), "seq", F.explode(S.positions("seq", n)).alias("p")).select("whole", F.length("seq").alias("n"), F.expr(f"substring(seq, p + 1, {n})").alias("short"))
-        out = out.unionByName(at.join(tiny, "short").where(f"part != whole and n > {n}").select("part", "whole").distinct())
+        at = words(sequences, n).select(F.col("entry_id").alias("whole"), F.col("kmer").alias("short")).distinct()
+        sizes = sequences.select(F.col("entry_id").alias("whole"), F.length("seq").alias("n"))
+        out = out.unionByName(at.join(tiny, "short").join(sizes, "whole").where(f"part != whole and n > {n}").select("part", "whole").distinct())
     return out
 
 
