@@ -57,11 +57,11 @@ def align(seq: str, pattern: str, first_end: int, last_end: int, k: int, wildcar
         return INF if not indels or i < left or i >= m - right else gap
 
     def extra(i: int) -> int:
-        return INF if not indels or 0 < i < left or i > m - right and i < m or i in (0, m) else gap
+        return INF if not indels or 0 < i < left or i > m - right and i < m or i == 0 else gap
 
     cost = [[INF] * (n + 1) for _ in range(m + 1)]
-    for j in range(max(0, first_end - low), n + 1):
-        cost[m][j] = 0
+    for j in range(n, -1, -1):
+        cost[m][j] = 0 if j >= first_end - low else min(cost[m][j + 1] + extra(m), INF)
     for i in range(m - 1, -1, -1):
         row, below = cost[i], cost[i + 1]
         skip, more = missing(i), extra(i)
@@ -79,11 +79,11 @@ def align(seq: str, pattern: str, first_end: int, last_end: int, k: int, wildcar
         if j < n and cost[1][j + 1] + pair(0, j)[0] == least:
             start = j
     i, j, ops, t, p = 0, start, [], [], []
-    while i < m:
+    while i < m or cost[m][j]:
         here, last = cost[i][j], ops[-1] if ops else ""
-        c, mark = pair(i, j) if j < n else (INF, "!")
-        diagonal = j < n and cost[i + 1][j + 1] + c == here
-        down = cost[i + 1][j] + missing(i) == here
+        c, mark = pair(i, j) if i < m and j < n else (INF, "!")
+        diagonal = i < m and j < n and cost[i + 1][j + 1] + c == here
+        down = i < m and cost[i + 1][j] + missing(i) == here
         over = j < n and cost[i][j + 1] + extra(i) == here
         if diagonal and not (last == "v" and down) and not (last == "^" and over) and not (last == "+" and (down or over)):
             ops.append(mark)
