@@ -9,7 +9,7 @@ from ..functions import seq as S
 
 
 #: Starts in a piece, on two levels: a substring costs what lies before it, so long texts are cut twice.
-LONG, SHORT = 1 << 16, 1 << 9
+LONG, SHORT = 1 << 15, 1 << 7
 
 
 def chunks(sequences: DataFrame, span: int) -> DataFrame:
