@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import seq as S
-from .operators import align, graph, kmers, mass, match, pairs, runs, uniq
+from .operators import align, graph, kmers, mass, match, pairs, repair, runs, uniq
 from .plans import chooser, formats
 from .plans.lineage import shared_dir
 from .sources import files
@@ -701,6 +701,46 @@ def j21_overlaps(spark, sf_dir):
     return graph.overlaps(pats.select(F.col("pattern_id").alias("a"), F.col("pattern").alias("seq")), pats.select(F.col("pattern_id").alias("b"), F.col("pattern").alias("seq")), 2, 7)
 
 
+@query("""
+k as (select entry_id, i, substr(seq, i + 1, 6) as kmer from dna, unnest(range(0, length(seq) - 5)) t(i)), c as (select kmer, count(*) as n from k group by kmer),
+v as (select entry_id, i + 5 as place, floor(log2(n::double) + 0.001)::bigint + 1 as value from k join c using (kmer)), w as (select *, place - row_number() over (partition by entry_id, value order by place) as island from v where value > 1)
+select 'd' || entry_id || ' ' || min(place) || ' ' || (max(place) + 1) || ' ' || value as line from w group by entry_id, value, island
+""")
+def g8_path_tracks(spark, sf_dir):
+    tracks = repair.path_tracks(g8_path_counts(spark, sf_dir), 5, "log2")
+    return tracks.withColumn("name", F.concat(F.lit("d"), F.col("entry_id").cast("string"))).select(formats.wig_bar().alias("line"))
+
+
+@query()
+def g6_resolved_repeats(spark, sf_dir):
+    own = dna(spark, sf_dir)
+    edges = kmers.count(kmers.words(own, 8)).select(F.substring("kmer", 1, 7).alias("src"), F.substring("kmer", 2, 7).alias("dst"), F.substring("kmer", 8, 1).alias("label"), "n")
+    return repair.resolved_by_reads(edges, own)
+
+
+@query("""
+k as (select substr(seq, i + 1, 10) as kmer, count(*) as n from (select substr(seq, 1, 32) || '$' || substr(seq, 33) as seq from dna), unnest(range(0, 56)) t(i) group by 1),
+p as (select unnest(string_split(kmer, '$')) as piece, n from k)
+select left(piece, 6) as src, right(piece, 6) as dst, substr(piece, 7) as label, sum(n)::bigint as n from p where length(piece) > 6 group by all
+""")
+def g17_terminators_removed(spark, sf_dir):
+    own = dna(spark, sf_dir).select("entry_id", F.expr("substring(seq, 1, 32) || '$' || substring(seq, 33)").alias("seq"))
+    edges = own.select(F.explode(F.sequence(F.lit(1), F.lit(56))).alias("i"), "seq").select(F.expr("substring(seq, i, 10)").alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    return repair.without_terminators(edges.select(F.substring("kmer", 1, 6).alias("src"), F.substring("kmer", 5, 6).alias("dst"), F.expr("substring(kmer, 7)").alias("label"), "n"), 6)
+
+
+@query("""
+o as (select o_custkey, o_orderkey, lead(o_orderkey) over (partition by o_custkey order by o_orderkey) as nx from orders),
+e as (select min(o_orderkey) as first, max(o_orderkey) as last from o group by o_custkey having count(nx) > 0)
+select last as src, nx as dst, '$' || nx as label from (select *, lead(first) over (order by first) as nx from e) where nx is not null
+""")
+def g18_joined_components(spark, sf_dir):
+    from pyspark.sql import Window
+
+    o = table(spark, sf_dir, "orders").withColumn("nx", F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).where("nx is not null")
+    return repair.joined_components(o.select(F.col("o_orderkey").alias("src"), F.col("nx").alias("dst"), F.lit(1).cast("bigint").alias("n")))
+
+
 # --- Sources, formats, streams ----------------------------------------------
 
 

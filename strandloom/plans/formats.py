@@ -74,3 +74,13 @@ def peptide_line(peptide: str = "text", left: str = "left_context", right: str =
 def wig(start: str = "start", span: str = "len", value: str = "n") -> Column:
     """A variableStep line."""
     return F.concat(F.lit("variableStep span="), F.col(span).cast("string"), F.lit("\n"), (F.col(start) + 1).cast("string"), F.lit(" "), F.col(value).cast("string"))
+
+
+def wig_header(mer: int) -> str:
+    """The first line of a track of counts of ``mer``-letter words."""
+    return f"track type=wiggle_0 name={mer}-mer-cnt priority=10 graphType=bar autoScale=off viewLimits=1:20"
+
+
+def wig_bar(name: str = "name", start: str = "start", stop: str = "stop", value: str = "value") -> Column:
+    """A line of such a track: name, start, stop, value."""
+    return F.concat_ws(" ", name, F.col(start).cast("string"), F.col(stop).cast("string"), F.col(value).cast("string"))
