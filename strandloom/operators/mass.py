@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from .kmers import words
+from .kmers import chunks
 
 WATER = {"mono": 18.01056, "average": 18.0153}  # fixed values
 
@@ -69,12 +74,42 @@ def near_relative(queries: DataFrame, index: DataFrame, share: float) -> DataFra
     return asked.join(kept, "bin").where(F.abs(F.col("mw") - F.col("mass")) <= F.col("mw") * share).drop("bin")
 
 
+#: Masses are first compared as whole multiples of this.
+UNIT = 1e-6
+
+
+def _stretches(pieces: DataFrame, low: float, high: float, most: int, table: dict[str, float]) -> DataFrame:
+    """entry_id, start, length, piece of every stretch of known letters whose mass in units, each letter's rounded, is in the range widened by a unit a letter: differences of running sums over an Arrow batch."""
+    weight, unknown = np.zeros(256, np.int64), np.ones(256, np.int64)
+    for letter, value in table.items():
+        weight[ord(letter)], unknown[ord(letter)] = round(value / UNIT), 0
+    least, greatest = math.floor(low / UNIT) - most, math.ceil(high / UNIT) + most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("piece").to_pylist()
+            text, sizes = "".join(texts), np.fromiter(map(len, texts), np.int64, len(texts))
+            codes = np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 255)
+            begins = np.cumsum(sizes) - sizes
+            row = np.repeat(np.arange(len(texts)), sizes - most + 1)
+            inner = np.arange(len(row)) - np.repeat(np.cumsum(sizes - most + 1) - (sizes - most + 1), sizes - most + 1)
+            first = begins[row] + inner
+            sums, strange = (np.concatenate(([0], np.cumsum(x[codes]))) for x in (weight, unknown))
+            start = np.asarray(batch.column("base").to_numpy(zero_copy_only=False))[row] + inner
+            for n in range(1, most + 1):
+                total = sums[first + n] - sums[first]
+                at = np.flatnonzero((strange[first + n] == strange[first]) & (total >= least) & (total <= greatest))
+                if len(at):
+                    own = [text[i : i + n] for i in first[at].tolist()]
+                    yield pa.RecordBatch.from_arrays([batch.column("entry_id").take(pa.array(row[at])), pa.array(start[at].astype(np.int32)), pa.array(np.full(len(at), n, np.int32)), pa.array(own, pa.string())], names=["entry_id", "start", "length", "piece"])
+
+    return pieces.select("entry_id", "base", "piece").mapInArrow(run, f"entry_id {dict(pieces.dtypes)['entry_id']}, start int, length int, piece string")
+
+
 def substring_masses(proteins: DataFrame, low: float, high: float, table: dict[str, float] | None = None) -> DataFrame:
     """entry_id, start, length, mass of every stretch with a mass in [low, high] and at most high / 50 letters."""
     table = table or S.MONO
     most = int(high / 50)
     padded = proteins.select("entry_id", F.concat("seq", F.lit("$" * (most - 1))).alias("seq"))
-    rows = words(padded, most).select("entry_id", F.col("pos").alias("start"), F.rtrim(F.col("kmer"), F.lit("$")).alias("rest")).where("rest != ''")
-    rows = rows.select("entry_id", "start", "rest", F.explode(F.sequence(F.lit(1), F.length("rest"))).alias("length"))
-    cut = rows.select("entry_id", "start", "length", F.expr("substring(rest, 1, length)").alias("piece"))
-    return cut.withColumn("mass", S.residue_mass("piece", table)).where(F.col("mass").between(low, high)).drop("piece")
+    found = _stretches(chunks(padded, most), low, high, most, table)
+    return found.withColumn("mass", S.residue_mass("piece", table)).where(F.col("mass").between(low, high)).drop("piece")
