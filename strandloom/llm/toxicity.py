@@ -157,10 +157,10 @@ class Model:
         text = (text or "").lower()
         sums, stems, at = [0.0] * len(EVENTS), 0, 0
         while found := self.trigger.search(text, at):
-            start = max((text.rfind(c, at, found.start()) for c in ".!?;\n"), default=-1) + 1
+            start = max(at, *(text.rfind(c, at, found.start()) + 1 for c in ".!?;\n"))
             stop = _CLAUSE.search(text, found.end())
             at = stop.end() if stop else len(text)
-            tokens = _TOKEN.findall(text, max(start, 0), at)
+            tokens = _TOKEN.findall(text, start, at)
             made = self.machine("".join(map(self.symbol, tokens)))
             for token, symbol in zip(tokens, made, strict=True):
                 if symbol in "AB" and token not in self.insults:

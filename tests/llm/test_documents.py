@@ -1,6 +1,7 @@
 """The document operators against brute force and on edge cases."""
 
 import hashlib
+import math
 import re
 import struct
 
@@ -284,6 +285,15 @@ def test_toxicity_grammar():
     assert read("i will kill time") == ""
 
 
+def test_toxicity_of_clauses_in_a_row():
+    model = toxicity.Model()
+    counts = lambda text: [round(math.expm1(x)) for x in model.features(text)[:5]]
+    clauses = ["he said kill.", "you idiot.", '"what a fool!', "they are scum;", "i will kill you\n", "not an idiot"]
+    for n in range(1, len(clauses) + 1):
+        assert counts(" ".join(clauses[:n])) == [sum(x) for x in zip(*map(counts, clauses[:n]), strict=True)]
+    assert counts("he said kill. you idiot.") == [1, 1, 0, 1, 0]
+
+
 def test_decontamination(spark, docs, empty):
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, benchmark).collect()}
