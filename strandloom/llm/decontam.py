@@ -12,8 +12,9 @@ threshold is verified: the shares of the question's and of the answer's
 five-word shingles that occur in the passage. An item's answer is its last
 sentence if there are two or more, else it has only a question.
 
-The items are read in shards of at most ``SHARD`` items, one pass over the
-documents each, so what is sent to the executors is bounded. Null or empty
+The items are read in shards of about ``SHARD`` items, one pass over the
+documents each, so what is sent to the executors is bounded. Numbers of items by term, the mean and the
+greatest length are those of the whole benchmark, so a score does not depend on the shard. Null or empty
 texts and items without a word match nothing; equal items each get their row;
 empty tables give an empty result; other columns are ignored.
 """
@@ -32,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from .common import arrow_ddl, filter_rows
 
 K1, B, THRESHOLD, OVERLAP, WORDS = 1.2, 0.75, 0.5, 0.8, 5
@@ -39,6 +41,7 @@ SHARD, BLOCK = 2_000, 4
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
+TERMS = pa.schema([("shard", pa.int64()), ("term", pa.string()), ("length", pa.int64())])
 
 
 def words(text: str | None) -> list[str]:
@@ -60,15 +63,17 @@ def question_and_answer(text: str | None) -> tuple[list[str], list[str]]:
 
 
 class BlockMaxIndex:
-    def __init__(self, items: list[tuple[int, str | None]], k1: float = K1, b: float = B, block: int = BLOCK):
+    """Of some items. whole: number of items, sum and greatest of their lengths, items by term, if the benchmark has more than these."""
+
+    def __init__(self, items: list[tuple[int, str | None]], k1: float = K1, b: float = B, block: int = BLOCK, whole: tuple[int, int, int, dict[str, int]] | None = None):
         self.items = sorted(((i, *question_and_answer(t)) for i, t in items if i is not None and words(t)), key=lambda x: (len(x[1]) + len(x[2]), x))
         bags = [Counter(q + a) for _, q, a in self.items]
-        n, lengths = len(bags), [sum(x.values()) for x in bags]
-        mean = sum(lengths) / max(n, 1)
-        self.step = max(48, max(lengths, default=0))
-        df = Counter(t for x in bags for t in x)
-        self.terms = {t: k for k, t in enumerate(sorted(df))}
-        self.n_blocks = -(-n // block)
+        lengths = [sum(x.values()) for x in bags]
+        n, total, longest, df = whole or (len(bags), sum(lengths), max(lengths, default=0), Counter(t for x in bags for t in x))
+        mean = total / max(n, 1)
+        self.step = max(48, longest)
+        self.terms = {t: k for k, t in enumerate(sorted({t for x in bags for t in x}))}
+        self.n_blocks = -(-len(bags) // block)
         self.block_max = np.zeros((len(self.terms), self.n_blocks), dtype=np.float32)
         self.postings: dict[tuple[int, int], list[tuple[int, float]]] = defaultdict(list)
         for k, bag in enumerate(bags):
@@ -128,11 +133,29 @@ class BlockMaxIndex:
         return len(wanted & (found if n == WORDS else shingles_of(ids.tolist(), n))) / len(wanted)
 
 
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different terms of each item, and its length with the first of them."""
+    for batch in batches:
+        rows = []
+        for shard, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            bag = Counter(x for part in question_and_answer(text) for x in part)
+            rows += [(shard, t, 0 if k else sum(bag.values())) for k, t in enumerate(bag)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(TERMS.types)], schema=TERMS)
+
+
 def _shards(benchmark: DataFrame) -> Iterator[BlockMaxIndex]:
     items = benchmark.select("item_id", "text")
     n = -(-max(items.count(), 1) // SHARD)
+    of = F.pmod(F.xxhash64("item_id"), F.lit(n))
+    whole = None
+    if n > 1:
+        terms = items.where("item_id is not null").select(of.alias("shard"), "text").mapInArrow(_terms, arrow_ddl(TERMS))
+        firsts = F.col("length") > 0
+        by_term = cut(terms.groupBy("term").agg(F.count("*").alias("df"), F.collect_set("shard").alias("shards"), F.count_if(firsts).alias("n"), F.sum("length").alias("total"), F.max("length").alias("longest")))
+        whole = by_term.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.max("longest"), F.lit(0))).first()
     for shard in range(n):
-        yield BlockMaxIndex([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == shard).orderBy("item_id", "text").collect()])
+        own = whole and (*whole, dict(by_term.where(F.array_contains("shards", F.lit(shard).cast("bigint"))).select("term", "df").collect()))
+        yield BlockMaxIndex([tuple(r) for r in items.where(of == shard).orderBy("item_id", "text").collect()], whole=own)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:

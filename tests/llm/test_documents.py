@@ -310,3 +310,16 @@ def test_decontamination(spark, docs, empty):
     assert decontam.contaminated(empty, benchmark).collect() == [] and decontam.contaminated(docs, benchmark.limit(0)).collect() == []
     odd = benchmark.selectExpr("item_id", "cast(null as string) as text").limit(2)
     assert decontam.contaminated(docs, odd).collect() == []
+
+
+def test_decontamination_does_not_depend_on_shards(spark, monkeypatch):
+    texts = ["The red fox runs over the old stone bridge at noon. It was red.", "Which river flows past the old stone bridge? The long one.", "Name the metal that melts at noon in the hot sun of June.", "Who wrote the long letter to the king about the red fox and the hens?", "Short old item of five.", "The metal of the king was sold by the river. At noon."]
+    benchmark = spark.createDataFrame([*enumerate(texts), (None, "the null item"), (9, None), (10, "...")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Some words before. " * 30 + texts[0] + " And after. " * 9 + texts[3]), (2, " ".join(texts)), (3, "the old bridge")], "doc_id long, text string")
+    found = lambda: sorted(map(tuple, decontam.contaminated(docs, benchmark).collect()))
+    whole = found()
+    assert len(whole) == 8
+    for size in (1, 2, 4):
+        monkeypatch.setattr(decontam, "SHARD", size)
+        assert found() == whole
+    assert [r.doc_id for r in decontam.clean(docs, benchmark).collect()] == [3]
