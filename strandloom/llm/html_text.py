@@ -2,7 +2,8 @@
 
 A page is parsed to a tree (raw text of scripts, implied end tags, unclosed elements, broken
 markup). Scripts, styles, forms, menus and whatever is named as boilerplate by tag, class, id or role
-are left out first. Every remaining node has characters C, tags T, link characters LC and
+are left out first; a class, id or role names it as a whole or by its first or last word (not after has-, with-, no- and the like),
+and never a subtree with the largest article or main element or, where there is none, with most of the body's text. Every remaining node has characters C, tags T, link characters LC and
 link tags LT of its subtree, zero divisors read as one, and the density
 
     C/T * log(C/LC * T/LT) / log(ln(C/(C - LC) * LC + LCbody/Cbody * C + e))
@@ -35,6 +36,8 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "d
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 LEFT_OUT = {"head", "script", "style", "noscript", "template", "nav", "footer", "aside", "form", "iframe", "button", "select", "option", "textarea", "input", "svg", "canvas", "object", "audio", "video", "menu", "dialog", "title", "xmp"}
 _NAMES = re.compile(r"^(?:ad|ads|adv|advert|adverts|advertisement|adsense|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|sidebar|side|aside|footer|header|masthead|topbar|toolbar|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|comment|comments|commentlist|disqus|reply|replies|respond|discussion|widget|pagination|pager|copyright|legal|complementary|contentinfo|search|form|disclaimer|skip|tags|hidden)$")
+#: Before such a word a name says what an element has or lacks, not what it is.
+_ABOUT = {"has", "have", "with", "without", "no", "not", "non", "is", "show", "hide", "enable", "disable", "use", "sans"}
 _SCOPE = {"article", "main"}
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -42,10 +45,10 @@ _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "out")
+    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "out", "named")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool):
-        self.tag, self.parent, self.items, self.out = tag, parent, [], out
+    def __init__(self, tag: str, parent: Node | None, out: bool, named: bool = False):
+        self.tag, self.parent, self.items, self.out, self.named = tag, parent, [], out, named
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -65,20 +68,52 @@ def _tag_end(html: str, at: int) -> int:
         at = close + 1
 
 
-def _boilerplate(tag: str, attributes: str, in_scope: bool) -> bool:
+def _boilerplate(tag: str, attributes: str, in_scope: bool) -> tuple[bool, bool]:
+    """Whether it is left out, and whether only for its class, id or role."""
     if tag in LEFT_OUT or tag == "header" and not in_scope:
-        return True
+        return True, False
+    named = False
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return False, False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
-            words = [w for part in value.split() for w in (part.lower(), *_SPLIT.split(part[:1].lower() + part[1:]))]
-            if any(_NAMES.match(w.lower()) for w in words if w):
-                return not (in_scope and any(w in ("header", "tags", "search") for w in words) and tag in ("h1", "h2", "h3", "span"))
-    return False
+            return True, False
+        if not named and name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
+            words = [w for part in value.split() for w in _heads(part)]
+            if any(map(_NAMES.match, words)):
+                named = not (in_scope and any(w in ("header", "tags", "search") for w in words) and tag in ("h1", "h2", "h3", "span"))
+    return named, named
+
+
+def _heads(name: str) -> set[str]:
+    """The whole name, its first and its last word; the whole only where it says what an element has or lacks."""
+    words = [w.lower() for w in _SPLIT.split(name[:1].lower() + name[1:]) if w]
+    return {name.lower(), *(() if not words or _ABOUT.intersection(words[:-1]) else (words[0], words[-1]))}
+
+
+def _spared(root: Node) -> None:
+    """Takes back what is left out by name but holds the largest article or main element or, if no such element has text, most of the body's text."""
+    nodes, sizes = [], {}
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        nodes.append(node)
+        stack.extend(x for x in node.items if isinstance(x, Node) and (x.named or not x.out))
+    if not any(x.named for x in nodes):
+        return
+    for node in reversed(nodes):
+        sizes[node] = sizes.get(node, 0) + sum(len(" ".join(x.split())) for x in node.items if isinstance(x, str))
+        if node.parent is not None:
+            sizes[node.parent] = sizes.get(node.parent, 0) + sizes[node]
+    body = next((x for x in nodes if x.tag == "body"), root)
+    up, held = max((x for x in nodes if x.tag in _SCOPE and sizes[x]), key=sizes.get, default=None), set()
+    while up is not None:
+        held.add(up)
+        up = up.parent
+    for node in nodes:
+        if node.named and (node in held if held else 2 * sizes[node] > sizes[body]):
+            node.out = node.named = False
 
 
 def parse(html: str) -> Node:
@@ -133,7 +168,7 @@ def parse(html: str) -> Node:
         scope, up = False, here
         while up is not root and not scope:
             scope, up = up.tag in _SCOPE, up.parent
-        node = Node(tag, here, here.out or _boilerplate(tag, attributes, scope))
+        node = Node(tag, here, *_boilerplate(tag, attributes, scope))
         here.items.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
@@ -142,6 +177,7 @@ def parse(html: str) -> Node:
             at = _tag_end(html, stop + 2) if end else n
         elif tag not in VOID and not attributes.endswith("/"):
             here = node
+    _spared(root)
     return root
 
 

@@ -24,6 +24,18 @@ def test_extract():
     assert html_text.extract("<div>" * 3000 + "deep") == "deep"
 
 
+def test_names_of_wrappers():
+    story = "<p>" + "A sentence of the story, with words enough. " * 4 + "</p><p>The end of it.</p>"
+    want = html_text.extract(f"<body><div>{story}</div></body>")
+    assert want.endswith("The end of it.")
+    for name in ("content has-sidebar", "post with-comments", "no-sidebar", "hasSidebar", "page-header-image", "widget", "sidebar-right"):
+        assert html_text.extract(f"<body><div class='{name}'>{story}</div></body>") == want
+    assert html_text.extract(f"<body><div class='content-sidebar'><article>{story}</article></div><div class='related'>{'<p>Read this one too, it is very good.</p>' * 20}</div></body>") == want
+    long = f"<div>{story * 3}</div>"
+    for name in ("sidebar", "sidebar-left", "site-footer", "comments-area", "ad"):
+        assert html_text.extract(f"<body>{long}<div class='{name}'>{story}</div></body>") == html_text.extract(f"<body>{long}</body>")
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE, "x"), (2, None, None, "y"), (1, "u", PAGE, "x"), (3, "u", "", "z")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
