@@ -340,6 +340,13 @@ def j13_mutation_cost(spark, sf_dir):
     return w.withColumn("cost", S.mutation_cost(F.col("peptide"), F.lit("THEN")))
 
 
+@query()
+def j13_mutation_cost_whole(spark, sf_dir):
+    """Every different window, whatever it begins with; tested by brute force."""
+    w = kmers.words(letters(spark, sf_dir), 4).select(F.col("kmer").alias("peptide")).distinct()
+    return w.withColumn("cost", S.mutation_cost(F.col("peptide"), F.lit("THEN")))
+
+
 @query(f"""
 frames as (select entry_id, f, length(seq) as n, case when f >= 3 then reverse(translate(seq, 'ACGT', 'TGCA')) else seq end as s from dna, unnest(range(0, 6)) t(f)),
 prot as (select entry_id, f, n, array_to_string(list_transform(range(0, (length(s) - f % 3) // 3), lambda i: coalesce({_CODONS}[substr(s, i * 3 + f % 3 + 1, 3)], 'X')), '') as p from frames),
@@ -510,6 +517,14 @@ def a8_peptide_multiplicity(spark, sf_dir):
     return mass.multiplicity(q, w.withColumn("mass", S.residue_mass("pep")), 0.1)
 
 
+@query()
+def a8_peptide_multiplicity_digest(spark, sf_dir):
+    """Over the different tryptic peptides of all letters; tested by brute force."""
+    q = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query"), F.col("p_retailprice").alias("mw"))
+    w = mass.digest(letters(spark, sf_dir)).select(F.col("peptide").alias("pep")).distinct()
+    return mass.multiplicity(q, w.withColumn("mass", S.residue_mass("pep")), 0.1)
+
+
 @query("""
 q as (select c_custkey as query, abs(c_acctbal) + 100 as mw from customer), x as (select distinct o_totalprice / 20 as mass from orders)
 select query, mw, mass from q join x on abs(mw - mass) <= 0.5e0
