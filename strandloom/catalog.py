@@ -503,6 +503,24 @@ def j23_first_at_least(spark, sf_dir):
     return runs.first_at_least(*_asof(spark, sf_dir), "k", "place", "key")
 
 
+def _asof_whole(spark, sf_dir):
+    """Orders as places in their supplier's lineitems, and every part of a lineitem as a key."""
+    own = table(spark, sf_dir, "lineitem")
+    return own.select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("place")), own.select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("key"))
+
+
+@query()
+def j22_last_at_most_whole(spark, sf_dir):
+    """Keys are a whole table; tested by brute force."""
+    return runs.last_at_most(*_asof_whole(spark, sf_dir), "k", "place", "key")
+
+
+@query()
+def j23_first_at_least_whole(spark, sf_dir):
+    """Keys are a whole table; tested by brute force."""
+    return runs.first_at_least(*_asof_whole(spark, sf_dir), "k", "place", "key")
+
+
 # --- Masses ---------------------------------------------------------------------
 
 
@@ -586,6 +604,18 @@ def j20_containment(spark, sf_dir):
     return uniq.contained(_short(spark, sf_dir))
 
 
+@query()
+def j20_containment_documents(spark, sf_dir):
+    """Over the letters of all documents; tested by brute force."""
+    return uniq.contained(letters(spark, sf_dir))
+
+
+@query()
+def t4_non_redundant_with_containment(spark, sf_dir):
+    """Over the letters of all documents; tested by brute force."""
+    return uniq.non_redundant_with_containment(letters(spark, sf_dir).withColumn("defline", F.concat(F.lit("d"), F.col("entry_id").cast("string"))))
+
+
 @query(f"{_words_sql('dna', 9)}, al as (select kmer from w union all select reverse(translate(kmer, 'ACGT', 'TGCA')) from w), o as (select kmer from al group by kmer having count(*) = 1) select entry_id, pos, kmer from w where kmer in (select kmer from o)")
 def q18_unique_words(spark, sf_dir):
     return uniq.unique_words(dna(spark, sf_dir), 9)

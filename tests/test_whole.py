@@ -7,6 +7,8 @@ from strandloom.functions import seq as S
 
 TEXTS = {1: "MTHENKLRPAAK thens", 2: "then", 3: None, 4: "", 5: "Mtheq, WAYKPRGGGGGGGGGGGGGG! K", 6: "Wayk", 7: "ATHENKLRPAAKTHENSZ", 8: "WAYK"}
 
+LINES = [(3, 1, 4), (4, 1, 9), (4, 1, 9), (1, 1, 5), (10, 1, 2), (7, 2, 8), (9, 2, 8), (8, 2, 20), (5, 3, 5)]
+
 
 def letters(text):
     return "".join(c for c in (text or "").upper() if "A" <= c <= "Z")
@@ -18,6 +20,7 @@ def sf(spark, tmp_path_factory):
     spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
     masses = [S.MONO["W"] + S.MONO["A"] + S.MONO["Y"] + S.MONO["K"], 14 * S.MONO["G"] + S.MONO["K"], 1.0]
     spark.createDataFrame(list(enumerate(masses)), "p_partkey long, p_retailprice double").write.parquet(f"{at}/part.parquet")
+    spark.createDataFrame(LINES, "l_orderkey long, l_suppkey long, l_partkey long").write.parquet(f"{at}/lineitem.parquet")
     return at
 
 
@@ -46,3 +49,19 @@ def test_j13_whole(spark, sf):
     got = {r.peptide: r.cost for r in catalog.QUERIES["j13_mutation_cost_whole"](spark, sf).collect()}
     assert got == {w: sum(0 if a == b else distance.get(a + b, 3) for a, b in zip(w, "THEN", strict=True)) for w in windows}
     assert got["THEN"] == 0 and any(not w.startswith("TH") for w in got)
+
+
+def test_asof_whole(spark, sf):
+    for name, of, best in (("j22_last_at_most_whole", lambda key, place: key <= place, max), ("j23_first_at_least_whole", lambda key, place: key >= place, min)):
+        want = [(k, place, best((key for _, j, key in LINES if j == k and of(key, place)), default=None)) for place, k, _ in LINES]
+        assert sorted(map(repr, want)) == sorted(repr((r.k, r.place, r.found)) for r in catalog.QUERIES[name](spark, sf).collect())
+
+
+def test_containment_of_documents(spark, sf):
+    own = {i: letters(t) for i, t in TEXTS.items()}
+    want = {(a, b) for a, s in own.items() for b, w in own.items() if s and len(s) < len(w) and s in w}
+    assert {(r.part, r.whole) for r in catalog.QUERIES["j20_containment_documents"](spark, sf).collect()} == want and len(want) >= 4
+    seqs = [*own.values()]
+    top = {s for s in seqs if s and not any(len(s) < len(w) and s in w for w in seqs)}
+    got = {r.seq: r.n for r in catalog.QUERIES["t4_non_redundant_with_containment"](spark, sf).collect()}
+    assert {s: n for s, n in got.items() if s} == {s: sum(bool(x) and x in s for x in seqs) for s in top}
