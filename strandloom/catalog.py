@@ -411,6 +411,34 @@ def q1_primer_match_counts(spark, sf_dir):
     return strands.join(counted, "pattern_id").select("base_id", "strand", "pattern", "n")
 
 
+@query()
+def q1_primer_match_counts_whole(spark, sf_dir):
+    """Exact hits of every whole example primer in the whole texts, by strand; primers without a hit count 0. Tested by brute force."""
+    strands = match.both_strands(files.patterns_of(spark, PRIMERS))
+    counted = match.counts(match.exact(text_dna(spark, sf_dir), strands), strands)
+    return strands.join(counted, "pattern_id").select("base_id", "strand", "pattern", "n")
+
+
+def _whole_amplicons(spark, sf_dir):
+    """Pairs of the whole patterns, of up to 2,000 letters as in the original."""
+    hits = match.exact(text_dna(spark, sf_dir), match.both_strands(patterns(spark, sf_dir)))
+    roles = spark.createDataFrame(pairs.roles(25), "pair_id bigint, left_id bigint, right_id bigint")
+    return pairs.amplicons(hits, roles, 0, 2000)
+
+
+@query()
+def j15_primer_pairs_whole(spark, sf_dir):
+    """Tested by brute force."""
+    return _whole_amplicons(spark, sf_dir)
+
+
+@query()
+def q2_pcr_match_whole(spark, sf_dir):
+    """All amplicons with their letters and their deviance from the expected size, none left out by it."""
+    sized = _whole_amplicons(spark, sf_dir).withColumn("deviance", S.deviance("length", F.lit(20), F.lit(30)))
+    return pairs.with_sequence(sized, text_dna(spark, sf_dir))
+
+
 @query(f"{_EXACT} select pattern_id, count(*) as n, count(*) > 0 as found, min(entry_id * 1000000 + start_pos) as first from hits group by all")
 def j25_point_queries(spark, sf_dir):
     h = match.exact(text_dna(spark, sf_dir), patterns(spark, sf_dir))
@@ -821,6 +849,13 @@ def r3_pair_lines(spark, sf_dir):
     return a.select(formats.compile_format("%f %>s..%<s %l%!l|", formats.PAIR | {"!": "length"}, sides=True).alias("line"))
 
 
+@query()
+def r3_pair_lines_whole(spark, sf_dir):
+    """Lines of the pairs of whole patterns."""
+    a = _whole_amplicons(spark, sf_dir).select("entry_id", "length", F.col("start_pos").alias("left_start"), F.col("right_start").alias("right_start"))
+    return a.select(formats.compile_format("%f %>s..%<s %l%!l|", formats.PAIR | {"!": "length"}, sides=True).alias("line"))
+
+
 @query(f"{_RUNS.format(source='text_dna')} select entry_id || ' ' || symbol || ' ' || start || '+' || len as line from runs where len >= 5")
 def r5_run_lines(spark, sf_dir):
     return runs.runs(text_dna(spark, sf_dir), 5).select(formats.compile_format("%f %t %s+%l", formats.RUN).alias("line"))

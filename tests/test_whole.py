@@ -21,9 +21,29 @@ def sf(spark, tmp_path_factory):
     masses = [S.MONO["W"] + S.MONO["A"] + S.MONO["Y"] + S.MONO["K"], 14 * S.MONO["G"] + S.MONO["K"], 1.0]
     spark.createDataFrame(list(enumerate(masses)), "p_partkey long, p_retailprice double").write.parquet(f"{at}/part.parquet")
     spark.createDataFrame(LINES, "l_orderkey long, l_suppkey long, l_partkey long").write.parquet(f"{at}/lineitem.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/nation.parquet").write.parquet(f"{at}/nation.parquet")
     return at
 
 
+@pytest.fixture(scope="module")
+def planted(spark, sf, tmp_path_factory):
+    """Documents whose letters hold whole primers and patterns; the same tables otherwise. The letters of each by id."""
+    at = str(tmp_path_factory.mktemp("planted"))
+    primers, p = catalog.PRIMERS.split(), {r.pattern_id: r.pattern for r in catalog.patterns(spark, sf).collect()}
+    texts = {1: ("AC" * 30).join(primers[:5]), 2: back(primers[1]) + "T" * 50 + primers[0][:-1], 3: p[1] + "A" * 90 + p[2] + "G" * 9 + back(p[2]) + "C" * 1500 + back(p[1]), 4: p[4] + "A" * 2000 + p[3] + p[4], 5: ""}
+    spark.createDataFrame([(i, t.translate(str.maketrans("ACGT", "ABCD"))) for i, t in texts.items()], "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    spark.read.parquet(f"{sf}/nation.parquet").write.parquet(f"{at}/nation.parquet")
+    return at, texts, p
+
+
+def back(seq):
+    return seq[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
+def places(seq, word):
+    return [i for i in range(len(seq) - len(word) + 1) if seq.startswith(word, i)]
+
+
 def digest(seq, missed=1):
     parts, cut = [], 0
     for i in range(1, len(seq) + 1):
@@ -65,3 +85,20 @@ def test_containment_of_documents(spark, sf):
     top = {s for s in seqs if s and not any(len(s) < len(w) and s in w for w in seqs)}
     got = {r.seq: r.n for r in catalog.QUERIES["t4_non_redundant_with_containment"](spark, sf).collect()}
     assert {s: n for s, n in got.items() if s} == {s: sum(bool(x) and x in s for x in seqs) for s in top}
+
+
+def test_whole_primers(spark, planted):
+    at, texts, _ = planted
+    want = {(i, strand): (w, sum(len(places(t, w)) for t in texts.values())) for i, p in enumerate(catalog.PRIMERS.split(), 1) for strand, w in (("F", p), ("R", back(p)))}
+    got = {(r.base_id, r.strand): (r.pattern, r.n) for r in catalog.QUERIES["q1_primer_match_counts_whole"](spark, at).collect()}
+    assert got == want and sum(n for _, n in want.values()) >= 6 and any(n == 0 for _, n in want.values())
+
+
+def test_whole_pairs(spark, planted):
+    at, texts, p = planted
+    both = p | {i + 25: back(x) for i, x in p.items()}
+    roles = [(k, a, b) for k in range(1, 13) for a, b in ((2 * k - 1, 2 * k), (2 * k + 25, 2 * k + 24))]
+    want = [(e, k, i, j + len(both[b]), t[i : j + len(both[b])]) for e, t in texts.items() for k, a, b in roles for i in places(t, both[a]) for j in places(t, both[b]) if i <= j and j + len(both[b]) - i <= 2000]
+    got = [(r.entry_id, r.pair_id, r.start_pos, r.end_pos, r.amplicon) for r in catalog.QUERIES["q2_pcr_match_whole"](spark, at).collect()]
+    assert sorted(got) == sorted(want) and len({len(x[-1]) for x in want}) >= 2
+    assert catalog.QUERIES["j15_primer_pairs_whole"](spark, at).count() == catalog.QUERIES["r3_pair_lines_whole"](spark, at).count() == len(want)
