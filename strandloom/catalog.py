@@ -289,40 +289,40 @@ _SUBS = "tries as (select entry_id, pattern_id, i as start_pos, pattern, substr(
 
 
 @query(f"{_SUBS} select * from near")
-def j6_mismatches(spark, sf_dir):
-    return match.mismatches(dna(spark, sf_dir), patterns(spark, sf_dir), 2)
+def j6_mismatches(spark, sf_dir, source=dna):
+    return match.mismatches(source(spark, sf_dir), patterns(spark, sf_dir), 2)
 
 
 @query(f"{_SUBS} select near.* from near join dna using (entry_id) join patterns using (pattern_id) where substr(seq, start_pos + 1, 4) = substr(pattern, 1, 4) and substr(seq, end_pos, 1) = right(pattern, 1)")
-def j8_anchored_mismatches(spark, sf_dir):
-    return match.mismatches(dna(spark, sf_dir), patterns(spark, sf_dir), 2, left=4, right=1)
+def j8_anchored_mismatches(spark, sf_dir, source=dna):
+    return match.mismatches(source(spark, sf_dir), patterns(spark, sf_dir), 2, left=4, right=1)
 
 
 @query(f"{_SUBS} select distinct near.* from near join dna using (entry_id) join patterns using (pattern_id), unnest(range(0, length(pattern) - 3)) t(o) where substr(seq, start_pos + o + 1, 4) = substr(pattern, o + 1, 4)")
-def j10_seeded_mismatches(spark, sf_dir):
-    return match.mismatches(dna(spark, sf_dir), patterns(spark, sf_dir), 2, word=4)
+def j10_seeded_mismatches(spark, sf_dir, source=dna):
+    return match.mismatches(source(spark, sf_dir), patterns(spark, sf_dir), 2, word=4)
 
 
 _ENDS = "ends as (select entry_id, pattern_id, e as end_pos, min(levenshtein(substr(seq, e - l + 1, l), pattern))::bigint as edits from dna, patterns, unnest(range(1, length(seq) + 1)) t(e), unnest(range(length(pattern) - 1, length(pattern) + 2)) u(l) where l <= e group by all having min(levenshtein(substr(seq, e - l + 1, l), pattern)) <= 1)"
 
 
 @query(f"{_ENDS} select * from ends")
-def j7_edit_ends(spark, sf_dir):
-    return match.edit_ends(dna(spark, sf_dir), patterns(spark, sf_dir), 1)
+def j7_edit_ends(spark, sf_dir, source=dna):
+    return match.edit_ends(source(spark, sf_dir), patterns(spark, sf_dir), 1)
 
 
 _CLUSTERS = f"{_ENDS}, a as (select *, case when end_pos - lag(end_pos) over (partition by entry_id, pattern_id order by end_pos) <= 3 then 0 else 1 end as fresh from ends), c as (select *, sum(fresh) over (partition by entry_id, pattern_id order by end_pos) as cluster from a), cl as (select entry_id, pattern_id, min(end_pos) as first_end, max(end_pos) as last_end, min(edits) as edits from c group by entry_id, pattern_id, cluster)"
 
 
 @query(f"{_CLUSTERS} select * from cl")
-def w5_clustered_hits(spark, sf_dir):
-    return match.clusters(match.edit_ends(dna(spark, sf_dir), patterns(spark, sf_dir), 1), 1)
+def w5_clustered_hits(spark, sf_dir, source=dna):
+    return match.clusters(match.edit_ends(source(spark, sf_dir), patterns(spark, sf_dir), 1), 1)
 
 
 @query()
-def u1_alignments(spark, sf_dir):
+def u1_alignments(spark, sf_dir, source=dna):
     """Clustered hits with their alignment; tested against brute force and worked examples."""
-    own, pats = dna(spark, sf_dir), patterns(spark, sf_dir)
+    own, pats = source(spark, sf_dir), patterns(spark, sf_dir)
     hits = chooser.find(own, pats, k=1).join(own, "entry_id").join(pats, "pattern_id")
     return hits.select("entry_id", "pattern_id", align.aligned("seq", "pattern", "first_end", "last_end", 1).alias("a")).select("entry_id", "pattern_id", "a.start", "a.end", "a.edits", "a.text", "a.ops", F.col("a.pattern").alias("aligned"))
 
@@ -353,8 +353,8 @@ prot as (select entry_id, f, n, array_to_string(list_transform(range(0, (length(
 h as (select entry_id, f, n, i as aa from prot, unnest(range(0, length(p) - 1)) t(i) where substr(p, i + 1, 2) = 'LK')
 select entry_id, f::bigint as frame, aa as aa_start, (case when f >= 3 then n - (aa * 3 + f % 3) - 6 else aa * 3 + f % 3 end)::bigint as dna_start from h
 """)
-def j14_peptides_in_frames(spark, sf_dir):
-    own = dna(spark, sf_dir).select("entry_id", F.length("seq").alias("n"), "seq", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("frame"))
+def j14_peptides_in_frames(spark, sf_dir, source=dna):
+    own = source(spark, sf_dir).select("entry_id", F.length("seq").alias("n"), "seq", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("frame"))
     found = own.select(F.struct("entry_id", "frame", "n").alias("key"), S.translation("seq", F.col("frame")).alias("seq"))
     at = found.select("key", "seq", F.explode(S.positions("seq", 2)).alias("aa_start")).where("substring(seq, aa_start + 1, 2) = 'LK'")
     start, _ = S.codon_to_dna("aa_start", F.lit(2), "frame", "n")
@@ -394,9 +394,9 @@ def a3_capped_counts(spark, sf_dir):
 
 
 @query(f"{_SUBS} select p.pattern_id, count(*) filter (edits = 0) as n_0, count(*) filter (edits = 1) as n_1, count(*) filter (edits = 2) as n_2, count(edits) as n, false as capped from patterns p left join near using (pattern_id) group by all")
-def a1_counts_by_edits(spark, sf_dir):
+def a1_counts_by_edits(spark, sf_dir, source=dna):
     pats = patterns(spark, sf_dir)
-    return match.counts(match.mismatches(dna(spark, sf_dir), pats, 2), pats, 2)
+    return match.counts(match.mismatches(source(spark, sf_dir), pats, 2), pats, 2)
 
 
 _PRIMER_VALUES = ", ".join(f"({i}, '{p}')" for i, p in enumerate((x[:6] for x in PRIMERS.split()), 1))
@@ -645,20 +645,20 @@ def t4_non_redundant_with_containment(spark, sf_dir):
 
 
 @query(f"{_words_sql('dna', 9)}, al as (select kmer from w union all select reverse(translate(kmer, 'ACGT', 'TGCA')) from w), o as (select kmer from al group by kmer having count(*) = 1) select entry_id, pos, kmer from w where kmer in (select kmer from o)")
-def q18_unique_words(spark, sf_dir):
-    return uniq.unique_words(dna(spark, sf_dir), 9)
+def q18_unique_words(spark, sf_dir, source=dna):
+    return uniq.unique_words(source(spark, sf_dir), 9)
 
 
 @query(f"{_words_sql('dna', 12)} select a.entry_id, a.pos from w a where exists (select 1 from w b where b.kmer = a.kmer and (b.entry_id != a.entry_id or abs(b.pos - a.pos) >= 12))")
-def j19_matched_elsewhere(spark, sf_dir):
-    own = dna(spark, sf_dir)
+def j19_matched_elsewhere(spark, sf_dir, source=dna):
+    own = source(spark, sf_dir)
     return uniq.matched_elsewhere(own, own, 12, 0, same=True)
 
 
 @query(f"{_words_sql('dna', 8)}, p as (select distinct substr(pattern, 1, 8) as kmer from patterns) select entry_id, pos from w where exists (select 1 from p where hamming(p.kmer, w.kmer) <= 1)")
-def a16_inexact_words(spark, sf_dir):
+def a16_inexact_words(spark, sf_dir, source=dna):
     pats = patterns(spark, sf_dir).select(F.col("pattern_id").alias("entry_id"), F.substring("pattern", 1, 8).alias("seq"))
-    return uniq.matched_elsewhere(dna(spark, sf_dir), pats, 8, 1)
+    return uniq.matched_elsewhere(source(spark, sf_dir), pats, 8, 1)
 
 
 # --- Graphs ------------------------------------------------------------------------
@@ -667,39 +667,39 @@ _SPACES = "r as (select entry_id, i as pos, substr(seq, i + 1, 5) as kmer, case
 _GRAPH = f"{_SPACES}, st as (select entry_id, pos, kmer as src, lead(kmer) over (partition by entry_id order by pos) as dst, lead(pos) over (partition by entry_id order by pos) as nx from sp), ed as (select src, dst, substr(seq, pos + 6, nx - pos) as label, entry_id, pos from st join dna using (entry_id) where dst is not null), e as (select src, dst, label, count(*) as n, (min((entry_id, pos))) as f from ed group by src, dst, label)"
 
 
-def _spaces(spark, sf_dir):
-    return graph.x_spaces(dna(spark, sf_dir), 5)
+def _spaces(spark, sf_dir, source=dna):
+    return graph.x_spaces(source(spark, sf_dir), 5)
 
 
-def _word_graph(spark, sf_dir):
-    return graph.word_graph(_spaces(spark, sf_dir), dna(spark, sf_dir), 5)
+def _word_graph(spark, sf_dir, source=dna):
+    return graph.word_graph(_spaces(spark, sf_dir, source), source(spark, sf_dir), 5)
 
 
 @query(f"{_SPACES} select * from sp")
-def g1_x_spaces(spark, sf_dir):
-    return _spaces(spark, sf_dir)
+def g1_x_spaces(spark, sf_dir, source=dna):
+    return _spaces(spark, sf_dir, source)
 
 
 @query(f"{_GRAPH}, g as (select src, dst, label, count(*) as n, min(entry_id * 100 + pos) as fp from ed group by all) select src, dst, label, n, fp // 100 as first_entry, fp % 100 as first_pos from g")
-def g2_word_graph(spark, sf_dir):
-    return _word_graph(spark, sf_dir)
+def g2_word_graph(spark, sf_dir, source=dna):
+    return _word_graph(spark, sf_dir, source)
 
 
 @query(f"{_GRAPH}, x as (select src as node, 0 as i, n as o from e union all select dst, n, 0 from e) select node, sum(i)::bigint as n_in, sum(o)::bigint as n_out, (sum(o) - sum(i))::bigint as surplus from x group by node")
-def a14_degrees(spark, sf_dir):
-    return graph.degrees(_word_graph(spark, sf_dir))
+def a14_degrees(spark, sf_dir, source=dna):
+    return graph.degrees(_word_graph(spark, sf_dir, source))
 
 
 @query(f"""{_GRAPH}, x as (select src as node, 0 as i, n as o from e union all select dst, n, 0 from e), d as (select node, sum(i)::bigint as i, sum(o)::bigint as o from x group by node)
 select count(*) as n_nodes, count(*) filter (i = o) as n_balanced, count(*) filter (o > i) as n_surplus, count(*) filter (o < i) as n_deficit, sum(greatest(o - i, 0))::bigint as units, count(*) filter (i = 0) as n_sources, count(*) filter (o = 0) as n_sinks, count(*) filter (i = 1 and o = 1) as n_trivial, (select count(*) from e) as n_edges, (select sum(n)::bigint from e) as multiplicity from d
 """)
-def g5_graph_statistics(spark, sf_dir):
-    return graph.statistics(_word_graph(spark, sf_dir))
+def g5_graph_statistics(spark, sf_dir, source=dna):
+    return graph.statistics(_word_graph(spark, sf_dir, source))
 
 
 @query(f"{_GRAPH} select src, substr(label, 1, 1) as first, count(*) as n from e group by all having count(*) > 1")
-def g13_ambiguous_edges(spark, sf_dir):
-    return graph.ambiguous_edges(_word_graph(spark, sf_dir))
+def g13_ambiguous_edges(spark, sf_dir, source=dna):
+    return graph.ambiguous_edges(_word_graph(spark, sf_dir, source))
 
 
 @query(f"{_GRAPH} select src, dst, label, n from e where n > 1")
@@ -714,8 +714,8 @@ def g4_components(spark, sf_dir):
 
 
 @query(f"{_words_sql('dna', 6)}, e as (select kmer, count(*) as n from w group by kmer) select entry_id, pos, n from w join e using (kmer)")
-def g8_path_counts(spark, sf_dir):
-    own = dna(spark, sf_dir)
+def g8_path_counts(spark, sf_dir, source=dna):
+    own = source(spark, sf_dir)
     edges = kmers.count(kmers.words(own, 6)).select(F.substring("kmer", 1, 5).alias("src"), F.expr("substring(kmer, 6, 1)").alias("label"), "n")
     return graph.path_counts(own, edges, 5)
 
@@ -732,21 +732,21 @@ def g9_unitigs(spark, sf_dir):
 
 
 @query()
-def g7_balance(spark, sf_dir):
+def g7_balance(spark, sf_dir, source=dna):
     """Restart edges; that they balance the graph is tested."""
-    return graph.balance(graph.numbered_graph(_word_graph(spark, sf_dir)))
+    return graph.balance(graph.numbered_graph(_word_graph(spark, sf_dir, source)))
 
 
 @query()
-def g10_euler_tours(spark, sf_dir):
+def g10_euler_tours(spark, sf_dir, source=dna):
     """Tours; that each uses every edge once is tested."""
-    return graph.euler_tours(graph.numbered_graph(_word_graph(spark, sf_dir)))
+    return graph.euler_tours(graph.numbered_graph(_word_graph(spark, sf_dir, source)))
 
 
 @query()
-def g12_transport(spark, sf_dir):
+def g12_transport(spark, sf_dir, source=dna):
     """Cheapest ways from deficit to surplus nodes along jumpers; tested against all assignments."""
-    edges = graph.numbered_graph(_word_graph(spark, sf_dir))
+    edges = graph.numbered_graph(_word_graph(spark, sf_dir, source))
     d = graph.degrees(edges).join(graph.components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "node")
     nodes = edges.select(F.col("src").alias("node"), F.col("src_seq").alias("seq")).unionByName(edges.select(F.col("dst").alias("node"), F.col("dst_seq").alias("seq"))).distinct()
     own = d.join(nodes, "node")
@@ -756,8 +756,8 @@ def g12_transport(spark, sf_dir):
 
 
 @query(f"{_SPACES} select row_number() over (order by kmer) as id, kmer as seq from (select distinct kmer from sp)")
-def g16_numbered_nodes(spark, sf_dir):
-    return graph.numbered(_spaces(spark, sf_dir))
+def g16_numbered_nodes(spark, sf_dir, source=dna):
+    return graph.numbered(_spaces(spark, sf_dir, source))
 
 
 @query("n as (select n_nationkey::bigint as id, substr(n_name, 1, 1) as seq from nation), k as (select seq, min(id) as kept from n group by seq), ed as (select n_nationkey::bigint as src, (n_regionkey * 5)::bigint as dst, 'x' as label from nation) select distinct ks.kept as src, kd.kept as dst, label from ed join n a on a.id = src join k ks on ks.seq = a.seq join n b on b.id = dst join k kd on kd.seq = b.seq")
@@ -785,8 +785,8 @@ def g8_path_tracks(spark, sf_dir):
 
 
 @query()
-def g6_resolved_repeats(spark, sf_dir):
-    own = dna(spark, sf_dir)
+def g6_resolved_repeats(spark, sf_dir, source=dna):
+    own = source(spark, sf_dir)
     edges = kmers.count(kmers.words(own, 8)).select(F.substring("kmer", 1, 7).alias("src"), F.substring("kmer", 2, 7).alias("dst"), F.substring("kmer", 8, 1).alias("label"), "n")
     return repair.resolved_by_reads(edges, own)
 
@@ -889,3 +889,21 @@ def stream_exact_match(spark, sf_dir):
     entries = docs.select(F.col("doc_id").alias("entry_id"), F.translate(F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")), *_AZ).alias("seq"))
     per_entry.drain(per_entry.exact_hits(entries, patterns(spark, sf_dir)), f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out")
+
+
+# --- The same over whole texts ------------------------------------------------
+
+#: The SQL of these reads ``dna``; each is registered again, without SQL, over all letters of the texts.
+WHOLE = (j6_mismatches, j8_anchored_mismatches, j10_seeded_mismatches, j7_edit_ends, w5_clustered_hits, u1_alignments, a1_counts_by_edits, j14_peptides_in_frames, q18_unique_words, j19_matched_elsewhere, a16_inexact_words, g1_x_spaces, g2_word_graph, a14_degrees, g5_graph_statistics, g13_ambiguous_edges, g7_balance, g10_euler_tours, g12_transport, g16_numbered_nodes, g8_path_counts, g6_resolved_repeats)
+
+
+def _over_texts(f):
+    def run(spark, sf_dir):
+        return f(spark, sf_dir, text_dna)
+
+    run.__name__, run.__doc__ = f"{f.__name__}_whole", f"{f.__name__} over whole texts."
+    return run
+
+
+for _f in WHOLE:
+    query()(_over_texts(_f))

@@ -102,3 +102,24 @@ def test_whole_pairs(spark, planted):
     got = [(r.entry_id, r.pair_id, r.start_pos, r.end_pos, r.amplicon) for r in catalog.QUERIES["q2_pcr_match_whole"](spark, at).collect()]
     assert sorted(got) == sorted(want) and len({len(x[-1]) for x in want}) >= 2
     assert catalog.QUERIES["j15_primer_pairs_whole"](spark, at).count() == catalog.QUERIES["r3_pair_lines_whole"](spark, at).count() == len(want)
+
+
+def test_mismatches_in_whole_texts(spark, planted):
+    at, texts, p = planted
+    near = lambda w, t: sum(a != b for a, b in zip(w, t, strict=True))
+    want = {(e, i, at_, n) for e, t in texts.items() for i, w in p.items() for at_ in range(len(t) - len(w) + 1) if (n := near(w, t[at_ : at_ + len(w)])) <= 2}
+    rows = catalog.QUERIES["j6_mismatches_whole"](spark, at).collect()
+    assert {(r.entry_id, r.pattern_id, r.start_pos, r.edits) for r in rows} == want and len(rows) == len(want) >= 6
+    assert sum(r.n for r in catalog.QUERIES["a1_counts_by_edits_whole"](spark, at).collect()) == len(want)
+
+
+def test_unique_words_of_whole_texts(spark, planted):
+    at, texts, _ = planted
+    words = [(e, i, t[i : i + 9]) for e, t in texts.items() for i in range(len(t) - 8)]
+    seen = [x for *_, w in words for x in (w, back(w))]
+    want = {x for x in words if seen.count(x[2]) == 1}
+    assert {tuple(r) for r in catalog.QUERIES["q18_unique_words_whole"](spark, at).select("entry_id", "pos", "kmer").collect()} == want
+
+
+def test_all_reach_whole_texts():
+    assert len(catalog.WHOLE) == 22 and {f"{f.__name__}_whole" for f in catalog.WHOLE} <= set(catalog.QUERIES)
