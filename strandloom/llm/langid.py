@@ -9,7 +9,8 @@ matrix products. Predicted is the language of the highest output; its score is
 the softmax of the outputs, in 0..1.
 
 Learned from a bounded sample (``SAMPLE`` rows at most, lowest hash of the id first) of rows
-outside the held-out fold with a language and a letter in the text. Null texts
+outside the held-out fold with a language and a letter in the text; of rows that repeat a doc_id, one. Texts of any length
+are read whole; equal outputs go to the language that sorts first. Null texts
 and texts without a letter: ``und`` with score 0. If nothing can be
 learned from, every text is ``und``. Repeated rows repeat; other columns are ignored.
 """
@@ -84,8 +85,9 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The sample is chosen by ids alone; its texts are fetched by joining those few ids."""
     chosen = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").collect()
-    return fit([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id, r.lang, r.text))][: 2 * sample])
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("one")).collect()
+    return fit([(r.one.text, r.one.lang) for r in sorted(rows, key=lambda r: r.doc_id)])
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])

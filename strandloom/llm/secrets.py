@@ -8,7 +8,8 @@ log-likelihood ratio by transition reaches ``THRESHOLD`` is a span, unless a bas
 span overlaps it. All of it is one projection: no join, no shuffle.
 
 Positions are code points, end exclusive, found by summing the lengths of matches and of
-the texts between. Null text: empty, no spans. An empty table gives an empty result; repeated rows repeat.
+the texts between. The work on a run of characters is linear in its length. Null text: empty, no spans. An empty table gives an empty result; repeated rows repeat.
+Other columns, whatever their names, are ignored by ``scan`` and come back unchanged from ``redact``.
 """
 
 from __future__ import annotations
@@ -51,10 +52,6 @@ def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     return ids.select(random.alias("token"), F.lit(1).alias("label")).unionByName(ids.select(ordinary.alias("token"), F.lit(0).alias("label")))
 
 
-def _code(ch: Column) -> Column:
-    return F.instr(F.lit(ALPHABET), ch)
-
-
 def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratios of transitions, by code of the first times size plus code of the second; add-one smoothing. Size: one more than the alphabet."""
     size = len(ALPHABET) + 1
@@ -70,15 +67,17 @@ def train(samples: DataFrame) -> list[float]:
 
 
 def llr(token: Column, table: list[float]) -> Column:
-    """Mean log-likelihood ratio of a token's transitions."""
+    """Mean log-likelihood ratio of a token's transitions: one pass over its characters, each looked up in a table that is folded to a constant."""
     size = len(ALPHABET) + 1
-    ratios = F.transform(F.split(F.lit(" ".join(map(str, table))), " "), lambda x: x.cast("double"))
-    total = F.aggregate(
-        F.sequence(F.lit(1), F.length(token) - 1),
-        F.lit(0.0),
-        lambda acc, i: acc + F.element_at(ratios, (_code(F.substring(token, i, F.lit(1))) * size + _code(F.substring(token, i + 1, F.lit(1))) + 1).cast("int")),
-    )
-    return total / (F.length(token) - 1)
+    ratios = F.split(F.lit(" ".join(map(str, table))), " ").cast("array<double>")
+    start = F.struct(F.lit(-1).alias("before"), F.lit(0.0).alias("total"))
+
+    def add(acc, ch):
+        code = F.instr(F.lit(ALPHABET), ch)
+        ratio = F.when(acc["before"] >= 0, F.element_at(ratios, acc["before"] * size + code + 1)).otherwise(0.0)
+        return F.struct(code.alias("before"), (acc["total"] + ratio).alias("total"))
+
+    return F.aggregate(F.split(token, ""), start, add, lambda acc: acc["total"]) / (F.length(token) - 1)
 
 
 _SPAN = "array<struct<s:int,k:int,e:int,m:string,v:string>>"
@@ -101,7 +100,12 @@ def _spans(text: Column, kind: int, pattern: str, group: int | None = None) -> C
 
 
 def scan(docs: DataFrame, table: list[float], threshold: float = THRESHOLD) -> DataFrame:
-    """All columns, and ``base`` and ``added``: arrays of (s, k, e, m, v) by start, then kind."""
+    """doc_id, ``base`` and ``added``: arrays of (s, k, e, m, v) by start, then kind."""
+    return _with_spans(docs.select("doc_id", "text"), table, threshold, "base", "added").select("doc_id", "base", "added")
+
+
+def _with_spans(docs: DataFrame, table: list[float], threshold: float, b: str, a: str) -> DataFrame:
+    """All columns, and the spans as columns b (base kinds) and a (added)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.concat(
         F.filter(_spans(text, 0, ASSIGN, 2), lambda x: F.length(x["v"]) >= 12),
@@ -109,9 +113,9 @@ def scan(docs: DataFrame, table: list[float], threshold: float = THRESHOLD) -> D
         F.filter(_spans(text, 2, HEX.replace("+", "{16,}")), lambda x: F.length(x["m"]) >= 16),
     )
     added = _spans(text, 3, CANDIDATE)
-    out = docs.withColumn("base", F.array_sort(base)).withColumn("added", added)
-    fresh = F.filter("added", lambda x: ~F.exists("base", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
-    return out.withColumn("added", F.filter(fresh, lambda x: llr(x["m"], table) >= threshold))
+    out = docs.withColumn(b, F.array_sort(base)).withColumn(a, added)
+    fresh = F.filter(a, lambda x: ~F.exists(b, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
+    return out.withColumn(a, F.filter(fresh, lambda x: llr(x["m"], table) >= threshold))
 
 
 def _listed(spans: Column) -> Column:
@@ -135,7 +139,8 @@ def report(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, table: list[float], threshold: float = THRESHOLD, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span replaced by the mark; n_chars, if there, follows. Null texts stay null."""
-    spans = F.array_sort(F.concat("base", "added"))
+    b, a = (next(x for x in (name + "_" * i for i in range(1, 999)) if x.lower() not in {c.lower() for c in docs.columns}) for name in ("base", "added"))
+    spans, some = F.array_sort(F.concat(b, a)), F.size(b) + F.size(a) > 0
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def add(acc, x):
@@ -144,8 +149,7 @@ def redact(docs: DataFrame, table: list[float], threshold: float = THRESHOLD, ma
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), more.alias("out"))
 
     whole = F.aggregate(spans, start, add, lambda acc: F.concat(acc["out"], F.expr("substring(text, 1)").substr(acc["at"] + 1, F.length("text"))))
-    found = scan(docs, table, threshold)
-    out = found.withColumn("text", F.when(F.size("base") + F.size("added") > 0, whole).otherwise(F.col("text")))
+    out = _with_spans(docs, table, threshold, b, a).withColumn("text", F.when(some, whole).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("base") + F.size("added") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(some, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
