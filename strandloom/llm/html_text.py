@@ -1,19 +1,24 @@
 """Main text of web pages by composite text density.
 
 A page is parsed to a tree (raw text of scripts, implied end tags, unclosed elements, broken
-markup). Scripts, styles, forms, menus and whatever is named as boilerplate by tag, class, id or role
-are left out first; a class, id or role names it as a whole or by its first or last word (not after has-, with-, no- and the like),
-and never a subtree with the largest article or main element or, where there is none, with most of the body's text. Every remaining node has characters C, tags T, link characters LC and
+markup). Elements that never hold an article's text by their tag (scripts, styles, nav, footer, aside, controls, a header outside
+of an article) or that are hidden are left out. Every remaining node has characters C, tags T, link characters LC and
 link tags LT of its subtree, zero divisors read as one, and the density
 
-    C/T * log(C/LC * T/LT) / log(ln(C/(C - LC) * LC + LCbody/Cbody * C + e))
+    C/T * ln(C/LC * T/LT) / ln(ln(C/(C - LC) * LC + LCbody/Cbody * C + e))
 
-The node with the largest sum of its children's densities is the main subtree; the
-threshold is the least density on its path from the body. If it stands in an
-article or main element, all of that is the text; if such elements hold half of its characters, they are; else every node at or above the threshold
-gives the subtree of largest sum in it.
+times a prior: class, id and role names of boilerplate lower it, the more if the whole name says so than if its first or last word
+does, and article and main elements raise it. Names alone decide nothing.
 
-Blocks keep page order; white space in a block is one space. Null or empty html, or a page without text: empty text.
+The node with the largest sum of its children's densities (its own text counts as a child) is the main subtree; the
+threshold is the least density on its path from the body. Every node at or above the threshold gives the
+subtree of largest sum in it. If the main subtree stands in an article or main element, only subtrees in that element count, and
+it is taken whole if they hold half of its characters; elsewhere a subtree grows to the parents of which it is most, and
+takes the headings before it. In what is taken, lists of links go, and what is named as boilerplate and lies below the
+threshold, except where the main subtree is.
+
+Blocks keep page order; white space in a block is one space. Null or empty html, or a page without text: empty text. Pages of any
+length are read whole; of equal sums the outermost, first node is the main subtree.
 Repeated rows repeat; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -21,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -34,23 +40,36 @@ RAW = {"script", "style", "textarea", "title", "noscript", "template", "xmp", "i
 BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 #: What a start tag ends if it is open, up to the element at which that stops.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-LEFT_OUT = {"head", "script", "style", "noscript", "template", "nav", "footer", "aside", "form", "iframe", "button", "select", "option", "textarea", "input", "svg", "canvas", "object", "audio", "video", "menu", "dialog", "title", "xmp"}
+LEFT_OUT = {"head", "script", "style", "noscript", "template", "nav", "footer", "aside", "iframe", "button", "select", "option", "textarea", "input", "svg", "canvas", "object", "audio", "video", "menu", "dialog", "title", "xmp"}
 _NAMES = re.compile(r"^(?:ad|ads|adv|advert|adverts|advertisement|adsense|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|sidebar|side|aside|footer|header|masthead|topbar|toolbar|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|comment|comments|commentlist|disqus|reply|replies|respond|discussion|widget|pagination|pager|copyright|legal|complementary|contentinfo|search|form|disclaimer|skip|tags|hidden)$")
 #: Before such a word a name says what an element has or lacks, not what it is.
-_ABOUT = {"has", "have", "with", "without", "no", "not", "non", "is", "show", "hide", "enable", "disable", "use", "sans"}
+_ABOUT = {"has", "have", "with", "without", "no", "not", "non", "by", "is", "show", "hide", "enable", "disable", "use", "sans"}
+#: Prior of a node that is named as boilerplate as a whole, and by a word of its name; of an article or main element.
+WHOLE, PART, SCOPED = 1 / 16, 1 / 4, 2.0
+#: Only of these a part of the name tells: text elements are what they hold.
+_TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "dt", "td", "th", "blockquote", "pre", "b", "i", "em", "strong", "q", "code", "a", "tr", "tbody", "html", "body", "article", "main"}
+#: A list of links: so many at least, with such a share of the text.
+LINKS, LINKED = 3, 0.6
 _SCOPE = {"article", "main"}
+_QUOTE = re.compile(r"=\s*([\"'])")
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_HIDDEN = re.compile(r"display\s*:\s*none")
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "out", "named")
+    __slots__ = ("tag", "parent", "items", "scope", "out", "prior", "chars", "tags", "link_chars", "link_tags", "density", "total", "top")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool, named: bool = False):
-        self.tag, self.parent, self.items, self.out, self.named = tag, parent, [], out, named
+    def __init__(self, tag: str, parent: Node | None, out: bool = False, prior: float = 1.0):
+        self.tag, self.parent, self.items, self.out, self.prior = tag, parent, [], out, prior
+        self.scope = tag in _SCOPE or parent is not None and parent.scope
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.top = self
+
+    def children(self) -> list[Node]:
+        return [x for x in self.items if isinstance(x, Node) and not x.out]
 
 
 def _tag_end(html: str, at: int) -> int:
@@ -59,7 +78,7 @@ def _tag_end(html: str, at: int) -> int:
         end = html.find(">", at)
         if end < 0:
             return len(html)
-        quote = re.compile(r"=\s*([\"'])").search(html, at, end)
+        quote = _QUOTE.search(html, at, end)
         if not quote:
             return end + 1
         close = html.find(quote[1], quote.end())
@@ -68,58 +87,45 @@ def _tag_end(html: str, at: int) -> int:
         at = close + 1
 
 
-def _boilerplate(tag: str, attributes: str, in_scope: bool) -> tuple[bool, bool]:
-    """Whether it is left out, and whether only for its class, id or role."""
-    if tag in LEFT_OUT or tag == "header" and not in_scope:
-        return True, False
-    named = False
-    if "=" not in attributes and "hidden" not in attributes:
-        return False, False
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), a or b or c
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True, False
-        if not named and name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
-            words = [w for part in value.split() for w in _heads(part)]
-            if any(map(_NAMES.match, words)):
-                named = not (in_scope and any(w in ("header", "tags", "search") for w in words) and tag in ("h1", "h2", "h3", "span"))
-    return named, named
-
-
-def _heads(name: str) -> set[str]:
-    """The whole name, its first and its last word; the whole only where it says what an element has or lacks."""
+def _judged(tag: str, attributes: str, scope: bool) -> tuple[bool, float]:
+    """Whether it is left out, and its prior."""
+    if tag in LEFT_OUT or tag == "header" and not scope:
+        return True, 1.0
+    prior = WHOLE if tag == "form" else SCOPED if tag in _SCOPE and not scope else 1.0
+    if "=" in attributes or "hidden" in attributes:
+        for name, a, b, c in _ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), a or b or c
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
+                return True, 1.0
+            if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
+                prior = min(prior, *(_named(tag, part) for part in value.split()), 1.0 if scope and tag in _TEXT else prior)
+    return False, prior
+
+
+def _named(tag: str, name: str) -> float:
+    """The prior that a name gives: by all of it, or by its first or last word, unless it says what an element has or lacks."""
+    if _NAMES.match(name.lower()):
+        return WHOLE
     words = [w.lower() for w in _SPLIT.split(name[:1].lower() + name[1:]) if w]
-    return {name.lower(), *(() if not words or _ABOUT.intersection(words[:-1]) else (words[0], words[-1]))}
-
-
-def _spared(root: Node) -> None:
-    """Takes back what is left out by name but holds the largest article or main element or, if no such element has text, most of the body's text."""
-    nodes, sizes = [], {}
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        nodes.append(node)
-        stack.extend(x for x in node.items if isinstance(x, Node) and (x.named or not x.out))
-    if not any(x.named for x in nodes):
-        return
-    for node in reversed(nodes):
-        sizes[node] = sizes.get(node, 0) + sum(len(" ".join(x.split())) for x in node.items if isinstance(x, str))
-        if node.parent is not None:
-            sizes[node.parent] = sizes.get(node.parent, 0) + sizes[node]
-    body = next((x for x in nodes if x.tag == "body"), root)
-    up, held = max((x for x in nodes if x.tag in _SCOPE and sizes[x]), key=sizes.get, default=None), set()
-    while up is not None:
-        held.add(up)
-        up = up.parent
-    for node in nodes:
-        if node.named and (node in held if held else 2 * sizes[node] > sizes[body]):
-            node.out = node.named = False
+    if len(words) < 2 or tag in _TEXT or _ABOUT.intersection(words[:-1]):
+        return 1.0
+    return PART if _NAMES.match(words[0]) or _NAMES.match(words[-1]) else 1.0
 
 
 def parse(html: str) -> Node:
     """The tree; items of a node are texts and nodes in order."""
-    root = Node("#root", None, False)
+    root = Node("#root", None)
     here, at, n = root, 0, len(html)
+    depth: Counter[str] = Counter()  # open elements by tag
+
+    def left(to: Node) -> Node:
+        """Ends what is open inside of to."""
+        up = here
+        while up is not to:
+            depth[up.tag] -= 1
+            up = up.parent
+        return to
+
     while at < n:
         lt = html.find("<", at)
         if lt < 0:
@@ -143,13 +149,13 @@ def parse(html: str) -> Node:
         tag, closing = name[1].lower(), html[lt + 1] == "/"
         at = _tag_end(html, name.end())
         if closing:
-            up = here
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                here = up.parent
+            if depth[tag]:
+                up = here
+                while up.tag != tag:
+                    up = up.parent
+                here = left(up.parent)
             continue
-        if tag in ENDS:
+        if tag in ENDS and any(depth[x] for x in ENDS[tag][0]):
             which, stop = ENDS[tag]
             up, last = here, None
             while up is not root and up.tag not in stop:
@@ -157,18 +163,15 @@ def parse(html: str) -> Node:
                     last = up
                 up = up.parent
             if last:
-                here = last.parent
-        elif tag in BLOCK:
+                here = left(last.parent)
+        elif tag in BLOCK and depth["p"]:
             up = here
             while up is not root and up.tag not in ("p", "td", "th", "li", "div", "article", "section", "main", "body", "blockquote"):
                 up = up.parent
             if up is not root and up.tag == "p":
-                here = up.parent
+                here = left(up.parent)
         attributes = html[name.end() : at - 1]
-        scope, up = False, here
-        while up is not root and not scope:
-            scope, up = up.tag in _SCOPE, up.parent
-        node = Node(tag, here, *_boilerplate(tag, attributes, scope))
+        node = Node(tag, here, *_judged(tag, attributes, here.scope))
         here.items.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
@@ -177,24 +180,34 @@ def parse(html: str) -> Node:
             at = _tag_end(html, stop + 2) if end else n
         elif tag not in VOID and not attributes.endswith("/"):
             here = node
-    _spared(root)
+            depth[tag] += 1
     return root
 
 
 def _nodes(root: Node) -> list[Node]:
-    """All that is not left out, parents first."""
+    """All that is not left out, parents first, in page order."""
     out, stack = [], [root]
     while stack:
         node = stack.pop()
         out.append(node)
-        stack.extend(x for x in reversed(node.items) if isinstance(x, Node) and not x.out)
+        stack.extend(reversed(node.children()))
     return out
 
 
-def measure(root: Node) -> list[Node]:
-    nodes = _nodes(root)
+def density(c: int, t: int, lc: int, lt: int, share: float) -> float:
+    """Of characters, tags, link characters and link tags; share: of link characters in the body."""
+    if not c:
+        return 0.0
+    t, links, lt = max(t, 1), max(lc, 1), max(lt, 1)
+    return c / t * math.log(c / links * t / lt) / math.log(math.log(c / max(c - lc, 1) * links + share * c + math.e))
+
+
+def measure(root: Node) -> tuple[list[Node], Node]:
+    """All nodes, measured, and the body."""
+    nodes, own = _nodes(root), {}
     for node in reversed(nodes):
-        node.chars += sum(len(" ".join(x.split())) for x in node.items if isinstance(x, str))
+        own[node] = sum(len(" ".join(x.split())) for x in node.items if isinstance(x, str))
+        node.chars += own[node]
         if node.tag == "a":
             node.link_chars = node.chars
             node.link_tags += 1
@@ -204,58 +217,79 @@ def measure(root: Node) -> list[Node]:
             up.tags += node.tags + 1
             up.link_tags += node.link_tags
     body = next((x for x in nodes if x.tag == "body"), root)
-    share = body.link_chars / max(body.chars, 1)
+    share, weight = body.link_chars / max(body.chars, 1), {None: 1.0}
+    for node in nodes:
+        weight[node] = weight[node.parent] * node.prior
+        node.density = weight[node] * density(node.chars, node.tags, node.link_chars, node.link_tags, share)
     for node in reversed(nodes):
-        c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, node.link_tags
-        if c:
-            base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
-            node.density = c / t * math.log(max(c / max(lc, 1) * t / max(lt, 1), 1)) / math.log(max(base, 1) + 1)
-        children = [x for x in node.items if isinstance(x, Node) and not x.out]
-        node.total = max(sum(x.density for x in children), 0.0) if children else node.density
-    return nodes
-
-
-def _largest(node: Node) -> Node:
-    return max(_nodes(node), key=lambda x: x.total)
+        linked = own[node] if node.tag == "a" else 0
+        children = node.children()
+        node.total = sum(x.density for x in children) + weight[node] * density(own[node], 0, linked, linked and 1, share)
+        for x in reversed(children):
+            if x.top.total > node.top.total or node.top is not node and x.top.total == node.top.total:
+                node.top = x.top
+    return nodes, body
+
+
+def _chosen(nodes: list[Node], body: Node) -> tuple[list[Node], set[Node], float]:
+    """The subtrees of the text, in page order; the main subtree's path; the threshold."""
+    best, path = body.top, []
+    up = best
+    while up is not None:
+        path.append(up)
+        up = up.parent if up is not body else None
+    threshold = min(x.density for x in path)
+    scope = next((x for tag in ("article", "main") for x in reversed(path) if x.tag == tag), body)
+    inside, dense = {scope}, {best}
+    for node in nodes:
+        if node.parent in inside:
+            inside.add(node)
+        if node in inside and node.chars and node.density >= threshold:
+            dense.add(node.top)
+    if scope is not body:
+        covered = _covered([x for x in nodes if x in inside], dense)
+        held = sum(x.chars for x in dense if x.parent not in covered)
+        if 2 * held >= scope.chars:
+            dense = {scope}
+    else:
+        grown = set()
+        for x in dense:
+            while x is not body and x.parent not in (None, body) and 10 * x.chars >= 7 * x.parent.chars:
+                x = x.parent
+            grown.add(x)
+        dense = grown | {h for x in grown if x is not body and x.parent is not None for h in _headings(x)}
+    covered = _covered(nodes, dense)
+    return [x for x in nodes if x in dense and x.parent not in covered], set(path), threshold
+
+
+def _covered(nodes: list[Node], tops: set[Node]) -> set[Node]:
+    """The nodes in the subtrees. nodes: parents first."""
+    out: set[Node] = set()
+    for node in nodes:
+        if node in tops or node.parent in out:
+            out.add(node)
+    return out
 
 
-def _inside(node: Node, other: Node) -> bool:
-    up = node.parent
-    while up is not None and up is not other:
-        up = up.parent
-    return up is other
+def _headings(node: Node) -> list[Node]:
+    """h1 and h2 just before it."""
+    out = []
+    for x in node.parent.children():
+        if x is node:
+            return out
+        out = [*out, x] if x.tag in ("h1", "h2") else []
+    return out
 
 
 def main_nodes(root: Node) -> list[Node]:
-    nodes = measure(root)
-    body = next((x for x in nodes if x.tag == "body"), root)
-    best = _largest(body)
-    path = [best]
-    while path[-1] is not body and path[-1].parent is not None:
-        path.append(path[-1].parent)
-    scopes = [x for x in path if x.tag == "article"] or [x for x in path if x.tag in _SCOPE]
-    if scopes:
-        return [scopes[-1]]
-    within = [x for x in _nodes(best) if x.tag == "article"] or [x for x in _nodes(best) if x.tag in _SCOPE]
-    within = [x for x in within if not any(_inside(x, y) for y in within)]
-    if 2 * sum(x.chars for x in within) >= best.chars > 0:
-        return within
-    threshold = min(x.density for x in path)
-    chosen: set[Node] = set()
-    stack = [body]
-    while stack:
-        node = stack.pop()
-        if node.density >= threshold and node.chars:
-            chosen.add(_largest(node))
-        stack.extend(x for x in node.items if isinstance(x, Node) and not x.out and x not in chosen)
-    tops = []
+    """The subtrees of the text; what goes in them is marked as left out."""
+    nodes, body = measure(root)
+    tops, path, threshold = _chosen(nodes, body)
     for node in nodes:
-        up = node.parent
-        while up is not None and up not in chosen:
-            up = up.parent
-        if node in chosen and up is None:
-            tops.append(node)
-    return tops
+        if node not in path and node.chars:
+            listed = node.link_tags >= LINKS and node.link_chars >= LINKED * node.chars
+            node.out = listed and node.tag not in ("p", "a") or node.prior < 1 and node.density < threshold
+    return [x for x in tops if not x.out]
 
 
 def texts(nodes: list[Node]) -> list[str]:
