@@ -11,7 +11,8 @@ all chains of the remaining starting points share. Lookahead is so bounded by th
 vocabulary entry. States and transitions are made on first use and kept in a
 table of bounded size; once it is full, further ones are made but not kept.
 
-Null or empty text: no tokens, hashes of the empty string. Repeated rows give
+Texts of any length are read whole; a piece without a boundary (a run of letters, say) is
+encoded in time linear in its length and not remembered. Null or empty text: no tokens, hashes of the empty string. Repeated rows give
 repeated results; other input columns are ignored. Empty table: empty result.
 """
 
@@ -32,8 +33,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_rows
 
-#: At most so many states and remembered pieces a worker.
-MAX_STATES, MAX_PIECES = 150_000, 1_000_000
+#: At most so many states and remembered pieces a worker, and pieces of so many characters, so that both tables stay within some 50 MB.
+MAX_STATES, MAX_PIECES, MAX_REMEMBERED = 50_000, 200_000, 48
 #: Below this code point the pieces are cut by a pattern with its classes spelt out, which is faster.
 PLAIN = 0x250
 
@@ -177,9 +178,11 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.transducer.encode(piece.encode())
-        if len(self) >= MAX_PIECES:
-            self.clear()
-        self[piece] = out = struct.pack(f"<{len(ids)}I", *ids)
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= MAX_REMEMBERED:
+            if len(self) >= MAX_PIECES:
+                self.clear()
+            self[piece] = out
         return out
 
 
@@ -249,7 +252,9 @@ class Codec:
 
 @lru_cache(2)
 def codec(path: str, pattern: str | None = None) -> Codec:
-    return Codec(path, pattern)
+    own = Codec(path, pattern)
+    gc.freeze()  # the tables live as long as the worker: collections need not walk them
+    return own
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_())])
@@ -257,7 +262,6 @@ OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256"
 
 def _digest(path: str, pattern: str | None):
     own = codec(path, pattern)
-    gc.disable()  # nothing here makes cycles, and walking the large tables again and again costs a third of the time
 
     def one(doc_id, text, ids=None):
         text = text or ""

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut, release, shared_dir
+
+__all__ = ["arrow_ddl", "cut", "documents", "filter_rows", "fold", "held_out", "map_rows", "release", "shared_dir"]
+
 #: Rows with this remainder of crc32(doc_id) mod 4 are never learned from.
 HELD_OUT_FOLD = 2
+#: Rows that a worker turns to Python values at once.
+PORTION = 256
 
 
 def fold(doc_id: str = "doc_id"):
@@ -36,8 +41,8 @@ def map_rows(df: DataFrame, columns: list[str], schema: pa.Schema, make: Callabl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, PORTION):
+                part = batch.slice(at, PORTION)
                 rows = [one(*x) for x in zip(*(part.column(i).to_pylist() for i in range(part.num_columns)), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -49,31 +54,13 @@ def arrow_ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {names[f.type]}" for f in schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where none is, as in tests."""
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    spark.sparkContext.setCheckpointDir(at)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: written to the shared folder as Parquet and read back, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+def filter_rows(df: DataFrame, column: str, make: Callable[[], Callable[..., bool]]) -> DataFrame:
+    """The rows, all columns as they are, for which the function of the column holds. No shuffle; only that column goes to Python, in portions."""
 
-def filter_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., bool]]) -> DataFrame:
-    """The rows, all columns as they are, for which the function of the named columns holds. No shuffle."""
-    at = [df.columns.index(c) for c in columns]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        holds = make()
-        for batch in batches:
-            yield batch.filter(pa.array([holds(*x) for x in zip(*(batch.column(i).to_pylist() for i in at), strict=True)], pa.bool_()))
+    @F.arrow_udf("boolean")
+    def holds(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        one = make()
+        for array in arrays:
+            yield pa.array([one(x) for at in range(0, len(array), PORTION) for x in array.slice(at, PORTION).to_pylist()], pa.bool_())
 
-    return df.mapInArrow(run, df.schema)
+    return df.where(holds(F.col(column)))

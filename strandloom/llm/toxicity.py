@@ -10,7 +10,8 @@ is a logistic function of the weighted event sums, fitted on labelled rows.
 
 Fixed are the small seed lists below. Further insults, as whole words or as stems of
 longer words, and all weights are learned from a bounded sample (``SAMPLE`` labelled rows at most, lowest hash of the id first)
-outside the held-out fold. Labels, lang, source and doc_id are no inputs of a score.
+outside the held-out fold; of rows that repeat a doc_id and label, one text is learned from. Labels, lang, source and doc_id are no inputs of a score.
+Texts of any length are read whole, in time linear in their length.
 
 Null, empty and wordless texts get the score of a text without events. With no
 labels, or of one kind only, the fixed prior weights hold. Repeated rows repeat;
@@ -234,8 +235,8 @@ def fit(rows: list[tuple[str | None, int]], rounds: int = 30, ridge: float = 0.0
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
-    return fit([(r.text, int(r.toxic > 0)) for r in sorted(rows, key=lambda r: (r.doc_id, r.toxic, r.text or ""))[: 2 * sample]])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    return fit([(r.text, int(r.toxic > 0)) for r in sorted(rows, key=lambda r: (r.doc_id, r.toxic))])
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
@@ -265,4 +266,4 @@ def keep_civil(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
         own = Model(*sent.value)
         return lambda text: own.score(text) < threshold
 
-    return filter_rows(docs, ["text"], make)
+    return filter_rows(docs, "text", make)
