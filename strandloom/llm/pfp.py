@@ -18,6 +18,12 @@ STRETCH = 1 << 21
 _rng = np.random.default_rng(20240607)
 _TABLES = [_rng.integers(0, 1 << 64, 256, dtype=np.uint64) for _ in range(2)]
 _BASES = [int(x) | 1 for x in _rng.integers(1 << 62, 1 << 63, 2, dtype=np.uint64)]
+#: Strings that collide modulo 2^64 for every base (those of Thue and Morse) do not collide modulo a prime.
+_PRIME = np.uint64((1 << 31) - 1)
+_SMALL = _rng.integers(1, 1 << 30, 256, dtype=np.uint64)
+_SMALL_BASE = 1_220_703_125
+#: Powers of the base and of its inverse.
+_small: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _inverse: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -30,6 +36,11 @@ def _grow(n: int) -> None:
                 x = np.full(n, b, np.uint64)
                 x[0] = 1
                 kept[i] = np.multiply.accumulate(x)
+        for i, b in enumerate((_SMALL_BASE, pow(_SMALL_BASE, -1, int(_PRIME)))):
+            x = np.ones(1, np.uint64)
+            while len(x) < n:
+                x = np.concatenate((x, x * np.uint64(pow(b, len(x), int(_PRIME))) % _PRIME))
+            _small[i] = x[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,10 +53,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hashed:
-    """Polynomial hashes (modulo 2^64, two independent ones) of any stretch of the bytes."""
+    """Polynomial hashes of any stretch of the bytes: 0 modulo 2^64; 1 modulo 2^64 with another base and modulo a prime, mixed to 64 bits."""
 
     def __init__(self, data: np.ndarray):
         _grow(len(data))
+        s = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_SMALL[data] * _small[0][: len(data)] % _PRIME, out=s[1:])  # under 2^31 each, 2^22 of them at most
+        self.small = s
         self.sums = []
         for i in range(2):
             s = np.zeros(len(data) + 1, np.uint64)
@@ -53,7 +67,10 @@ class Hashed:
             self.sums.append(s)
 
     def __call__(self, start: np.ndarray, stop: np.ndarray, which: int) -> np.ndarray:
-        return mix((self.sums[which][stop] - self.sums[which][start]) * _inverse[which][start])
+        out = (self.sums[which][stop] - self.sums[which][start]) * _inverse[which][start]
+        if which:
+            out = mix(out) ^ (self.small[stop] - self.small[start]) % _PRIME * _small[1][start] % _PRIME * np.uint64(0x9E3779B97F4A7C15)
+        return mix(out)
 
     def grams(self, n: int) -> np.ndarray:
         s = self.sums[0]

@@ -12,7 +12,7 @@ by classes of hashes, coarse to fine.
    is done if it equals another; it goes if the bytes that all its windows share occur once.
 3. The windows of blocks still left are compared one by one.
 
-Every step groups by 128 bits of hash, with partial sums before the shuffle, so a passage
+Every step groups by 128 bits of hash (a row is known by 78), with partial sums before the shuffle, so a passage
 that a third of the corpus holds is one row a task. No step gathers a group.
 
 Null or empty text: no bytes, no spans. Texts under ``length`` bytes keep all. Rows
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_ddl, cut
+from .common import PORTION, arrow_ddl, cut
 from .pfp import STRETCH, Hashed, blocks, mix, shares
 
 LENGTH, FINE = 400, 8
@@ -39,15 +39,17 @@ _FINE = pa.schema([("g", pa.int64()), ("f", pa.int64()), ("rid", pa.int64()), ("
 _WINDOWS = pa.schema([("g", pa.int64()), ("f", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("done", pa.bool_())])
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
-# A run of window starts in one integer: first start, 9 bits of (last - first), 9 bits of (trigger - first).
+# A run of window starts in one integer: 14 bits of the row's second hash, 31 bits of the first start (no string is
+# longer), 9 bits of (last - first), 9 bits of (trigger - first). A row is known by its 64-bit rid and these 14 bits.
+_TAG, _START = 49, (1 << 31) - 1
 
 
-def _pack(trigger: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    return lo << 18 | (hi - lo) << 9 | (trigger - lo)
+def _pack(tag: int, trigger: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return tag << _TAG | lo << 18 | (hi - lo) << 9 | (trigger - lo)
 
 
 def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lo = at >> 18
+    lo = at >> 18 & _START
     return lo + (at & 511), lo, lo + (at >> 9 & 511)
 
 
@@ -65,8 +67,8 @@ def _mapped(df: DataFrame, schema: pa.Schema, one: Callable[..., Iterator[tuple]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                rows = zip(*(c.to_pylist() for c in batch.slice(start, 512).columns), strict=True)
+            for start in range(0, batch.num_rows, PORTION):
+                rows = zip(*(c.to_pylist() for c in batch.slice(start, PORTION).columns), strict=True)
                 yield _emit([p for row in rows for p in one(*row)], schema)
 
     return df.mapInArrow(run, arrow_ddl(schema))
@@ -76,7 +78,7 @@ def _hash_with(core: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarra
     return mix(core ^ (near.astype(np.uint64) << np.uint64(20) | far.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _phrases(rid: int, text: str | None, length: int) -> Iterator[tuple]:
+def _phrases(rid: int, tag: int, text: str | None, length: int) -> Iterator[tuple]:
     data = np.frombuffer((text or "").encode(), np.uint8)
     for start in range(0, len(data) - length + 1, STRETCH):
         part = data[start : start + STRETCH + length - 1]
@@ -84,7 +86,7 @@ def _phrases(rid: int, text: str | None, length: int) -> Iterator[tuple]:
         trigger, lo, hi = shares(hashed, len(part), length)
         key = hashed(trigger, trigger + 64, 0)
         whole = _hash_with(hashed(lo, hi + length, 1), trigger - lo, hi - lo)
-        yield _as_long(key), _as_long(whole), np.full(len(lo), rid), _pack(trigger + start, lo + start, hi + start)
+        yield _as_long(key), _as_long(whole), np.full(len(lo), rid), _pack(tag, trigger + start, lo + start, hi + start)
 
 
 def _contexts(text: str | None, rid: int, wanted: list, length: int) -> Iterator[tuple]:
@@ -97,27 +99,28 @@ def _contexts(text: str | None, rid: int, wanted: list, length: int) -> Iterator
 def _fine_blocks(rid: int, at: int, done: bool, data: bytes, length: int) -> Iterator[tuple]:
     """Blocks of one phrase: key (the bytes that all windows of the uncut block share), class (its whole stretch)."""
     trigger, lo, hi = _unpack(np.array([at], np.int64))
-    first = int(lo[0])
+    first, tag = int(lo[0]), at >> _TAG
     hashed = Hashed(np.frombuffer(data, np.uint8))
     t, a, b, j = blocks(trigger - first, lo - first, hi - first, FINE)
     key = _hash_with(hashed(t - j * FINE, t - (j + 1) * FINE + 1 + length, 0), j, j)
     whole = _hash_with(hashed(a, b + length, 1), t - a, b - a)
-    yield _as_long(key), _as_long(whole), np.full(len(t), rid), _pack(t + first, a + first, b + first), np.full(len(t), done), np.full(len(t), at)
+    yield _as_long(key), _as_long(whole), np.full(len(t), rid), _pack(tag, t + first, a + first, b + first), np.full(len(t), done), np.full(len(t), at)
 
 
 def _windows(rid: int, at: int, data: bytes, wanted: list, length: int) -> Iterator[tuple]:
-    first = at >> 18
+    first = at >> 18 & _START
     hashed = Hashed(np.frombuffer(data, np.uint8))
     for w in wanted:
         _, lo, hi = _unpack(np.array([w["at"]], np.int64))
         p = np.arange(lo[0], hi[0] + 1) - first
-        yield _as_long(hashed(p, p + length, 0)), _as_long(hashed(p, p + length, 1)), np.full(len(p), rid), p + first, np.full(len(p), w["done"])
+        alone = _pack(at >> _TAG, p + first, p + first, p + first)
+        yield _as_long(hashed(p, p + length, 0)), _as_long(hashed(p, p + length, 1)), np.full(len(p), rid), alone, np.full(len(p), w["done"])
 
 
 def _bounds(at: str = "at"):
     """First and last window start of a packed run."""
-    lo = F.shiftright(at, 18)
-    return lo.alias("lo"), (lo + F.shiftright(at, 9).bitwiseAND(F.lit(511))).alias("hi")
+    lo = F.shiftright(at, 18).bitwiseAND(F.lit(_START))
+    return F.shiftright(at, _TAG).alias("tag"), lo.alias("lo"), (lo + F.shiftright(at, 9).bitwiseAND(F.lit(511))).alias("hi")
 
 
 def _classes(rows: DataFrame, *kept: str) -> DataFrame:
@@ -134,15 +137,15 @@ def _left(classes: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """rid, spans (array of first and last start of windows that occur elsewhere too). docs: rid, text."""
-    nodes = cut(_mapped(docs.select("rid", "text"), _NODES, lambda rid, text: _phrases(rid, text, length)))
+    """rid, tag, spans (array of first and last start of windows that occur elsewhere too). docs: rid, tag, text."""
+    nodes = cut(_mapped(docs.select("rid", "tag", "text"), _NODES, lambda *row: _phrases(*row, length)))
     often = cut(nodes.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))  # written, so that the join may split a frequent trigger's rows
     shared = cut(nodes.join(often, "g", "left_semi"))
     classes = cut(_classes(shared))
     whole = shared.join(classes.where("n > 1").select("g", "f"), ["g", "f"], "left_semi").select("rid", *_bounds())
 
-    asked = _left(classes).groupBy("rid").agg(F.collect_list(F.struct("at", "done")).alias("wanted"))
-    contexts = cut(_mapped(docs.join(asked.hint("shuffle_hash"), "rid").select("text", "rid", "wanted"), _CONTEXT, lambda text, rid, wanted: _contexts(text, rid, wanted, length)))
+    asked = _left(classes).groupBy("rid", F.shiftright("at", _TAG).alias("tag")).agg(F.collect_list(F.struct("at", "done")).alias("wanted"))
+    contexts = cut(_mapped(docs.join(asked, ["rid", "tag"]).select("text", "rid", "wanted"), _CONTEXT, lambda text, rid, wanted: _contexts(text, rid, wanted, length)))
     fine = cut(_mapped(contexts, _FINE, lambda *row: _fine_blocks(*row, length)))
     fine_classes = cut(_classes(fine, "node"))
     equal = fine.where("not done").join(fine_classes.where("n > 1").select("g", "f"), ["g", "f"], "left_semi").select("rid", *_bounds())
@@ -150,8 +153,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     asked = _left(fine_classes).groupBy("rid", F.col("node").alias("at")).agg(F.collect_list(F.struct("at", "done")).alias("wanted"))
     single = cut(_mapped(contexts.select("rid", "at", "bytes").join(asked, ["rid", "at"]).select("rid", "at", "bytes", "wanted"), _WINDOWS, lambda *row: _windows(*row, length)))
     again = cut(single.groupBy("g", "f").agg(F.count("*").alias("n")).where("n > 1").select("g", "f"))
-    ones = single.where("not done").join(again, ["g", "f"], "left_semi").select("rid", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    return whole.unionByName(equal).unionByName(ones).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    ones = single.where("not done").join(again, ["g", "f"], "left_semi").select("rid", *_bounds())
+    return whole.unionByName(equal).unionByName(ones).groupBy("rid", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 def _kept(data: bytes, spans: list, length: int) -> tuple[bytes, int]:
@@ -166,23 +169,23 @@ def _kept(data: bytes, spans: list, length: int) -> tuple[bytes, int]:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"), F.pmod(F.hash("text", "doc_id"), F.lit(1 << 14)).cast("bigint").alias("tag"))
 
 
 def _applied(docs: DataFrame, schema: pa.Schema, one: Callable[..., tuple], length: int) -> DataFrame:
     own = _numbered(docs)
-    found = repeats(own.select("rid", "text"), length)
+    found = repeats(own, length)
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
+            for start in range(0, batch.num_rows, PORTION):
                 rows = []
-                for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.slice(start, 512).columns), strict=True):
+                for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.slice(start, PORTION).columns), strict=True):
                     data = (text or "").encode()
                     rows.append(one(doc_id, data, *(_kept(data, spans, length) if spans else (data, 0))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return own.join(found.hint("shuffle_hash"), "rid", "left").select("doc_id", "text", "spans").mapInArrow(run, arrow_ddl(schema))
+    return own.join(found, ["rid", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(run, arrow_ddl(schema))
 
 
 def dedup_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
