@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_rows
 
-#: At most so many states and remembered pieces a worker, and pieces of so many characters, so that both tables stay within some 50 MB.
-MAX_STATES, MAX_PIECES, MAX_REMEMBERED = 50_000, 200_000, 48
+#: At most so many states and remembered pieces a worker, and pieces of so many characters, so that both tables stay within some 150 MB.
+MAX_STATES, MAX_PIECES, MAX_REMEMBERED = 50_000, 400_000, 48
 #: Below this code point the pieces are cut by a pattern with its classes spelt out, which is faster.
 PLAIN = 0x250
 
