@@ -99,7 +99,7 @@ def to_regex(pattern: str, wildcards: bool = True, text_n: bool = False, lite: b
         if lite and c in ".:;":
             out.append({".": ".", ":": "[^ACDEFGHIKLMNPQRSTVWY]", ";": "[^ACGT]"}[c])
         elif wildcards and c in table:
-            letters = table[c] if text_n or c == "N" and False else table[c].replace("N", "")
+            letters = table[c] if text_n else table[c].replace("N", "")  # a pattern's N, too, meets no text N then
             out.append(f"[{letters}]" if letters else "(?!)")
         else:
             out.append(f"[{c}]" if c.isalnum() else "\\" + c)

@@ -28,6 +28,47 @@ def chunks(sequences: DataFrame, span: int) -> DataFrame:
     return rows.select("entry_id", (F.col("far") + F.col("near")).alias("base"), F.expr(f"substring(part, near + 1, {SHORT + span - 1})").alias("piece"))
 
 
+#: Stands beyond both ends of an entry in windows; no pattern has it.
+BEYOND = "\0"
+
+
+def windows(sequences: DataFrame, left: int, right: int) -> DataFrame:
+    """entry_id, pos, window: of every place the letters from ``left`` before it to ``right`` behind it, BEYOND where the entry has none.
+
+    What is looked up by the letters at a place takes its surroundings along, so no hit is joined with its entry again.
+    """
+    padded = sequences.select("entry_id", F.concat(F.lit(BEYOND * left), "seq", F.lit(BEYOND * (right - 1))).alias("seq"))
+    rows = chunks(padded, left + right).select("entry_id", "base", "piece", F.explode(S.positions("piece", left + right)).alias("p"))
+    return rows.select("entry_id", (F.col("base") + F.col("p")).alias("pos"), F.expr(f"substring(piece, p + 1, {left + right})").alias("window"))
+
+
+def with_offsets(rows: DataFrame, parts: Column, follow: int = 0) -> DataFrame:
+    """The rows' columns, i, offset, own: for each text of an array its place, how many letters lie before it, and it with the ``follow`` texts behind it.
+
+    Sums run over blocks of SHORT texts and then inside a block, so the work is linear in the array and needs no shuffle.
+    """
+    size = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda n, x: n + F.length(x))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<b:int,at:bigint>>").alias("out"))
+    firsts = F.when(F.size("_parts") > 0, F.sequence(F.lit(0), F.size("_parts") - 1, F.lit(SHORT))).otherwise(F.array().cast("array<int>"))
+
+    def add(acc: Column, b: Column) -> Column:
+        more = F.array(F.struct(b.alias("b"), acc["at"].alias("at")))
+        return F.struct((acc["at"] + size(F.slice("_parts", b + 1, F.lit(SHORT)))).alias("at"), F.concat(acc["out"], more).alias("out"))
+
+    blocks = rows.withColumn("_parts", parts).withColumn("_block", F.explode(F.aggregate(firsts, start, add, lambda acc: acc["out"])))
+    blocks = blocks.withColumn("_n", F.least(F.lit(SHORT), F.size("_parts") - F.col("_block.b"))).withColumn("_own", F.slice("_parts", F.col("_block.b") + 1, F.lit(SHORT + follow))).drop("_parts")
+    laid = blocks.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    laid = laid.withColumn("i", F.col("_block.b") + F.col("_i")).withColumn("offset", F.col("_block.at") + size(F.slice("_own", F.lit(1), F.col("_i"))))
+    return laid.withColumn("own", F.slice("_own", F.col("_i") + 1, F.lit(follow + 1))).drop("_block", "_n", "_own", "_i")
+
+
+def far_pieces(sequences: DataFrame, span: int) -> DataFrame:
+    """entry_id, far, part: entries in pieces of LONG starts and ``span`` letters more, for looking up stretches of up to so many letters by (entry_id, far)."""
+    last = F.length("seq") - 1
+    cut = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(LONG))).otherwise(F.array().cast("array<int>"))
+    return sequences.select("entry_id", "seq", F.explode(cut).alias("far")).select("entry_id", F.col("far").cast("bigint").alias("far"), F.expr(f"substring(seq, far + 1, {LONG + span})").alias("part"))
+
+
 def words(sequences: DataFrame, k: int) -> DataFrame:
     """entry_id, pos, kmer of every stretch of k letters."""
     rows = chunks(sequences, k).select("entry_id", "base", "piece", F.explode(S.positions("piece", k)).alias("p"))

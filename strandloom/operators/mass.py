@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from .kmers import chunks
+from .kmers import chunks, with_offsets
 
 WATER = {"mono": 18.01056, "average": 18.0153}  # fixed values
 
@@ -26,11 +26,10 @@ def digest(proteins: DataFrame, missed: int = 1, met: bool = True) -> DataFrame:
 
     met: peptides from the start of a protein that begins with M come also without it.
     """
-    parts = proteins.select("entry_id", F.filter(F.split("seq", "(?<=[KR])(?!P)"), lambda x: x != "").alias("parts"))
-    laid = parts.select("entry_id", "parts", F.explode(F.when(F.size("parts") > 0, F.sequence(F.lit(0), F.size("parts") - 1)).otherwise(F.array().cast("array<int>"))).alias("i"))
-    at = F.aggregate(F.slice("parts", F.lit(1), F.col("i")), F.lit(0), lambda a, x: a + F.length(x))
-    more = F.sequence(F.lit(0), F.least(F.lit(missed), F.size("parts") - 1 - F.col("i")))
-    rows = laid.select("entry_id", "parts", "i", at.alias("start"), F.explode(more).alias("missed")).select("entry_id", "start", F.array_join(F.slice("parts", F.col("i") + 1, F.col("missed") + 1), "").alias("peptide"), "missed")
+    parts = F.filter(F.split("seq", "(?<=[KR])(?!P)"), lambda x: x != "")
+    laid = with_offsets(proteins.select("entry_id", "seq"), parts, missed).drop("seq")
+    rows = laid.select("entry_id", F.col("offset").cast("int").alias("start"), "own", F.explode(F.sequence(F.lit(0), F.size("own") - 1)).alias("missed"))
+    rows = rows.select("entry_id", "start", F.array_join(F.slice("own", F.lit(1), F.col("missed") + 1), "").alias("peptide"), "missed")
     if met:
         short = rows.where("start = 0 and peptide like 'M_%'").select("entry_id", F.lit(1).alias("start"), F.expr("substring(peptide, 2)").alias("peptide"), "missed")
         rows = rows.unionByName(short)

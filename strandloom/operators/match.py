@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from .kmers import words
+from .kmers import BEYOND, windows
 
 HITS = "entry_id bigint, pattern_id bigint, start_pos bigint, end_pos bigint, edits int"
 
@@ -45,13 +45,23 @@ def _no_hits(sequences: DataFrame) -> DataFrame:
 
 
 def exact(sequences: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Equal stretches: for each pattern length, every stretch of it is equi-joined with the patterns."""
-    parts = []
-    for n in lengths(patterns):
-        mers = words(sequences, n).select("entry_id", F.col("pos").cast("bigint").alias("start_pos"), F.col("kmer").alias("pattern"))
-        hit = mers.join(patterns.where(F.length("pattern") == n).select("pattern_id", "pattern"), "pattern")
-        parts.append(hit.select("entry_id", "pattern_id", "start_pos", (F.col("start_pos") + n).alias("end_pos"), F.lit(0).alias("edits")))
-    return _union(parts, _no_hits(sequences))
+    """Equal stretches, in one pass over the sequences for all pattern lengths.
+
+    A pattern is looked up by its first letters, as many as the largest power of two in its length, and then compared with what
+    stands at the place; each place has one row for each such power.
+    """
+    ns = lengths(patterns)
+    if not ns:
+        return _no_hits(sequences)
+    firsts = sorted({1 << (n.bit_length() - 1) for n in ns})
+    first = F.lit(firsts[0])
+    for n in firsts[1:]:
+        first = F.when(F.length("pattern") >= n, F.lit(n)).otherwise(first)
+    wanted = patterns.where(F.length("pattern") > 0).select("pattern_id", "pattern", F.substring("pattern", F.lit(1), first).alias("mer"))
+    found = windows(sequences, 0, ns[-1]).withColumn("mer", F.explode(F.array(*(F.substring("window", 1, n) for n in firsts))))
+    hit = found.join(wanted, "mer").where(F.startswith("window", "pattern"))
+    start = F.col("pos").cast("bigint")
+    return hit.select("entry_id", "pattern_id", start.alias("start_pos"), (start + F.length("pattern")).alias("end_pos"), F.lit(0).alias("edits"))
 
 
 def scan(sequences: DataFrame, patterns: list[tuple[int, str]], wildcards: bool = True, text_n: bool = False, lite: bool = False) -> DataFrame:
@@ -61,8 +71,8 @@ def scan(sequences: DataFrame, patterns: list[tuple[int, str]], wildcards: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines = [(i, n, re.compile(f"(?={x})")) for i, n, x in compiled]
-        for batch in batches:
-            rows = [(e, i, m.start(), m.start() + n, 0) for e, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if s for i, n, r in machines for m in r.finditer(s)]
+        for part in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
+            rows = [(e, i, m.start(), m.start() + n, 0) for e, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if s for i, n, r in machines for m in r.finditer(s)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(schema.types)], schema=schema)
 
     return sequences.select("entry_id", "seq").mapInArrow(run, HITS)
@@ -90,46 +100,57 @@ def pieces(n: int, k: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def seeds(sequences: DataFrame, patterns: DataFrame, k: int, word: int | None = None) -> DataFrame:
-    """entry_id, pattern_id, pattern, at (start of the pattern if it had no indel): places where a piece (or any word of that size) of the pattern stands exactly."""
+def _seeds(sequences: DataFrame, patterns: DataFrame, k: int, word: int | None, slack: int) -> DataFrame:
+    """entry_id, pattern_id, pattern, at, around: places where a piece (or any word of that size) of the pattern stands exactly.
+
+    at: start of the pattern if it had no indel. around: the text from ``slack`` * 2 letters before that to ``slack`` letters behind
+    the pattern, cut from the window that the place's row brings along. Each place has one row for each size of the pieces.
+    """
     cut: dict[int, list[tuple[int, int]]] = {n: pieces(n, k) if word is None else [(i, word) for i in range(n - word + 1)] for n in lengths(patterns)}
-    parts = []
-    for n, own in cut.items():
-        chosen = patterns.where(F.length("pattern") == n)
-        parts += [chosen.select("pattern_id", "pattern", F.lit(o).alias("offset"), F.expr(f"substring(pattern, {o + 1}, {m})").alias("mer")) for o, m in own]
-    wanted = _union(parts, patterns.limit(0))
-    rows = []
-    for m in sorted({m for own in cut.values() for _, m in own}):
-        mers = words(sequences, m).select("entry_id", F.col("pos").alias("p"), F.col("kmer").alias("mer"))
-        rows.append(mers.join(wanted.where(F.length("mer") == m), "mer").select("entry_id", "pattern_id", "pattern", (F.col("p") - F.col("offset")).alias("at")))
-    return _union(rows, _no_hits(sequences)).distinct()
+    if not any(cut.values()):
+        return _no_hits(sequences).select("entry_id", "pattern_id", F.lit("").alias("pattern"), F.lit(0).cast("bigint").alias("at"), F.lit("").alias("around"))
+    left = max((o for own in cut.values() for o, _ in own), default=0) + 2 * slack
+    right = max(n - o for n, own in cut.items() for o, _ in own) + slack
+    at_length = F.create_map(*(F.lit(x) for n, own in cut.items() for x in (n, [o * 1_000 + m for o, m in own])))
+    code = F.explode(F.element_at(at_length, F.length("pattern")))
+    wanted = patterns.where(F.length("pattern").isin(list(cut))).select("pattern_id", "pattern", code.alias("code"))
+    wanted = wanted.select("pattern_id", "pattern", F.floor(F.col("code") / 1_000).cast("int").alias("offset"), (F.col("code") % 1_000).alias("size"))
+    wanted = wanted.select("pattern_id", "pattern", "offset", F.substring("pattern", F.col("offset") + 1, F.col("size")).alias("mer"))
+    sizes = sorted({m for own in cut.values() for _, m in own})
+    found = windows(sequences, left, right).withColumn("mer", F.explode(F.array(*(F.substring("window", left + 1, m) for m in sizes))))
+    begin = F.lit(left - 2 * slack) - F.col("offset") + 1
+    around = F.substring("window", begin, F.length("pattern") + 3 * slack)
+    return found.join(wanted, "mer").select("entry_id", "pattern_id", "pattern", (F.col("pos") - F.col("offset")).cast("bigint").alias("at"), around.alias("around"))
+
+
+def seeds(sequences: DataFrame, patterns: DataFrame, k: int, word: int | None = None) -> DataFrame:
+    """entry_id, pattern_id, pattern, at: the places alone, once each."""
+    return _seeds(sequences, patterns, k, word, 0).drop("around").distinct()
 
 
 def mismatches(sequences: DataFrame, patterns: DataFrame, k: int, word: int | None = None, left: int = 0, right: int = 0) -> DataFrame:
     """Up to k substitutions: seeds, then the distance. left, right: so many letters there must be equal."""
     if k == 0:
         return exact(sequences, patterns)
-    found = seeds(sequences, patterns, k, word).join(sequences.select("entry_id", "seq"), "entry_id")
     n = F.length("pattern")
-    text = F.expr("substring(seq, at + 1, length(pattern))")
-    whole = found.where((F.col("at") >= 0) & (F.col("at") + n <= F.length("seq"))).withColumn("text", text)
+    whole = _seeds(sequences, patterns, k, word, 0).withColumnRenamed("around", "text").where((F.length("text") == n) & ~F.contains("text", F.lit(BEYOND)))
     near = whole.withColumn("edits", S.hamming(F.col("text"), F.col("pattern"))).where(F.col("edits") <= k)
     if left:
         near = near.where(F.substring("text", 1, left) == F.substring("pattern", 1, left))
     if right:
         near = near.where(F.expr(f"right(text, {right}) = right(pattern, {right})"))
-    return near.select("entry_id", "pattern_id", F.col("at").cast("bigint").alias("start_pos"), (F.col("at") + n).cast("bigint").alias("end_pos"), "edits")
+    return near.select("entry_id", "pattern_id", F.col("at").alias("start_pos"), (F.col("at") + n).alias("end_pos"), "edits").distinct()
 
 
 def edit_ends(sequences: DataFrame, patterns: DataFrame, k: int, word: int | None = None) -> DataFrame:
     """entry_id, pattern_id, end_pos, edits: every end at which a stretch is within k edits of a pattern, with the least number."""
-    found = seeds(sequences, patterns, k, word)
-    ends = found.select("entry_id", "pattern_id", "pattern", F.explode(F.sequence(F.col("at") + F.length("pattern") - k, F.col("at") + F.length("pattern") + k)).alias("end_pos")).distinct()
-    own = ends.join(sequences.select("entry_id", "seq"), "entry_id").where("end_pos >= 1 and end_pos <= length(seq)")
-    spans = F.sequence(F.greatest(F.length("pattern") - k, F.lit(1)), F.least(F.length("pattern") + k, F.col("end_pos")))
-    tries = F.transform(F.when(F.col("end_pos") >= F.greatest(F.length("pattern") - k, F.lit(1)), spans).otherwise(F.array().cast("array<int>")), lambda n: F.levenshtein(F.col("pattern"), F.substring(F.col("seq"), F.col("end_pos") - n + 1, n), k))
-    best = own.withColumn("edits", F.array_min(F.filter(tries, lambda d: d >= 0))).where(F.col("edits").isNotNull())
-    return best.select("entry_id", "pattern_id", F.col("end_pos").cast("bigint").alias("end_pos"), "edits")
+    n = F.length("pattern")
+    found = _seeds(sequences, patterns, k, word, k).withColumn("shift", F.explode(F.sequence(F.lit(-k), F.lit(k))))
+    tail = F.substring("around", F.lit(1), n + 2 * k + F.col("shift"))  # all that ends there; the last k * 2 + n letters of it are looked at
+    tries = F.transform(F.sequence(F.greatest(n - k, F.lit(1)), n + k), lambda m: F.struct(m.alias("m"), F.right(F.col("tail"), m).alias("text")))
+    costs = F.transform(F.filter(tries, lambda x: (F.length(x["text"]) == x["m"]) & ~F.contains(x["text"], F.lit(BEYOND))), lambda x: F.levenshtein(F.col("pattern"), x["text"], k))
+    ends = found.withColumn("tail", tail).select("entry_id", "pattern_id", (F.col("at") + n + F.col("shift")).alias("end_pos"), F.array_min(F.filter(costs, lambda d: d >= 0)).alias("edits"))
+    return ends.where("edits is not null").groupBy("entry_id", "pattern_id", "end_pos").agg(F.min("edits").alias("edits"))
 
 
 def clusters(ends: DataFrame, k: int) -> DataFrame:

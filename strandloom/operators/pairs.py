@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
+from .kmers import LONG, far_pieces
 
 
 def roles(n: int, all_orientations: bool = False) -> list[tuple[int, int, int]]:
@@ -38,9 +39,12 @@ def amplicons(hits: DataFrame, orientations: DataFrame, shortest: int, longest:
 
 def with_sequence(found: DataFrame, sequences: DataFrame, between: bool = False) -> DataFrame:
     """The amplicon's letters and how many are N; between: only what stands between the primers."""
-    start, end = (F.col("left_end"), F.col("right_start")) if between else (F.col("start_pos"), F.col("end_pos"))
-    out = found.join(sequences.select("entry_id", "seq"), "entry_id").withColumn("amplicon", S.subsequence("seq", start, F.greatest(end - start, F.lit(0))))
-    return out.withColumn("n_count", S.n_count("amplicon")).drop("seq")
+    start, end = ("left_end", "right_start") if between else ("start_pos", "end_pos")
+    places = found.withColumn("start", F.col(start)).withColumn("length_", F.greatest(F.col(end) - F.col(start), F.lit(0)))
+    longest = places.agg(F.coalesce(F.max("length_"), F.lit(0))).first()[0]
+    held = places.withColumn("far", (F.floor(F.col("start") / LONG) * LONG).cast("bigint")).join(far_pieces(sequences, longest), ["entry_id", "far"], "left")
+    out = held.withColumn("amplicon", F.coalesce(S.subsequence("part", F.col("start") - F.col("far"), "length_"), F.lit("")))
+    return out.withColumn("n_count", S.n_count("amplicon")).drop("part", "far", "start", "length_")
 
 
 def against_sizes(found: DataFrame, sts: DataFrame, tolerance: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
+from .kmers import LONG, far_pieces, with_offsets
 
 
 def runs(sequences: DataFrame, shortest: int = 20, only_n: bool | None = False, any_as_n: bool = False) -> DataFrame:
@@ -13,13 +14,17 @@ def runs(sequences: DataFrame, shortest: int = 20, only_n: bool | None = False,
 
     only_n: False other letters than N, True N alone, None both. any_as_n: whatever is not A, C, G or T counts as N, and only that is looked for.
     """
-    text = F.regexp_replace("seq", "[^ACGT]", "N") if any_as_n else F.col("seq")
+    text = F.regexp_replace("part", "[^ACGT]", "N") if any_as_n else F.col("part")
     only_n = True if any_as_n else only_n
-    own = sequences.select("entry_id", text.alias("seq"))
-    found = F.regexp_extract_all("seq", F.lit(r"((.)\2*)"), F.lit(1))
-    laid = own.select("entry_id", F.posexplode(found).alias("i", "run"))
-    order = Window.partitionBy("entry_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    out = laid.select("entry_id", F.substring("run", 1, 1).alias("symbol"), F.coalesce(F.sum(F.length("run")).over(order), F.lit(0)).alias("start"), F.length("run").cast("bigint").alias("len")).where(F.col("len") >= shortest)
+    pieces = far_pieces(sequences.select("entry_id", "seq"), 0).select("entry_id", "far", text.alias("part"), F.length("part").alias("n"))
+    laid = with_offsets(pieces, F.regexp_extract_all("part", F.lit(r"((.)\2*)"), F.lit(1)))
+    own = laid.select("entry_id", F.substring(F.get("own", F.lit(0)), 1, 1).alias("symbol"), (F.col("far") + F.col("offset")).alias("start"), F.length(F.get("own", F.lit(0))).cast("bigint").alias("len"), ((F.col("offset") == 0) | (F.col("offset") + F.length(F.get("own", F.lit(0))) == F.col("n"))).alias("edge"))
+    # Runs that touch the border of a piece, two of LONG letters at most, are joined with what goes on behind it.
+    order = Window.partitionBy("entry_id").orderBy("start")
+    goes_on = (F.lag("symbol").over(order) == F.col("symbol")) & (F.lag(F.col("start") + F.col("len")).over(order) == F.col("start"))
+    edges = own.where("edge").withColumn("fresh", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(order))
+    stitched = edges.groupBy("entry_id", "run").agg(F.min("symbol").alias("symbol"), F.min("start").alias("start"), F.sum("len").alias("len"))
+    out = own.where("not edge").select("entry_id", "symbol", "start", "len").unionByName(stitched.drop("run")).where(F.col("len") >= shortest)
     return out if only_n is None else out.where((F.col("symbol") == "N") == F.lit(only_n))
 
 
@@ -78,12 +83,17 @@ def extract(sequences: DataFrame, places: DataFrame) -> DataFrame:
     """
     own = places.where("entry_id >= 0")
     if "abs_start" in sequences.columns:
-        stream = places.where("entry_id < 0").withColumnRenamed("start", "abs_pos").drop("entry_id")
-        at = sequences.select("entry_id", "abs_start", F.length("seq").alias("n"))
-        found = stream.join(at, (F.col("abs_pos") >= F.col("abs_start")) & (F.col("abs_pos") < F.col("abs_start") + F.col("n"))).withColumn("start", F.col("abs_pos") - F.col("abs_start"))
+        # Absolute places find their entry by bins of the stream, so the range join is an equi-join.
+        stream = places.where("entry_id < 0").withColumnRenamed("start", "abs_pos").drop("entry_id").withColumn("bin", F.floor(F.col("abs_pos") / LONG))
+        at = sequences.select("entry_id", "abs_start", F.length("seq").alias("n")).where("n > 0")
+        at = at.withColumn("bin", F.explode(F.sequence(F.floor(F.col("abs_start") / LONG), F.floor((F.col("abs_start") + F.col("n") - 1) / LONG))))
+        found = stream.join(at, "bin").where("abs_pos >= abs_start and abs_pos < abs_start + n").withColumn("start", F.col("abs_pos") - F.col("abs_start"))
         own = own.unionByName(found.select(own.columns))
-    out = own.join(sequences.select("entry_id", "seq"), "entry_id").where("start >= 0 and length >= 0 and start + length <= length(seq)")
-    return out.withColumn("text", S.subsequence("seq", "start", "length")).drop("seq")
+    longest = own.agg(F.coalesce(F.max("length"), F.lit(0))).first()[0]
+    sizes = sequences.select("entry_id", F.length("seq").alias("size"))
+    held = own.join(sizes, "entry_id").where("start >= 0 and length >= 0 and start + length <= size").withColumn("far", (F.floor(F.col("start") / LONG) * LONG).cast("bigint"))
+    out = held.join(far_pieces(sequences, longest), ["entry_id", "far"], "left")
+    return out.withColumn("text", F.coalesce(S.subsequence("part", F.col("start") - F.col("far"), "length"), F.lit(""))).drop("part", "far", "size")
 
 
 def annotated(sequences: DataFrame, places: DataFrame) -> DataFrame:

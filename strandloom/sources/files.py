@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import seq as S
+from ..plans.lineage import cut
 
 MASSES = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("mass", T.DoubleType())])
 
@@ -38,12 +39,18 @@ def _numbered(rows: DataFrame, *order: str) -> DataFrame:
 
 
 def with_absolute_starts(sequences: DataFrame) -> DataFrame:
-    """abs_start of each entry in the stream of all entries, each behind one terminator: the first entry begins at 1. A running sum over bins of entries and over the bins' totals, so no task sees all entries."""
-    binned = sequences.withColumn("bin", F.floor(F.col("entry_id") / 10_000))
-    totals = binned.groupBy("bin").agg(F.sum(F.length("seq") + 1).alias("total"))
-    before = totals.alias("a").join(totals.alias("b"), F.col("b.bin") < F.col("a.bin"), "left").groupBy(F.col("a.bin").alias("bin")).agg(F.coalesce(F.sum("b.total"), F.lit(0)).alias("offset"))
-    order = Window.partitionBy("bin").orderBy("entry_id").rowsBetween(Window.unboundedPreceding, -1)
-    return binned.join(before, "bin").withColumn("abs_start", 1 + F.col("offset") + F.coalesce(F.sum(F.length("seq") + 1).over(order), F.lit(0))).drop("bin", "offset")
+    """abs_start of each entry in the stream of all entries, each behind one terminator: the first entry begins at 1.
+
+    Running sums on three levels: entries in bins, bins in groups, groups; so no task sees more than 10,000 entries or bins, and the last level is one row for 10^8 entries.
+    """
+    size = 10_000
+    binned = sequences.withColumn("bin", F.floor(F.col("entry_id") / size)).withColumn("group", F.floor(F.col("bin") / size))
+    before = lambda w: F.coalesce(F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = binned.groupBy("group", "bin").agg(F.sum(F.length("seq") + 1).alias("total"))
+    groups = totals.groupBy("group").agg(F.sum("total").alias("total")).select("group", before(Window.orderBy("group")).alias("group_offset"))
+    bins = totals.select("group", "bin", before(Window.partitionBy("group").orderBy("bin")).alias("bin_offset")).join(groups, "group").select("bin", (F.col("group_offset") + F.col("bin_offset")).alias("offset"))
+    own = binned.withColumn("total", F.length("seq") + 1).join(bins, "bin")
+    return own.withColumn("abs_start", 1 + F.col("offset") + before(Window.partitionBy("bin").orderBy("entry_id"))).drop("bin", "group", "offset", "total")
 
 
 def write_fasta(sequences: DataFrame, path: str, width: int = 60, mode: str = "errorifexists") -> None:
@@ -71,8 +78,8 @@ def read_sts(spark: SparkSession, path: str) -> DataFrame:
 
 def sts_patterns(sts: DataFrame) -> DataFrame:
     """Two patterns a pair: 2p - 1 forward, 2p reverse, p by order of id."""
-    p = F.row_number().over(Window.orderBy("id"))
-    both = sts.withColumn("pair_id", p.cast("bigint"))
+    laid = cut(sts.repartitionByRange("id").sortWithinPartitions("id").withColumn("at", F.monotonically_increasing_id()))
+    both = _numbered(laid, "at").withColumnRenamed("entry_id", "pair_id")
     return both.select("pair_id", F.explode(F.array(F.struct((F.col("pair_id") * 2 - 1).alias("pattern_id"), F.col("fwd").alias("pattern")), F.struct((F.col("pair_id") * 2).alias("pattern_id"), F.col("rev").alias("pattern")))).alias("x")).select("pair_id", "x.*")
 
 
