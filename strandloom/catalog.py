@@ -332,17 +332,11 @@ _AMINO_SQL = "map([" + ",".join(f"'{k}'" for k in sorted(_AMINO)) + "], [" + ","
 
 
 @query(f"""
-m as (select {_AMINO_SQL} as cost), w as (select distinct substr(seq, i + 1, 4) as peptide from letters, unnest(range(0, length(seq) - 3)) t(i) where regexp_full_match(substr(seq, i + 1, 4), 'TH[A-Z][A-Z]'))
+m as (select {_AMINO_SQL} as cost), w as (select distinct substr(seq, i + 1, 4) as peptide from letters, unnest(range(0, length(seq) - 3)) t(i))
 select peptide, list_sum(list_transform(range(1, 5), lambda i: case when substr(peptide, i, 1) = substr('THEN', i, 1) then 0 else coalesce(cost[substr(peptide, i, 1) || substr('THEN', i, 1)], 3) end))::bigint as cost from w, m
 """)
 def j13_mutation_cost(spark, sf_dir):
-    w = kmers.words(letters(spark, sf_dir), 4).select(F.col("kmer").alias("peptide")).where("peptide rlike '^TH'").distinct()
-    return w.withColumn("cost", S.mutation_cost(F.col("peptide"), F.lit("THEN")))
-
-
-@query()
-def j13_mutation_cost_whole(spark, sf_dir):
-    """Every different window, whatever it begins with; tested by brute force."""
+    """Of every different window."""
     w = kmers.words(letters(spark, sf_dir), 4).select(F.col("kmer").alias("peptide")).distinct()
     return w.withColumn("cost", S.mutation_cost(F.col("peptide"), F.lit("THEN")))
 
@@ -399,21 +393,17 @@ def a1_counts_by_edits(spark, sf_dir, source=dna):
     return match.counts(match.mismatches(source(spark, sf_dir), pats, 2), pats, 2)
 
 
-_PRIMER_VALUES = ", ".join(f"({i}, '{p}')" for i, p in enumerate((x[:6] for x in PRIMERS.split()), 1))
+_PRIMER_VALUES = ", ".join(f"({i}, '{p}')" for i, p in enumerate(PRIMERS.split(), 1))
+_STRANDS = f"primers as (select base_id::bigint as base_id, pattern from (values {_PRIMER_VALUES}) v(base_id, pattern)), strands as (select base_id, base_id as pattern_id, 'F' as strand, pattern from primers union all select base_id, base_id + 10, 'R', reverse(translate(pattern, 'ACGT', 'TGCA')) from primers)"
 
 
-@query(f"primers as (select * from (values {_PRIMER_VALUES}) v(base_id, pattern)), strands as (select base_id, 'F' as strand, pattern from primers union all select base_id, 'R', reverse(translate(pattern, 'ACGT', 'TGCA')) from primers), w as (select substr(seq, i + 1, 6) as mer from dna, unnest(range(0, length(seq) - 5)) t(i)) select base_id::bigint as base_id, strand, pattern, count(mer) as n from strands left join w on mer = pattern group by all")
+#: All hits of whole primers of both strands with up to two substitutions, as the places of all texts are tried one by one.
+_HITS = f"""{_STRANDS},
+win as materialized (select entry_id, i as start, substr(seq, i + 1, 18) as win from text_dna, unnest(range(0, length(seq))) t(i)),
+hits as (select * from (select entry_id, s.*, start, left(win, length(pattern)) as text, start + length(pattern) as "end", hamming(left(win, length(pattern)), pattern)::bigint as edits from win join strands s on length(win) >= length(pattern)) where edits <= 2)"""
+@query(f"{_HITS} select strands.base_id, strands.strand, strands.pattern, count(edits) as n from strands left join (select pattern_id, edits from hits where edits = 0) h using (pattern_id) group by all")
 def q1_primer_match_counts(spark, sf_dir):
-    """Exact hits of the first six letters of each example primer, by strand; primers without a hit count 0."""
-    primers = files.patterns_of(spark, PRIMERS).withColumn("pattern", F.substring("pattern", 1, 6))
-    strands = match.both_strands(primers)
-    counted = match.counts(match.exact(dna(spark, sf_dir), strands), strands)
-    return strands.join(counted, "pattern_id").select("base_id", "strand", "pattern", "n")
-
-
-@query()
-def q1_primer_match_counts_whole(spark, sf_dir):
-    """Exact hits of every whole example primer in the whole texts, by strand; primers without a hit count 0. Tested by brute force."""
+    """Exact hits of every whole example primer in the whole texts, by strand; primers without a hit count 0."""
     strands = match.both_strands(files.patterns_of(spark, PRIMERS))
     counted = match.counts(match.exact(text_dna(spark, sf_dir), strands), strands)
     return strands.join(counted, "pattern_id").select("base_id", "strand", "pattern", "n")
@@ -513,59 +503,42 @@ def w7_tandem_repeats(spark, sf_dir):
     return runs.tandems(hits, "m", min_copies=3)
 
 
-_ASOF = "q as (select o_custkey as k, o_orderkey as place from orders), keys as (select o_custkey as k, o_orderkey as key from orders where o_orderkey % 3 = 0)"
+_ASOF = "q as (select l_suppkey as k, l_orderkey as place from lineitem), keys as (select distinct l_suppkey as k, l_partkey as key from lineitem)"
 
 
 def _asof(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("place"))
-    return o, o.where("place % 3 = 0").withColumnRenamed("place", "key")
+    """Orders as places in their supplier's lineitems, and every part of a lineitem as a key."""
+    own = table(spark, sf_dir, "lineitem")
+    return own.select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("place")), own.select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("key"))
 
 
-@query(f"{_ASOF} select q.k, q.place, max(key) as found from q left join keys on keys.k = q.k and key <= place group by all")
+@query(f"{_ASOF} select q.k, q.place, (select max(key) from keys where keys.k = q.k and key <= q.place) as found from q")
 def j22_last_at_most(spark, sf_dir):
     return runs.last_at_most(*_asof(spark, sf_dir), "k", "place", "key")
 
 
-@query(f"{_ASOF} select q.k, q.place, min(key) as found from q left join keys on keys.k = q.k and key >= place group by all")
+@query(f"{_ASOF} select q.k, q.place, (select min(key) from keys where keys.k = q.k and key >= q.place) as found from q")
 def j23_first_at_least(spark, sf_dir):
     return runs.first_at_least(*_asof(spark, sf_dir), "k", "place", "key")
 
 
-def _asof_whole(spark, sf_dir):
-    """Orders as places in their supplier's lineitems, and every part of a lineitem as a key."""
-    own = table(spark, sf_dir, "lineitem")
-    return own.select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("place")), own.select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("key"))
-
-
-@query()
-def j22_last_at_most_whole(spark, sf_dir):
-    """Keys are a whole table; tested by brute force."""
-    return runs.last_at_most(*_asof_whole(spark, sf_dir), "k", "place", "key")
-
-
-@query()
-def j23_first_at_least_whole(spark, sf_dir):
-    """Keys are a whole table; tested by brute force."""
-    return runs.first_at_least(*_asof_whole(spark, sf_dir), "k", "place", "key")
+# --- Masses ---------------------------------------------------------------------
 
 
-# --- Masses ---------------------------------------------------------------------
+_DIGEST = r"""
+marked as (select entry_id, regexp_replace(regexp_replace(seq, '([KR])', '\1|', 'g'), '\|P', 'P', 'g') as s from letters), parts as (select entry_id, list_filter(string_split(s, '|'), lambda x: x != '') as p from marked),
+frag as (select entry_id, p, i, j, array_to_string(p[i:j], '') as peptide, length(array_to_string(p[1:i - 1], '')) as start from parts, unnest(range(1, len(p) + 1)) t(i), unnest(range(i, least(i + 1, len(p)) + 1)) u(j)),
+f as (select entry_id, start::bigint as start, peptide, (j - i)::bigint as missed from frag),
+digest as (select * from f union all select entry_id, 1, substr(peptide, 2), missed from f where start = 0 and length(peptide) > 1 and peptide like 'M%')
+"""
 
 
 @query(f"""
-q as (select p_partkey as query, p_retailprice as mw from part), w as (select distinct substr(seq, i + 1, 12) as pep from letters, unnest(range(0, length(seq) - 11)) t(i) where i % 50 = 0),
-x as (select pep, {_mass_sql('pep', S.MONO)} as mass from w), y as (select * from x where mass is not null)
-select query, mw, (select count(*) from y where abs(mw - mass) <= 0.1e0) as n from q
+{_DIGEST}, w as (select distinct peptide as pep from digest), x as (select {_mass_sql('pep', S.MONO)} as mass from w), y as (select mass from x where mass is not null), q as (select p_partkey as query, p_retailprice as mw from part)
+select query, mw, count(mass) as n from q left join y on mass between mw - 0.1000001e0 and mw + 0.1000001e0 and abs(mw - mass) <= 0.1e0 group by query, mw
 """)
 def a8_peptide_multiplicity(spark, sf_dir):
-    q = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query"), F.col("p_retailprice").alias("mw"))
-    w = kmers.words(letters(spark, sf_dir), 12).where("pos % 50 = 0").select(F.col("kmer").alias("pep")).distinct()
-    return mass.multiplicity(q, w.withColumn("mass", S.residue_mass("pep")), 0.1)
-
-
-@query()
-def a8_peptide_multiplicity_digest(spark, sf_dir):
-    """Over the different tryptic peptides of all letters; tested by brute force."""
+    """Over the different tryptic peptides of all letters."""
     q = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query"), F.col("p_retailprice").alias("mw"))
     w = mass.digest(letters(spark, sf_dir)).select(F.col("peptide").alias("pep")).distinct()
     return mass.multiplicity(q, w.withColumn("mass", S.residue_mass("pep")), 0.1)
@@ -597,12 +570,7 @@ def w13_substring_masses(spark, sf_dir):
     return mass.substring_masses(letters(spark, sf_dir), 398.5, 400.5).withColumn("mass", F.round("mass", 3))
 
 
-@query("""
-marked as (select entry_id, regexp_replace(regexp_replace(seq, '([KR])', '\\1|', 'g'), '\\|P', 'P', 'g') as s from letters), parts as (select entry_id, list_filter(string_split(s, '|'), lambda x: x != '') as p from marked),
-frag as (select entry_id, p, i, j, array_to_string(p[i:j], '') as peptide, length(array_to_string(p[1:i - 1], '')) as start from parts, unnest(range(1, len(p) + 1)) t(i), unnest(range(i, least(i + 1, len(p)) + 1)) u(j)),
-f as (select entry_id, start::bigint as start, peptide, (j - i)::bigint as missed from frag)
-select * from f union all select entry_id, 1, substr(peptide, 2), missed from f where start = 0 and length(peptide) > 1 and peptide like 'M%'
-""")
+@query(f"{_DIGEST} select * from digest")
 def w14_digest(spark, sf_dir):
     return mass.digest(letters(spark, sf_dir))
 
@@ -616,31 +584,18 @@ def t4_non_redundant(spark, sf_dir):
     return uniq.non_redundant(own)
 
 
-_PARTS = "short as (select p_partkey as entry_id, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) as seq from part union all select 1000000 + n_nationkey, upper(regexp_replace(n_name, '[^A-Za-z]', '', 'g')) from nation union all select 2000000 + p_partkey, upper(regexp_replace(split_part(p_name, ' ', 1), '[^A-Za-z]', '', 'g')) from part where p_partkey <= 20)"
+_CONTAINED = "own as (select distinct seq, min(entry_id) over (partition by seq) as entry_id, count(*) over (partition by seq) as n from letters), held as (select a.entry_id as part, b.entry_id as whole, a.n as n_part from own a join own b on length(a.seq) < length(b.seq) and contains(b.seq, a.seq) where a.seq != '')"
 
 
-def _short(spark, sf_dir):
-    clean = lambda c: F.upper(F.regexp_replace(c, "[^A-Za-z]", ""))
-    part, nation = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
-    own = part.select(F.col("p_partkey").cast("bigint").alias("entry_id"), clean("p_name").alias("seq"))
-    own = own.unionByName(nation.select((F.col("n_nationkey") + 1000000).cast("bigint").alias("entry_id"), clean("n_name").alias("seq")))
-    return own.unionByName(part.where("p_partkey <= 20").select((F.col("p_partkey") + 2000000).cast("bigint").alias("entry_id"), clean(F.split("p_name", " ")[0]).alias("seq")))
-
-
-@query(f"{_PARTS} select a.entry_id as part, b.entry_id as whole from short a join short b on a.entry_id != b.entry_id and length(a.seq) < length(b.seq) and contains(b.seq, a.seq) where a.seq != ''")
+@query("select a.entry_id as part, b.entry_id as whole from letters a join letters b on a.entry_id != b.entry_id and length(a.seq) < length(b.seq) and contains(b.seq, a.seq) where a.seq != ''")
 def j20_containment(spark, sf_dir):
-    return uniq.contained(_short(spark, sf_dir))
-
-
-@query()
-def j20_containment_documents(spark, sf_dir):
-    """Over the letters of all documents; tested by brute force."""
+    """Over the letters of all documents."""
     return uniq.contained(letters(spark, sf_dir))
 
 
-@query()
+@query(f"{_CONTAINED} select o.entry_id, seq, (n + coalesce((select sum(n_part) from held where whole = o.entry_id), 0))::bigint as n from own o where entry_id not in (select part from held)")
 def t4_non_redundant_with_containment(spark, sf_dir):
-    """Over the letters of all documents; tested by brute force."""
+    """Over the letters of all documents."""
     return uniq.non_redundant_with_containment(letters(spark, sf_dir).withColumn("defline", F.concat(F.lit("d"), F.col("entry_id").cast("string"))))
 
 
@@ -866,13 +821,21 @@ def s24_fasta_records(spark, sf_dir):
     return dna(spark, sf_dir).select(S.fasta_record(F.concat(F.lit("d"), F.col("entry_id").cast("string")), "seq").alias("record"))
 
 
-@query()
+_DRAW = "('0x' || substr(md5(concat_ws(':', {}, cast(entry_id as varchar), cast(i as varchar))), 1, 8))::bigint"
+
+
+@query(f"g as (select entry_id, i, substr('ACGT', ({_DRAW.format(repr('7'))} % 4 + 1)::integer, 1) as c from unnest(range(1, 21)) e(entry_id), unnest(range(1, 501)) t(i)) select entry_id, string_agg(c, '' order by i) as seq from g group by entry_id")
 def s26_random_genome(spark, sf_dir):
     """Seeded random entries; the same however they are partitioned."""
     return files.random_genome(spark, 20, 500, 7)
 
 
-@query()
+@query(f"""
+l as (select entry_id, i, substr(seq, i + 1, 1) as c from dna, unnest(range(0, length(seq))) t(i)),
+m as (select entry_id, i, case when {_DRAW.format(repr('11'))} < {int(0.02 * (1 << 32))} then substr('ACGTACGT', (instr('ACGT', c) + 1 + {_DRAW.format(repr('12'))} % 3)::integer, 1) else c end as c from l),
+r as (select entry_id, 'G' || string_agg(c, '' order by i) as s from m group by entry_id)
+select entry_id, 'G' || array_to_string(list_transform(range(1, length(s)), lambda i: cast(xor(instr('ACGT', substr(s, i, 1)) - 1, instr('ACGT', substr(s, i + 1, 1)) - 1) as varchar)), '') as read from r
+""")
 def q27_simulated_reads(spark, sf_dir):
     """Colour-space reads with random errors."""
     reads = files.with_random_errors(dna(spark, sf_dir), 0.02, 11)
@@ -907,3 +870,6 @@ def _over_texts(f):
 
 for _f in WHOLE:
     query()(_over_texts(_f))
+
+
+from . import compositions  # noqa: E402, F401  (registers its queries here)

@@ -5,7 +5,6 @@ Coordinates are space-based: 0-based start, end exclusive.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -88,6 +87,50 @@ def compatible_letters(strict: bool = False) -> dict[str, str]:
     return {a: "".join(sorted(b | {a})) for a, b in listed.items()}
 
 
+def stands_for(letter: str) -> set[str]:
+    """The bases A, C, G and T that an ambiguity letter may be; U is T."""
+    listed = {x: y for x, y in (e.split(":") for e in COMPATIBLE.split())}
+    return {"T" if x == "U" else x for x in listed.get(letter, letter) if x in "ACGTU"}
+
+
+def contains_letter(wide: str, narrow: str) -> bool:
+    """Whether all that the second letter may be the first may be, too."""
+    return bool(stands_for(narrow)) and stands_for(narrow) <= stands_for(wide)
+
+
+def contained_letter(narrow: str, wide: str) -> bool:
+    return contains_letter(wide, narrow)
+
+
+def compatible(text: Column | str, pattern: Column | str, relation: str = "compatible") -> Column:
+    """Whether two letters are compatible, or the pattern's contains the text's, or is contained in it."""
+    table = compatible_letters()
+    tests = {"compatible": lambda p, t: t in table.get(p, p), "contains": contains_letter, "contained": contained_letter}
+    letters = sorted(table)
+    true = [p + t for p in letters for t in letters if tests[relation](p, t)]
+    return F.concat(column(pattern), column(text)).isin(true)
+
+
+def gcd(a: Column | str, b: Column | str) -> Column:
+    """Greatest common divisor of two integers, by Euclid's steps (92 are enough for 64 bits)."""
+    start = F.struct(F.abs(column(a)).cast("bigint").alias("x"), F.abs(column(b)).cast("bigint").alias("y"))
+    step = lambda s, _: F.struct(F.when(s["y"] == 0, s["x"]).otherwise(s["y"]).alias("x"), F.when(s["y"] == 0, s["y"]).otherwise(s["x"] % s["y"]).alias("y"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda s: s["x"])
+
+
+def lcm(a: Column | str, b: Column | str) -> Column:
+    g = gcd(a, b)
+    return F.when(g == 0, F.lit(0)).otherwise(F.abs(column(a)).cast("bigint") / g * F.abs(column(b))).cast("bigint")
+
+
+def codon_distance(codon: Column | str, amino: Column | str) -> Column:
+    """Fewest nucleotide changes from a codon to any codon of an amino acid; null for what is neither."""
+    letters = "TCAG"
+    codons = [x + y + z for x in letters for y in letters for z in letters]
+    table = {c + a: codon_amino_distance(c, a) for c in codons for a in sorted(set(CODE))}
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), F.concat(column(codon), column(amino)))
+
+
 def to_regex(pattern: str, wildcards: bool = True, text_n: bool = False, lite: bool = False) -> str:
     """A pattern as a regular expression of one class a letter.
 
@@ -243,5 +286,3 @@ def truth(text: str) -> bool:
     raise ValueError(f"neither true nor false: {text!r}")
 
 
-def join_columns(parts: Iterable[Column]) -> Column:
-    return F.concat(*parts)

@@ -142,3 +142,13 @@ def pair_codes(sequences: DataFrame, m: int, gap: int) -> DataFrame:
 def seen(pairs: DataFrame, m: int) -> DataFrame:
     """One row: pairs seen once, seen again, and never (of 16^m)."""
     return pairs.agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") > 1).alias("again"), (F.lit(16**m) - F.count("*")).alias("unseen"))
+
+
+def seen_by_gap(sequences: DataFrame, m: int, most: int) -> DataFrame:
+    """gap, once, again, unseen for every gap from 0 to ``most``: one listing of places, each with the words at all its gaps."""
+    span = 2 * m + most
+    rows = windows(sequences, 0, span).select("window", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("gap"))
+    pairs = rows.select("gap", F.substring("window", 1, m).alias("a"), F.substring("window", F.col("gap") + m + 1, F.lit(m)).alias("b")).where(f"a rlike '^[ACGT]{{{m}}}$' and b rlike '^[ACGT]{{{m}}}$'")
+    both = F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(S.reverse_complement("b").alias("x"), S.reverse_complement("a").alias("y")))
+    counted = pairs.groupBy("gap", "a", "b").agg(F.count("*").alias("k")).select("gap", "k", F.explode(both).alias("p")).groupBy("gap", "p").agg(F.sum("k").alias("n"))
+    return counted.groupBy("gap").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") > 1).alias("again"), (F.lit(16**m) - F.count("*")).alias("unseen"))

@@ -128,18 +128,26 @@ def seeds(sequences: DataFrame, patterns: DataFrame, k: int, word: int | None =
     return _seeds(sequences, patterns, k, word, 0).drop("around").distinct()
 
 
+def found(sequences: DataFrame, patterns: DataFrame, k: int, word: int | None = None, context: int = 0) -> DataFrame:
+    """entry_id, pattern_id, pattern, start_pos, end_pos, edits, text, before, after: every hit with up to k substitutions, its letters and the ``context`` letters on both sides (BEYOND outside of the entry)."""
+    n = F.length("pattern")
+    around = _seeds(sequences, patterns, k, word, context).where(F.length("around") == n + 3 * context)
+    whole = around.withColumn("text", F.substring("around", F.lit(2 * context + 1), n)).where(~F.contains("text", F.lit(BEYOND)))
+    near = whole.withColumn("edits", S.hamming(F.col("text"), F.col("pattern")) if k else F.when(F.col("text") == F.col("pattern"), 0)).where(F.col("edits") <= k)
+    sides = F.substring("around", context + 1, context).alias("before"), F.substring("around", F.lit(2 * context + 1) + n, F.lit(context)).alias("after")
+    return near.select("entry_id", "pattern_id", "pattern", F.col("at").alias("start_pos"), (F.col("at") + n).alias("end_pos"), "edits", "text", *sides).distinct()
+
+
 def mismatches(sequences: DataFrame, patterns: DataFrame, k: int, word: int | None = None, left: int = 0, right: int = 0) -> DataFrame:
     """Up to k substitutions: seeds, then the distance. left, right: so many letters there must be equal."""
     if k == 0:
         return exact(sequences, patterns)
-    n = F.length("pattern")
-    whole = _seeds(sequences, patterns, k, word, 0).withColumnRenamed("around", "text").where((F.length("text") == n) & ~F.contains("text", F.lit(BEYOND)))
-    near = whole.withColumn("edits", S.hamming(F.col("text"), F.col("pattern"))).where(F.col("edits") <= k)
+    near = found(sequences, patterns, k, word)
     if left:
         near = near.where(F.substring("text", 1, left) == F.substring("pattern", 1, left))
     if right:
         near = near.where(F.expr(f"right(text, {right}) = right(pattern, {right})"))
-    return near.select("entry_id", "pattern_id", F.col("at").alias("start_pos"), (F.col("at") + n).alias("end_pos"), "edits").distinct()
+    return near.select("entry_id", "pattern_id", "start_pos", "end_pos", "edits")
 
 
 def edit_ends(sequences: DataFrame, patterns: DataFrame, k: int, word: int | None = None) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from .graph import components
 from .kmers import dna_words, words
 
 
@@ -47,11 +46,6 @@ def non_redundant_with_containment(sequences: DataFrame, seed: int = 6) -> DataF
     return kept.join(held, "entry_id", "left").select("entry_id", "seq", (F.col("n") + F.coalesce("n_held", F.lit(0))).alias("n"))
 
 
-def duplicate_groups(pairs: DataFrame) -> DataFrame:
-    """node, component over pairs a, b."""
-    return components(pairs)
-
-
 def unique_words(sequences: DataFrame, m: int, both_strands: bool = True) -> DataFrame:
     """entry_id, pos, kmer of the ACGT words of m letters that occur at one place only, of both strands if asked."""
     own = dna_words(sequences, m)
@@ -86,3 +80,13 @@ def matched_elsewhere(queries: DataFrame, background: DataFrame, m: int, k: int
     span = b.groupBy("b_kmer").agg(F.min("b_entry").alias("e0"), F.max("b_entry").alias("e1"), F.min(F.struct("b_entry", "b_pos")).alias("lo"), F.max(F.struct("b_entry", "b_pos")).alias("hi"))
     away = "e0 != entry_id or e1 != entry_id or abs(lo.b_pos - pos) >= {m} or abs(hi.b_pos - pos) >= {m}".format(m=m)
     return q.join(close, "kmer").join(span, "b_kmer").where(away).select("entry_id", "pos").distinct()
+
+
+def matched_in_others(sequences: DataFrame, m: int) -> DataFrame:
+    """entry_id, pos of the ACGT words of m letters that stand in an entry of another group too. sequences: entry_id, seq, group (the last word of the defline, say).
+
+    Of each word the least and the greatest group are enough, so a frequent word is one row.
+    """
+    own = dna_words(sequences, m).join(sequences.select("entry_id", "group"), "entry_id")
+    span = own.groupBy("kmer").agg(F.min("group").alias("g0"), F.max("group").alias("g1"))
+    return own.join(span, "kmer").where("g0 != group or g1 != group").select("entry_id", "pos")

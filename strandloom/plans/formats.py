@@ -14,6 +14,7 @@ ALIGNMENT = {
 }
 COUNT = {"i": "pattern_id", "p": "forward_pattern", "P": "pattern_defline", "q": "pattern", "r": "strand", "R": "strand_word", "c": "n", "C": "counts", "+": "capped_mark", "I": "sts_id", "L": "size", "a": "accession", "O": "species", "&": "altacc", "X": "chrom"}
 RUN = {"s": "start", "e": "end", "l": "len", "S": "abs_start", "E": "abs_end", "t": "symbol", "h": "defline", "H": "name", "f": "entry_id"}
+TANDEM = {"i": "pattern_id", "q": "motif", "s": "start", "e": "end", "l": "length", "c": "copies", "m": "motif_length", "h": "defline", "H": "name", "f": "entry_id"}
 #: Codes of a pair that belong to the amplicon; the others take > (left) or < (right).
 PAIR = {"l": "length", "@": "amplicon", "*": "amplicon_forward", "N": "n_count", "D": "deviance", "0": "epcr", "h": "defline", "H": "name", "f": "entry_id", "I": "sts_id", "L": "size", "a": "accession", "O": "species", "&": "altacc", "X": "chrom"}
 
@@ -76,9 +77,9 @@ def wig(start: str = "start", span: str = "len", value: str = "n") -> Column:
     return F.concat(F.lit("variableStep span="), F.col(span).cast("string"), F.lit("\n"), (F.col(start) + 1).cast("string"), F.lit(" "), F.col(value).cast("string"))
 
 
-def wig_header(mer: int) -> str:
-    """The first line of a track of counts of ``mer``-letter words."""
-    return f"track type=wiggle_0 name={mer}-mer-cnt priority=10 graphType=bar autoScale=off viewLimits=1:20"
+def wig_header(mer: int | None) -> str:
+    """The first line of a track of counts of ``mer``-letter words; None where words are of different lengths, which no number names."""
+    return f"track type=wiggle_0 name={f'{mer}-' if mer else ''}mer-cnt priority=10 graphType=bar autoScale=off viewLimits=1:20"  # fixed value: the format of the line
 
 
 def wig_bar(name: str = "name", start: str = "start", stop: str = "stop", value: str = "value") -> Column:

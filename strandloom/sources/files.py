@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,13 +138,67 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(at(0).alias("src"), at(1).alias("dst"), F.when(seven, at(3)).otherwise(at(2)).alias("start"), F.when(seven, at(5)).otherwise(at(3)).alias("end"), F.when(seven, at(6)).otherwise(at(4)).alias("n"))
 
 
+def _draw(*parts: Column) -> Column:
+    """A number below 2^32 from the md5 of the parts, joined by colons: the same in any system and however rows are partitioned."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts)).cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+
 def random_genome(spark: SparkSession, n_entries: int, length: int, seed: int) -> DataFrame:
-    """entry_id, seq of uniform random letters, the same for the same seed however it is partitioned."""
-    letter = lambda i: F.substring(F.lit("ACGT"), (F.pmod(F.xxhash64(F.lit(seed), "entry_id", i), F.lit(4)) + 1).cast("int"), F.lit(1))
+    """entry_id, seq of uniform random letters: letter i is that of the draw of seed, entry and i, modulo 4."""
+    letter = lambda i: F.substring(F.lit("ACGT"), (_draw(F.lit(seed), F.col("entry_id"), i) % 4 + 1).cast("int"), F.lit(1))
     return spark.range(1, n_entries + 1).withColumnRenamed("id", "entry_id").select("entry_id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(length)), letter), "").alias("seq"))
 
 
 def with_random_errors(reads: DataFrame, rate: float, seed: int) -> DataFrame:
-    """Each letter of seq replaced by one of the other three with the given probability, by hash of entry, place and seed."""
-    letter = F.transform(F.split("seq", ""), lambda c, i: F.when(F.pmod(F.xxhash64(F.lit(seed), "entry_id", i), F.lit(1_000_000)) < rate * 1_000_000, F.substring(F.lit("ACGTACGT"), (F.instr(F.lit("ACGT"), c) + 1 + F.pmod(F.xxhash64(F.lit(seed + 1), "entry_id", i), F.lit(3))).cast("int"), F.lit(1))).otherwise(c))
+    """Each letter of seq replaced by one of the other three with the given probability, by draws of seed, entry and place (from 0)."""
+    other = lambda c, i: F.substring(F.lit("ACGTACGT"), (F.instr(F.lit("ACGT"), c) + 1 + _draw(F.lit(seed + 1), F.col("entry_id"), i) % 3).cast("int"), F.lit(1))
+    letter = F.transform(F.split("seq", ""), lambda c, i: F.when(_draw(F.lit(seed), F.col("entry_id"), i) < int(rate * (1 << 32)), other(c, i)).otherwise(c))
     return reads.withColumn("seq", F.array_join(letter, ""))
+
+
+#: Forms of a database, the best first: normalised (checked letters), a table, text.
+FORMS = (("normalised", ".normalised.parquet"), ("table", ".parquet"), ("text", ""))
+
+
+def forms(spark: SparkSession, base: str) -> dict[str, tuple[str, int]]:
+    """Which forms of a database exist: path and time of the last change."""
+    out = {}
+    for name, suffix in FORMS:
+        at = spark._jvm.org.apache.hadoop.fs.Path(base + suffix)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(at):
+            out[name] = base + suffix, files.getFileStatus(at).getModificationTime()
+    return out
+
+
+def read_best(spark: SparkSession, base: str) -> DataFrame:
+    """The database in the best of its forms that is no older than its text."""
+    found = forms(spark, base)
+    text = found.get("text", ("", 0))[1]
+    for name, _ in FORMS:
+        if name in found and found[name][1] >= text:
+            return read_fasta(spark, found[name][0]) if name == "text" else spark.read.parquet(found[name][0])
+    raise FileNotFoundError(base)
+
+
+def compress(spark: SparkSession, base: str, letters: str | None = None, force: bool = False, check: bool = False) -> bool:
+    """Builds the table of a FASTA file if it is missing or older, or if forced; with letters, the normalised one: other letters become N. Whether it was, or with check would be, built."""
+    from ..functions.seq import canonical
+
+    target = "normalised" if letters else "table"
+    found = forms(spark, base)
+    stale = force or target not in found or found[target][1] < found["text"][1]
+    if stale and not check:
+        rows = read_fasta(spark, base)
+        (rows.withColumn("seq", canonical("seq", letters)) if letters else rows).write.mode("overwrite").parquet(base + dict(FORMS)[target])
+    return stale
+
+
+def write_mass_index(masses: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """A table of masses in order of mass, in ranges, so that a lookup's filter skips files and row groups."""
+    masses.repartitionByRange("mass").sortWithinPartitions("mass").write.mode(mode).parquet(path)
+
+
+def read_mass_index(spark: SparkSession, path: str, low: float | None = None, high: float | None = None) -> DataFrame:
+    rows = spark.read.parquet(path)
+    return rows if low is None else rows.where(F.col("mass").between(low, high))

@@ -58,7 +58,7 @@ def digest(seq, missed=1):
 def test_a8_digest(spark, sf):
     peptides = set().union(*(digest(letters(t)) for t in TEXTS.values())) - {""}
     known = [sum(S.MONO[c] for c in p) for p in peptides if all(c in S.MONO for c in p)]
-    got = {r.query: (r.mw, r.n) for r in catalog.QUERIES["a8_peptide_multiplicity_digest"](spark, sf).collect()}
+    got = {r.query: (r.mw, r.n) for r in catalog.QUERIES["a8_peptide_multiplicity"](spark, sf).collect()}
     assert len(got) == 3 and got[0][1] >= 1 and got[2][1] == 0
     assert all(n == sum(abs(mw - m) <= 0.1 for m in known) for mw, n in got.values())
 
@@ -66,13 +66,13 @@ def test_a8_digest(spark, sf):
 def test_j13_whole(spark, sf):
     windows = {s[i : i + 4] for s in map(letters, TEXTS.values()) for i in range(len(s) - 3)}
     distance = S.amino_distance_map()
-    got = {r.peptide: r.cost for r in catalog.QUERIES["j13_mutation_cost_whole"](spark, sf).collect()}
+    got = {r.peptide: r.cost for r in catalog.QUERIES["j13_mutation_cost"](spark, sf).collect()}
     assert got == {w: sum(0 if a == b else distance.get(a + b, 3) for a, b in zip(w, "THEN", strict=True)) for w in windows}
     assert got["THEN"] == 0 and any(not w.startswith("TH") for w in got)
 
 
 def test_asof_whole(spark, sf):
-    for name, of, best in (("j22_last_at_most_whole", lambda key, place: key <= place, max), ("j23_first_at_least_whole", lambda key, place: key >= place, min)):
+    for name, of, best in (("j22_last_at_most", lambda key, place: key <= place, max), ("j23_first_at_least", lambda key, place: key >= place, min)):
         want = [(k, place, best((key for _, j, key in LINES if j == k and of(key, place)), default=None)) for place, k, _ in LINES]
         assert sorted(map(repr, want)) == sorted(repr((r.k, r.place, r.found)) for r in catalog.QUERIES[name](spark, sf).collect())
 
@@ -80,7 +80,7 @@ def test_asof_whole(spark, sf):
 def test_containment_of_documents(spark, sf):
     own = {i: letters(t) for i, t in TEXTS.items()}
     want = {(a, b) for a, s in own.items() for b, w in own.items() if s and len(s) < len(w) and s in w}
-    assert {(r.part, r.whole) for r in catalog.QUERIES["j20_containment_documents"](spark, sf).collect()} == want and len(want) >= 4
+    assert {(r.part, r.whole) for r in catalog.QUERIES["j20_containment"](spark, sf).collect()} == want and len(want) >= 4
     seqs = [*own.values()]
     top = {s for s in seqs if s and not any(len(s) < len(w) and s in w for w in seqs)}
     got = {r.seq: r.n for r in catalog.QUERIES["t4_non_redundant_with_containment"](spark, sf).collect()}
@@ -90,7 +90,7 @@ def test_containment_of_documents(spark, sf):
 def test_whole_primers(spark, planted):
     at, texts, _ = planted
     want = {(i, strand): (w, sum(len(places(t, w)) for t in texts.values())) for i, p in enumerate(catalog.PRIMERS.split(), 1) for strand, w in (("F", p), ("R", back(p)))}
-    got = {(r.base_id, r.strand): (r.pattern, r.n) for r in catalog.QUERIES["q1_primer_match_counts_whole"](spark, at).collect()}
+    got = {(r.base_id, r.strand): (r.pattern, r.n) for r in catalog.QUERIES["q1_primer_match_counts"](spark, at).collect()}
     assert got == want and sum(n for _, n in want.values()) >= 6 and any(n == 0 for _, n in want.values())
 
 
