@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from .kmers import LONG, far_pieces, with_offsets
+from .kmers import LONG, chunks, far_pieces
 
 
 def runs(sequences: DataFrame, shortest: int = 20, only_n: bool | None = False, any_as_n: bool = False) -> DataFrame:
@@ -14,17 +14,21 @@ def runs(sequences: DataFrame, shortest: int = 20, only_n: bool | None = False,
 
     only_n: False other letters than N, True N alone, None both. any_as_n: whatever is not A, C, G or T counts as N, and only that is looked for.
     """
-    text = F.regexp_replace("part", "[^ACGT]", "N") if any_as_n else F.col("part")
+    letters = F.regexp_replace("piece", "[^ACGT]", "N") if any_as_n else F.col("piece")
     only_n = True if any_as_n else only_n
-    pieces = far_pieces(sequences.select("entry_id", "seq"), 0).select("entry_id", "far", text.alias("part"), F.length("part").alias("n"))
-    laid = with_offsets(pieces, F.regexp_extract_all("part", F.lit(r"((.)\2*)"), F.lit(1)))
-    own = laid.select("entry_id", F.substring(F.get("own", F.lit(0)), 1, 1).alias("symbol"), (F.col("far") + F.col("offset")).alias("start"), F.length(F.get("own", F.lit(0))).cast("bigint").alias("len"), ((F.col("offset") == 0) | (F.col("offset") + F.length(F.get("own", F.lit(0))) == F.col("n"))).alias("edge"))
-    # Runs that touch the border of a piece, two of LONG letters at most, are joined with what goes on behind it.
+    pieces = chunks(sequences, 1).select("entry_id", "base", letters.alias("piece"), F.length("piece").alias("n"))
+    starts = F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: (i == 1) | (F.substring("piece", i, F.lit(1)) != F.substring("piece", i - 1, F.lit(1))))
+    laid = pieces.select("entry_id", "base", "piece", "n", starts.alias("starts"))
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.col("n") + 1))
+    found = F.zip_with("starts", ends, lambda a, b: F.struct(a.alias("at"), (b - a).alias("len")))
+    # What is too short goes at once, unless it touches the border of a piece: it may go on behind it.
+    kept = F.filter(found, lambda x: (x["len"] >= shortest) | (x["at"] == 1) | (x["at"] + x["len"] > F.col("n")))
+    own = laid.select("entry_id", "base", "piece", F.explode(kept).alias("x"))
+    own = own.select("entry_id", F.substring("piece", F.col("x.at"), F.lit(1)).alias("symbol"), (F.col("base") + F.col("x.at") - 1).cast("bigint").alias("start"), F.col("x.len").cast("bigint").alias("len"))
     order = Window.partitionBy("entry_id").orderBy("start")
     goes_on = (F.lag("symbol").over(order) == F.col("symbol")) & (F.lag(F.col("start") + F.col("len")).over(order) == F.col("start"))
-    edges = own.where("edge").withColumn("fresh", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(order))
-    stitched = edges.groupBy("entry_id", "run").agg(F.min("symbol").alias("symbol"), F.min("start").alias("start"), F.sum("len").alias("len"))
-    out = own.where("not edge").select("entry_id", "symbol", "start", "len").unionByName(stitched.drop("run")).where(F.col("len") >= shortest)
+    marked = own.withColumn("fresh", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(order))
+    out = marked.groupBy("entry_id", "run").agg(F.min("symbol").alias("symbol"), F.min("start").alias("start"), F.sum("len").alias("len")).drop("run").where(F.col("len") >= shortest)
     return out if only_n is None else out.where((F.col("symbol") == "N") == F.lit(only_n))
 
 
