@@ -119,8 +119,10 @@ def gcd(a: Column | str, b: Column | str) -> Column:
 
 
 def lcm(a: Column | str, b: Column | str) -> Column:
+    """Least common multiple; 0 if both are 0, null beyond 64 bits."""
     g = gcd(a, b)
-    return F.when(g == 0, F.lit(0)).otherwise(F.abs(column(a)).cast("bigint") / g * F.abs(column(b))).cast("bigint")
+    whole = F.call_function("div", F.abs(column(a)).cast("bigint"), F.when(g != 0, g))
+    return F.when(g == 0, F.lit(0).cast("bigint")).otherwise(F.try_multiply(whole, F.abs(column(b)).cast("bigint")))
 
 
 def codon_distance(codon: Column | str, amino: Column | str) -> Column:
