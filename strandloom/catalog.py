@@ -700,7 +700,7 @@ def g10_euler_tours(spark, sf_dir, source=dna):
 
 @query()
 def g12_transport(spark, sf_dir, source=dna):
-    """Cheapest ways from deficit to surplus nodes along jumpers; tested against all assignments."""
+    """Ways from deficit to surplus nodes along jumpers by Vogel's method, which is near the cheapest; the default method of ``graph.transported`` is the cheapest and tested against all assignments."""
     edges = graph.numbered_graph(_word_graph(spark, sf_dir, source))
     d = graph.degrees(edges).join(graph.components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "node")
     nodes = edges.select(F.col("src").alias("node"), F.col("src_seq").alias("seq")).unionByName(edges.select(F.col("dst").alias("node"), F.col("dst_seq").alias("seq"))).distinct()
