@@ -117,6 +117,66 @@ def aligned(seq: Column | str, pattern: Column | str, first_end: Column | str, l
     return run(S.column(seq), S.column(pattern), S.column(first_end), S.column(last_end))
 
 
+def anchored(seq: str, left: str, right: str, k: int, left_end: int | None = None, right_end: int | None = None, **parameters) -> tuple | None:
+    """A pattern in two pieces, one of them in its place without errors, the other aligned from there with up to k: left piece by its end, or right piece by its end. As ``align``; the constraints count on the whole pattern."""
+    own = {"left": parameters.pop("left", 0), "right": parameters.pop("right", 0)}
+    marks = lambda t, p: "".join("|" if a == b else "+" for a, b in zip(t, p, strict=True))
+    if right_end is not None:
+        edge = right_end - len(right)
+        if edge < 0:
+            return None
+        inner = align(seq, left, edge, edge, k, left=own["left"], right=max(own["right"] - len(right), 0), **parameters)
+        if inner is None:
+            return None
+        start, _, edits, text, ops, pattern = inner
+        fixed = seq[edge:right_end]
+        return start, right_end, edits, text + fixed, ops + marks(fixed, right), pattern + right
+    window = seq[left_end : left_end + len(right) + k][::-1]  # read backward, the fixed place is the end
+    inner = align(window, right[::-1], len(window), len(window), k, left=own["right"], right=max(own["left"] - len(left), 0), **parameters)
+    if inner is None:
+        return None
+    start, end, edits, text, ops, pattern = inner
+    fixed = seq[left_end - len(left) : left_end]
+    return left_end - len(left), left_end + end - start, edits, fixed + text[::-1], marks(fixed, left) + ops[::-1], left + pattern[::-1]
+
+
+def _piece_marks(text: Column, pattern: Column, wildcards: bool, text_n: bool) -> Column:
+    """A mark a letter, for texts of one length."""
+    other = lambda t, p: F.when(S.compatible(t, p) & (F.lit(text_n) | (t != "N")), "+").otherwise("*") if wildcards else F.lit("*")
+    return F.array_join(F.zip_with(F.split(text, ""), F.split(pattern, ""), lambda t, p: F.when(t == p, "|").otherwise(other(t, p))), "")
+
+
+def two_piece(seq: Column | str, left: Column | str, right: Column | str, left_end: Column | str, right_end: Column | str, wildcards: bool = False, text_n: bool = False, left_exact: int = 0, right_exact: int = 0) -> Column:
+    """The alignment of two pieces whose ends are known, as a struct (start, end, edits, text, ops, pattern), by built-in functions.
+
+    Between the pieces one text letter may be too many or be missing; letters within a piece are equal, compatible or substituted. The missing
+    letter is the right piece's first, unless the text letter at the border rather fits there than at the left piece's last. Null where the
+    pieces lie otherwise, leave the text, or where the gap falls into the letters that must be exact.
+    """
+    seq, left, right, a, b = map(S.column, (seq, left, right, left_end, right_end))
+    n, m = F.length(left), F.length(right)
+    gap = b - m - a
+    start = a - n
+    cut = lambda x, at, size: F.substring(x, (at + 1).cast("int"), size.cast("int"))
+    text = cut(seq, start, b - start)
+    marks = lambda t, p: F.when(F.length(p) > 0, _piece_marks(t, p, wildcards, text_n)).otherwise("")
+    zero, one = F.lit(0), F.lit(1)
+    border, last, first = cut(text, n - 1, one), cut(left, n - 1, one), cut(right, zero, one)
+    fits = lambda p: (S.compatible(border, p) & (F.lit(text_n) | (border != "N"))) if wildcards else F.lit(False)
+    of_right = F.when(border == last, True).when(border == first, False).otherwise(fits(last) | ~fits(first))
+    head, tail = cut(text, zero, n), cut(text, n + F.greatest(gap, zero), m)
+    flush = F.concat(marks(head, left), F.when(gap == 1, "^").otherwise(""), marks(tail, right))
+    drops_right = F.concat(marks(head, left), F.lit("v"), marks(cut(text, n, m - 1), cut(right, one, m - 1)))
+    drops_left = F.concat(marks(cut(text, zero, n - 1), cut(left, zero, n - 1)), F.lit("v"), marks(cut(text, n - 1, m), right))
+    ops = F.when(gap >= 0, flush).when(of_right, drops_right).otherwise(drops_left)
+    hole = F.when(of_right, n).otherwise(n - 1)
+    shown = F.when(gap >= 0, text).otherwise(F.concat(cut(text, zero, hole), F.lit("-"), cut(text, hole, F.length(text))))
+    wanted = F.when(gap == 1, F.concat(left, F.lit("-"), right)).otherwise(F.concat(left, right))
+    edits = F.length(F.regexp_replace(ops, "[|+]", ""))
+    allowed = (F.abs(gap) <= 1) & (start >= 0) & (b <= F.length(seq)) & ((gap == 0) | ((F.lit(left_exact) < n) & (F.lit(right_exact) < m)))
+    return F.when(allowed, F.struct(start.cast("bigint").alias("start"), b.cast("bigint").alias("end"), edits.alias("edits"), shown.alias("text"), ops.alias("ops"), wanted.alias("pattern")))
+
+
 def wrapped(text: str, ops: str, pattern: str, width: int = 50) -> str:
     """The three rows of an alignment in blocks of ``width`` columns."""
     return "\n\n".join("\n".join(row[i : i + width] for row in (text, ops, pattern)) for i in range(0, max(len(ops), 1), width))

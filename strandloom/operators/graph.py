@@ -200,6 +200,29 @@ def jumpers(deficit: DataFrame, surplus: DataFrame, m: int, shortest: int = 7, m
     return found.withColumn("i", F.row_number().over(order)).where(F.col("i") <= most).select("a", "b", "overlap", (F.lit(m - 1) - F.col("overlap")).alias("cost"))
 
 
+def shortcuts(edges: DataFrame, longest: int, most: int | None = None) -> DataFrame:
+    """src (a deficit node), dst (a surplus node), cost: the letters of the shortest path from one to the other, where they are at most ``longest``; with ``most``, the nearest so many of each dst, ties by src.
+
+    The search goes backward from all surplus nodes at once: a round joins what got nearer with the edges that lead there, and as an edge has a letter
+    at least there are ``longest`` rounds at most. Only (dst, node) minima are kept. Each path, walked once more, takes a unit from its src to its dst. edges: src, dst, label, n.
+    """
+    d = cut(degrees(edges))
+    steps = cut(edges.groupBy("src", "dst").agg(F.min(F.length("label")).cast("bigint").alias("letters")))
+    reached = d.where("surplus > 0").select(F.col("node").alias("root"), "node", F.lit(0).cast("bigint").alias("cost"), F.lit(True).alias("new"))
+    for _ in range(longest):
+        back = reached.where("new").join(steps.withColumnRenamed("dst", "node"), "node").select("root", F.col("src").alias("node"), (F.col("cost") + F.col("letters")).alias("cost"), F.lit(True).alias("new"))
+        every = reached.withColumn("new", F.lit(False)).unionByName(back.where(F.col("cost") <= longest))
+        nearest = every.groupBy("root", "node").agg(F.min(F.struct("cost", "new")).alias("x"))  # at one cost what is known comes before what is new
+        reached = cut(nearest.select("root", "node", "x.cost", "x.new"))
+        if reached.where("new").isEmpty():
+            break
+    out = reached.join(d.where("surplus < 0").select("node"), "node", "left_semi").select(F.col("node").alias("src"), F.col("root").alias("dst"), "cost")
+    if most is None:
+        return out
+    order = Window.partitionBy("dst").orderBy("cost", "src")
+    return out.withColumn("i", F.row_number().over(order)).where(F.col("i") <= most).drop("i")
+
+
 def transport(supply: dict, demand: dict, costs: dict[tuple, float], method: str = "optimal") -> dict[tuple, int]:
     """Units by (source, sink) along the given edges. greedy: cheapest edge first; vogel: largest regret first; optimal: successive shortest paths, which send all that can be sent at least cost."""
     supply, demand, flow = dict(supply), dict(demand), defaultdict(int)

@@ -6,9 +6,10 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.functions import seq as S
-from strandloom.operators import kmers, match, programs, runs
+from strandloom.operators import align, graph, kmers, match, programs, runs
 from strandloom.plans import formats
 from strandloom.sources import files
 
@@ -130,3 +131,74 @@ def test_small_functions(spark):
     got = kmers.with_offsets(parts.select("id", "p"), parts["p"], 1).orderBy("i").collect()
     assert [(r.i, r.offset, r.own) for r in got] == [(0, 0, ["ab", "c"]), (1, 2, ["c", ""]), (2, 3, ["", "defg"]), (3, 3, ["defg", "h"]), (4, 7, ["h"])]
     assert formats.wig_header(None).split()[2] == "name=mer-cnt"
+
+
+def test_shortcuts_are_shortest_paths(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(12), rnd.randrange(12), "ACGT"[: rnd.randint(1, 3)], rnd.randint(1, 2)) for _ in range(20)]
+    edges = spark.createDataFrame(rows, "src long, dst long, label string, n long")
+    surplus = {x: sum(n * ((a == x) - (b == x)) for a, b, _, n in rows) for x in range(12)}
+    far = {(a, b): 0 if a == b else math.inf for a in range(12) for b in range(12)}
+    for a, b, label, _ in rows:
+        far[a, b] = min(far[a, b], len(label))
+    for via, a, b in itertools.product(range(12), repeat=3):
+        far[a, b] = min(far[a, b], far[a, via] + far[via, b])
+    for longest in (1, 4, 30):
+        want = {(a, b, c) for (a, b), c in far.items() if surplus[a] < 0 < surplus[b] and c <= longest}
+        got = {tuple(r) for r in graph.shortcuts(edges, longest).select("src", "dst", "cost").collect()}
+        assert got == want
+        nearest = {x for x in want if sum((c, a) < (x[2], x[0]) for a, b, c in want if b == x[1]) < 2}
+        assert {tuple(r) for r in graph.shortcuts(edges, longest, most=2).select("src", "dst", "cost").collect()} == nearest
+    assert graph.shortcuts(edges.limit(0), 3).collect() == []
+    units = graph.degrees(edges).where("surplus != 0").withColumn("component", F.lit(1))
+    flow = graph.transported(units.select("component", "node", "surplus"), graph.shortcuts(edges, 30).withColumn("component", F.lit(1)).select("component", "src", "dst", "cost")).collect()
+    assert all(sum(r.units for r in flow if r.src == x) <= max(-surplus[x], 0) and sum(r.units for r in flow if r.dst == x) <= max(surplus[x], 0) for x in range(12))
+
+
+def least_edits(text, pattern):
+    row = list(range(len(text) + 1))
+    for i, p in enumerate(pattern, 1):
+        row, last = [i], row
+        for j, t in enumerate(text, 1):
+            row.append(min(last[j - 1] + (p != t), last[j] + 1, row[-1] + 1))
+    return row[-1]
+
+
+def test_anchored_alignments():
+    rnd = random.Random(4)
+    for _ in range(200):
+        seq, right = "".join(rnd.choices("ACG", k=20)), "".join(rnd.choices("ACG", k=5))
+        found = align.anchored(seq, seq[4:8], right, 2, left_end=8)
+        best = min(least_edits(seq[8:e], right) for e in range(8, 16))
+        assert (found is None) == (best > 2)
+        if found:
+            start, end, edits, text, ops, pattern = found
+            assert (start, edits, text.replace("-", ""), pattern.replace("-", "")) == (4, best, seq[4:end], seq[4:8] + right)
+            assert least_edits(seq[8:end], right) == best and sum(x not in "|+" for x in ops) == best and ops.startswith("||||")
+        found = align.anchored(seq, right, seq[12:16], 2, right_end=16)
+        best = min(least_edits(seq[s:12], right) for s in range(4, 13))
+        assert (found is None) == (best > 2)
+        if found:
+            start, end, edits, text, ops, pattern = found
+            assert (end, edits, text.replace("-", ""), pattern.replace("-", "")) == (16, best, seq[start:16], right + seq[12:16])
+    assert align.anchored("ACGT", "A", "CCGT", 1, right_end=2) is None
+
+
+def test_two_pieces(spark):
+    cases = [
+        ("TTACGTGGCATT", "ACGT", "GGCA", 6, 10, (2, 10, 0, "ACGTGGCA", "||||||||", "ACGTGGCA")),
+        ("TTACGTCGGCATT", "ACGT", "GGCA", 6, 11, (2, 11, 1, "ACGTCGGCA", "||||^||||", "ACGT-GGCA")),
+        ("TTACGTGCATT", "ACGT", "GGCA", 6, 9, (2, 9, 1, "ACGT-GCA", "||||v|||", "ACGTGGCA")),
+        ("TTACGGGCATT", "ACGT", "GGCA", 6, 9, (2, 9, 1, "ACG-GGCA", "|||v||||", "ACGTGGCA")),
+        ("TTACGAGCATT", "ACGT", "GGCA", 6, 9, (2, 9, 2, "ACGA-GCA", "|||*v|||", "ACGTGGCA")),
+        ("TTACGTTTGGCATT", "ACGT", "GGCA", 6, 12, None),
+        ("GT", "ACGT", "GGCA", 2, 6, None),
+        (None, "ACGT", "GGCA", 2, 6, None),
+    ]
+    df = spark.createDataFrame([(i, *c[:5]) for i, c in enumerate(cases)], "i int, seq string, l string, r string, a long, b long")
+    got = {r.i: tuple(r.x) if r.x else None for r in df.select("i", align.two_piece("seq", "l", "r", "a", "b").alias("x")).collect()}
+    assert got == {i: c[5] for i, c in enumerate(cases)}
+    held = df.select("i", align.two_piece("seq", "l", "r", "a", "b", left_exact=4).alias("x")).where("x is not null").collect()
+    assert [r.i for r in held] == [0]
+    wild = df.where("i = 4").select(align.two_piece("seq", F.lit("ACGN"), "r", "a", "b", wildcards=True).alias("x")).first().x
+    assert (wild.edits, wild.ops) == (1, "|||+v|||")
