@@ -6,7 +6,7 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
-from .catalog import _AMINO_SQL, _GRAPH, _HITS, _ISLANDS, PRIMERS, VIEWS, _mass_sql, _word_graph, dna, letters, patterns, points, query, table, text_dna
+from .catalog import _AMINO_SQL, _GRAPH, _HITS, _ISLANDS, PRIMERS, VIEWS, _mass_sql, _over_texts, _word_graph, dna, letters, patterns, points, query, table, text_dna
 from .functions import seq as S
 from .operators import align, graph, kmers, match, programs, runs, uniq
 from .plans import formats
@@ -237,11 +237,11 @@ case d when 0 then '||||' || {_MARKS.format(t="substr(x, 5)", p="r")} when 1 the
 counted as (select entry_id, pattern_id, start::bigint as start, "end"::bigint as "end", length(replace(ops, '|', ''))::bigint as edits, text, ops, pattern from shown)
 select * from counted where edits <= 1
 """)
-def x16_two_piece_alignments(spark, sf_dir):
+def x16_two_piece_alignments(spark, sf_dir, source=dna):
     """Exact first pieces of four letters, the second piece next to it, a letter further or a letter nearer, with one error at most. A hit takes the letters after it along, so no entry is read twice."""
     pieces = patterns(spark, sf_dir).select("pattern_id", F.substring("pattern", 1, 4).alias("pattern"), F.expr("substring(pattern, 5)").alias("right"))
     room = 8  # a right piece of six letters and the letter between at most
-    hits = match.found(dna(spark, sf_dir), pieces.select("pattern_id", "pattern"), 0, None, room).join(pieces.select("pattern_id", "right"), "pattern_id")
+    hits = match.found(source(spark, sf_dir), pieces.select("pattern_id", "pattern"), 0, None, room).join(pieces.select("pattern_id", "right"), "pattern_id")
     near = hits.withColumn("seq", F.concat("text", F.rtrim(F.translate("after", match.BEYOND, " ")))).withColumn("d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
     found = near.select("entry_id", "pattern_id", "start_pos", align.two_piece("seq", "pattern", "right", F.length("pattern"), F.length("pattern") + F.col("d") + F.length("right")).alias("a")).where("a.edits <= 1")
     return found.select("entry_id", "pattern_id", (F.col("start_pos") + F.col("a.start")).alias("start"), (F.col("start_pos") + F.col("a.end")).alias("end"), "a.edits", "a.text", "a.ops", "a.pattern")
@@ -251,6 +251,10 @@ def x16_two_piece_alignments(spark, sf_dir):
 steps as (select src, dst, min(length(label))::bigint as letters from e group by src, dst),
 walk as (select node as root, node, 0::bigint as cost from d where surplus > 0 union select root, src, cost + letters from walk join steps on node = dst where cost + letters <= 5)
 select node as src, root as dst, min(cost) as cost from walk where node in (select node from d where surplus < 0) group by all""", views=False)
-def g11_shortcut_edges(spark, sf_dir):
+def g11_shortcut_edges(spark, sf_dir, source=dna):
     """All ways of at most a word's length along the graph from deficit to surplus nodes."""
-    return graph.shortcuts(_word_graph(spark, sf_dir), 5)
+    return graph.shortcuts(_word_graph(spark, sf_dir, source), 5)
+
+
+for _f in (x16_two_piece_alignments, g11_shortcut_edges):
+    query()(_over_texts(_f))
