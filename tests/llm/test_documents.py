@@ -113,6 +113,14 @@ def test_simhash_links_are_whole(spark):
     assert {r.node: r.component for r in simhash.components(simhash.links(nodes)).collect()}.items() <= components(dict(enumerate(fps)), 4).items()
 
 
+def test_simhash_probes_stay_off_the_driver(spark):
+    nodes = simhash.cut(spark.range(3000).selectExpr("xxhash64(id) as fp", "id as node"))
+    links = simhash.links(nodes.unionByName(nodes.limit(50).selectExpr("fp ^ 5 as fp", "node + 3000 as node")))
+    assert links.count() == 50
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_simhash_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 900), (900, 700)], "a long, b long")
     got = {r.node: r.component for r in simhash.components(edges).collect()}
