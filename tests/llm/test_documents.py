@@ -1,6 +1,7 @@
 """The document operators against brute force and on edge cases."""
 
 import hashlib
+import itertools
 import math
 import re
 import struct
@@ -121,6 +122,20 @@ def test_simhash_probes_stay_off_the_driver(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_simhash_broadcasts_no_exploded_table(docs, monkeypatch):
+    plans, cut = [], simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    simhash.near_duplicates(docs).collect()
+    deep = lambda line: len(line) - len(line.lstrip(" :+-"))
+    assert sum("Generate" in plan for plan in plans) > 1
+    for plan in plans:
+        lines = plan.splitlines()
+        for i, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                below = list(itertools.takewhile(lambda x: deep(x) > deep(line), lines[i + 1 :]))
+                assert not any("Generate" in x for x in below), plan
+
+
 def test_simhash_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 900), (900, 700)], "a long, b long")
     got = {r.node: r.component for r in simhash.components(edges).collect()}
