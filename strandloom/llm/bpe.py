@@ -9,7 +9,8 @@ byte it finds the one last token of the longer prefix, drops starting points tha
 no vocabulary entry can still reach, and emits every token up to the boundary that
 all chains of the remaining starting points share. Lookahead is so bounded by the longest
 vocabulary entry. States and transitions are made on first use and kept in a
-table of bounded size; once it is full, further ones are made but not kept.
+table of bounded size; once it is full, what is left of a short piece whose next transition is not
+in it takes the same steps without making states, and of a long one the states made are not kept.
 
 Texts of any length are read whole; a piece without a boundary (a run of letters, say) is
 encoded in time linear in its length and not remembered. Null or empty text: no tokens, hashes of the empty string. Repeated rows give
@@ -23,7 +24,7 @@ import gc
 import re
 import struct
 from bisect import insort
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from hashlib import sha256
 
@@ -35,6 +36,8 @@ from .common import map_rows
 
 #: At most so many states and remembered pieces a worker, and pieces of so many characters, so that both tables stay within some 150 MB.
 MAX_STATES, MAX_PIECES, MAX_REMEMBERED = 50_000, 400_000, 48
+#: Bytes of a piece that may be held without settling boundaries.
+SHORT = 4 * MAX_REMEMBERED
 #: Below this code point the pieces are cut by a pattern with its classes spelt out, which is faster.
 PLAIN = 0x250
 
@@ -111,6 +114,28 @@ class MergeTransducer:
             steps[byte] = to, out
         return to, out
 
+    def rest(self, state: list, piece: bytes, at: int) -> list[int]:
+        """What is left to emit from this state on for piece[at:], by the same steps without making states: no boundary is settled before the end."""
+        before, buf, last, live, _, _ = state
+        piece, last, known, pair = piece[at - len(buf) :], list(last), self.known, self.pair
+        for end in range(len(buf) + 1, len(piece) + 1):
+            token, going = -1, []
+            for q in live:
+                if found := known.get(piece[q:end]):
+                    if found & 1:
+                        going.append(q)
+                    if token < 0 and found > 1:
+                        left, t = last[q - 1] if q else before, (found >> 1) - 1
+                        fits = pair.get(left << 32 | t)
+                        if fits or fits is None and self.fits(left, t):
+                            token = t
+            if token < 0:
+                raise ValueError("the table lacks a single byte")
+            last.append(token)
+            going.append(end)
+            live = going
+        return list(self.chain(last, len(piece)))
+
     def meeting(self, ends: list[int], last: tuple[int, ...]) -> int:
         """Where the chains from all these positions have met: the largest steps back until one is left."""
         ends = ends.copy()
@@ -121,7 +146,7 @@ class MergeTransducer:
                 insort(ends, q)
         return ends[0]
 
-    def chain(self, last: tuple[int, ...], q: int) -> tuple[int, ...]:
+    def chain(self, last: Sequence[int], q: int) -> tuple[int, ...]:
         out = []
         while q > 0:
             out.append(last[q - 1])
@@ -132,8 +157,12 @@ class MergeTransducer:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
         state, out = self.first, []
-        for byte in piece:
-            state, emitted = state[4].get(byte) or self.step(state, byte)
+        for at, byte in enumerate(piece):
+            if (made := state[4].get(byte)) is None:
+                if len(piece) <= SHORT and len(self.made) >= self.max_states:
+                    return out + self.rest(state, piece, at)
+                made = self.step(state, byte)
+            state, emitted = made
             if emitted:
                 out += emitted
         if (end := state[5]) is None:

@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 import pytest
 
-from strandloom.llm import bpe, decontam, html_text, jpeg, langid, pfp, secrets, simhash, substring_dedup, toxicity
+from strandloom.llm import bpe, decontam, html_text, jpeg, langid, pfp, queries, secrets, simhash, substring_dedup, toxicity
 
 SF = "/root/testdata/sf0.001"
 STORY = "<p>" + "A sentence of the story, with words enough. " * 4 + "</p>"
@@ -248,3 +248,21 @@ def test_tables_of_the_encoder_are_bounded(monkeypatch):
     long = "".join(rnd.choice("abcdefgh") for _ in range(20_000))
     assert len(own.encode(long)) > 0 and long not in own.pieces and len(own.pieces) <= 100
     assert len(own.pieces.transducer.made) <= bpe.MAX_STATES
+
+
+def test_short_pieces_make_no_states_beyond_a_full_table(monkeypatch):
+    rnd = random.Random(5)
+    ranks = bpe.read_ranks(queries.ranks_path())
+    own = bpe.MergeTransducer(ranks, max_states=300)
+    parts = ["ch", "keit", "ung", "é", "sch", "ein", "zu", "q", "7", "-", "中"]
+    pieces = [" " + "".join(rnd.choices(parts, k=rnd.randrange(1, 9))) for _ in range(2000)]
+    for piece in pieces[:1000]:
+        own.encode(piece.encode())
+    assert len(own.made) >= 300
+    steps, step = [], own.step
+    monkeypatch.setattr(own, "step", lambda *x: steps.append(x) or step(*x))
+    for piece in pieces:
+        assert own.encode(piece.encode()) == bpe.merge_pairs(piece.encode(), ranks)
+    assert not steps
+    long = "".join(rnd.choices(parts, k=2 * bpe.SHORT)).encode()
+    assert own.encode(long) == bpe.merge_pairs(long, ranks) and steps
