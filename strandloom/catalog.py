@@ -7,6 +7,7 @@ number in the inventory and a name.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from uuid import uuid4
 
@@ -14,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import seq as S
-from .operators import align, graph, kmers, mass, match, pairs, repair, runs, uniq
+from .operators import align, frames, graph, kmers, mass, match, pairs, repair, runs, uniq
 from .plans import chooser, formats
-from .plans.lineage import shared_dir
+from .plans.lineage import cut, shared_dir
 from .sources import files
 from .streaming import per_entry
 
@@ -58,8 +59,8 @@ def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select((n + 1).cast("bigint").alias("pattern_id"), F.substring(F.translate(F.md5(F.col("n_name").cast("binary")), *_HEX), F.lit(1), (F.lit(8) + n % 3).cast("int")).alias("pattern"))
 
 
-def query(sql: str | None = None, views: bool = True):
-    """Registers a function under its own name; integers become long so that both sides have one type."""
+def query(sql: str | None = None, views: bool = True, whole: bool = False):
+    """Registers a function under its own name; integers become long so that both sides have one type. views: the SQL reads VIEWS; whole: and names them itself."""
 
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +70,7 @@ def query(sql: str | None = None, views: bool = True):
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run
         if sql:
-            ORACLE_SQL[f.__name__] = f"with {VIEWS.strip()}{',' if not sql.lstrip().startswith('select') else ''} {sql.strip()}" if views else sql.strip()
+            ORACLE_SQL[f.__name__] = f"with {VIEWS.strip()}{',' if not sql.lstrip().startswith('select') else ''} {sql.strip()}" if views and not whole else sql.strip()
         return f
 
     return register
@@ -322,9 +323,8 @@ def w5_clustered_hits(spark, sf_dir, source=dna):
 @query()
 def u1_alignments(spark, sf_dir, source=dna):
     """Clustered hits with their alignment; tested against brute force and worked examples."""
-    own, pats = source(spark, sf_dir), patterns(spark, sf_dir)
-    hits = chooser.find(own, pats, k=1).join(own, "entry_id").join(pats, "pattern_id")
-    return hits.select("entry_id", "pattern_id", align.aligned("seq", "pattern", "first_end", "last_end", 1).alias("a")).select("entry_id", "pattern_id", "a.start", "a.end", "a.edits", "a.text", "a.ops", F.col("a.pattern").alias("aligned"))
+    hits = chooser.find(source(spark, sf_dir), patterns(spark, sf_dir), k=1)
+    return hits.select("entry_id", "pattern_id", align.aligned("text", "pattern", "first_end", "last_end", 1).alias("a")).select("entry_id", "pattern_id", "a.start", "a.end", "a.edits", "a.text", "a.ops", F.col("a.pattern").alias("aligned"))
 
 
 _AMINO = S.amino_distance_map()
@@ -341,18 +341,29 @@ def j13_mutation_cost(spark, sf_dir):
     return w.withColumn("cost", S.mutation_cost(F.col("peptide"), F.lit("THEN")))
 
 
-@query(f"""
-frames as (select entry_id, f, length(seq) as n, case when f >= 3 then reverse(translate(seq, 'ACGT', 'TGCA')) else seq end as s from dna, unnest(range(0, 6)) t(f)),
-prot as (select entry_id, f, n, array_to_string(list_transform(range(0, (length(s) - f % 3) // 3), lambda i: coalesce({_CODONS}[substr(s, i * 3 + f % 3 + 1, 3)], 'X')), '') as p from frames),
-h as (select entry_id, f, n, i as aa from prot, unnest(range(0, length(p) - 1)) t(i) where substr(p, i + 1, 2) = 'LK')
-select entry_id, f::bigint as frame, aa as aa_start, (case when f >= 3 then n - (aa * 3 + f % 3) - 6 else aa * 3 + f % 3 end)::bigint as dna_start from h
-""")
+def _in_frames_sql(source: str, peptides: str, k: int) -> str:
+    """Every place of both strands where as many amino acids as a peptide has differ from it in at most k, as the places of all texts are tried one by one."""
+    return f"""
+code as (select unnest(map_keys(c)) as codon, unnest(map_values(c)) as aa from (select {_CODONS} as c)),
+own as (select entry_id, 0 as strand, length(seq) as n, seq from {source} union all select entry_id, 1, length(seq), reverse(translate(seq, 'ACGT', 'TGCA')) from {source}),
+aas as materialized (select entry_id, strand, n, i, coalesce(aa, 'X') as aa, codon from (select entry_id, strand, n, i, substr(seq, i + 1, 3) as codon from own, unnest(range(0, n - 2)) t(i)) left join code using (codon)),
+win as (select entry_id, strand, n, i, aa || coalesce(lead(aa, 3) over w, '') || coalesce(lead(aa, 6) over w, '') || coalesce(lead(aa, 9) over w, '') || coalesce(lead(aa, 12) over w, '') as win,
+    codon || coalesce(lead(codon, 3) over w, '') || coalesce(lead(codon, 6) over w, '') || coalesce(lead(codon, 9) over w, '') || coalesce(lead(codon, 12) over w, '') as codons from aas window w as (partition by entry_id, strand order by i)),
+p as (select pattern_id::bigint as pattern_id, pattern from (values {peptides}) v(pattern_id, pattern)),
+found as (select entry_id, pattern_id, pattern, left(win, length(pattern)) as text, left(codons, 3 * length(pattern)) as codons, (3 * strand + i % 3)::bigint as frame, (i // 3)::bigint as aa_start, (case strand when 0 then i else n - i - 3 * length(pattern) end)::bigint as dna_start
+    from win, p where length(win) >= length(pattern) and hamming(left(win, length(pattern)), pattern) <= {k})"""
+
+
+@query(f"{_in_frames_sql('dna', "(1, 'LK')", 0)} select entry_id, frame, aa_start, dna_start from found")
 def j14_peptides_in_frames(spark, sf_dir, source=dna):
-    own = source(spark, sf_dir).select("entry_id", F.length("seq").alias("n"), "seq", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("frame"))
-    found = own.select(F.struct("entry_id", "frame", "n").alias("key"), S.translation("seq", F.col("frame")).alias("seq"))
-    at = found.select("key", "seq", F.explode(S.positions("seq", 2)).alias("aa_start")).where("substring(seq, aa_start + 1, 2) = 'LK'")
-    start, _ = S.codon_to_dna("aa_start", F.lit(2), "frame", "n")
-    return at.select("key.*", "aa_start").select("entry_id", "frame", "aa_start", start.alias("dna_start"))
+    peptide = spark.createDataFrame([(1, "LK")], "pattern_id bigint, pattern string")
+    return frames.peptides_in_frames(source(spark, sf_dir), peptide).select("entry_id", "frame", "aa_start", "dna_start")
+
+
+@query(_in_frames_sql("text_dna", "(1, 'LK')", 0) + " select entry_id, frame, aa_start, dna_start from found")
+def j14_peptides_in_frames_whole(spark, sf_dir):
+    """The same over whole texts."""
+    return j14_peptides_in_frames(spark, sf_dir, text_dna)
 
 
 _PAIRS = f"""
@@ -635,7 +646,7 @@ def g1_x_spaces(spark, sf_dir, source=dna):
     return _spaces(spark, sf_dir, source)
 
 
-@query(f"{_GRAPH}, g as (select src, dst, label, count(*) as n, min(entry_id * 100 + pos) as fp from ed group by all) select src, dst, label, n, fp // 100 as first_entry, fp % 100 as first_pos from g")
+@query(f"{_GRAPH}, g as (select src, dst, label, count(*) as n, min(entry_id * 1000000 + pos) as fp from ed group by all) select src, dst, label, n, fp // 1000000 as first_entry, fp % 1000000 as first_pos from g")
 def g2_word_graph(spark, sf_dir, source=dna):
     return _word_graph(spark, sf_dir, source)
 
@@ -675,6 +686,21 @@ def g8_path_counts(spark, sf_dir, source=dna):
     return graph.path_counts(own, edges, 5)
 
 
+@query(f"{_GRAPH} select ed.entry_id, ed.pos as start, src, dst, label, e.n from ed join e using (src, dst, label)")
+def j24_threads(spark, sf_dir, source=dna):
+    """The edges that each document takes whole through the word graph of all documents, found as a read is."""
+    own = source(spark, sf_dir)
+    found = graph.threaded(own, graph.word_graph(_spaces(spark, sf_dir, source), own, 5), 5)
+    return found.where("first = 0 and last = length(label) - 1").select("entry_id", "start", "src", "dst", "label", "n")
+
+
+@query(f"""{_GRAPH}, w as (select src || label as path, length(label) as k from e) select distinct substr(path, i + 1, 6) as word from w, unnest(range(0, k)) t(i)""")
+def q25_assembled_words(spark, sf_dir, source=dna):
+    """Reads to contracted, resolved edges as one query: the different words of six letters along them, which no repair adds to or takes from."""
+    texts = repair.assembled(source(spark, sf_dir), 5).select(F.monotonically_increasing_id().alias("entry_id"), F.col("text").alias("seq"))
+    return kmers.words(texts, 6).select(F.col("kmer").alias("word")).distinct()
+
+
 @query("""
 c as (select o_custkey, o_orderkey, lead(o_orderkey) over (partition by o_custkey order by o_orderkey) as nx, count(*) over (partition by o_custkey) as k from orders)
 select min(o_orderkey) as head, max(o_orderkey) as tail, string_agg(cast(o_orderkey as varchar) || '>', '' order by o_orderkey) filter (nx is not null) as label, count(*) - 1 as steps from c group by o_custkey having count(*) > 1
@@ -692,6 +718,18 @@ def g7_balance(spark, sf_dir, source=dna):
     return graph.balance(graph.numbered_graph(_word_graph(spark, sf_dir, source)))
 
 
+@query(f"{_GRAPH} select src, dst, label, n, 0::bigint as breaks from e")
+def g10_tours_visit_all(spark, sf_dir, source=dna):
+    """How often the tours, made by joins, take each edge of the graph; breaks: how many steps of all tours begin elsewhere than where the step before ended."""
+    edges = cut(graph.numbered_graph(_word_graph(spark, sf_dir, source)))
+    tours = cut(graph.euler_tours(edges, in_one_task=0))
+    after = tours.select("component", (F.col("step") - 1).alias("step"), F.col("src").alias("next"))
+    breaks = tours.join(after, ["component", "step"]).where("dst != next").count()
+    names = edges.select("src", "dst", "src_seq", "dst_seq").distinct()
+    taken = tours.where("label is not null").groupBy("src", "dst", "label").agg(F.count("*").alias("n")).join(names, ["src", "dst"])
+    return taken.select(F.col("src_seq").alias("src"), F.col("dst_seq").alias("dst"), "label", "n", F.lit(breaks).cast("bigint").alias("breaks"))
+
+
 @query()
 def g10_euler_tours(spark, sf_dir, source=dna):
     """Tours; that each uses every edge once is tested."""
@@ -856,8 +894,10 @@ def stream_exact_match(spark, sf_dir):
 
 # --- The same over whole texts ------------------------------------------------
 
-#: The SQL of these reads ``dna``; each is registered again, without SQL, over all letters of the texts.
-WHOLE = (j6_mismatches, j8_anchored_mismatches, j10_seeded_mismatches, j7_edit_ends, w5_clustered_hits, u1_alignments, a1_counts_by_edits, j14_peptides_in_frames, q18_unique_words, j19_matched_elsewhere, a16_inexact_words, g1_x_spaces, g2_word_graph, a14_degrees, g5_graph_statistics, g13_ambiguous_edges, g7_balance, g10_euler_tours, g12_transport, g16_numbered_nodes, g8_path_counts, g6_resolved_repeats)
+#: Each of these reads ``dna``; it is registered again over all letters of the texts, with the same SQL over those.
+WHOLE = (j6_mismatches, j8_anchored_mismatches, j10_seeded_mismatches, a1_counts_by_edits, q18_unique_words, j19_matched_elsewhere, a16_inexact_words, g1_x_spaces, g2_word_graph, a14_degrees, g5_graph_statistics, g13_ambiguous_edges, g16_numbered_nodes, g8_path_counts, j24_threads)
+#: The same without SQL: alignments have ties that SQL does not tell, and tours, restart edges, transports and repairs are one of many right ones; tested by brute force and by what they must keep.
+WHOLE_WITHOUT_SQL = (u1_alignments, g7_balance, g10_euler_tours, g12_transport, g6_resolved_repeats)
 
 
 def _over_texts(f):
@@ -868,8 +908,32 @@ def _over_texts(f):
     return run
 
 
+#: The hits of _SUBS, over whole texts; the windows are made once.
+_SUBS_OF_TEXTS = "win as materialized (select entry_id, i, substr(seq, i + 1, 10) as win from text_dna, unnest(range(0, length(seq) - 7)) t(i)), near as (select entry_id, pattern_id, i as start_pos, i + length(pattern) as end_pos, hamming(left(win, length(pattern)), pattern)::bigint as edits from win join patterns on length(win) >= length(pattern) where hamming(left(win, length(pattern)), pattern) <= 2)"
+
+
+def _texts_sql(name: str) -> str:
+    """The SQL of a query of ``dna`` over ``text_dna``."""
+    return re.sub(r"\b(from|join) dna\b", r"\1 text_dna", ORACLE_SQL[name].replace(_SUBS, _SUBS_OF_TEXTS))
+
+
 for _f in WHOLE:
+    query(_texts_sql(_f.__name__), whole=True)(_over_texts(_f))
+for _f in WHOLE_WITHOUT_SQL:
     query()(_over_texts(_f))
 
 
+#: Ends of stretches within one edit of a pattern, over whole texts: one half of the pattern stands there exactly.
+_ENDS_BY_HALVES = """
+halves as (select pattern_id, pattern, 0 as o, left(pattern, length(pattern) // 2) as mer from patterns union all select pattern_id, pattern, length(pattern) // 2, substr(pattern, length(pattern) // 2 + 1) from patterns),
+mers as (select entry_id, i, substr(seq, i + 1, n) as mer from text_dna, unnest([4, 5]) s(n), unnest(range(0, length(seq) - n + 1)) t(i)),
+seeds as (select distinct entry_id, pattern_id, pattern, i - o as place from mers join halves using (mer)),
+around as (select pattern_id, pattern, entry_id, place, length(seq) as n, substr(seq, greatest(place - 3, 0) + 1, 20) as win, greatest(place - 3, 0) as base from seeds join text_dna using (entry_id)),
+tries as (select entry_id, pattern_id, pattern, place + length(pattern) + d as e, length(pattern) + l as l, win, base, n from around, unnest([-1, 0, 1]) u(d), unnest([-1, 0, 1]) v(l)),
+ends as (select entry_id, pattern_id, e as end_pos, min(levenshtein(substr(win, e - l - base + 1, l), pattern))::bigint as edits from tries where l <= e and e <= n group by all having min(levenshtein(substr(win, e - l - base + 1, l), pattern)) <= 1)"""
+
+query(f"{_ENDS_BY_HALVES} select * from ends")(_over_texts(j7_edit_ends))
+query(f"{_ENDS_BY_HALVES}{_CLUSTERS.removeprefix(_ENDS)} select * from cl")(_over_texts(w5_clustered_hits))
+
+
 from . import compositions  # noqa: E402, F401  (registers its queries here)

@@ -6,9 +6,9 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
-from .catalog import _AMINO_SQL, _GRAPH, _HITS, _ISLANDS, PRIMERS, VIEWS, _mass_sql, _over_texts, _word_graph, dna, letters, patterns, points, query, table, text_dna
+from .catalog import _AMINO_SQL, _GRAPH, _HITS, _ISLANDS, _STRANDS, PRIMERS, VIEWS, _in_frames_sql, _mass_sql, _over_texts, _texts_sql, _word_graph, dna, letters, patterns, points, query, table, text_dna
 from .functions import seq as S
-from .operators import align, graph, kmers, match, programs, runs, uniq
+from .operators import align, frames, graph, kmers, match, programs, runs, uniq
 from .plans import formats
 from .plans.lineage import shared_dir
 from .sources import files
@@ -28,6 +28,27 @@ def q1_primer_match(spark, sf_dir):
     return programs.primer_match(text_dna(spark, sf_dir), _primers(spark), 2)
 
 
+#: Ends of stretches within one edit of a whole primer in the whole texts: one half of it stands there exactly. Then clusters of ends.
+_EDITS = f"""{_STRANDS},
+halves as (select pattern_id, pattern, 0 as o, left(pattern, length(pattern) // 2) as mer from strands union all select pattern_id, pattern, length(pattern) // 2, substr(pattern, length(pattern) // 2 + 1) from strands),
+mers as (select entry_id, i, substr(seq, i + 1, n) as mer from text_dna, unnest([6, 7, 8, 9]) s(n), unnest(range(0, length(seq) - n + 1)) t(i)),
+seeds as (select distinct entry_id, pattern_id, pattern, i - o as place from mers join halves using (mer)),
+tries as (select entry_id, pattern_id, pattern, place + length(pattern) + d as e, length(pattern) + l as l, seq from seeds join text_dna using (entry_id), unnest([-1, 0, 1]) u(d), unnest([-1, 0, 1]) v(l)),
+ends as (select entry_id, pattern_id, e as end_pos, min(levenshtein(substr(seq, e - l + 1, l), pattern))::bigint as edits from tries where l <= e and e <= length(seq) group by all having min(levenshtein(substr(seq, e - l + 1, l), pattern)) <= 1),
+a as (select *, case when end_pos - lag(end_pos) over (partition by entry_id, pattern_id order by end_pos) <= 3 then 0 else 1 end as fresh from ends), c as (select *, sum(fresh) over (partition by entry_id, pattern_id order by end_pos) as cluster from a),
+cl as (select entry_id, pattern_id, min(end_pos) as first_end, max(end_pos) as last_end, min(edits) as edits from c group by entry_id, pattern_id, cluster)"""
+
+
+@query(f"{_EDITS} select entry_id, pattern_id, base_id, strand, first_end, last_end, edits, edits as n_errors, true as rows_fit, true as ends_there from cl join strands using (pattern_id)")
+def q1_primer_match_with_edits(spark, sf_dir):
+    """The whole primers in the whole texts, both strands, one edit: clusters of ends, and that the gap rows of their alignments are what they should be."""
+    hits = programs.primer_match(text_dna(spark, sf_dir), _primers(spark), 1, indels=True)
+    without = lambda c: F.replace(c, F.lit("-"), F.lit(""))
+    fit = (without("text_gaps") == F.col("text")) & (without("pattern_gaps") == F.col("pattern")) & (F.length("ops") == F.length("text_gaps")) & (F.length("ops") == F.length("pattern_gaps"))
+    errors = F.col("n_sub") + F.col("n_missing") + F.col("n_extra")
+    return hits.select("entry_id", "pattern_id", "base_id", "strand", "first_end", "last_end", "edits", errors.alias("n_errors"), fit.alias("rows_fit"), F.col("end").between(F.col("first_end"), F.col("last_end")).alias("ends_there"))
+
+
 @query(f"{_HITS}, c as (select strands.base_id, strands.strand, count(*) filter (edits = 0) as n_0, count(*) filter (edits = 1) as n_1, count(*) filter (edits = 2) as n_2, count(edits) as n from strands left join hits using (pattern_id) group by all) select * from c")
 def q1_counts_by_edits_and_strand(spark, sf_dir):
     hits = match.mismatches(text_dna(spark, sf_dir), match.both_strands(_primers(spark)), 2)
@@ -114,6 +135,18 @@ def q6_peptide_scan(spark, sf_dir):
     return programs.peptide_scan(letters(spark, sf_dir), peptides, 2, 2).withColumn("mass_difference", F.round("mass_difference", 4))
 
 
+_CODON_COST = ", ".join(f"'{c}{x}': {S.codon_amino_distance(c, x)}" for c in (a + b + d for a in "TCAG" for b in "TCAG" for d in "TCAG") for x in sorted({*"".join(_PEPTIDES)} & {*S.CODE}))
+
+
+@query(f"""{_in_frames_sql("text_dna", _PEPTIDE_VALUES, 1)}, m as (select map {{{_CODON_COST}}} as cost),
+c as (select found.*, list_sum(list_transform(range(1, length(pattern) + 1), lambda i: coalesce(cost[substr(codons, 3 * i - 2, 3) || substr(pattern, i, 1)], 3)))::bigint as cost from found, m)
+select entry_id, pattern_id, frame, aa_start, dna_start, dna_start + 3 * length(pattern) as dna_end, text, hamming(text, pattern)::bigint as edits, cost from c where cost <= 1""")
+def q6_peptides_in_dna(spark, sf_dir):
+    """Peptides in all six frames of the whole texts that one nucleotide change at most brings about, counted codon by codon."""
+    peptides = spark.createDataFrame(list(enumerate(_PEPTIDES, 1)), "pattern_id bigint, pattern string")
+    return frames.peptides_in_frames(text_dna(spark, sf_dir), peptides, 1).drop("pattern", "left_context", "right_context")
+
+
 @query(f"""
 w as (select entry_id, i as pos, substr(seq, i + 1, 8) as kmer from dna, unnest(range(0, length(seq) - 7)) t(i)), n as (select kmer from w group by kmer having count(distinct entry_id) > 1),
 free as (select entry_id, pos, pos - row_number() over (partition by entry_id order by pos) as island from w where kmer not in (select kmer from n)), i as (select entry_id, min(pos) as start, count(*) as len, row_number() over (partition by entry_id order by min(pos)) - 1 as run from free group by entry_id, island)
@@ -256,5 +289,28 @@ def g11_shortcut_edges(spark, sf_dir, source=dna):
     return graph.shortcuts(_word_graph(spark, sf_dir, source), 5)
 
 
-for _f in (x16_two_piece_alignments, g11_shortcut_edges):
-    query()(_over_texts(_f))
+query(_texts_sql("x16_two_piece_alignments"), whole=True)(_over_texts(x16_two_piece_alignments))
+query()(_over_texts(g11_shortcut_edges))
+
+
+@query()
+def q15_pairs_by_gap_whole(spark, sf_dir):
+    """Pairs of words of three letters of the whole texts seen once, again and never, for every gap from 0 to 1,000; tested by brute force."""
+    return kmers.seen_by_gap(text_dna(spark, sf_dir), 3, 1000)
+
+
+@query(f"""
+w as materialized (select entry_id, i as pos, substr(seq, i + 1, 12) as kmer from text_dna, unnest(range(0, length(seq) - 11)) t(i)),
+strands as (select entry_id, pos, kmer from w union all select entry_id, pos, reverse(translate(kmer, 'ACGT', 'TGCA')) from w),
+span as (select kmer, min((entry_id, pos)) as lo, max((entry_id, pos)) as hi from strands group by kmer),
+masked as (select kmer, o, left(kmer, o) || '.' || substr(kmer, o + 2) as rest from (select distinct kmer from w), unnest(range(3, 10)) t(o)),
+others as (select kmer, o, left(kmer, o) || '.' || substr(kmer, o + 2) as rest, lo, hi from span, unnest(range(3, 10)) t(o)),
+grouped as (select o, rest, min(lo) as lo, max(hi) as hi from others group by all),
+around as (select m.kmer, min(g.lo) as lo, max(g.hi) as hi from masked m join grouped g using (o, rest) group by m.kmer)
+select entry_id, count(*) as n from w join around using (kmer) where lo[1] != entry_id or hi[1] != entry_id or abs(lo[2] - pos) >= 12 or abs(hi[2] - pos) >= 12 group by entry_id
+""")
+def q18_matched_within_one(spark, sf_dir):
+    """Places of each text whose twelve letters stand elsewhere, on either strand, with one substitution at most, none in the first three and last two letters."""
+    own = text_dna(spark, sf_dir)
+    found = uniq.matched_elsewhere(own, own, 12, 1, same=True, both_strands=True, left=3, right=2)
+    return found.groupBy("entry_id").agg(F.count("*").alias("n"))

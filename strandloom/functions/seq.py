@@ -151,6 +151,23 @@ def to_regex(pattern: str, wildcards: bool = True, text_n: bool = False, lite: b
     return "".join(out)
 
 
+def any_of(words: list[str]) -> str:
+    """A regular expression that finds any of the words, branching letter by letter; words that begin with another of them are not needed."""
+    shortest: list[str] = []
+    for w in sorted(words):
+        if not shortest or not w.startswith(shortest[-1]):
+            shortest.append(w)
+
+    def branch(rest: list[str]) -> str:
+        if len(rest) == 1:
+            return "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in rest[0])
+        tails = {c: [w[1:] for w in rest if w[0] == c] for c in sorted({w[0] for w in rest})}
+        parts = [branch([c]) + (branch(t) if t[0] else "") for c, t in tails.items()]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return branch(shortest)
+
+
 def kmer_code(kmer: Column | str) -> Column:
     """Base-4 number of an ACGT word (up to 31 letters)."""
     return F.conv(F.translate(column(kmer), "ACGT", "0123"), 4, 10).cast("bigint")

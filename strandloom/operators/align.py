@@ -5,17 +5,17 @@ Marks: | equal, + wildcard equal, * substitution (. : x for 1, 2, 3 nucleotide c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
 
 INF = 1 << 29
-TYPE = "start bigint, end bigint, edits int, text string, ops string, pattern string"
+#: Letters that changes of nucleotides are counted between.
+_AMINO = "".join(sorted(set(S.CODE)))
 
 
 @lru_cache(1)
@@ -103,18 +103,84 @@ def align(seq: str, pattern: str, first_end: int, last_end: int, k: int, wildcar
     return low + start, low + j, least, "".join(t), "".join(ops), "".join(p)
 
 
-def aligned(seq: Column | str, pattern: Column | str, first_end: Column | str, last_end: Column | str, k: int, **parameters) -> Column:
-    """The alignment as a struct (start, end, edits, text, ops, pattern), over Arrow batches."""
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
 
-    @F.pandas_udf(TYPE)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        names = ["start", "end", "edits", "text", "ops", "pattern"]
-        for s, p, a, b in batches:
-            rows = [align(*x[:2], int(x[2]), int(x[3]), k, **parameters) or (None,) * 6 for x in zip(s, p, a, b, strict=True)]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"start": "Int64", "end": "Int64", "edits": "Int32"})
 
-    return run(S.column(seq), S.column(pattern), S.column(first_end), S.column(last_end))
+def aligned(text: Column | str, pattern: Column | str, first_end: Column | str, last_end: Column | str, k: int, wildcards: bool = False, text_n: bool = False, indels: bool = True, mutations: bool = False, left: Column | int = 0, right: Column | int = 0) -> Column:
+    """What ``align`` gives, as a struct (start, end, edits, text, ops, pattern; null beyond k) of built-in functions.
+
+    text: the letters from greatest(first_end - length(pattern) - k, 0) to last_end of the entry, which is all that an alignment can use. Rows of
+    costs are made for the pattern's letters from the last to the first; in a row the cheapest run of at most k extra letters is looked for ahead, so rows need no loop of their own.
+    """
+    text, pattern, first_end = S.column(text), S.column(pattern), S.column(first_end).cast("int")
+    gap, far = 3 if mutations else 1, F.lit(1 << 20)
+    left, right = (F.lit(x) if isinstance(x, int) else x for x in (left, right))
+    m, n = F.length(pattern), F.length(text)
+    low = F.greatest(first_end - m - k, F.lit(0))
+    exact = lambda i: (i < left) | (i >= m - right)
+    skip = lambda i: F.when(exact(i), far).otherwise(gap) if indels else far
+    more = lambda i: F.when((i == 0) | ((i > 0) & (i < left)) | ((i > m - right) & (i < m)), far).otherwise(gap) if indels else far
+    at = lambda a, i: F.coalesce(F.get(a, i), far)
+    amino = F.lit([S.amino_distance_map().get(x + y, 3) for x in _AMINO for y in _AMINO]) if mutations else None
+    change = lambda p, t: F.when((F.instr(F.lit(_AMINO), p) > 0) & (F.instr(F.lit(_AMINO), t) > 0), F.get(amino, (F.instr(F.lit(_AMINO), p) - 1) * len(_AMINO) + F.instr(F.lit(_AMINO), t) - 1)).otherwise(3)
+    like = lambda p, t: S.compatible(t, p) & (F.lit(text_n) | (t != "N")) if wildcards else F.lit(False)
+    instead = change if mutations else lambda p, t: F.lit(1)
+    pair = lambda i, p, t: F.when(p == t, 0).when(like(p, t), 0).when(exact(i), far).otherwise(instead(p, t))
+    mark = lambda p, t: F.when(p == t, "|").when(like(p, t), "+").otherwise(F.element_at(F.array(*map(F.lit, ".:x")), instead(p, t)) if mutations else F.lit("*"))
+
+    def solved(T: Column) -> Column:
+        places = F.sequence(F.lit(0), n)
+
+        def row(below: Column, i: Column) -> Column:
+            p = F.substring(pattern, i + 1, F.lit(1))
+            base = F.transform(places, lambda j: F.least(at(below, j) + skip(i), at(below, j + 1) + F.coalesce(pair(i, p, F.get(T, j)), far)))
+            return _let(base, lambda b: _let(more(i), lambda c: F.transform(places, lambda j: F.least(far, *(at(b, j + d) + c * d for d in range(k + 1))))))
+
+        last = F.transform(places, lambda j: F.when(j >= first_end - low, 0).otherwise(F.least(far, (first_end - low - j) * (gap if indels else far))))
+        back = F.when(m > 0, F.sequence(m - 1, F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(back, F.array(last), lambda rows, i: F.concat(rows, F.array(row(F.element_at(rows, -1), i))))
+
+    def traced(rows: Column, T: Column) -> Column:
+        cell = lambda i, j: F.coalesce(F.get(F.get(rows, m - i), j), far)
+        letter = lambda i: F.substring(pattern, i + 1, F.lit(1))
+
+        def begin(least: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), n), lambda j: cell(F.lit(0), j) == least)
+            matching = F.filter(F.slice(starts, F.lit(1), F.size(starts) - 1), lambda j: (j < n) & (cell(F.lit(1), j + 1) + F.coalesce(pair(F.lit(0), letter(F.lit(0)), F.get(T, j)), far) == least))
+            return F.coalesce(F.get(matching, F.lit(0)), F.element_at(starts, -1))
+
+        def step(s: Column, _: Column) -> Column:
+            i, j, p, t = s["i"], s["j"], letter(s["i"]), F.get(T, s["j"])
+            here, last = cell(i, j), F.right(s["ops"], F.lit(1))
+            inside = (i < m) & (j < n)
+            diagonal = inside & (cell(i + 1, j + 1) + F.coalesce(pair(i, p, t), far) == here)
+            down = (i < m) & (cell(i + 1, j) + skip(i) == here)
+            over = (j < n) & (cell(i, j + 1) + more(i) == here)
+            kept = ((last == "v") & down) | ((last == "^") & over) | ((last == "+") & (down | over))
+            move = F.when((i >= m) & (cell(m, j) == 0), "done").when(diagonal & ~kept, "both").when(down & ((last != "^") | ~over), "down").otherwise("over")
+
+            def made(x: Column) -> Column:
+                both, d, o = x == "both", x == "down", x == "over"
+                return F.struct(
+                    (i + (both | d).cast("int")).alias("i"), (j + (both | o).cast("int")).alias("j"),
+                    F.concat(s["ops"], F.when(both, mark(p, t)).when(d, "v").when(o, "^").otherwise("")).alias("ops"),
+                    F.concat(s["text"], F.when(both | o, t).when(d, "-").otherwise("")).alias("text"),
+                    F.concat(s["pattern"], F.when(both | d, p).when(o, "-").otherwise("")).alias("pattern"),
+                )
+
+            return _let(move, made)
+
+        def walked(start: Column, least: Column) -> Column:
+            none = F.lit("")
+            first = F.struct(F.lit(0).alias("i"), start.alias("j"), none.alias("ops"), none.alias("text"), none.alias("pattern"))
+            done = lambda s: F.struct((low + start).cast("bigint").alias("start"), (low + s["j"]).cast("bigint").alias("end"), least.alias("edits"), s["text"].alias("text"), s["ops"].alias("ops"), s["pattern"].alias("pattern"))
+            return F.aggregate(F.sequence(F.lit(1), m + n + 1), first, step, done)
+
+        return _let(F.array_min(F.element_at(rows, -1)), lambda least: F.when(least <= k, _let(begin(least), lambda start: walked(start, least))))
+
+    return _let(F.split(text, ""), lambda T: _let(solved(T), lambda rows: traced(rows, T)))
 
 
 def anchored(seq: str, left: str, right: str, k: int, left_end: int | None = None, right_end: int | None = None, **parameters) -> tuple | None:

@@ -8,11 +8,12 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
 from ..plans.lineage import cut
+from ..plans.scans import running
 from .kmers import words, words_with_neighbours
 
 
@@ -112,35 +113,81 @@ def merged_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def balance(edges: DataFrame, close: bool = False) -> DataFrame:
-    """component, src, dst: restart edges from deficit to surplus nodes, the i-th unit of one to the i-th of the other in each component; one fewer than there are, so that a tour has two ends, unless closed."""
+    """component, src, dst: restart edges from deficit to surplus nodes, the i-th unit of one to the i-th of the other in each component; one fewer than there are, so that a tour has two ends, unless closed. Nodes are bigint."""
     member = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    d = degrees(edges).join(member, "node")
-    order = Window.partitionBy("component").orderBy("node", "unit")
-    spread = lambda side: d.where(side > 0).select("component", "node", F.explode(F.sequence(F.lit(1), side)).alias("unit")).withColumn("i", F.row_number().over(order))
+    d = cut(degrees(edges).join(member, "node"))
+    one = F.lit(1).cast("bigint").alias("i")
+
+    def spread(side: Column) -> DataFrame:
+        units = d.where(side > 0).select("component", "node", F.explode(F.sequence(F.lit(1).cast("bigint"), side.cast("bigint"))).alias("unit"), one)
+        return running(units, ["component", "node", "unit"], ["component", "node"], ("i",), key="component").withColumnRenamed("i_to", "i")
+
     need, have = spread(-F.col("surplus")), spread(F.col("surplus"))
     out = need.alias("x").join(have.alias("y"), ["component", "i"]).select("component", "i", F.col("x.node").alias("src"), F.col("y.node").alias("dst"))
     if not close:
-        last = Window.partitionBy("component")
-        out = out.withColumn("most", F.max("i").over(last)).where("i < most").drop("most")
+        out = out.join(have.groupBy("component").agg(F.max("i").alias("most")), "component").where("i < most").drop("most")
     return out.drop("i")
 
 
-def unitigs(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """head, tail, label, steps of maximal paths through nodes with one edge in and one out, by pointer doubling: each round joins every path with the path that follows it, so a chain of n edges takes log n rounds. Cycles of such nodes have no ends and are left out. edges: src, dst, label."""
+def unitigs(edges: DataFrame, rounds: int = 60, whole: bool = False) -> DataFrame:
+    """head, tail, label, steps of maximal paths through nodes with one edge in and one out, by pointer doubling: each round joins every path with the path that follows it, so a chain of n edges takes log n rounds.
+
+    Cycles of such nodes have no ends and are left out; with ``whole`` each of them is opened at its smallest node, and a column n has the least count along the path. edges: src, dst, label[, n].
+    """
     ins = edges.groupBy("dst").agg(F.count("*").alias("i")).select(F.col("dst").alias("node"), "i")
     outs = edges.groupBy("src").agg(F.count("*").alias("o")).select(F.col("src").alias("node"), "o")
     inner = cut(ins.join(outs, "node").where("i = 1 and o = 1").select("node"))
+    if whole:
+        between = edges.join(inner.select(F.col("node").alias("src")), "src", "left_semi").join(inner.select(F.col("node").alias("dst")), "dst", "left_semi")
+        marked = edges.select(F.col("src").alias("node"), "dst").join(inner, "node").join(inner.select(F.col("node").alias("dst")), "dst", "left_anti").select("node")
+        rings = components(between.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+        # a chain has a node from which it goes on to a node that is not inner; a cycle has none
+        open_chains = rings.join(marked, "node").select("component").distinct()
+        loops = edges.where("src = dst").select(F.col("src").alias("node"))
+        opened = rings.join(open_chains, "component", "left_anti").select(F.col("component").alias("node")).unionByName(loops).distinct()
+        inner = cut(inner.join(opened, "node", "left_anti"))
     marked = edges.join(inner.select(F.col("node").alias("src"), F.lit(True).alias("from_inner")), "src", "left").join(inner.select(F.col("node").alias("dst"), F.lit(True).alias("to_inner")), "dst", "left")
-    paths = cut(marked.select("src", "dst", "label", F.lit(1).cast("bigint").alias("steps"), F.coalesce("from_inner", F.lit(False)).alias("a"), F.coalesce("to_inner", F.lit(False)).alias("b")))
+    n = F.col("n").cast("bigint") if whole else F.lit(1).cast("bigint")
+    paths = cut(marked.select("src", "dst", "label", n.alias("n"), F.lit(1).cast("bigint").alias("steps"), F.coalesce("from_inner", F.lit(False)).alias("a"), F.coalesce("to_inner", F.lit(False)).alias("b")))
     for _ in range(rounds):
         if not paths.where("b and not a").limit(1).count():
-            return paths.where("not a and not b").select(F.col("src").alias("head"), F.col("dst").alias("tail"), "label", "steps")
-        nxt = paths.where("a").select(F.col("src").alias("dst"), F.col("dst").alias("dst2"), F.col("label").alias("label2"), F.col("steps").alias("steps2"), F.col("b").alias("b2"))
-        going = paths.where("b").join(nxt, "dst").select("src", F.col("dst2").alias("dst"), F.concat("label", "label2").alias("label"), (F.col("steps") + F.col("steps2")).alias("steps"), "a", F.col("b2").alias("b"))
+            return paths.where("not a and not b").select(F.col("src").alias("head"), F.col("dst").alias("tail"), "label", "steps", *(["n"] if whole else []))
+        nxt = paths.where("a").select(F.col("src").alias("dst"), F.col("dst").alias("dst2"), F.col("label").alias("label2"), F.col("steps").alias("steps2"), F.col("n").alias("n2"), F.col("b").alias("b2"))
+        going = paths.where("b").join(nxt, "dst").select("src", F.col("dst2").alias("dst"), F.concat("label", "label2").alias("label"), F.least("n", "n2").alias("n"), (F.col("steps") + F.col("steps2")).alias("steps"), "a", F.col("b2").alias("b"))
         paths = cut(going.unionByName(paths.where("not b")))
     raise RuntimeError("paths did not settle")
 
 
+def spanning_forest(pairs: DataFrame, rounds: int = 60) -> DataFrame:
+    """Of the pairs (a, b), those of a spanning forest: in each round every tree takes its least pair to another tree, and trees that took one grow together. a, b: bigint."""
+    every = cut(pairs.select("a", "b").distinct())
+    open_pairs = every.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y"))  # x, y: the trees of a and b
+    chosen = None
+    for _ in range(rounds):
+        ends = F.explode(F.array("x", "y")).alias("tree")
+        taken = cut(open_pairs.select(ends, "a", "b", "x", "y").groupBy("tree").agg(F.min(F.struct("a", "b", "x", "y")).alias("e")).select("e.*").distinct())
+        chosen = taken.select("a", "b") if chosen is None else chosen.unionByName(taken.select("a", "b"))
+        to = components(taken.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        moved = open_pairs.join(to.select(F.col("node").alias("x"), F.col("component").alias("x2")), "x").join(to.select(F.col("node").alias("y"), F.col("component").alias("y2")), "y")
+        open_pairs = cut(moved.where("x2 != y2").select("a", "b", F.col("x2").alias("x"), F.col("y2").alias("y")))
+        if open_pairs.isEmpty():
+            return chosen
+    raise RuntimeError("trees did not settle")
+
+
+def list_ranks(nexts: DataFrame, rounds: int = 60) -> DataFrame:
+    """id, last, left: of chains given by id and next (null at the end), the end of each one's chain and how many steps it is away, by pointer doubling."""
+    at = cut(nexts.select("id", F.col("next").alias("to"), F.col("id").alias("last"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("bigint").alias("left")))
+    for _ in range(rounds):
+        going = at.where("`to` is not null")
+        if going.isEmpty():
+            return at.select("id", "last", "left")
+        ahead = at.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("last").alias("last2"), F.col("left").alias("left2"))
+        jumped = going.join(ahead, "to").select("id", F.col("to2").alias("to"), F.col("last2").alias("last"), (F.col("left") + F.col("left2")).alias("left"))
+        at = cut(at.where("`to` is null").unionByName(jumped))
+    raise RuntimeError("chains did not settle")
+
+
 def tour(pairs: list[tuple[object, object, str]]) -> list[tuple[object, object, str]]:
     """Edges of a connected, balanced (but for two nodes at most) multigraph in the order of an Euler tour."""
     out: dict[object, list[tuple[object, str]]] = defaultdict(list)
@@ -164,25 +211,108 @@ def tour(pairs: list[tuple[object, object, str]]) -> list[tuple[object, object,
     return [e for e in reversed(found) if e[0] is not None]
 
 
-def euler_tours(edges: DataFrame) -> DataFrame:
-    """component, step, src, dst, label: every edge (n times) and every restart edge (label null) once, in the order of a tour of its component. A tour is sequential, so a component is one group; edges: src, dst, label, n."""
+#: A component of up to so many edges, copies and restarts counted, is toured in one task; a larger one by joins.
+TOUR_EDGES = 1 << 21
+
+
+def euler_tours(edges: DataFrame, in_one_task: int = TOUR_EDGES) -> DataFrame:
+    """component, step, src, dst, label: every edge (n times) and every restart edge (label null) once, in the order of a tour of its component. edges: src, dst (bigint), label, n.
+
+    Components are counted first: those of up to ``in_one_task`` edges are walked, each in a task, the others toured by joins (see ``_tours_by_joins``).
+    """
     member = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    copies = edges.select("src", "dst", "label", F.explode(F.expr("sequence(1, cast(n as int))"))).drop("col")
-    known = copies.join(member.withColumnRenamed("node", "src"), "src").select("component", "src", "dst", "label")
-    every = known.unionByName(balance(edges).select("component", "src", "dst", F.lit(None).cast("string").alias("label")))
-    kinds = dict(every.dtypes)
+    alone = edges.where("src = dst").select(F.col("src").alias("node")).distinct().join(member, "node", "left_anti").select("node", F.col("node").alias("component"))
+    member = cut(member.unionByName(alone))
+    copies = edges.select("src", "dst", "label", F.explode(F.expr("sequence(1, cast(n as int))"))).drop("col").join(member.withColumnRenamed("node", "src"), "src")
+    closing = cut(balance(edges, close=True).withColumn("id", F.monotonically_increasing_id()))
+    spare = closing.groupBy("component").agg(F.max("id").alias("id"))
+    every = copies.select("component", "src", "dst", "label", F.lit(False).alias("restart"), F.lit(False).alias("spare")).unionByName(
+        closing.join(spare.withColumn("spare", F.lit(True)), ["component", "id"], "left").select("component", "src", "dst", F.lit(None).cast("string").alias("label"), F.lit(True).alias("restart"), F.coalesce("spare", F.lit(False)).alias("spare"))
+    )
+    every = cut(every)
+    sizes = cut(every.groupBy("component").agg(F.count("*").alias("size")))
+    large = sizes.where(F.col("size") > in_one_task).select("component")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = tour([(a, b, lab) for a, b, lab in zip(pdf["src"], pdf["dst"], pdf["label"], strict=True)])
+        rows = tour(list(zip(pdf["src"], pdf["dst"], pdf["label"], strict=True)))
         return pd.DataFrame([(pdf["component"].iloc[0], i, *r) for i, r in enumerate(rows)], columns=["component", "step", "src", "dst", "label"])
 
-    return every.groupBy("component").applyInPandas(walk, f"component {kinds['component']}, step bigint, src {kinds['src']}, dst {kinds['dst']}, label string")
+    small = every.join(large, "component", "left_anti").where("not spare").select("component", "src", "dst", "label").groupBy("component")
+    walked = small.applyInPandas(walk, "component bigint, step bigint, src bigint, dst bigint, label string")
+    return walked if large.isEmpty() else walked.unionByName(_tours_by_joins(every.join(large, "component", "left_semi")))
+
+
+def _tours_by_joins(every: DataFrame) -> DataFrame:
+    """The same of large components. every: component, src, dst, label, restart, spare (the restart edge too many, if there are any), so that each node has as many ways in as out.
+
+    At every node the i-th way in goes on by the i-th way out, which makes cycles; cycles are
+    labelled as components, and those that meet are joined along a spanning forest of cycles and nodes by handing their ways on round the node; what is then one cycle a
+    component is cut open (at the spare edge, if there is one) and numbered by pointer doubling. No component or node is one group.
+    """
+    every = cut(every.withColumn("id", F.monotonically_increasing_id()).withColumn("one", F.lit(1).cast("bigint")))
+    ways_in = running(every, ["dst", "id"], ["dst", "id"], ("one",), key="dst").select(F.col("dst").alias("node"), F.col("one_to").alias("i"), F.col("id").alias("come"))
+    ways_out = running(every, ["src", "id"], ["src", "id"], ("one",), key="src").select(F.col("src").alias("node"), F.col("one_to").alias("i"), F.col("id").alias("go"))
+    turns = cut(ways_in.join(ways_out, ["node", "i"]).select("node", "come", "go"))
+
+    cycles = components(turns.select(F.col("come").alias("a"), F.col("go").alias("b")))
+    labelled = cut(turns.join(cycles.select(F.col("node").alias("come"), F.col("component").alias("cycle")), "come", "left").withColumn("cycle", F.coalesce("cycle", "come")))
+    met = labelled.groupBy("node", "cycle").agg(F.min("come").alias("come"))
+    shared = cut(met.join(met.groupBy("node").agg(F.count("*").alias("k")).where("k > 1").select("node"), "node"))
+    if not shared.isEmpty():
+        # cycles and nodes as one kind of number: even and odd
+        tree = spanning_forest(shared.select((F.col("cycle") * 2).alias("a"), (F.col("node") * 2 + 1).alias("b")))
+        joined = shared.join(tree.select(F.expr("a div 2").alias("cycle"), F.expr("(b - 1) div 2").alias("node")), ["cycle", "node"])
+        ranked = running(joined.withColumn("i", F.lit(1).cast("bigint")), ["node", "cycle"], ["node", "come"], ("i",), key="node").withColumnRenamed("i_to", "i")
+        after = ranked.join(ranked.groupBy("node").agg(F.max("i").alias("k")), "node").select("node", "come", (F.col("i") % F.col("k") + 1).alias("i"))
+        given = after.join(ranked.withColumnRenamed("come", "taken"), ["node", "i"]).select("come", "taken")
+        other = turns.select(F.col("come").alias("taken"), F.col("go").alias("go2"))
+        turns = turns.join(given.join(other, "taken").select("come", "go2"), "come", "left").select("come", F.coalesce("go2", "go").alias("go"))
+
+    # a component's cycle ends with its spare edge, which is then left out, or else with the edge of the greatest id
+    ends = every.groupBy("component").agg(F.max(F.struct("spare", "id")).alias("e")).select(F.col("e.id").alias("come"))
+    nexts = turns.join(ends.withColumn("ends", F.lit(True)), "come", "left").select(F.col("come").alias("id"), F.when(F.col("ends").isNull(), F.col("go")).alias("next"))
+    ranks = list_ranks(nexts)
+    sizes = ranks.groupBy("last").agg(F.max("left").alias("most"))
+    placed = every.join(ranks, "id").join(sizes, "last").where("not spare")
+    return placed.select("component", (F.col("most") - F.col("left")).alias("step"), "src", "dst", "label")
+
+
+def edge_words(edges: DataFrame, m: int) -> DataFrame:
+    """edge, offset, word: the words of m + 1 letters along each edge, one for each letter of its label. edges: edge (a number), src, label, with sources of m letters."""
+    spelt = edges.select(F.col("edge").alias("entry_id"), F.concat("src", "label").alias("seq"))
+    return words(spelt, m + 1).select(F.col("entry_id").alias("edge"), F.col("pos").alias("offset"), F.col("kmer").alias("word"))
 
 
 def path_counts(sequences: DataFrame, edges: DataFrame, m: int) -> DataFrame:
-    """entry_id, pos, n: count of the graph's edge at each (m+1)-word of the sequences, 0 where it has none. edges: src, label of one letter, n."""
-    table = edges.where("length(label) = 1").select(F.concat("src", "label").alias("kmer"), "n").groupBy("kmer").agg(F.sum("n").alias("n"))
-    return words(sequences, m + 1).join(table, "kmer", "left").select("entry_id", "pos", F.coalesce("n", F.lit(0)).alias("n"))
+    """entry_id, pos, n: count of the graph's edges at each (m+1)-word of the sequences, 0 where they have none. edges: src, label (of any length), n."""
+    known = edges.withColumn("edge", F.monotonically_increasing_id())
+    known = cut(known.select("edge", "src", "label", "n"))
+    table = edge_words(known, m).hint("merge").join(known.select("edge", "n"), "edge").groupBy("word").agg(F.sum("n").alias("n"))
+    return words(sequences, m + 1).hint("merge").join(table.withColumnRenamed("word", "kmer"), "kmer", "left").select("entry_id", "pos", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def threaded(reads: DataFrame, edges: DataFrame, m: int) -> DataFrame:
+    """entry_id, thread, step, src, dst, label, n, start, first, last: the ways of reads through a graph whose labels have any lengths.
+
+    Every (m+1)-word of a read is looked up among the words along the edges, all reads and places at once; words that follow each other on an edge are one
+    passage of it, from its letter ``first`` to ``last`` (all of them, unless the read begins or ends there or differs); start: where the edge's source would stand in the read. Passages of whole
+    edges that meet are steps (from 0) of one thread (from 1 in the read). No read is gathered. reads: entry_id, seq; edges: src, dst, label, n.
+    """
+    known = cut(edges.select("src", "dst", "label", "n").withColumn("edge", F.monotonically_increasing_id()))
+    placed = words(reads, m + 1).select("entry_id", F.col("pos").cast("bigint").alias("pos"), F.col("kmer").alias("word")).hint("merge").join(edge_words(known, m), "word")
+    # on one edge and one diagonal, words that follow each other differ from their rank by one number
+    on = placed.select("entry_id", "edge", (F.col("pos") - F.col("offset")).alias("start"), F.col("offset").cast("bigint").alias("offset"))
+    order = Window.partitionBy("entry_id", "edge", "start").orderBy("offset")  # as many rows as an edge has letters
+    runs = on.withColumn("run", F.col("offset") - F.row_number().over(order)).groupBy("entry_id", "edge", "start", "run").agg(F.min("offset").alias("first"), F.max("offset").alias("last"))
+    found = cut(runs.drop("run").join(known, "edge").withColumn("size", F.length("label").cast("bigint")))
+    before = found.where("last = size - 1").select("entry_id", (F.col("start") + F.col("size")).alias("start"), F.col("dst").alias("src"), F.lit(1).alias("goes_on")).distinct()
+    linked = found.join(before, ["entry_id", "start", "src"], "left")
+    fresh = (F.col("goes_on").isNull() | (F.col("first") > 0)).cast("bigint")
+    ordered = linked.withColumn("thread", fresh).withColumn("step", F.lit(1).cast("bigint"))
+    keep = ["entry_id", "src", "dst", "label", "n", "start", "first", "last", "thread"]
+    laid = running(ordered, ["entry_id", F.col("start") + F.col("first"), "edge"], keep, ("thread", "step"), key="entry_id")
+    begins = laid.where("thread = 1").select("entry_id", F.col("thread_to").alias("thread_to"), F.col("step_to").alias("begin"))
+    return laid.join(begins, ["entry_id", "thread_to"]).select("entry_id", F.col("thread_to").alias("thread"), (F.col("step_to") - F.col("begin")).alias("step"), "src", "dst", "label", "n", "start", "first", "last")
 
 
 def overlaps(left: DataFrame, right: DataFrame, shortest: int, longest: int) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,13 +36,15 @@ def chunks(sequences: DataFrame, span: int) -> DataFrame:
 BEYOND = "\0"
 
 
-def windows(sequences: DataFrame, left: int, right: int) -> DataFrame:
+def windows(sequences: DataFrame, left: int, right: int, only: str | None = None) -> DataFrame:
     """entry_id, pos, window: of every place the letters from ``left`` before it to ``right`` behind it, BEYOND where the entry has none.
 
     What is looked up by the letters at a place takes its surroundings along, so no hit is joined with its entry again.
+    only: a regular expression; places of pieces in which it is not found are left out.
     """
     padded = sequences.select("entry_id", F.concat(F.lit(BEYOND * left), "seq", F.lit(BEYOND * (right - 1))).alias("seq"))
-    rows = chunks(padded, left + right).select("entry_id", "base", "piece", F.explode(S.positions("piece", left + right)).alias("p"))
+    pieces = chunks(padded, left + right)
+    rows = (pieces if only is None else pieces.where(F.col("piece").rlike(only))).select("entry_id", "base", "piece", F.explode(S.positions("piece", left + right)).alias("p"))
     return rows.select("entry_id", (F.col("base") + F.col("p")).alias("pos"), F.expr(f"substring(piece, p + 1, {left + right})").alias("window"))
 
 
@@ -105,7 +111,7 @@ def annotate(sequences: DataFrame, counted: DataFrame, k: int) -> DataFrame:
     """entry_id, pos, n: count of the word at each place on both strands; 0 where the table has none or the word isn't DNA."""
     n = counted.select("kmer", "n")
     both = n.select("kmer", "n").unionByName(n.select(S.reverse_complement("kmer").alias("kmer"), "n")).groupBy("kmer").agg(F.sum("n").alias("n"))
-    return words(sequences, k).join(both, "kmer", "left").select("entry_id", "pos", F.coalesce("n", F.lit(0)).alias("n"))
+    return words(sequences, k).hint("merge").join(both, "kmer", "left").select("entry_id", "pos", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def spaced(sequences: DataFrame, templates: list[str]) -> DataFrame:
@@ -144,11 +150,66 @@ def seen(pairs: DataFrame, m: int) -> DataFrame:
     return pairs.agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") > 1).alias("again"), (F.lit(16**m) - F.count("*")).alias("unseen"))
 
 
+#: Pair codes that a task counts at once, a byte each.
+_CODES = 1 << 24
+
+
 def seen_by_gap(sequences: DataFrame, m: int, most: int) -> DataFrame:
-    """gap, once, again, unseen for every gap from 0 to ``most``: one listing of places, each with the words at all its gaps."""
-    span = 2 * m + most
-    rows = windows(sequences, 0, span).select("window", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("gap"))
-    pairs = rows.select("gap", F.substring("window", 1, m).alias("a"), F.substring("window", F.col("gap") + m + 1, F.lit(m)).alias("b")).where(f"a rlike '^[ACGT]{{{m}}}$' and b rlike '^[ACGT]{{{m}}}$'")
-    both = F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(S.reverse_complement("b").alias("x"), S.reverse_complement("a").alias("y")))
-    counted = pairs.groupBy("gap", "a", "b").agg(F.count("*").alias("k")).select("gap", "k", F.explode(both).alias("p")).groupBy("gap", "p").agg(F.sum("k").alias("n"))
-    return counted.groupBy("gap").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") > 1).alias("again"), (F.lit(16**m) - F.count("*")).alias("unseen"))
+    """gap, once, again, unseen of pairs of words of m letters, on both strands, for every gap from 0 to ``most``.
+
+    A task keeps two bitmaps a gap, of the pairs seen and seen again, and sets them for all places of a piece at once; a gap's bitmaps of the tasks, 16^m bits each,
+    are then put together (what two tasks saw was seen again). Gaps are worked off in groups, so that a task's bitmaps stay within ``_CODES`` bytes; m is at most 6.
+    """
+    if not 1 <= m <= 6:
+        raise ValueError("words of 1 to 6 letters")
+    size = 16**m
+    gaps_at_once = max(1, _CODES // size)
+    groups = -(-(most + 1) // gaps_at_once)
+    digits = np.full(128, 255, np.uint8)
+    digits[[ord(c) for c in "ACGT"]] = range(4)
+    turned = np.arange(4**m)
+    turned = sum(((3 - (turned // 4**i) % 4) * 4 ** (m - 1 - i) for i in range(m)), np.zeros(4**m, np.int64))  # code of the reverse complement
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for group, piece, owned in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                letters = digits[np.minimum(np.frombuffer(piece.encode("ascii", "replace"), np.uint8), 127)]
+                if len(letters) < 2 * m:
+                    continue
+                n = len(letters) - m + 1
+                code, sound = np.zeros(n, np.int64), np.ones(n, bool)
+                for i in range(m):
+                    code, sound = code * 4 + (letters[i : i + n] & 3), sound & (letters[i : i + n] < 4)
+                for gap in range(group * gaps_at_once, min((group + 1) * gaps_at_once, most + 1)):
+                    a = np.arange(min(owned, n - m - gap))
+                    if not len(a):
+                        break
+                    a = a[sound[a] & sound[a + m + gap]]
+                    x, y = code[a], code[a + m + gap]
+                    n_of = np.bincount(np.concatenate((x * 4**m + y, turned[y] * 4**m + turned[x])), minlength=size)
+                    own = state.setdefault(gap, np.zeros(size, np.uint8))
+                    np.minimum(own + np.minimum(n_of, 2).astype(np.uint8), 2, out=own)
+        for gap, own in state.items():
+            yield pa.RecordBatch.from_arrays([pa.array([gap], pa.int64()), pa.array([np.packbits(own > 0).tobytes()], pa.binary()), pa.array([np.packbits(own > 1).tobytes()], pa.binary())], names=["gap", "any", "again"])
+
+    def together(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, more = np.zeros(size // 8 or 1, np.uint8), np.zeros(size // 8 or 1, np.uint8)
+        for batch in batches:
+            for x, y in zip(batch.column("any").to_pylist(), batch.column("again").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                more |= y | some & x
+                some |= x
+        seen, again = int(np.unpackbits(some).sum()), int(np.unpackbits(more).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (key[0].as_py(), seen - again, again, size - seen)], names=["gap", "once", "again", "unseen"])
+
+    own = 1 << 12
+    last = F.length("seq") - 1
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(LONG))).otherwise(F.array().cast("array<int>"))
+    far = sequences.select("seq", F.explode(starts).alias("far")).select(F.expr(f"substring(seq, far + 1, {LONG + 2 * m + most})").alias("part"))
+    near = far.select("part", F.explode(F.sequence(F.lit(0), F.least(F.length("part") - 1, F.lit(LONG - 1)), F.lit(own))).alias("near")).select(F.expr(f"substring(part, near + 1, {own + 2 * m + most})").alias("piece"))
+    work = near.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "piece", F.lit(own).alias("owned"))
+    if groups > 1:
+        work = work.repartition("group", F.pmod(F.xxhash64("piece"), F.lit(64)))  # a task has few groups' bitmaps
+    found = work.mapInArrow(one, "gap bigint, any binary, again binary")
+    return found.groupBy("gap").applyInArrow(together, "gap bigint, once bigint, again bigint, unseen bigint")

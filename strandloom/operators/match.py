@@ -6,14 +6,15 @@ patterns: pattern_id, pattern. Hits: entry_id, pattern_id, start_pos, end_pos, e
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from .kmers import BEYOND, windows
+from .kmers import BEYOND, SHORT, windows
 
 HITS = "entry_id bigint, pattern_id bigint, start_pos bigint, end_pos bigint, edits int"
 
@@ -26,9 +27,52 @@ def both_strands(patterns: DataFrame, protein: bool = False) -> DataFrame:
     return forward.unionByName(patterns.select((F.col("pattern_id") + n).alias("pattern_id"), F.col("pattern_id").alias("base_id"), F.lit("R").alias("strand"), turned.alias("pattern")))
 
 
-def lengths(patterns: DataFrame) -> list[int]:
-    """The different lengths of the patterns (the pattern table, not the sequences, is read for it)."""
-    return sorted(r[0] for r in patterns.select(F.length("pattern")).distinct().collect() if r[0])
+@dataclass(frozen=True)
+class Facts:
+    """What the pattern table (not the sequences) was read for: how many patterns there are of each length."""
+
+    by_length: dict[int, int]
+
+    @property
+    def lengths(self) -> list[int]:
+        return sorted(self.by_length)
+
+
+def facts(patterns: DataFrame) -> Facts:
+    return Facts({r["n"]: r["count"] for r in patterns.groupBy(F.length("pattern").alias("n")).count().collect() if r["n"]})
+
+
+#: A table of pattern words up to so many bytes, as counted, is broadcast. The other side, made of the sequences, never is.
+BROADCAST_BYTES = 16 << 20
+#: Beyond that: buckets of word hashes that the scan is thinned by (a table of so many numbers at most), and parts that the rows of a word are dealt to.
+BUCKETS, SALTS = 1 << 20, 8
+
+
+def looked_up(places: DataFrame, wanted: DataFrame, keys: list[str], n_wanted: int, width: int) -> DataFrame:
+    """Places joined with pattern words. n_wanted, width: how many rows ``wanted`` has, as counted, and of how many letters at most.
+
+    Few pattern words are broadcast. Of many, the hashes thin the places out where that can leave most of them, and the rest is merged,
+    every word's rows in ``SALTS`` parts, so that a frequent word isn't one task.
+    """
+    if n_wanted * (width + 64) <= BROADCAST_BYTES:
+        return places.join(F.broadcast(wanted), keys)
+    if n_wanted <= BUCKETS // 2:
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_bucket")
+        places = places.withColumn("_bucket", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "_bucket", "left_semi").drop("_bucket")
+    dealt = places.withColumn("_salt", F.pmod(F.xxhash64("entry_id", "pos"), F.lit(SALTS)).cast("int"))
+    spread = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.hint("merge").join(spread, [*keys, "_salt"]).drop("_salt")
+
+
+#: Up to so many different words are looked for in a piece by one expression before its places are listed.
+FILTER_WORDS = 1000
+
+
+def piece_filter(words: DataFrame, known: Facts, piece: int) -> str | None:
+    """A regular expression for pieces that hold any of the words; none if there are many words, or if most pieces hold one anyway (of four letters, at random)."""
+    if sum(known.by_length.values()) > FILTER_WORDS or piece * sum(c * 4.0**-n for n, c in known.by_length.items()) > 0.5:
+        return None
+    return S.any_of(sorted({r[0] for r in words.collect()}))
 
 
 def _union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
@@ -48,18 +92,21 @@ def exact(sequences: DataFrame, patterns: DataFrame) -> DataFrame:
     """Equal stretches, in one pass over the sequences for all pattern lengths.
 
     A pattern is looked up by its first letters, as many as the largest power of two in its length, and then compared with what
-    stands at the place; each place has one row for each such power.
+    stands at the place; each place has one row for each such power. Of few patterns, pieces that hold none are dropped before their places are listed.
     """
-    ns = lengths(patterns)
+    known = facts(patterns)
+    ns = known.lengths
     if not ns:
         return _no_hits(sequences)
     firsts = sorted({1 << (n.bit_length() - 1) for n in ns})
     first = F.lit(firsts[0])
     for n in firsts[1:]:
         first = F.when(F.length("pattern") >= n, F.lit(n)).otherwise(first)
-    wanted = patterns.where(F.length("pattern") > 0).select("pattern_id", "pattern", F.substring("pattern", F.lit(1), first).alias("mer"))
-    found = windows(sequences, 0, ns[-1]).withColumn("mer", F.explode(F.array(*(F.substring("window", 1, n) for n in firsts))))
-    hit = found.join(wanted, "mer").where(F.startswith("window", "pattern"))
+    real = patterns.where(F.length("pattern") > 0)
+    wanted = real.select("pattern_id", "pattern", F.substring("pattern", F.lit(1), first).alias("mer"))
+    rows = windows(sequences, 0, ns[-1], piece_filter(real.select("pattern"), known, SHORT))
+    found = rows.withColumn("mer", F.explode(F.array(*(F.substring("window", 1, n) for n in firsts))))
+    hit = looked_up(found, wanted, ["mer"], sum(known.by_length.values()), 2 * ns[-1]).where(F.startswith("window", "pattern"))
     start = F.col("pos").cast("bigint")
     return hit.select("entry_id", "pattern_id", start.alias("start_pos"), (start + F.length("pattern")).alias("end_pos"), F.lit(0).alias("edits"))
 
@@ -100,15 +147,18 @@ def pieces(n: int, k: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _seeds(sequences: DataFrame, patterns: DataFrame, k: int, word: int | None, slack: int) -> DataFrame:
+def _seeds(sequences: DataFrame, patterns: DataFrame, k: int, word: int | None, slack: int, read: Callable[[Column], Column] = lambda x: x) -> DataFrame:
     """entry_id, pattern_id, pattern, at, around: places where a piece (or any word of that size) of the pattern stands exactly.
 
     at: start of the pattern if it had no indel. around: the text from ``slack`` * 2 letters before that to ``slack`` letters behind
     the pattern, cut from the window that the place's row brings along. Each place has one row for each size of the pieces.
+    read: turns a text's letters to those of the patterns, one for one.
     """
-    cut: dict[int, list[tuple[int, int]]] = {n: pieces(n, k) if word is None else [(i, word) for i in range(n - word + 1)] for n in lengths(patterns)}
+    known = facts(patterns)
+    cut: dict[int, list[tuple[int, int]]] = {n: pieces(n, k) if word is None else [(i, word) for i in range(n - word + 1)] for n in known.lengths}
     if not any(cut.values()):
-        return _no_hits(sequences).select("entry_id", "pattern_id", F.lit("").alias("pattern"), F.lit(0).cast("bigint").alias("at"), F.lit("").alias("around"))
+        none = _no_hits(sequences).select("pattern_id", F.lit("").alias("pattern"), F.lit(0).cast("bigint").alias("at"), F.lit("").alias("around"))
+        return sequences.select("entry_id").limit(0).join(none.limit(0))
     left = max((o for own in cut.values() for o, _ in own), default=0) + 2 * slack
     right = max(n - o for n, own in cut.items() for o, _ in own) + slack
     at_length = F.create_map(*(F.lit(x) for n, own in cut.items() for x in (n, [o * 1_000 + m for o, m in own])))
@@ -117,10 +167,11 @@ def _seeds(sequences: DataFrame, patterns: DataFrame, k: int, word: int | None,
     wanted = wanted.select("pattern_id", "pattern", F.floor(F.col("code") / 1_000).cast("int").alias("offset"), (F.col("code") % 1_000).alias("size"))
     wanted = wanted.select("pattern_id", "pattern", "offset", F.substring("pattern", F.col("offset") + 1, F.col("size")).alias("mer"))
     sizes = sorted({m for own in cut.values() for _, m in own})
-    found = windows(sequences, left, right).withColumn("mer", F.explode(F.array(*(F.substring("window", left + 1, m) for m in sizes))))
+    rows = windows(sequences, left, right).withColumn("mer", F.explode(F.array(*(read(F.substring("window", left + 1, m)) for m in sizes))))
+    hit = looked_up(rows, wanted, ["mer"], sum(c * len(cut[n]) for n, c in known.by_length.items()), 2 * known.lengths[-1])
     begin = F.lit(left - 2 * slack) - F.col("offset") + 1
     around = F.substring("window", begin, F.length("pattern") + 3 * slack)
-    return found.join(wanted, "mer").select("entry_id", "pattern_id", "pattern", (F.col("pos") - F.col("offset")).cast("bigint").alias("at"), around.alias("around"))
+    return hit.select("entry_id", "pattern_id", "pattern", (F.col("pos") - F.col("offset")).cast("bigint").alias("at"), around.alias("around"))
 
 
 def seeds(sequences: DataFrame, patterns: DataFrame, k: int, word: int | None = None) -> DataFrame:
@@ -150,23 +201,41 @@ def mismatches(sequences: DataFrame, patterns: DataFrame, k: int, word: int | No
     return near.select("entry_id", "pattern_id", "start_pos", "end_pos", "edits")
 
 
-def edit_ends(sequences: DataFrame, patterns: DataFrame, k: int, word: int | None = None) -> DataFrame:
-    """entry_id, pattern_id, end_pos, edits: every end at which a stretch is within k edits of a pattern, with the least number."""
+def edit_ends(sequences: DataFrame, patterns: DataFrame, k: int, word: int | None = None, with_text: bool = False) -> DataFrame:
+    """entry_id, pattern_id, end_pos, edits: every end at which a stretch is within k edits of a pattern, with the least number.
+
+    with_text: also pattern and tail, the letters before the end, as many as the pattern has and k more (BEYOND outside of the entry).
+    """
     n = F.length("pattern")
     found = _seeds(sequences, patterns, k, word, k).withColumn("shift", F.explode(F.sequence(F.lit(-k), F.lit(k))))
     tail = F.substring("around", F.lit(1), n + 2 * k + F.col("shift"))  # all that ends there; the last k * 2 + n letters of it are looked at
     tries = F.transform(F.sequence(F.greatest(n - k, F.lit(1)), n + k), lambda m: F.struct(m.alias("m"), F.right(F.col("tail"), m).alias("text")))
     costs = F.transform(F.filter(tries, lambda x: (F.length(x["text"]) == x["m"]) & ~F.contains(x["text"], F.lit(BEYOND))), lambda x: F.levenshtein(F.col("pattern"), x["text"], k))
-    ends = found.withColumn("tail", tail).select("entry_id", "pattern_id", (F.col("at") + n + F.col("shift")).alias("end_pos"), F.array_min(F.filter(costs, lambda d: d >= 0)).alias("edits"))
-    return ends.where("edits is not null").groupBy("entry_id", "pattern_id", "end_pos").agg(F.min("edits").alias("edits"))
+    own = ["pattern", "tail"] if with_text else []
+    ends = found.withColumn("tail", tail).select("entry_id", "pattern_id", (F.col("at") + n + F.col("shift")).alias("end_pos"), F.array_min(F.filter(costs, lambda d: d >= 0)).alias("edits"), *own)
+    ends = ends.where("edits is not null")
+    if with_text:
+        ends = ends.withColumn("tail", F.right("tail", F.length("pattern") + k))
+    return ends.groupBy("entry_id", "pattern_id", "end_pos", *own).agg(F.min("edits").alias("edits"))
 
 
 def clusters(ends: DataFrame, k: int) -> DataFrame:
-    """entry_id, pattern_id, first_end, last_end, edits: ends of one pattern less than 2k + 2 apart are one hit."""
+    """entry_id, pattern_id, first_end, last_end, edits: ends of one pattern less than 2k + 2 apart are one hit.
+
+    Of ends with text: also pattern and text, the letters of the entry from length(pattern) + k before the first end to the last end, put
+    together from the ends' tails, so the entry is not read again.
+    """
     order = Window.partitionBy("entry_id", "pattern_id").orderBy("end_pos")
-    new = (F.col("end_pos") - F.lag("end_pos").over(order) > 2 * k + 1).cast("int")
-    marked = ends.withColumn("cluster", F.sum(F.coalesce(new, F.lit(1))).over(order))
-    return marked.groupBy("entry_id", "pattern_id", "cluster").agg(F.min("end_pos").alias("first_end"), F.max("end_pos").alias("last_end"), F.min("edits").alias("edits")).drop("cluster")
+    ahead = F.col("end_pos") - F.lag("end_pos").over(order)
+    new = (ahead > 2 * k + 1).cast("int")
+    marked = ends.withColumn("ahead", ahead).withColumn("cluster", F.sum(F.coalesce(new, F.lit(1))).over(order))
+    about = [F.min("end_pos").alias("first_end"), F.max("end_pos").alias("last_end"), F.min("edits").alias("edits")]
+    if "tail" not in ends.columns:
+        return marked.groupBy("entry_id", "pattern_id", "cluster").agg(*about).drop("cluster")
+    added = F.when(F.col("ahead") <= 2 * k + 1, F.expr("right(tail, int(ahead))")).otherwise(F.col("tail"))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("end_pos", "added"))), lambda x: x["added"]), "")
+    made = marked.withColumn("added", added).groupBy("entry_id", "pattern_id", "pattern", "cluster").agg(*about, F.replace(texts, F.lit(BEYOND), F.lit("")).alias("text"))
+    return made.drop("cluster")
 
 
 def counts(hits: DataFrame, patterns: DataFrame, k: int = 0, cap: int | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from . import match, pairs, runs
+from . import align, match, pairs, runs
 from .kmers import BEYOND, windows
 
 
@@ -19,30 +19,41 @@ def _marks(text: str, pattern: str) -> Column:
     return F.array_join(F.zip_with(F.split(text, ""), F.split(pattern, ""), lambda a, b: F.when(a == b, F.lit("|")).otherwise(F.lit("*"))), "")
 
 
-def primer_match(sequences: DataFrame, primers: DataFrame, k: int = 0, both: bool = True, upper: bool = False, word: int | None = None, **exact: int) -> DataFrame:
-    """Hits with up to k substitutions of each primer, of both strands if asked, and all that an alignment line tells of them.
+def primer_match(sequences: DataFrame, primers: DataFrame, k: int = 0, both: bool = True, upper: bool = False, word: int | None = None, indels: bool = False, **exact: int) -> DataFrame:
+    """Hits with up to k substitutions (or, with indels, edits) of each primer, of both strands if asked, and all that an alignment line tells of them.
 
     exact: five, three, start, end and their inexact forms (see ``functions.seq.constraints``): letters that take no error, counted on
     the primer, so on the reverse strand 5' and 3' change sides. upper: primers are read in upper case.
-    five and three are the hit's end coordinates in the primer's direction; text_forward is the hit as the primer reads it.
+    five and three are the hit's end coordinates in the primer's direction; text_forward is the hit as the primer reads it. text_gaps and pattern_gaps are the
+    alignment's rows. With indels a hit is a cluster of ends (first_end, last_end) and the best alignment that ends in it; edits are those of the alignment.
     """
     own = primers.select("pattern_id", (F.upper("pattern") if upper else F.col("pattern")).alias("pattern"))
     strands = match.both_strands(own) if both else own.select("pattern_id", F.col("pattern_id").alias("base_id"), F.lit("F").alias("strand"), "pattern")
     forward = own.select(F.col("pattern_id").alias("base_id"), F.col("pattern").alias("forward_pattern"))
-    hits = match.found(sequences, strands, k, word).join(strands.drop("pattern"), "pattern_id").join(forward, "base_id")
-    back = F.col("strand") == "R"
-    if exact:
-        n = F.length("pattern")
-        turned = {"five": "three", "three": "five", "five_inexact": "three_inexact", "three_inexact": "five_inexact"}
-        (left, right), (left_r, right_r) = S.constraints(n, **exact), S.constraints(n, **{turned.get(x, x): v for x, v in exact.items()})
-        l, r = F.when(back, left_r).otherwise(left).cast("int"), F.when(back, right_r).otherwise(right).cast("int")
-        hits = hits.where((F.left("text", l) == F.left("pattern", l)) & (F.right("text", r) == F.right("pattern", r)))
+    back, n, zero = F.col("strand") == "R", F.length("pattern"), F.lit(0)
+    turned = {"five": "three", "three": "five", "five_inexact": "three_inexact", "three_inexact": "five_inexact"}
+    sides = zip(S.constraints(n, **{turned.get(x, x): v for x, v in exact.items()}), S.constraints(n, **exact), strict=True) if exact else [(zero, zero)] * 2
+    left, right = (F.when(back, reverse).otherwise(plain).cast("int") for reverse, plain in sides)
+    about = F.broadcast(strands.drop("pattern").join(forward, "base_id"))  # of the primers alone
+    if indels:
+        found = match.clusters(match.edit_ends(sequences, strands, k, word, with_text=True), k).join(about, "pattern_id")
+        aligned = align.aligned("text", "pattern", "first_end", "last_end", k, left=left, right=right)
+        hits = found.withColumn("a", aligned).where("a is not null").select(
+            *(c for c in found.columns if c not in ("text", "edits")), "a.edits", F.col("a.start").alias("start_pos"), F.col("a.end").alias("end_pos"), F.replace("a.text", F.lit("-"), F.lit("")).alias("text"),
+            "a.ops", F.col("a.text").alias("text_gaps"), F.col("a.pattern").alias("pattern_gaps"),
+        )
+    else:
+        hits = match.found(sequences, strands, k, word).join(about, "pattern_id")
+        if exact:
+            hits = hits.where((F.left("text", left) == F.left("pattern", left)) & (F.right("text", right) == F.right("pattern", right)))
+        hits = hits.withColumn("ops", _marks("text", "pattern")).withColumn("text_gaps", F.col("text")).withColumn("pattern_gaps", F.col("pattern"))
+    marked = lambda c: (F.length("ops") - F.length(F.replace("ops", F.lit(c), F.lit("")))).cast("bigint")
+    cluster = ["first_end", "last_end", "text_gaps", "pattern_gaps", marked("v").alias("n_missing"), marked("^").alias("n_extra")] if indels else []
     return hits.select(
         "entry_id", "pattern_id", "base_id", "strand", F.when(back, F.lit("REVCOMP")).otherwise(F.lit("FORWARD")).alias("strand_word"), "pattern", "forward_pattern",
         F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), (F.col("end_pos") - F.col("start_pos")).alias("length"), "edits",
         *five_and_three("start_pos", "end_pos", back), "text", F.when(back, S.reverse_complement("text")).otherwise(F.col("text")).alias("text_forward"),
-        _marks("text", "pattern").alias("ops"), (F.length("pattern") - F.col("edits")).cast("bigint").alias("n_equal"), F.col("edits").cast("bigint").alias("n_sub"),
-        (F.length("text") - F.length("pattern")).cast("bigint").alias("length_difference"),
+        "ops", marked("|").alias("n_equal"), marked("*").alias("n_sub"), (F.length("text") - F.length("pattern")).cast("bigint").alias("length_difference"), *cluster,
     )
 
 
@@ -63,12 +74,16 @@ def strand_aggregate(counted: DataFrame, k: int) -> DataFrame:
     return counted.groupBy("base_id").agg(*(F.sum(c).alias(c) for c in (*(f"n_{i}" for i in range(k + 1)), "n")))
 
 
-def pcr_match(sequences: DataFrame, primers: DataFrame, k: int = 0, shortest: int = 0, longest: int = 2000, all_orientations: bool = False, sts: DataFrame | None = None, tolerance: int = 0, between: bool = False) -> DataFrame:
-    """Amplicons of neighbouring primers (2p - 1 and 2p), each with up to k substitutions, with letters and, where sizes are expected, deviance within the tolerance."""
+def pcr_match(sequences: DataFrame, primers: DataFrame, k: int = 0, shortest: int = 0, longest: int = 2000, all_orientations: bool = False, sts: DataFrame | None = None, tolerance: int = 0, between: bool = False, indels: bool = False) -> DataFrame:
+    """Amplicons of neighbouring primers (2p - 1 and 2p), each with up to k substitutions (with indels, edits), with letters and, where sizes are expected, deviance within the tolerance."""
     strands = match.both_strands(primers)
     n = primers.agg(F.max("pattern_id")).first()[0] or 0
     roles = primers.sparkSession.createDataFrame(pairs.roles(n, all_orientations), "pair_id bigint, left_id bigint, right_id bigint")
-    found = pairs.amplicons(match.mismatches(sequences, strands, k), roles, shortest, longest)
+    if indels:
+        hits = primer_match(sequences, primers, k, indels=True).select("entry_id", "pattern_id", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "edits")
+    else:
+        hits = match.mismatches(sequences, strands, k)
+    found = pairs.amplicons(hits, roles, shortest, longest)
     if sts is not None:
         found = pairs.against_sizes(found, sts.select("pair_id", "size_lb", "size_ub"), tolerance)
     back = F.col("left_id") > n
@@ -120,13 +135,14 @@ def spaced_mismatches(sequences: DataFrame, patterns: DataFrame, k: int, templat
 
     All templates are of one span, no longer than any pattern; with those of ``covering`` no hit is missed.
     """
-    span = len(templates[0])
-    longest = patterns.agg(F.max(F.length("pattern"))).first()[0] or span
+    span, known = len(templates[0]), match.facts(patterns)
+    longest = max([span, *known.lengths])
     keys = lambda x: F.explode(F.array(*(F.struct(F.lit(i).alias("tag"), S.template_word(x, F.lit(0), t).alias("mer")) for i, t in enumerate(templates))))
     wanted = patterns.where(F.length("pattern") >= span).select("pattern_id", "pattern", keys("pattern").alias("x")).select("pattern_id", "pattern", "x.*")
-    rows = windows(sequences, 0, longest).select("entry_id", F.col("pos").cast("bigint").alias("start_pos"), "window", keys("window").alias("x")).select("entry_id", "start_pos", "window", "x.*")
+    rows = windows(sequences, 0, longest).select("entry_id", F.col("pos").cast("bigint").alias("pos"), "window", keys("window").alias("x")).select("entry_id", "pos", "window", "x.*")
+    hit = match.looked_up(rows, wanted, ["tag", "mer"], len(templates) * sum(known.by_length.values()), 2 * longest).withColumnRenamed("pos", "start_pos")
     n = F.length("pattern")
-    near = rows.join(wanted, ["tag", "mer"]).withColumn("text", F.left("window", n)).where(~F.contains("text", F.lit(BEYOND)))
+    near = hit.withColumn("text", F.left("window", n)).where(~F.contains("text", F.lit(BEYOND)))
     near = near.withColumn("edits", S.hamming(F.col("text"), F.col("pattern"))).where(F.col("edits") <= k)
     return near.select("entry_id", "pattern_id", "start_pos", (F.col("start_pos") + n).alias("end_pos"), "edits").distinct()
 

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, release
 from . import match
-from .graph import components, degrees, numbered
+from .graph import components, degrees, numbered, unitigs, word_graph, x_spaces
 
 
 def widgets(edges: DataFrame) -> DataFrame:
@@ -67,6 +67,33 @@ def resolved_by_reads(edges: DataFrame, reads: DataFrame) -> DataFrame:
     return own.join(gone, ["src", "dst", "label"], "left_anti").select("src", "dst", "label", "n").unionByName(fresh)
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """src, dst, label, n: the edges with paths through nodes of one way in and out drawn together; a path has the least of its counts."""
+    return unitigs(edges, whole=True).select(F.col("head").alias("src"), F.col("tail").alias("dst"), "label", "n")
+
+
+def resolved(edges: DataFrame, reads: DataFrame, rounds: int = 100) -> DataFrame:
+    """src, dst, label, n: rounds of ``resolved_by_reads``, the graph drawn together before each, until no widget is confirmed.
+
+    In a round all widgets go at once that have no smaller one beside them, so many rounds come only of long rows of widgets. A widget that is resolved has no node with several
+    ways in and out left, and copies have fewer ways than what they are copies of, so it ends.
+    """
+    now = cut(contracted(edges))
+    for _ in range(rounds):
+        new = cut(contracted(resolved_by_reads(now, reads)))
+        if new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty():
+            return new
+        release(now)
+        now = new
+    raise RuntimeError("repeats did not settle")
+
+
+def assembled(reads: DataFrame, m: int) -> DataFrame:
+    """src, dst, n, text: reads to the longest stretches that they tell: their word graph, drawn together, with repeats resolved by the reads; text: the letters of an edge with those of its source."""
+    edges = word_graph(x_spaces(reads, m), reads, m).select("src", "dst", "label", "n")
+    return resolved(edges, reads).select("src", "dst", "n", F.concat(F.substring_index("src", "#", 1), "label").alias("text"))
+
+
 def joined_components(edges: DataFrame, terminator: str = "$") -> DataFrame:
     """src, dst, label of edges that chain components: from the smallest node with more ways in than out of one to the smallest with more out than in of the next.
 

@@ -1,8 +1,13 @@
-"""Duplicates, containment and uniqueness."""
+"""Duplicates, containment and uniqueness.
+
+Tables made of listed words have no size that Spark knows beforehand, so they are merged, never broadcast.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
@@ -53,33 +58,71 @@ def unique_words(sequences: DataFrame, m: int, both_strands: bool = True) -> Dat
     if both_strands:
         all_words = all_words.unionByName(own.select(S.reverse_complement("kmer").alias("kmer")))
     once = all_words.groupBy("kmer").agg(F.count("*").alias("n")).where("n = 1").select("kmer")
-    return own.join(once, "kmer", "left_semi")
+    return own.hint("merge").join(once, "kmer", "left_semi")
+
+
+def near_words(queries: DataFrame, others: DataFrame, m: int, k: int, left: int = 0, right: int = 0) -> DataFrame:
+    """kmer, b_kmer: all pairs of ACGT words of m letters (queries: kmer; others: b_kmer; each word once) with at most k substitutions, none in the first ``left`` and last ``right`` letters.
+
+    By masked words: two such words are equal in all but some k places. A word has a row for each choice of k places, and of the words that agree in the rest there are
+    at most 4^k, so the work is linear in the words.
+    """
+    places = list(combinations(range(left, m - right), min(k, m - right - left))) if k and m > left + right else [()]
+
+    def masked(word: str) -> Column:
+        shown = lambda chosen: F.concat(*(F.substring(word, a + 2, b - a - 1) for a, b in zip((-1, *chosen), (*chosen, m), strict=True)))
+        return F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), shown(x).alias("rest")) for i, x in enumerate(places)))).alias("x")
+
+    groups = others.select("b_kmer", masked("b_kmer")).groupBy("x.mask", "x.rest").agg(F.collect_list("b_kmer").alias("words"))
+    pairs = queries.select("kmer", masked("kmer")).select("kmer", "x.*").hint("merge").join(groups, ["mask", "rest"])
+    return pairs.select("kmer", F.explode("words").alias("b_kmer")).distinct()
+
+
+def near_lengths(queries: DataFrame, shorter: DataFrame, longer: DataFrame, m: int, left: int = 0, right: int = 0) -> DataFrame:
+    """kmer, b_kmer: pairs of a word of m letters and one of a letter less or more that one deletion or insertion makes equal. queries: kmer; shorter, longer: b_kmer; each word once.
+
+    By deletion neighbourhoods: a word's m shortened forms are looked up among the shorter words, and the shortened forms of the longer words among the queries.
+    """
+
+    def shortened(word: str, first: int, last: int) -> Column:
+        forms = [F.concat(F.expr(f"left({word}, {i})"), F.expr(f"substring({word}, {i + 2})")) for i in range(first, last)]
+        return F.explode(F.array_distinct(F.array(*forms))) if forms else F.explode(F.array().cast("array<string>"))
+
+    less = queries.select("kmer", shortened("kmer", left, m - right).alias("b_kmer")).hint("merge").join(shorter, "b_kmer").select("kmer", "b_kmer")
+    # an extra letter may stand before, between and behind those that may be missed, not inside of exact ends
+    more = longer.select("b_kmer", shortened("b_kmer", left, m + 1 - right).alias("kmer")).hint("merge").join(queries, "kmer").select("kmer", "b_kmer")
+    return less.unionByName(more).distinct()
 
 
-def matched_elsewhere(queries: DataFrame, background: DataFrame, m: int, k: int = 0, same: bool = False, inexact_only: bool = False) -> DataFrame:
-    """entry_id, pos of the query words of m letters that occur in the background with at most k substitutions.
+def matched_elsewhere(queries: DataFrame, background: DataFrame, m: int, k: int = 0, same: bool = False, inexact_only: bool = False, both_strands: bool = False, edits: bool = False, left: int = 0, right: int = 0) -> DataFrame:
+    """entry_id, pos of the query words of m letters that occur in the background with at most k substitutions (with edits, k of 1: or one letter more or less).
 
-    same: the background is the queries' own table, and a word doesn't match at places nearer than m in its entry.
-    Different words are compared once: k + 1 pieces by equi-join, then the distance.
+    same: the background is the queries' own table, and a word doesn't match at places nearer than m in its entry. both_strands: the background is read on both.
+    inexact_only: only what differs from the word counts. left, right: so many letters at the ends must be equal. Different words are compared once.
     """
-    from .match import pieces
-
-    q = dna_words(queries, m)
-    b = dna_words(background, m).select(F.col("entry_id").alias("b_entry"), F.col("pos").alias("b_pos"), F.col("kmer").alias("b_kmer"))
-    words_q, words_b = q.select("kmer").distinct(), b.select("b_kmer").distinct()
-    joined = None
-    for o, n in pieces(m, k):
-        part = words_q.withColumn("piece", F.expr(f"substring(kmer, {o + 1}, {n})")).join(words_b.withColumn("piece", F.expr(f"substring(b_kmer, {o + 1}, {n})")), "piece").select("kmer", "b_kmer")
-        joined = part if joined is None else joined.unionByName(part)
-    close = joined.distinct().where(S.hamming(F.col("kmer"), F.col("b_kmer")) <= k)
+    if edits and k != 1:
+        raise ValueError("with edits k is 1")
+
+    def stretches(n: int) -> DataFrame:
+        found = dna_words(background, n).select(F.col("entry_id").alias("b_entry"), F.col("pos").alias("b_pos"), F.col("kmer").alias("b_kmer"))
+        return found.withColumn("b_kmer", F.explode(F.array("b_kmer", S.reverse_complement("b_kmer")))) if both_strands else found
+
+    q, b = dna_words(queries, m), stretches(m)
+    words_q, only = q.select("kmer").distinct(), lambda t: t.select("b_kmer").distinct()
+    close = near_words(words_q, only(b), m, k, left, right)
+    if edits:
+        shorter, longer = stretches(m - 1), stretches(m + 1)
+        close = close.unionByName(near_lengths(words_q, only(shorter), only(longer), m, left, right))
+        b = b.unionByName(shorter).unionByName(longer)
     if inexact_only:
         close = close.where("kmer != b_kmer")
     if not same:
-        return q.join(close.select("kmer").distinct(), "kmer", "left_semi").select("entry_id", "pos")
-    # Of each background word: its first and last place overall are enough to know whether one lies away from the query's.
-    span = b.groupBy("b_kmer").agg(F.min("b_entry").alias("e0"), F.max("b_entry").alias("e1"), F.min(F.struct("b_entry", "b_pos")).alias("lo"), F.max(F.struct("b_entry", "b_pos")).alias("hi"))
-    away = "e0 != entry_id or e1 != entry_id or abs(lo.b_pos - pos) >= {m} or abs(hi.b_pos - pos) >= {m}".format(m=m)
-    return q.join(close, "kmer").join(span, "b_kmer").where(away).select("entry_id", "pos").distinct()
+        return q.hint("merge").join(close.select("kmer").distinct(), "kmer", "left_semi").select("entry_id", "pos")
+    # Of all words near one: the first and last place overall are enough to know whether one lies away from the query's.
+    span = b.groupBy("b_kmer").agg(F.min(F.struct("b_entry", "b_pos")).alias("lo"), F.max(F.struct("b_entry", "b_pos")).alias("hi"))
+    around = close.hint("merge").join(span, "b_kmer").groupBy("kmer").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    away = f"lo.b_entry != entry_id or hi.b_entry != entry_id or abs(lo.b_pos - pos) >= {m} or abs(hi.b_pos - pos) >= {m}"
+    return q.hint("merge").join(around, "kmer").where(away).select("entry_id", "pos")
 
 
 def matched_in_others(sequences: DataFrame, m: int) -> DataFrame:
@@ -89,4 +132,4 @@ def matched_in_others(sequences: DataFrame, m: int) -> DataFrame:
     """
     own = dna_words(sequences, m).join(sequences.select("entry_id", "group"), "entry_id")
     span = own.groupBy("kmer").agg(F.min("group").alias("g0"), F.max("group").alias("g1"))
-    return own.join(span, "kmer").where("g0 != group or g1 != group").select("entry_id", "pos")
+    return own.hint("merge").join(span, "kmer").where("g0 != group or g1 != group").select("entry_id", "pos")

@@ -36,12 +36,12 @@ def choose(stats: Statistics, k: int = 0, indels: bool = True, wildcards: bool =
 
 
 def find(sequences: DataFrame, patterns: DataFrame, k: int = 0, indels: bool = True, wildcards: bool = False, text_n: bool = False, left: int = 0, right: int = 0, word: int | None = None) -> DataFrame:
-    """Hits by the chosen plan. With indels: a hit a cluster of ends (first_end, last_end); else one a place."""
+    """Hits by the chosen plan. With indels: a hit a cluster of ends (first_end, last_end, with pattern and text as an alignment needs them); else one a place."""
     plan = choose(statistics(patterns), k, indels, wildcards, left, right, word)
     if plan == "exact":
         return match.exact(sequences, patterns)
     if plan == "scan":
         return match.scan(sequences, [tuple(r) for r in patterns.select("pattern_id", "pattern").collect()], True, text_n)
     if plan == "edits":
-        return match.clusters(match.edit_ends(sequences, patterns, k, word), k)
+        return match.clusters(match.edit_ends(sequences, patterns, k, word, with_text=True), k)
     return match.mismatches(sequences, patterns, k, word, left, right)

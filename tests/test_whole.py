@@ -122,4 +122,6 @@ def test_unique_words_of_whole_texts(spark, planted):
 
 
 def test_all_reach_whole_texts():
-    assert len(catalog.WHOLE) == 22 and {f"{f.__name__}_whole" for f in catalog.WHOLE} <= set(catalog.QUERIES)
+    assert {f"{f.__name__}_whole" for f in (*catalog.WHOLE, *catalog.WHOLE_WITHOUT_SQL)} <= set(catalog.QUERIES)
+    for f in catalog.WHOLE:
+        assert "from dna" not in catalog.ORACLE_SQL[f"{f.__name__}_whole"] and "text_dna" in catalog.ORACLE_SQL[f"{f.__name__}_whole"]
