@@ -12,6 +12,9 @@ vocabulary entry. States and transitions are made on first use and kept in a
 table of bounded size; once it is full, what is left of a short piece whose next transition is not
 in it takes the same steps without making states, and of a long one the states made are not kept.
 
+A piece that is itself an entry is one token. Which entries merging does not lead to is found once for a table of ranks (usually none): only those are
+looked up, all other pieces go through the transducer.
+
 Texts of any length are read whole; a piece without a boundary (a run of letters, say) is
 encoded in time linear in its length and not remembered. Null or empty text: no tokens, hashes of the empty string. Repeated rows give
 repeated results; other input columns are ignored. Empty table: empty result.
@@ -58,11 +61,17 @@ def merge_pairs(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+def not_their_own_encoding(ranks: dict[bytes, int]) -> frozenset[bytes]:
+    """The entries that merging does not lead to. A piece that is such an entry is one token all the same, which no transducer of merges can tell; every other entry comes out of it as one token."""
+    return frozenset(t for t, i in ranks.items() if merge_pairs(t, ranks) != [i])
+
+
 class MergeTransducer:
     """A state is [token before, bytes since, last token by position, positions at which an entry may still start, its steps, its final output]."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES, exceptions: frozenset[bytes] | None = None):
         self.ranks, self.max_states = ranks, max_states
+        self.exceptions = not_their_own_encoding(ranks) if exceptions is None else exceptions
         self.tokens = {i: t for t, i in ranks.items()}
         self.lengths = {i: len(t) for t, i in ranks.items()}
         #: By bytes: 2 * (token + 1, 0 if none), and 1 more if a longer entry begins with them.
@@ -154,8 +163,8 @@ class MergeTransducer:
         return tuple(out[::-1])
 
     def encode(self, piece: bytes) -> list[int]:
-        if (whole := self.ranks.get(piece)) is not None:
-            return [whole]
+        if self.exceptions and piece in self.exceptions:
+            return [self.ranks[piece]]
         state, out = self.first, []
         for at, byte in enumerate(piece):
             if (made := state[4].get(byte)) is None:
@@ -252,7 +261,7 @@ class Utf8Stream:
 
 
 class Codec:
-    def __init__(self, path: str, pattern: str | None = None):
+    def __init__(self, path: str, pattern: str | None = None, exceptions: frozenset[bytes] | None = None):
         import public_tokenizers
 
         self.ranks = read_ranks(path)
@@ -260,7 +269,7 @@ class Codec:
         for token, i in self.ranks.items():
             self.vocabulary[i] = token
         self.split = Splitter(pattern or public_tokenizers.PATTERN)
-        self.pieces = _Pieces(MergeTransducer(self.ranks))
+        self.pieces = _Pieces(MergeTransducer(self.ranks, exceptions=exceptions))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -279,9 +288,15 @@ class Codec:
         yield stream.feed(b"", final=True)
 
 
+@lru_cache(4)
+def exceptions_of(path: str) -> frozenset[bytes]:
+    """Found once, on the driver."""
+    return not_their_own_encoding(read_ranks(path))
+
+
 @lru_cache(2)
-def codec(path: str, pattern: str | None = None) -> Codec:
-    own = Codec(path, pattern)
+def codec(path: str, pattern: str | None = None, exceptions: frozenset[bytes] | None = None) -> Codec:
+    own = Codec(path, pattern, exceptions)
     gc.freeze()  # the tables live as long as the worker: collections need not walk them
     return own
 
@@ -289,8 +304,7 @@ def codec(path: str, pattern: str | None = None) -> Codec:
 OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_())])
 
 
-def _digest(path: str, pattern: str | None):
-    own = codec(path, pattern)
+def _digest(own: Codec):
 
     def one(doc_id, text, ids=None):
         text = text or ""
@@ -308,7 +322,8 @@ def _digest(path: str, pattern: str | None):
 
 def encode_digests(docs: DataFrame, ranks_path: str, pattern: str | None = None) -> DataFrame:
     """A row a document: number of tokens, hash of the ids, hash of the bytes decoded from them, whether the text came back."""
-    return map_rows(docs, ["doc_id", "text"], OUT, lambda: _digest(ranks_path, pattern))
+    exceptions = exceptions_of(ranks_path)
+    return map_rows(docs, ["doc_id", "text"], OUT, lambda: _digest(codec(ranks_path, pattern, exceptions)))
 
 
 PACKED = pa.schema([*OUT, ("ids", pa.binary())])
@@ -317,8 +332,11 @@ PACKED = pa.schema([*OUT, ("ids", pa.binary())])
 def encode_packed(docs: DataFrame, ranks_path: str, pattern: str | None = None) -> DataFrame:
     """The digests and the ids themselves, as little-endian unsigned 32-bit integers."""
 
+    exceptions = exceptions_of(ranks_path)
+
     def make():
-        own, digest = codec(ranks_path, pattern), _digest(ranks_path, pattern)
+        own = codec(ranks_path, pattern, exceptions)
+        digest = _digest(own)
         return lambda doc_id, text: (*digest(doc_id, text, ids := own.encode(text or "")), ids)
 
     return map_rows(docs, ["doc_id", "text"], PACKED, make)
@@ -330,8 +348,10 @@ IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
 def encode_ids(docs: DataFrame, ranks_path: str, pattern: str | None = None) -> DataFrame:
     """A row a document: its token ids."""
 
+    exceptions = exceptions_of(ranks_path)
+
     def make():
-        own = codec(ranks_path, pattern)
+        own = codec(ranks_path, pattern, exceptions)
         return lambda doc_id, text: (doc_id, memoryview(own.encode(text or "")).cast("I").tolist())
 
     return map_rows(docs, ["doc_id", "text"], IDS, make)
@@ -343,8 +363,10 @@ TEXT = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str | None = None) -> DataFrame:
     """A row a document: the text of its ids (null ids: empty)."""
 
+    exceptions = exceptions_of(ranks_path)
+
     def make():
-        own = codec(ranks_path, pattern)
+        own = codec(ranks_path, pattern, exceptions)
         return lambda doc_id, ids: (doc_id, "".join(own.decode(own.decode_bytes(struct.pack(f"<{len(ids or [])}I", *(ids or []))))))
 
     return map_rows(encoded, ["doc_id", "ids"], TEXT, make)

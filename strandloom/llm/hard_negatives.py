@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scans import sorted_parts
 from .common import arrow_ddl, cut
-from .scans import sorted_parts
 
 SCALE, TOP = 256, 1 << 24
 EVERY, POSITIVES, NEGATIVES, LOW, HIGH = 100, 5, 10, 30, 90
@@ -38,7 +38,7 @@ SLACK = 1e-6
 _KEYED = pa.schema([("vec_id", pa.int64()), ("label", pa.int64()), ("v", pa.binary()), ("pivot", pa.int32()), ("distance", pa.float64())])
 _BLOCKS = pa.schema([("block", pa.int64()), ("label", pa.int64()), ("pivot", pa.int32()), ("near", pa.float64()), ("far", pa.float64()), ("ids", pa.binary()), ("vectors", pa.binary())])
 _FOUND = pa.schema([("task", pa.int64()), ("score", pa.int64()), ("vec_id", pa.int64())])
-_SPANS = pa.schema([("task", pa.int64()), ("pivot", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64()), ("old_lo", pa.float64()), ("old_hi", pa.float64()), ("seen", pa.float64())])
+_SPANS = pa.schema([("task", pa.int64()), ("pivot", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64()), ("old_lo", pa.float64()), ("old_hi", pa.float64()), ("seen", pa.float64()), ("bound", pa.float64())])
 
 
 def whole_vectors(embeddings: DataFrame) -> DataFrame:
@@ -106,8 +106,9 @@ class Index:
             return
         size = max(256, min(SAMPLE, SAMPLE_NUMBERS // self.width))
         some = vectors if self.n <= 4 * size else vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(self.n)) < 4 * size)  # so that few rows are sorted
-        taken = some.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).collect()
+        taken = some.select("vec_id", "label", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).collect()
         self.sample = _raised(_matrix([r.v for r in taken], self.width), self.top)
+        self.sampled = np.array([r.vec_id for r in taken]), np.array([r.label for r in taken])
         self.pivots = _pivots(self.sample, max(1, min(MOST_PIVOTS, self.n // ROWS_A_PIVOT)))
         self.reach = 2 * max(self.top, 1.0) ** 0.5  # no two points are further apart
         self.keyed = cut(self._keyed(vectors))
@@ -157,7 +158,7 @@ class Index:
         """
         best, done, old, share, n_tasks = None, None, None, FIRST * needed / self.n, tasks.count()
         while True:
-            spans = cut(self._spans(tasks if done is None else tasks.join(done, "task", "left_anti"), old, share))
+            spans = cut(self._spans(tasks if done is None else tasks.join(done, "task", "left_anti"), needed, same, old, share))
             found = self._read(tasks, spans, needed, same)
             best = self._kept(found if best is None else best.select("task", "score", "vec_id").unionByName(found), needed)
             if share >= 1:
@@ -171,34 +172,33 @@ class Index:
                 return best
             old, share = share, share * GROWTH
 
-    def _spans(self, tasks: DataFrame, old: float | None, share: float) -> DataFrame:
-        """task, pivot, the interval of keys now and in the round before, seen."""
+    def _spans(self, tasks: DataFrame, needed: int, same: bool, old: float | None, share: float) -> DataFrame:
+        """task, pivot, the interval of keys now and in the round before, seen (rows of that score and more are all in then), bound (so many rows of the sample that are wanted have that score or more, so no row below it is)."""
         top, width, slack, reach = self.top, self.width, SLACK * self.reach, self.reach
-        sent = tasks.sparkSession.sparkContext.broadcast((self.pivots, self.sample))  # both of bounded size
+        sent = tasks.sparkSession.sparkContext.broadcast((self.pivots, self.sample, *self.sampled))  # all of bounded size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pivots, sample = sent.value
+            pivots, sample, ids, labels = sent.value
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
-                    task, v, high = (c.to_pylist() for c in batch.slice(at, 256).columns)
+                    task, anchor, label, v, low, high = (c.to_pylist() for c in batch.slice(at, 256).columns)
                     m = _unpacked(v, width)
                     length, a = (m * m).sum(1), np.column_stack((m, np.zeros(len(m))))
+                    bound = np.array([_bound(own, (labels == lab) == same, ids != anc, l, h, needed) for own, lab, anc, l, h in zip(_exact_products(m, sample[:, :width]), label, anchor, low, high, strict=True)])
+                    last = np.sqrt(np.maximum(length + top - 2 * np.maximum(bound, -4.0 * top), 0))  # no row wanted is further away
                     inner = np.sqrt(np.maximum(length + top - 2 * np.array([np.inf if h is None else float(h) for h in high]), 0))
                     sampled = np.sort(np.sqrt(_squares(a, sample)), axis=1)
                     d = np.sqrt(_squares(a, pivots))
                     outer = np.minimum(_radius(sampled, inner, share), reach)
-                    lo, hi = (np.maximum(d - outer[:, None], inner[:, None] - d) - slack), d + outer[:, None] + slack
-                    if old is None:
-                        old_lo, old_hi = np.full(d.shape, np.inf), np.full(d.shape, -np.inf)
-                    else:
-                        before = np.minimum(_radius(sampled, inner, old), reach)
-                        old_lo, old_hi = (np.maximum(d - before[:, None], inner[:, None] - d) - slack), d + before[:, None] + slack
+                    spans = lambda r: (np.maximum(d - r[:, None], inner[:, None] - d) - slack, d + r[:, None] + slack)
+                    lo, hi = spans(np.minimum(outer, last))
+                    old_lo, old_hi = (np.full(d.shape, np.inf), np.full(d.shape, -np.inf)) if old is None else spans(np.minimum(np.minimum(_radius(sampled, inner, old), reach), last))
                     least = (length + top - outer * outer) / 2
-                    seen = np.where(outer >= reach, -np.inf, least + np.abs(least) * 1e-9 + 1e-3)
-                    columns = np.repeat(task, len(pivots)), np.tile(np.arange(len(pivots), dtype=np.int32), len(a)), lo.ravel(), hi.ravel(), old_lo.ravel(), old_hi.ravel(), np.repeat(seen, len(pivots))
+                    seen = np.where(outer >= reach, -np.inf, np.where(outer >= last, bound, least + np.abs(least) * 1e-9 + 1e-3))
+                    columns = np.repeat(task, len(pivots)), np.tile(np.arange(len(pivots), dtype=np.int32), len(a)), lo.ravel(), hi.ravel(), old_lo.ravel(), old_hi.ravel(), np.repeat(seen, len(pivots)), np.repeat(bound, len(pivots))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SPANS.types, strict=True)], schema=_SPANS)
 
-        return tasks.select("task", "v", "high").mapInArrow(run, arrow_ddl(_SPANS))
+        return tasks.select("task", "anchor", "label", "v", "low", "high").mapInArrow(run, arrow_ddl(_SPANS))
 
     def _read(self, tasks: DataFrame, spans: DataFrame, needed: int, same: bool) -> DataFrame:
         """The best rows of every block that a task's intervals meet now and did not meet before."""
@@ -206,7 +206,8 @@ class Index:
         label = F.col("label") == F.col("own") if same else F.col("label") != F.col("own")
         own = spans.drop("seen").join(tasks.select("task", "anchor", F.col("label").alias("own"), "low", "high"), "task")
         met = own.join(self.directory, "pivot").where(label & meets("lo", "hi") & ~meets("old_lo", "old_hi"))
-        pairs = cut(met.groupBy("block", "anchor").agg(F.collect_list(F.struct("task", "low", "high")).alias("windows")))  # an anchor has few tasks
+        least = F.when(F.col("bound") > float("-inf"), F.col("bound").cast("bigint"))
+        pairs = cut(met.groupBy("block", "anchor").agg(F.collect_list(F.struct("task", F.greatest("low", least).alias("low"), "high")).alias("windows")))  # an anchor has few tasks
         sizes = pairs.groupBy("block").agg(F.ceil(F.count("*") / BATCH).alias("batches"))
         dealt = pairs.join(sizes, "block").withColumn("batch", F.pmod(F.xxhash64("anchor"), "batches"))
         vectors = tasks.groupBy("anchor").agg(F.first("v").alias("v"))
@@ -239,11 +240,22 @@ def _radius(sampled: np.ndarray, inner: np.ndarray, share: float) -> np.ndarray:
     return out
 
 
+def _bound(scores: np.ndarray, labelled: np.ndarray, others: np.ndarray, low: int | None, high: int | None, needed: int) -> float:
+    """The score of the last of so many wanted rows of the sample; -inf if it has fewer."""
+    own = scores[labelled & others & (scores >= (-np.inf if low is None else low)) & (scores <= (np.inf if high is None else high))]
+    if len(own) < needed:
+        return -np.inf
+    least = int(np.partition(own, len(own) - needed)[len(own) - needed])
+    return float(least) if float(least) <= least else float(np.nextafter(float(least), -np.inf))
+
+
 def _best(ids: np.ndarray, scores: np.ndarray, anchor: int, low: int | None, high: int | None, task: int, needed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The task, scores and ids of the best rows of a block within the window, the anchor itself left out."""
     fit = ids != anchor
     if low is not None:
-        fit &= (scores >= low) & (scores <= high)
+        fit &= scores >= low
+    if high is not None:
+        fit &= scores <= high
     at = np.flatnonzero(fit)
     if len(at) > needed:
         own = scores[at]

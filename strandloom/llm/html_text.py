@@ -14,8 +14,9 @@ The node with the largest sum of its children's densities (its own text counts a
 threshold is the least density on its path from the body. Every node at or above the threshold gives the
 subtree of largest sum in it. If the main subtree stands in an article or main element, only subtrees in that element count, and
 it is taken whole if they hold half of its characters; elsewhere a subtree grows to the parents of which it is most, and
-takes the headings before it. In what is taken, lists of links go, and what is named as boilerplate and lies below the
-threshold, except where the main subtree is.
+takes the headings before it. In what is taken, what is named as boilerplate and lies below the
+threshold goes, except where the main subtree is, and so do lists of links; but in the article (or, without one, the main subtree) a list of links
+that follows text and is not named as boilerplate stays, as references do.
 
 Blocks keep page order; white space in a block is one space. Null or empty html, or a page without text: empty text. Pages of any
 length are read whole; of equal sums the outermost, first node is the main subtree.
@@ -285,10 +286,13 @@ def main_nodes(root: Node) -> list[Node]:
     """The subtrees of the text; what goes in them is marked as left out."""
     nodes, body = measure(root)
     tops, path, threshold = _chosen(nodes, body)
+    own, said = _covered(nodes, {x for x in path if x.scope} or {body.top}), 0
     for node in nodes:
         if node not in path and node.chars:
-            listed = node.link_tags >= LINKS and node.link_chars >= LINKED * node.chars
-            node.out = listed and node.tag not in ("p", "a") or node.prior < 1 and node.density < threshold
+            listed = node.link_tags >= LINKS and node.link_chars >= LINKED * node.chars and node.tag not in ("p", "a")
+            node.out = listed and not (node in own and node.prior >= 1 and said) or node.prior < 1 and node.density < threshold
+        if node in own:
+            said += not node.link_chars and any(isinstance(x, str) and x.strip() for x in node.items)
     return [x for x in tops if not x.out]
 
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -176,35 +177,43 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _terms(tokens: list[str], possible: set | None = None) -> set[tuple[str, bool]]:
-    """The words themselves, and (True) the stems that begin two longer words of the text."""
+def _terms(text: str, possible: Callable[[str], bool]) -> set[str]:
+    """The words themselves, and (with a * behind) the stems that begin two longer words of the text."""
     low, high = STEM
-    stems = Counter(x for w in tokens for k in range(low, min(high, len(w) - 1) + 1) if (x := (w[:k], True)) and (possible is None or x in possible))
-    return {x for w in {*tokens} if (x := (w, False)) and (possible is None or x in possible)} | {x for x, n in stems.items() if n > 1}
+    tokens = [w for w in _TOKEN.findall(text) if w.isalpha()]
+    stems = Counter(x for w in tokens for k in range(low, min(high, len(w) - 1) + 1) if possible(x := w[:k] + "*"))
+    return {w for w in {*tokens} if possible(w)} | {x for x, n in stems.items() if n > 1}
 
 
 def learn_terms(rows: list[tuple[str | None, int]], known: set[str]) -> tuple[dict[str, float], list[str]]:
     """Words and stems that mark toxic texts, by greedy cover: again and again the term that explains most of the
-    toxic texts without one yet, among those precise enough; of equal ones the longer. Each different text counts once."""
+    toxic texts without one yet, among those precise enough; of equal ones the longer. Each different text counts once.
+
+    Texts are read again for every count, and only terms that hash to a slot counted often enough are told apart, so memory is that of the texts and of frequent terms."""
     bags = {(t or "").lower(): label for t, label in rows}
-    words = {t: [w for w in _TOKEN.findall(t) if w.isalpha()] for t in bags}
-    other = [words[t] for t, label in bags.items() if not label]
-    open_bags = {t: _terms(words[t]) for t, label in bags.items() if label and not known.intersection(words[t])}
-    support = Counter(x for terms in open_bags.values() for x in terms)
+    toxic = [t for t, label in bags.items() if label and known.isdisjoint(_TOKEN.findall(t))]
+    others = [t for t, label in bags.items() if not label]
+    slots = np.zeros(1 << 22, np.uint16)
+    for t in toxic:
+        at = np.fromiter((hash(x) for x in _terms(t, lambda _: True)), np.int64) & (len(slots) - 1)
+        slots[np.unique(at)] += 1
+    often = lambda x: slots[hash(x) & (len(slots) - 1)] >= MIN_SUPPORT
+    support = Counter(x for t in toxic for x in _terms(t, often))
     possible = {x for x, k in support.items() if k >= MIN_SUPPORT}
-    against = Counter(x for bag in other for x in _terms(bag, possible))
+    open_bags = {t: _terms(t, possible.__contains__) for t in toxic}
+    against = Counter(x for t in others for x in _terms(t, possible.__contains__))
     precise = {x for x in possible if support[x] / (support[x] + against[x]) >= MIN_PRECISION}
     insults, stems = {}, []
     while precise:
         gain = Counter(x for terms in open_bags.values() for x in terms if x in precise)
-        best = max(gain, key=lambda x: (gain[x] - against[x], len(x[0]), x), default=None)
+        best = max(gain, key=lambda x: (gain[x] - against[x], len(x.rstrip("*")), x.rstrip("*"), x[-1] == "*"), default=None)
         if best is None or gain[best] < MIN_SUPPORT:
             break
-        if best[1]:
-            stems.append(best[0])
+        if best[-1] == "*":
+            stems.append(best[:-1])
         else:
-            odds = math.log((support[best] + 0.5) / (sum(bags.values()) + 1)) - math.log((against[best] + 0.5) / (len(other) + 1))
-            insults[best[0]] = max(0.25, min(2.0, odds / 4))
+            odds = math.log((support[best] + 0.5) / (sum(bags.values()) + 1)) - math.log((against[best] + 0.5) / (len(others) + 1))
+            insults[best] = max(0.25, min(2.0, odds / 4))
         precise.discard(best)
         open_bags = {t: terms for t, terms in open_bags.items() if best not in terms}
     return insults, stems

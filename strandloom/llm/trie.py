@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scans import parts_of, running, sorted_parts
 from .common import arrow_ddl, cut, release
-from .scans import parts_of, running, sorted_parts
 
 #: Every conversation of so many in a row is rebuilt on the first of them; of at most so many of its first turns.
 FAMILY, HEADS = 20, 4

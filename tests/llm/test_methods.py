@@ -266,3 +266,34 @@ def test_short_pieces_make_no_states_beyond_a_full_table(monkeypatch):
     assert not steps
     long = "".join(rnd.choices(parts, k=2 * bpe.SHORT)).encode()
     assert own.encode(long) == bpe.merge_pairs(long, ranks) and steps
+
+
+def test_entries_come_out_of_the_transducer(monkeypatch):
+    """Every entry of the public table is its own encoding, so none is looked up; entries that merging does not lead to are found, and stay one token."""
+    import tiktoken
+
+    ranks = bpe.read_ranks(queries.ranks_path())
+    assert bpe.exceptions_of(queries.ranks_path()) == frozenset()
+    own = bpe.MergeTransducer(ranks, exceptions=frozenset())
+    rnd = random.Random(8)
+    assert all(own.encode(t) == [ranks[t]] for t in rnd.sample(sorted(ranks), 3000))
+    odd = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"bc": 257, b"abc": 258, b"bcd": 259, b"zzzz": 260, b"abcd": 261}
+    assert bpe.not_their_own_encoding(odd) == {b"bcd", b"zzzz"} - {t for t in (b"bcd", b"zzzz") if bpe.merge_pairs(t, odd) == [odd[t]]}
+    machine, theirs = bpe.MergeTransducer(odd), tiktoken.Encoding("odd", pat_str=r"[a-z]+", mergeable_ranks=odd, special_tokens={})
+    for n in range(1, 7):
+        for _ in range(60):
+            word = "".join(rnd.choices("abcdz", k=n))
+            assert machine.encode(word.encode()) == theirs.encode(word), word
+
+
+def test_learned_terms_take_little_memory():
+    import tracemalloc
+
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=9)) for _ in range(60_000)]
+    rows = [(" ".join(rnd.choices(words, k=300)) + (" grumblewort" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(2000)]
+    tracemalloc.start()
+    insults, _ = toxicity.learn_terms(rows, set())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert "grumblewort" in insults and peak < 60e6

@@ -60,3 +60,13 @@ def test_chats_equal_sql(spark):
     duckdb.sql(f"create or replace view conversations as from '{path}'")
     want = sorted(duckdb.sql(ORACLE_SQL["op2_chat_format"]).fetchall())
     assert sorted(tuple(r) for r in chat.render(spark.read.parquet(path)).collect()) == want
+
+
+def test_lists_of_links():
+    story = "<p>" + "A sentence of the story, with words enough. " * 4 + "</p>"
+    links = "".join(f"<li><a href='/{i}'>Link number {i}</a>" for i in range(4))
+    shown = "\n".join(f"Link number {i}" for i in range(4))
+    for page in (f"<article>{story}{story}<ul>{links}</ul></article>", f"<div><h1>T</h1>{story}{story}<h2>References</h2><ol>{links}</ol></div>"):
+        assert shown in html_text.extract(f"<body><ul>{links}</ul>{page}<ul>{links}</ul></body>") and html_text.extract(f"<body><ul>{links}</ul>{page}<ul>{links}</ul></body>").count("Link number 0") == 1
+    for page in (f"<article><ul>{links}</ul>{story}{story}</article>", f"<article>{story}{story}<ul class='related'>{links}</ul></article>", f"<article>{story}{story}</article><ul>{links}</ul>"):
+        assert "Link number" not in html_text.extract(f"<body>{page}</body>")
