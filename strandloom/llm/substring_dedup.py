@@ -12,6 +12,8 @@ by classes of hashes, coarse to fine.
    is done if it equals another; it goes if the bytes that all its windows share occur once.
 3. The windows of blocks still left are compared one by one.
 
+Beside that, passages of more than 50 words that stand in another document, which may have fewer bytes and then are not removed, are counted in words (see ``passages``).
+
 Every step groups by 128 bits of hash (a row is known by 78), with partial sums before the shuffle, so a passage
 that a third of the corpus holds is one row a task. No step gathers a group.
 
@@ -29,15 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PORTION, arrow_ddl, cut
+from . import passages
+from .common import PORTION, arrow_ddl, cut, release
 from .pfp import STRETCH, Hashed, blocks, mix, shares
 
 LENGTH, FINE = 400, 8
 _NODES = pa.schema([("g", pa.int64()), ("f", pa.int64()), ("rid", pa.int64()), ("at", pa.int64())])
-_CONTEXT = pa.schema([("rid", pa.int64()), ("at", pa.int64()), ("done", pa.bool_()), ("bytes", pa.binary())])
+_CONTEXT = pa.schema([("rid", pa.int64()), ("at", pa.int64()), ("done", pa.bool_()), ("bytes", pa.binary()), ("words", pa.bool_())])
 _FINE = pa.schema([("g", pa.int64()), ("f", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("done", pa.bool_()), ("node", pa.int64())])
 _WINDOWS = pa.schema([("g", pa.int64()), ("f", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("done", pa.bool_())])
-OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_passage_words", pa.int64())])
 
 # A run of window starts in one integer: 14 bits of the row's second hash, 31 bits of the first start (no string is
 # longer), 9 bits of (last - first), 9 bits of (trigger - first). A row is known by its 64-bit rid and these 14 bits.
@@ -89,11 +92,25 @@ def _phrases(rid: int, tag: int, text: str | None, length: int) -> Iterator[tupl
         yield _as_long(key), _as_long(whole), np.full(len(lo), rid), _pack(tag, trigger + start, lo + start, hi + start)
 
 
+def _word_phrases(rid: int, tag: int, text: str | None) -> Iterator[tuple]:
+    for g, f, rids, trigger, lo, hi in passages.word_phrases(rid, text):
+        yield g, f, rids, _pack(tag, trigger, lo, hi)
+
+
 def _contexts(text: str | None, rid: int, wanted: list, length: int) -> Iterator[tuple]:
-    data = (text or "").encode()
+    """What phrases are compared by: the bytes of their stretch, or the hashes of their windows of words."""
+    data, hashed = (text or "").encode(), passages.WordHashes(text) if any(w["words"] for w in wanted) else None
     at = np.array([w["at"] for w in wanted], np.int64)
     _, lo, hi = _unpack(at)
-    yield np.full(len(at), rid), at, np.array([w["done"] for w in wanted], bool), np.array([data[a : b + length] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], object)
+    stretches = [passages.window_hashes(hashed, a, b) if w["words"] else data[a : b + length] for w, a, b in zip(wanted, lo.tolist(), hi.tolist(), strict=True)]
+    yield np.full(len(at), rid), at, np.array([w["done"] for w in wanted], bool), np.array(stretches, object), np.array([w["words"] for w in wanted], bool)
+
+
+def _word_windows(rid: int, at: int, done: bool, data: bytes) -> Iterator[tuple]:
+    _, lo, hi = _unpack(np.array([at], np.int64))
+    p = np.arange(lo[0], hi[0] + 1)
+    hashes = np.frombuffer(data, np.int64)
+    yield hashes[: len(p)], hashes[len(p) :], np.full(len(p), rid), _pack(at >> _TAG, p, p, p), np.full(len(p), done)
 
 
 def _fine_blocks(rid: int, at: int, done: bool, data: bytes, length: int) -> Iterator[tuple]:
@@ -137,30 +154,47 @@ def _left(classes: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """rid, tag, spans (array of first and last start of windows that occur elsewhere too). docs: rid, tag, text."""
-    nodes = cut(_mapped(docs.select("rid", "tag", "text"), _NODES, lambda *row: _phrases(*row, length)))
+    """rid, tag, spans (array of words, lo, hi: first and last start of windows of bytes that occur elsewhere too, or of words that another document has). docs: rid, tag, text."""
+    own = docs.select("rid", "tag", "text")
+    nodes = cut(_mapped(own, _NODES, lambda *row: _phrases(*row, length)))
     often = cut(nodes.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))  # written, so that the join may split a frequent trigger's rows
     shared = cut(nodes.join(often, "g", "left_semi"))
+    release(nodes, often)
     classes = cut(_classes(shared))
     whole = shared.join(classes.where("n > 1").select("g", "f"), ["g", "f"], "left_semi").select("rid", *_bounds())
 
-    asked = _left(classes).groupBy("rid", F.shiftright("at", _TAG).alias("tag")).agg(F.collect_list(F.struct("at", "done")).alias("wanted"))
+    nodes = cut(_mapped(own, _NODES, _word_phrases))
+    kinds = cut(passages.classes_of(nodes))
+    in_two = nodes.join(kinds.where("shared").select("g", "f"), ["g", "f"], "left_semi").select("rid", *_bounds())
+    mixed = cut(passages.mixed_keys(kinds))
+    alone = nodes.join(kinds.where("not shared").join(mixed, "g", "left_semi").select("g", "f"), ["g", "f"], "left_semi").select("rid", "at", F.lit(False).alias("done"))
+    seen = kinds.where("shared").join(mixed, "g", "left_semi").select("one.*", F.lit(True).alias("done"))
+
+    asked = _left(classes).withColumn("words", F.lit(False)).unionByName(alone.unionByName(seen).withColumn("words", F.lit(True)))
+    asked = asked.groupBy("rid", F.shiftright("at", _TAG).alias("tag")).agg(F.collect_list(F.struct("at", "done", "words")).alias("wanted"))
     contexts = cut(_mapped(docs.join(asked, ["rid", "tag"]).select("text", "rid", "wanted"), _CONTEXT, lambda text, rid, wanted: _contexts(text, rid, wanted, length)))
-    fine = cut(_mapped(contexts, _FINE, lambda *row: _fine_blocks(*row, length)))
+    release(mixed)
+    fine = cut(_mapped(contexts.where("not words").select("rid", "at", "done", "bytes"), _FINE, lambda *row: _fine_blocks(*row, length)))
     fine_classes = cut(_classes(fine, "node"))
     equal = fine.where("not done").join(fine_classes.where("n > 1").select("g", "f"), ["g", "f"], "left_semi").select("rid", *_bounds())
 
     asked = _left(fine_classes).groupBy("rid", F.col("node").alias("at")).agg(F.collect_list(F.struct("at", "done")).alias("wanted"))
-    single = cut(_mapped(contexts.select("rid", "at", "bytes").join(asked, ["rid", "at"]).select("rid", "at", "bytes", "wanted"), _WINDOWS, lambda *row: _windows(*row, length)))
+    single = cut(_mapped(contexts.where("not words").select("rid", "at", "bytes").join(asked, ["rid", "at"]).select("rid", "at", "bytes", "wanted"), _WINDOWS, lambda *row: _windows(*row, length)))
     again = cut(single.groupBy("g", "f").agg(F.count("*").alias("n")).where("n > 1").select("g", "f"))
     ones = single.where("not done").join(again, ["g", "f"], "left_semi").select("rid", *_bounds())
-    return whole.unionByName(equal).unionByName(ones).groupBy("rid", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+
+    windows = cut(_mapped(contexts.where("words").select("rid", "at", "done", "bytes"), _WINDOWS, _word_windows))
+    release(contexts)
+    elsewhere = cut(windows.groupBy("g", "f").agg(F.min("rid").alias("a"), F.max("rid").alias("b"), F.max("done").alias("had")).where("a != b or had").select("g", "f"))  # what had been shared is in some other document
+    told = windows.where("not done").join(elsewhere, ["g", "f"], "left_semi").select("rid", *_bounds())
+    of_bytes = whole.unionByName(equal).unionByName(ones).withColumn("words", F.lit(False))
+    return of_bytes.unionByName(in_two.unionByName(told).withColumn("words", F.lit(True))).groupBy("rid", "tag").agg(F.collect_list(F.struct("words", "lo", "hi")).alias("spans"))
 
 
 def _kept(data: bytes, spans: list, length: int) -> tuple[bytes, int]:
     """The bytes outside all spans, and the number of maximal removed runs."""
     out, n, at = [], 0, 0
-    for lo, hi in sorted((s["lo"], s["hi"] + length) for s in spans):
+    for lo, hi in sorted((s["lo"], s["hi"] + length) for s in spans if not s["words"]):
         if lo > at or not n:
             out.append(data[at:lo])
             n += 1
@@ -182,18 +216,19 @@ def _applied(docs: DataFrame, schema: pa.Schema, one: Callable[..., tuple], leng
                 rows = []
                 for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.slice(start, PORTION).columns), strict=True):
                     data = (text or "").encode()
-                    rows.append(one(doc_id, data, *(_kept(data, spans, length) if spans else (data, 0))))
+                    kept = _kept(data, spans, length) if spans else (data, 0)
+                    rows.append(one(doc_id, data, *kept, passages.covered([(s["lo"], s["hi"]) for s in spans or () if s["words"]])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     return own.join(found, ["rid", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(run, arrow_ddl(schema))
 
 
 def dedup_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return _applied(docs, OUT, lambda d, data, kept, n: (d, len(data), len(data) - len(kept), n, sha256(kept).hexdigest()), length)
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words (words in passages of more than 50 words that another document has too)."""
+    return _applied(docs, OUT, lambda d, data, kept, n, words: (d, len(data), len(data) - len(kept), n, sha256(kept).hexdigest(), words), length)
 
 
 def dedup_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, text without the repeats; bytes of a character cut in two become U+FFFD."""
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
-    return _applied(docs, schema, lambda d, data, kept, n: (d, kept.decode("utf-8", "replace")), length)
+    return _applied(docs, schema, lambda d, data, kept, n, words: (d, kept.decode("utf-8", "replace")), length)
