@@ -694,6 +694,14 @@ def j24_threads(spark, sf_dir, source=dna):
     return found.where("first = 0 and last = length(label) - 1").select("entry_id", "start", "src", "dst", "label", "n")
 
 
+@query(f"{_GRAPH} select ed.entry_id, ed.pos as start, src, dst, label, e.n from ed join e using (src, dst, label)")
+def j24_edge_passages(spark, sf_dir, source=dna):
+    """The same edges, without their threads."""
+    own = source(spark, sf_dir)
+    found = graph.edge_passages(own, graph.word_graph(_spaces(spark, sf_dir, source), own, 5), 5)
+    return found.where("first = 0 and last = length(label) - 1").select("entry_id", "start", "src", "dst", "label", "n")
+
+
 @query(f"""{_GRAPH}, w as (select src || label as path, length(label) as k from e) select distinct substr(path, i + 1, 6) as word from w, unnest(range(0, k)) t(i)""")
 def q25_assembled_words(spark, sf_dir, source=dna):
     """Reads to contracted, resolved edges as one query: the different words of six letters along them, which no repair adds to or takes from."""
@@ -895,7 +903,7 @@ def stream_exact_match(spark, sf_dir):
 # --- The same over whole texts ------------------------------------------------
 
 #: Each of these reads ``dna``; it is registered again over all letters of the texts, with the same SQL over those.
-WHOLE = (j6_mismatches, j8_anchored_mismatches, j10_seeded_mismatches, a1_counts_by_edits, q18_unique_words, j19_matched_elsewhere, a16_inexact_words, g1_x_spaces, g2_word_graph, a14_degrees, g5_graph_statistics, g13_ambiguous_edges, g16_numbered_nodes, g8_path_counts, j24_threads)
+WHOLE = (j6_mismatches, j8_anchored_mismatches, j10_seeded_mismatches, a1_counts_by_edits, q18_unique_words, j19_matched_elsewhere, a16_inexact_words, g1_x_spaces, g2_word_graph, a14_degrees, g5_graph_statistics, g13_ambiguous_edges, g16_numbered_nodes, g8_path_counts, j24_edge_passages)
 #: The same without SQL: alignments have ties that SQL does not tell, and tours, restart edges, transports and repairs are one of many right ones; tested by brute force and by what they must keep.
 WHOLE_WITHOUT_SQL = (u1_alignments, g7_balance, g10_euler_tours, g12_transport, g6_resolved_repeats)
 

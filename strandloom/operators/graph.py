@@ -291,12 +291,12 @@ def path_counts(sequences: DataFrame, edges: DataFrame, m: int) -> DataFrame:
     return words(sequences, m + 1).hint("merge").join(table.withColumnRenamed("word", "kmer"), "kmer", "left").select("entry_id", "pos", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def threaded(reads: DataFrame, edges: DataFrame, m: int) -> DataFrame:
-    """entry_id, thread, step, src, dst, label, n, start, first, last: the ways of reads through a graph whose labels have any lengths.
+def edge_passages(reads: DataFrame, edges: DataFrame, m: int) -> DataFrame:
+    """entry_id, src, dst, label, n, start, first, last: where reads go along edges whose labels have any lengths.
 
     Every (m+1)-word of a read is looked up among the words along the edges, all reads and places at once; words that follow each other on an edge are one
-    passage of it, from its letter ``first`` to ``last`` (all of them, unless the read begins or ends there or differs); start: where the edge's source would stand in the read. Passages of whole
-    edges that meet are steps (from 0) of one thread (from 1 in the read). No read is gathered. reads: entry_id, seq; edges: src, dst, label, n.
+    passage of it, from its letter ``first`` to ``last`` (all of them, unless the read begins or ends there or differs); start: where the edge's source would stand in the read. No read is
+    gathered. reads: entry_id, seq; edges: src, dst, label, n.
     """
     known = cut(edges.select("src", "dst", "label", "n").withColumn("edge", F.monotonically_increasing_id()))
     placed = words(reads, m + 1).select("entry_id", F.col("pos").cast("bigint").alias("pos"), F.col("kmer").alias("word")).hint("merge").join(edge_words(known, m), "word")
@@ -304,7 +304,12 @@ def threaded(reads: DataFrame, edges: DataFrame, m: int) -> DataFrame:
     on = placed.select("entry_id", "edge", (F.col("pos") - F.col("offset")).alias("start"), F.col("offset").cast("bigint").alias("offset"))
     order = Window.partitionBy("entry_id", "edge", "start").orderBy("offset")  # as many rows as an edge has letters
     runs = on.withColumn("run", F.col("offset") - F.row_number().over(order)).groupBy("entry_id", "edge", "start", "run").agg(F.min("offset").alias("first"), F.max("offset").alias("last"))
-    found = cut(runs.drop("run").join(known, "edge").withColumn("size", F.length("label").cast("bigint")))
+    return runs.join(known, "edge").select("entry_id", "edge", "src", "dst", "label", "n", "start", "first", "last")
+
+
+def threaded(reads: DataFrame, edges: DataFrame, m: int) -> DataFrame:
+    """entry_id, thread, step, src, dst, label, n, start, first, last: the ways of reads through a graph. Passages (see ``edge_passages``) of whole edges that meet are steps (from 0) of one thread (from 1 in the read)."""
+    found = cut(edge_passages(reads, edges, m).withColumn("size", F.length("label").cast("bigint")))
     before = found.where("last = size - 1").select("entry_id", (F.col("start") + F.col("size")).alias("start"), F.col("dst").alias("src"), F.lit(1).alias("goes_on")).distinct()
     linked = found.join(before, ["entry_id", "start", "src"], "left")
     fresh = (F.col("goes_on").isNull() | (F.col("first") > 0)).cast("bigint")
