@@ -346,34 +346,3 @@ def test_decontamination_does_not_depend_on_shards(spark, monkeypatch):
         monkeypatch.setattr(decontam, "SHARD", size)
         assert found() == whole
     assert [r.doc_id for r in decontam.clean(docs, benchmark).collect()] == [3]
-
-
-def passage_words(texts, n=51):
-    """By definition: words in runs of n that stand in another, different row's text too."""
-    words = [(t or "").encode().split() for t in texts]
-    holders = {}
-    for i, w in enumerate(words):
-        for p in range(len(w) - n + 1):
-            holders.setdefault(tuple(w[p : p + n]), set()).add(i)
-    for w in words:
-        held = bytearray(len(w))
-        for p in range(len(w) - n + 1):
-            if len(holders[tuple(w[p : p + n])]) > 1:
-                held[p : p + n] = b"\1" * n
-        yield sum(held)
-
-
-def test_passages_of_more_than_fifty_words(spark):
-    import random
-
-    rnd = random.Random(11)
-    vocabulary = ["".join(rnd.choices("abcdefghij", k=rnd.randrange(2, 9))) for _ in range(3000)]
-    some = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
-    shared = [some(n) for n in (49, 50, 51, 52, 60, 75, 200)]
-    texts = [" ".join(some(rnd.randrange(300)) + x + some(rnd.randrange(300))) for x in shared for _ in range(2)]
-    texts += [" ".join(some(400)) for _ in range(30)] + [" ".join(some(60) * 3), "\n".join(shared[5]), " ".join(shared[6]), None, "", " ".join(shared[2] * 4), " ".join(some(20) + shared[6][:120] + some(5) + shared[6][90:])]
-    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, words long").repartition(5)
-    got = {r.doc_id: r.n_passage_words for r in substring_dedup.dedup_digests(docs).collect()}
-    want = dict(enumerate(passage_words(texts)))
-    assert got == want
-    assert all(not want[i] for i in range(4)) and all(want[i] >= 51 for i in range(4, 14)) and not any(want[i] for i in range(14, 45))
