@@ -96,8 +96,8 @@ _CODONS = "map([" + ",".join(f"'{a}{b}{c}'" for a in "TCAG" for b in "TCAG" for
 frames as (select entry_id, f, case when f >= 3 then reverse(translate(seq, 'ACGT', 'TGCA')) else seq end as s from dna, unnest(range(0, 6)) t(f))
 select entry_id, f::bigint as frame, array_to_string(list_transform(range(0, (length(s) - f % 3) // 3), lambda i: coalesce({_CODONS}[substr(s, i * 3 + f % 3 + 1, 3)], 'X')), '') as protein from frames
 """)
-def x6_six_frames(spark, sf_dir):
-    rows = dna(spark, sf_dir).select("entry_id", "seq", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("frame"))
+def x6_six_frames(spark, sf_dir, source=dna):
+    rows = source(spark, sf_dir).select("entry_id", "seq", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("frame"))
     return rows.select("entry_id", "frame", S.translation("seq", F.col("frame")).alias("protein"))
 
 
@@ -128,8 +128,8 @@ def places(spark, sf_dir):
 
 
 @query(f"places as ({_PLACES}) select id, p.entry_id, start, length, substr(seq, start + 1, length) as text from places p join dna using (entry_id) where start + length <= length(seq)")
-def p3_extract(spark, sf_dir):
-    return runs.extract(dna(spark, sf_dir), places(spark, sf_dir).select("id", "entry_id", "start", "length"))
+def p3_extract(spark, sf_dir, source=dna):
+    return runs.extract(source(spark, sf_dir), places(spark, sf_dir).select("id", "entry_id", "start", "length"))
 
 
 @query(f"""
@@ -138,8 +138,8 @@ own as (select *, case when sense_seq = 1 and sense_comp = 1 then reverse(transl
 select id, entry_id, start, length, id || ' /start=' || start || ' /end=' || (start + length) || ' /length=' || length
     || case when contains(text, 'N') then ' /Ns=' || (length - length(replace(text, 'N', ''))) || ' /nonNs=' || length(replace(text, 'N', '')) || ' /maxContigN=' || list_max(list_transform(regexp_extract_all(text, 'N+'), lambda x: length(x))) else '' end as header, text from own
 """)
-def p4_annotated(spark, sf_dir):
-    return runs.annotated(dna(spark, sf_dir).withColumn("seq", F.translate("seq", "A", "N")), places(spark, sf_dir))
+def p4_annotated(spark, sf_dir, source=dna):
+    return runs.annotated(source(spark, sf_dir).withColumn("seq", F.translate("seq", "A", "N")), places(spark, sf_dir))
 
 
 _INTERVALS = "select l_orderkey * 10 + l_linenumber as k, cast(l_orderkey * 10 + l_linenumber as varchar) as id, l_suppkey as entry_id, cast(l_orderkey * 3 + l_partkey % 40 as bigint) as start, cast(l_quantity as bigint) as length from lineitem"
@@ -176,8 +176,8 @@ def p9_constraints(spark, sf_dir):
 
 
 @query("c as (select entry_id, 'G' || seq as s from dna) select entry_id, 'G' || array_to_string(list_transform(range(1, length(s)), lambda i: cast(xor(instr('ACGT', substr(s, i, 1)) - 1, instr('ACGT', substr(s, i + 1, 1)) - 1) as varchar)), '') as colours from c")
-def p13_colour_space(spark, sf_dir):
-    return dna(spark, sf_dir).select("entry_id", S.colour_space("seq").alias("colours"))
+def p13_colour_space(spark, sf_dir, source=dna):
+    return source(spark, sf_dir).select("entry_id", S.colour_space("seq").alias("colours"))
 
 
 @query("select entry_id, regexp_replace(seq, '[^ACGT]', 'N', 'g') as fwd, reverse(translate(regexp_replace(seq, '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA')) as rev from letters")
@@ -187,14 +187,14 @@ def p14_canonical(spark, sf_dir):
 
 
 @query("w as (select distinct substr(seq, i::bigint, 6) as kmer from dna, unnest(range(1, length(seq) - 4)) t(i)) select kmer, list_sum(list_transform(range(1, 7), lambda i: (instr('ACGT', substr(kmer, i, 1)) - 1) * 4 ** (6 - i)))::bigint as code, kmer as word from w")
-def x10_kmer_codes(spark, sf_dir):
-    w = kmers.words(dna(spark, sf_dir), 6).select("kmer").distinct().withColumn("code", S.kmer_code("kmer"))
+def x10_kmer_codes(spark, sf_dir, source=dna):
+    w = kmers.words(source(spark, sf_dir), 6).select("kmer").distinct().withColumn("code", S.kmer_code("kmer"))
     return w.withColumn("word", S.kmer_word("code", 6))
 
 
 @query("n as (select entry_id, translate(seq, 'A', 'N') as s from dna) select entry_id, (length(s) - length(replace(s, 'N', '')))::bigint as n_count, coalesce(list_max(list_transform(regexp_extract_all(s, 'N+'), lambda x: length(x))), 0)::bigint as longest from n")
-def a9_n_statistics(spark, sf_dir):
-    own = dna(spark, sf_dir).withColumn("seq", F.translate("seq", "A", "N"))
+def a9_n_statistics(spark, sf_dir, source=dna):
+    own = source(spark, sf_dir).withColumn("seq", F.translate("seq", "A", "N"))
     return own.select("entry_id", S.n_count("seq").alias("n_count"), S.longest_n_run("seq").alias("longest"))
 
 
@@ -242,8 +242,8 @@ def o2_top_kmers(spark, sf_dir):
 
 
 @query(f"{_words_sql('dna', 6)}, c as (select kmer, count(*) as n from w group by all) select w.entry_id, w.pos, (coalesce(a.n, 0) + coalesce(b.n, 0))::bigint as n from w left join c a on a.kmer = w.kmer left join c b on b.kmer = reverse(translate(w.kmer, 'ACGT', 'TGCA'))")
-def j18_annotate_kmers(spark, sf_dir):
-    own = dna(spark, sf_dir)
+def j18_annotate_kmers(spark, sf_dir, source=dna):
+    own = source(spark, sf_dir)
     return kmers.annotate(own, kmers.count(kmers.dna_words(own, 6)), 6)
 
 
@@ -253,8 +253,8 @@ def w11_spaced_words(spark, sf_dir):
 
 
 @query("r as (select substr(seq, i + 1, 6) as kmer, case when i = 0 then '$' else substr(seq, i, 1) end as l, case when i + 6 = length(seq) then '$' else substr(seq, i + 7, 1) end as r from dna, unnest(range(0, length(seq) - 5)) t(i)) select kmer, count(*) as n, least(count(distinct l), 2)::bigint as n_left, least(count(distinct r), 2)::bigint as n_right, max(case when l = '$' or r = '$' then 1 else 0 end)::bigint as at_end from r group by kmer")
-def a15_neighbours(spark, sf_dir):
-    return kmers.neighbours(dna(spark, sf_dir), 6)
+def a15_neighbours(spark, sf_dir, source=dna):
+    return kmers.neighbours(source(spark, sf_dir), 6)
 
 
 @query("""
@@ -780,8 +780,8 @@ k as (select entry_id, i, substr(seq, i + 1, 6) as kmer from dna, unnest(range(0
 v as (select entry_id, i + 5 as place, floor(log2(n::double) + 0.001)::bigint + 1 as value from k join c using (kmer)), w as (select *, place - row_number() over (partition by entry_id, value order by place) as island from v where value > 1)
 select 'd' || entry_id || ' ' || min(place) || ' ' || (max(place) + 1) || ' ' || value as line from w group by entry_id, value, island
 """)
-def g8_path_tracks(spark, sf_dir):
-    tracks = repair.path_tracks(g8_path_counts(spark, sf_dir), 5, "log2")
+def g8_path_tracks(spark, sf_dir, source=dna):
+    tracks = repair.path_tracks(g8_path_counts(spark, sf_dir, source), 5, "log2")
     return tracks.withColumn("name", F.concat(F.lit("d"), F.col("entry_id").cast("string"))).select(formats.wig_bar().alias("line"))
 
 
@@ -793,13 +793,13 @@ def g6_resolved_repeats(spark, sf_dir, source=dna):
 
 
 @query("""
-k as (select substr(seq, i + 1, 10) as kmer, count(*) as n from (select substr(seq, 1, 32) || '$' || substr(seq, 33) as seq from dna), unnest(range(0, 56)) t(i) group by 1),
+k as (select substr(seq, i + 1, 10) as kmer, count(*) as n from (select substr(seq, 1, 32) || '$' || substr(seq, 33) as seq from dna), unnest(range(0, length(seq) - 9)) t(i) group by 1),
 p as (select unnest(string_split(kmer, '$')) as piece, n from k)
 select left(piece, 6) as src, right(piece, 6) as dst, substr(piece, 7) as label, sum(n)::bigint as n from p where length(piece) > 6 group by all
 """)
-def g17_terminators_removed(spark, sf_dir):
-    own = dna(spark, sf_dir).select("entry_id", F.expr("substring(seq, 1, 32) || '$' || substring(seq, 33)").alias("seq"))
-    edges = own.select(F.explode(F.sequence(F.lit(1), F.lit(56))).alias("i"), "seq").select(F.expr("substring(seq, i, 10)").alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+def g17_terminators_removed(spark, sf_dir, source=dna):
+    own = source(spark, sf_dir).select("entry_id", F.expr("substring(seq, 1, 32) || '$' || substring(seq, 33)").alias("seq"))
+    edges = kmers.count(kmers.words(own, 10))
     return repair.without_terminators(edges.select(F.substring("kmer", 1, 6).alias("src"), F.substring("kmer", 5, 6).alias("dst"), F.expr("substring(kmer, 7)").alias("label"), "n"), 6)
 
 
@@ -863,8 +863,8 @@ def r5_run_lines(spark, sf_dir):
 
 
 @query("select '>d' || entry_id || chr(10) || rtrim(regexp_replace(seq, '(.{60})', '\\1' || chr(10), 'g'), chr(10)) as record from dna")
-def s24_fasta_records(spark, sf_dir):
-    return dna(spark, sf_dir).select(S.fasta_record(F.concat(F.lit("d"), F.col("entry_id").cast("string")), "seq").alias("record"))
+def s24_fasta_records(spark, sf_dir, source=dna):
+    return source(spark, sf_dir).select(S.fasta_record(F.concat(F.lit("d"), F.col("entry_id").cast("string")), "seq").alias("record"))
 
 
 _DRAW = "('0x' || substr(md5(concat_ws(':', {}, cast(entry_id as varchar), cast(i as varchar))), 1, 8))::bigint"
@@ -903,7 +903,8 @@ def stream_exact_match(spark, sf_dir):
 # --- The same over whole texts ------------------------------------------------
 
 #: Each of these reads ``dna``; it is registered again over all letters of the texts, with the same SQL over those.
-WHOLE = (j6_mismatches, j8_anchored_mismatches, j10_seeded_mismatches, a1_counts_by_edits, q18_unique_words, j19_matched_elsewhere, a16_inexact_words, g1_x_spaces, g2_word_graph, a14_degrees, g5_graph_statistics, g13_ambiguous_edges, g16_numbered_nodes, g8_path_counts, j24_edge_passages)
+WHOLE = (j6_mismatches, j8_anchored_mismatches, j10_seeded_mismatches, a1_counts_by_edits, q18_unique_words, j19_matched_elsewhere, a16_inexact_words, g1_x_spaces, g2_word_graph, a14_degrees, g5_graph_statistics, g13_ambiguous_edges, g16_numbered_nodes, g8_path_counts, j24_edge_passages,
+         x6_six_frames, p3_extract, p4_annotated, p13_colour_space, x10_kmer_codes, a9_n_statistics, j18_annotate_kmers, a15_neighbours, g8_path_tracks, g17_terminators_removed, s24_fasta_records)
 #: The same without SQL: alignments have ties that SQL does not tell, and tours, restart edges, transports and repairs are one of many right ones; tested by brute force and by what they must keep.
 WHOLE_WITHOUT_SQL = (u1_alignments, g7_balance, g10_euler_tours, g12_transport, g6_resolved_repeats)
 
@@ -944,4 +945,10 @@ query(f"{_ENDS_BY_HALVES} select * from ends")(_over_texts(j7_edit_ends))
 query(f"{_ENDS_BY_HALVES}{_CLUSTERS.removeprefix(_ENDS)} select * from cl")(_over_texts(w5_clustered_hits))
 
 
+@query(f"x as ({re.sub(r'from dna', 'from text_dna', ORACLE_SQL['w11_spaced_words'].removeprefix(f'with {VIEWS.strip()} '))}) select tag, word, count(*) as n from x group by all")
+def w11_spaced_words_whole(spark, sf_dir):
+    """How often each spaced word stands in the whole texts."""
+    return kmers.spaced(text_dna(spark, sf_dir), ["11011", "1011"]).groupBy("tag", "word").agg(F.count("*").alias("n"))
+
+
 from . import compositions  # noqa: E402, F401  (registers its queries here)

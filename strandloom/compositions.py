@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from uuid import uuid4
 
 from pyspark.sql import functions as F
 
-from .catalog import _AMINO_SQL, _GRAPH, _HITS, _ISLANDS, _STRANDS, PRIMERS, VIEWS, _in_frames_sql, _mass_sql, _over_texts, _texts_sql, _word_graph, dna, letters, patterns, points, query, table, text_dna
+from .catalog import _AMINO_SQL, _GRAPH, _HITS, _ISLANDS, _STRANDS, _SUBS_OF_TEXTS, PRIMERS, VIEWS, _in_frames_sql, _mass_sql, _over_texts, _texts_sql, _word_graph, dna, letters, patterns, points, query, table, text_dna
 from .functions import seq as S
 from .operators import align, frames, graph, kmers, match, programs, runs, uniq
 from .plans import formats
@@ -104,17 +105,17 @@ for _k in (1, 2):
 
 
 @query(f"{_amplicons_sql(1, 64)}, sts as (select p as pair_id, 20 + p as size_lb, 25 + p as size_ub from unnest(range(1, 13)) t(p)) select entry_id, pair_id, start_pos, end_pos, greatest(length - size_ub, size_lb - length, 0)::bigint as deviance, amplicon from cut join sts using (pair_id) where greatest(length - size_ub, size_lb - length, 0) <= 4")
-def q2_amplicons_of_expected_sizes(spark, sf_dir):
+def q2_amplicons_of_expected_sizes(spark, sf_dir, source=dna):
     sts = spark.range(1, 13).selectExpr("id as pair_id", "20 + id as size_lb", "25 + id as size_ub")
-    found = programs.pcr_match(dna(spark, sf_dir), patterns(spark, sf_dir), 1, 0, 64, sts=sts, tolerance=4)
+    found = programs.pcr_match(source(spark, sf_dir), patterns(spark, sf_dir), 1, 0, 64, sts=sts, tolerance=4)
     return found.select("entry_id", "pair_id", "start_pos", "end_pos", F.col("deviance").cast("bigint").alias("deviance"), "amplicon")
 
 
 @query("x as (select entry_id, i as pos from dna, unnest(range(0, length(seq) - 7)) t(i)), r as (select entry_id, pos, substr(seq, pos + 1, 8) as text from x join dna using (entry_id)) select entry_id, pattern_id, pos as start_pos, pos + 8 as end_pos, hamming(text, left(pattern, 8))::bigint as edits from r, patterns where hamming(text, left(pattern, 8)) <= 2")
-def j12_spaced_seeds(spark, sf_dir):
+def j12_spaced_seeds(spark, sf_dir, source=dna):
     """Words of eight letters with two substitutions by spaced seeds of weight four that together miss none."""
     short = patterns(spark, sf_dir).withColumn("pattern", F.left("pattern", F.lit(8)))
-    return programs.spaced_mismatches(dna(spark, sf_dir), short, 2, programs.covering(8, 2, 4))
+    return programs.spaced_mismatches(source(spark, sf_dir), short, 2, programs.covering(8, 2, 4))
 
 
 _PEPTIDES = ("THENT", "WASIN", "KANDT", "MXXXX")
@@ -152,9 +153,9 @@ w as (select entry_id, i as pos, substr(seq, i + 1, 8) as kmer from dna, unnest(
 free as (select entry_id, pos, pos - row_number() over (partition by entry_id order by pos) as island from w where kmer not in (select kmer from n)), i as (select entry_id, min(pos) as start, count(*) as len, row_number() over (partition by entry_id order by min(pos)) - 1 as run from free group by entry_id, island)
 select entry_id, '>d' || entry_id || ' /run=' || run || ' /start=' || start || ' /end=' || (start + len + 7) || ' /len=' || (len + 7) || chr(10) || substr(seq, start + 1, (len + 7)::bigint) as record from i join dna using (entry_id)
 """)
-def w3_unmatched_regions(spark, sf_dir):
+def w3_unmatched_regions(spark, sf_dir, source=dna):
     """FASTA records of the stretches none of whose words of eight letters stands in another document."""
-    own = dna(spark, sf_dir)
+    own = source(spark, sf_dir)
     matched = uniq.matched_in_others(own.withColumn("group", F.col("entry_id")), 8)
     regions = programs.unmatched_regions(own, matched, 8).withColumn("name", F.concat(F.lit("d"), F.col("entry_id").cast("string")))
     return regions.select("entry_id", programs.region_record().alias("record"))
@@ -179,8 +180,8 @@ def f12_sampled_entries(spark, sf_dir):
 
 
 @query("t as (select entry_id, pattern_id, hamming(substr(seq, i + 1, length(pattern)), pattern) as d from dna, patterns, unnest(range(0, length(seq) - length(pattern) + 1)) t(i)) select pattern_id, count(*) filter (d = 0) as n_exact, count(*) filter (d > 0 and d <= 1) as n_inexact from t group by pattern_id")
-def a16_inexact_counts(spark, sf_dir):
-    return programs.inexact_counts(dna(spark, sf_dir), patterns(spark, sf_dir), 1)
+def a16_inexact_counts(spark, sf_dir, source=dna):
+    return programs.inexact_counts(source(spark, sf_dir), patterns(spark, sf_dir), 1)
 
 
 @query("c as (select unnest(string_split(seq, '')) as symbol from letters), g as (select symbol, count(*) as n from c where symbol != '' group by symbol) select symbol, n, row_number() over (order by symbol) - 1 as code from g")
@@ -250,9 +251,9 @@ def q19_run_summary(spark, sf_dir):
     return runs.islands(points(spark, sf_dir)).groupBy("entry_id").agg(F.count("*").alias("n_runs"), F.max("len").alias("longest"), F.sum(F.when(F.col("len") > 1, F.col("len")).otherwise(0)).alias("in_runs"))
 
 
-@query()
+@query(re.sub(r"\bdna\b", "text_dna", _amplicons_sql(1, 500)) + " select *, 0::bigint as n_count, case when left_id > 25 then reverse(translate(amplicon, 'ACGT', 'TGCA')) else amplicon end as amplicon_forward from cut")
 def q2_pcr_match_whole_with_substitutions(spark, sf_dir):
-    """Whole patterns of both strands with one substitution in whole texts; tested by brute force."""
+    """Whole patterns of both strands with one substitution in whole texts."""
     return programs.pcr_match(text_dna(spark, sf_dir), patterns(spark, sf_dir), 1, 0, 500)
 
 
@@ -289,7 +290,9 @@ def g11_shortcut_edges(spark, sf_dir, source=dna):
     return graph.shortcuts(_word_graph(spark, sf_dir, source), 5)
 
 
-query(_texts_sql("x16_two_piece_alignments"), whole=True)(_over_texts(x16_two_piece_alignments))
+for _f in (x16_two_piece_alignments, q2_amplicons_of_expected_sizes, j12_spaced_seeds, w3_unmatched_regions):
+    query(_texts_sql(_f.__name__), whole=True)(_over_texts(_f))
+query(f"{_SUBS_OF_TEXTS} select p.pattern_id, count(*) filter (edits = 0) as n_exact, count(*) filter (edits = 1) as n_inexact from patterns p left join near using (pattern_id) group by p.pattern_id")(_over_texts(a16_inexact_counts))
 query()(_over_texts(g11_shortcut_edges))
 
 

@@ -63,10 +63,10 @@ def translation(seq: Column | str, frame: Column | int = 0) -> Column:
     """Amino acids of whole codons from offset frame % 3; frames 3 to 5 read the reverse complement. Unknown codons: X."""
     seq, frame = column(seq), F.lit(frame) if isinstance(frame, int) else frame
     strand = F.when(frame >= 3, reverse_complement(seq)).otherwise(seq)
-    n = F.floor((F.length(strand) - frame % 3) / 3).cast("int")
-    codons = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    # cut once from left to right, as a substring by number would be sought from the start of the text
+    codons = F.regexp_extract_all(F.substring(strand, frame % 3 + 1, F.length(strand)), F.lit("(?s).{3}"), F.lit(0))
     table = codon_map()
-    return F.array_join(F.transform(codons, lambda i: F.coalesce(F.element_at(table, F.substring(strand, i * 3 + frame % 3 + 1, F.lit(3))), F.lit("X"))), "")
+    return F.array_join(F.transform(F.coalesce(codons, F.array().cast("array<string>")), lambda c: F.coalesce(F.element_at(table, c), F.lit("X"))), "")
 
 
 def codon_to_dna(aa_start: Column | str, aa_length: Column | str, frame: Column | str, dna_length: Column | str) -> tuple[Column, Column]:
@@ -213,10 +213,10 @@ def residue_mass(seq: Column | str, table: dict[str, float] | None = None) -> Co
 
 def colour_space(seq: Column | str, primer: str = "G") -> Column:
     """Primer letter, then a digit for every pair of neighbours, the primer's pair first: the exclusive or of the letters' codes."""
-    whole = F.concat(F.lit(primer), column(seq))
-    code = lambda i: F.instr(F.lit("ACGT"), F.substring(whole, i, F.lit(1))) - 1
-    steps = F.when(F.length(whole) > 1, F.sequence(F.lit(1), F.length(whole) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.concat(F.lit(primer), F.array_join(F.transform(steps, lambda i: code(i).bitwiseXOR(code(i + 1)).cast("string")), ""))
+    letters = F.filter(F.split(F.concat(F.lit(primer), column(seq)), ""), lambda c: c != "")
+    codes = F.transform(letters, lambda c: F.instr(F.lit("ACGT"), c) - 1)
+    steps = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: a.bitwiseXOR(b).cast("string"))
+    return F.concat(F.lit(primer), F.array_join(F.coalesce(steps, F.array().cast("array<string>")), ""))
 
 
 def canonical(seq: Column | str, alphabet: str = "ACGT", other: str = "N") -> Column:
