@@ -7,9 +7,9 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
-from .catalog import _AMINO_SQL, _GRAPH, _HITS, _ISLANDS, _STRANDS, _SUBS_OF_TEXTS, PRIMERS, VIEWS, _in_frames_sql, _mass_sql, _over_texts, _texts_sql, _word_graph, dna, letters, patterns, points, query, table, text_dna
+from .catalog import _AMINO_SQL, _DIGEST, _GRAPH, _HITS, _ISLANDS, _STRANDS, _SUBS_OF_TEXTS, PRIMERS, VIEWS, _in_frames_sql, _mass_sql, _over_texts, _texts_sql, _word_graph, dna, letters, patterns, points, query, table, text_dna
 from .functions import seq as S
-from .operators import align, frames, graph, kmers, match, programs, runs, uniq
+from .operators import align, frames, graph, kmers, mass, match, programs, runs, uniq
 from .plans import formats
 from .plans.lineage import shared_dir
 from .sources import files
@@ -317,3 +317,124 @@ def q18_matched_within_one(spark, sf_dir):
     own = text_dna(spark, sf_dir)
     found = uniq.matched_elsewhere(own, own, 12, 1, same=True, both_strands=True, left=3, right=2)
     return found.groupBy("entry_id").agg(F.count("*").alias("n"))
+
+
+@query("""
+w as materialized (select entry_id, n, right(seq, n::integer) as last, left(seq, n::integer) as first from text_dna, unnest(range(7, 41)) t(n) where n <= length(seq)),
+x as (select a.entry_id as a, b.entry_id as b, max(a.n) as overlap from w a join w b on a.n = b.n and a.last = b.first where a.entry_id != b.entry_id group by all)
+select a, b, overlap from (select *, row_number() over (partition by a order by overlap desc, b) as i from x) where i <= 11
+""")
+def j21_nearest_overlaps(spark, sf_dir):
+    """For every text the eleven others whose beginning reaches furthest into its end, by seven to forty letters."""
+    own = text_dna(spark, sf_dir)
+    return graph.nearest_overlaps(own.select(F.col("entry_id").alias("a"), "seq"), own.select(F.col("entry_id").alias("b"), "seq"), 7, 40, 11)
+
+
+@query(f"{_HITS} select distinct entry_id, pattern_id, start as start_pos, \"end\" as end_pos, edits from hits, unnest(range(0, length(pattern) - 7)) t(o) where substr(text, o + 1, 8) = substr(pattern, o + 1, 8)")
+def j11_large_word_seeds(spark, sf_dir):
+    """Hits of the whole primers of both strands with up to two substitutions that have eight letters in a row right."""
+    return match.mismatches(text_dna(spark, sf_dir), match.both_strands(_primers(spark)), 2, word=8)
+
+
+@query("""
+strands as (select pattern_id as base_id, 'F' as strand, pattern from patterns union all select pattern_id, 'R', reverse(translate(pattern, 'ACGT', 'TGCA')) from patterns),
+win as (select entry_id, i, n, substr(seq, i + 1, n) as text from text_dna, unnest([8, 9, 10]) s(n), unnest(range(0, length(seq) - n + 1)) t(i))
+select entry_id, base_id, strand, i as start, i + n as "end", text from win join strands on text = pattern
+""")
+def p8_patterns_in_small_letters(spark, sf_dir):
+    """Patterns given in small letters, read in capitals."""
+    small = patterns(spark, sf_dir).withColumn("pattern", F.lower("pattern"))
+    return programs.primer_match(text_dna(spark, sf_dir), small, upper=True).select("entry_id", "base_id", "strand", "start", "end", "text")
+
+
+@query("""w as materialized (select entry_id, i as pos, substr(seq, i + 1, 8) as kmer from text_dna, unnest(range(0, length(seq) - 7)) t(i)), p as (select distinct substr(pattern, 1, 8) as kmer from patterns),
+near as (select kmer from (select distinct kmer from w) d where exists (select 1 from p where hamming(p.kmer, d.kmer) = 1)) select entry_id, pos from w where kmer in (select kmer from near)""")
+def f9_inexact_only(spark, sf_dir):
+    """Places whose eight letters are a pattern's but for exactly one."""
+    pats = patterns(spark, sf_dir).select(F.col("pattern_id").alias("entry_id"), F.substring("pattern", 1, 8).alias("seq"))
+    return uniq.matched_elsewhere(text_dna(spark, sf_dir), pats, 8, 1, inexact_only=True)
+
+
+@query("select a.entry_id as part, b.entry_id as whole from letters a join letters b on a.entry_id != b.entry_id and length(a.seq) < length(b.seq) and contains(b.seq, a.seq) where length(a.seq) >= 6")
+def f14_short_seeds_skipped(spark, sf_dir):
+    return uniq.contained(letters(spark, sf_dir), skip_short=True)
+
+
+_READ_AS = "case when contains(peptide, 'X') then 'ACDEFGHIKLMNPQRSTVWY' when contains(peptide, 'B') then 'DN' else 'EQ' end"
+
+
+@query(f"""
+{_DIGEST}, one as (select distinct peptide from digest where length(regexp_replace(peptide, '[^XBZ]', '', 'g')) = 1), read as (select peptide, unnest(string_split({_READ_AS}, '')) as l from one),
+shown as (select peptide, translate(peptide, 'XBZ', l || l || l) as reading from read) select peptide, reading, round(({_mass_sql('reading', S.MONO)}) * 1000)::bigint as mass from shown
+""")
+def w14_wildcard_readings(spark, sf_dir):
+    """What the tryptic peptides of all letters with one X, B or Z may be, and its mass; null where another letter has none."""
+    whole = mass.digest(letters(spark, sf_dir)).select("peptide").distinct()
+    return mass.wildcard_masses(whole).select("peptide", "reading", F.round(F.col("mass") * 1000).cast("bigint").alias("mass"))
+
+
+# --- Files written from the tables and read back --------------------------------
+
+
+def _path(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+
+
+@query("select count(*) as n, 1::bigint as first, count(*) as last, count(*) as n_numbers, count(distinct replace(p_name, ' ', '_')) as n_patterns from part", views=False)
+def s13_pattern_numbers(spark, sf_dir):
+    """Patterns of a file are numbered from 1 without a gap."""
+    at = _path(spark, "patterns")
+    table(spark, sf_dir, "part").select(F.concat(F.lit(" "), F.translate("p_name", " ", "_"))).write.text(at)
+    read = files.read_patterns(spark, at)
+    return read.select(F.count("*").alias("n"), F.min("pattern_id").alias("first"), F.max("pattern_id").alias("last"), F.countDistinct("pattern_id").alias("n_numbers"), F.countDistinct("pattern").alias("n_patterns"))
+
+
+@query("""o as (select row_number() over (order by lpad(cast(p_partkey as varchar), 12, '0')) as pair_id, p_name, p_brand, p_size from part)
+select pair_id, 2 * pair_id - 1 as pattern_id, p_name as pattern from o union all select pair_id, 2 * pair_id, p_brand from o""")
+def s15_sts_pairs(spark, sf_dir):
+    """An STS file, its pairs as two patterns each."""
+    at = _path(spark, "sts")
+    part = table(spark, sf_dir, "part").withColumn("id", F.lpad(F.col("p_partkey").cast("string"), 12, "0"))
+    part.select(F.concat_ws("\t", "id", "p_name", "p_brand", "p_size", F.lit("acc"), F.lit("1"), F.lit("alt"), F.lit("species"))).write.text(at)
+    return files.sts_patterns(files.read_sts(spark, at))
+
+
+@query("select 's' || s_suppkey as symbol, s_acctbal::double as mass from supplier", views=False)
+def s16_masses_read(spark, sf_dir):
+    at = _path(spark, "symbol-masses")
+    table(spark, sf_dir, "supplier").select(F.concat(F.lit(" s"), F.col("s_suppkey").cast("string"), F.lit("  "), F.col("s_acctbal").cast("string"))).write.text(at)
+    return files.read_masses(spark, at)
+
+
+@query("select l_suppkey as entry_id, l_partkey as start, l_orderkey as length from lineitem", views=False)
+def s17_positions_read(spark, sf_dir):
+    at = _path(spark, "positions")
+    table(spark, sf_dir, "lineitem").select(F.concat_ws(" ", *(F.col(c).cast("string") for c in ("l_suppkey", "l_partkey", "l_orderkey")))).write.text(at)
+    return files.read_positions(spark, at)
+
+
+@query("w as (select substr(seq, i + 1, 8) as kmer from text_dna, unnest(range(0, length(seq) - 7)) t(i)) select kmer, count(*) as n from w group by all")
+def s18_counts_read(spark, sf_dir):
+    at = _path(spark, "counts")
+    files.write_counts(kmers.count(kmers.dna_words(text_dna(spark, sf_dir), 8)), at)
+    return files.read_counts(spark, at)
+
+
+@query(f"{_ISLANDS} select * from isl")
+def s19_bitmap_lines_read(spark, sf_dir):
+    own = points(spark, sf_dir)
+    lines = files.bitmap_lines(runs.islands(own), own.select("entry_id").distinct().withColumn("size", F.lit(20001)))
+    return files.read_bitmap_lines(lines)
+
+
+@query("select l_suppkey as src, l_partkey as dst, l_orderkey as start, l_orderkey + l_linenumber as \"end\", l_linenumber::bigint as n from lineitem", views=False)
+def s21_edges_read(spark, sf_dir):
+    at = _path(spark, "edges")
+    own = table(spark, sf_dir, "lineitem")
+    files.write_edges(own.selectExpr("l_suppkey as src", "l_partkey as dst", "l_orderkey as start", "l_orderkey + l_linenumber as end", "l_linenumber as n"), at)
+    return files.read_edges(spark, at)
+
+
+@query(f"{_ISLANDS} select 'variableStep span=' || len || chr(10) || (start + 1) || ' ' || entry_id as line from isl")
+def r7_wig_lines(spark, sf_dir):
+    return runs.islands(points(spark, sf_dir)).select(formats.wig(value="entry_id").alias("line"))

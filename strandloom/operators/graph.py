@@ -328,11 +328,25 @@ def overlaps(left: DataFrame, right: DataFrame, shortest: int, longest: int) ->
     return ends.join(starts, ["n", "word"]).where("a != b").groupBy("a", "b").agg(F.max("n").alias("overlap"))
 
 
+def nearest_overlaps(left: DataFrame, right: DataFrame, shortest: int, longest: int, most: int) -> DataFrame:
+    """a, b, overlap: of the pairs of ``overlaps`` the first ``most`` of each a, longest overlap first, ties by b. Null sequences and those shorter than ``shortest`` have none.
+
+    No list of all pairs is made: of the right sequences that begin with one word only the first 2 * most are kept, before rows are exchanged. That is enough: at one length
+    an a leaves out itself and what it took at greater lengths, fewer than ``most``, and takes ``most`` at most.
+    """
+    size = F.explode(F.sequence(F.lit(shortest), F.lit(longest)))
+    long_enough = lambda d, key, end: d.select(key, end.alias("end"), size.alias("n")).where("n <= length(end)")
+    ends = long_enough(left, "a", F.expr(f"right(seq, {longest})")).select("a", "n", F.expr("right(end, n)").alias("word"))
+    starts = long_enough(right, "b", F.expr(f"left(seq, {longest})")).select("b", "n", F.expr("left(end, n)").alias("word")).distinct()
+    first = starts.withColumn("i", F.row_number().over(Window.partitionBy("n", "word").orderBy("b"))).where(F.col("i") <= 2 * most).groupBy("n", "word").agg(F.collect_list("b").alias("all"))
+    found = ends.hint("merge").join(first, ["n", "word"]).select("a", "n", F.explode("all").alias("b")).where("a != b").groupBy("a", "b").agg(F.max("n").alias("overlap"))
+    best = Window.partitionBy("a").orderBy(F.desc("overlap"), "b")
+    return found.withColumn("i", F.row_number().over(best)).where(F.col("i") <= most).drop("i")
+
+
 def jumpers(deficit: DataFrame, surplus: DataFrame, m: int, shortest: int = 7, most: int = 11) -> DataFrame:
     """a, b, overlap, cost: from each node that needs a way on, at most ``most`` cheapest edges by overlap; cost = m - 1 - overlap."""
-    found = overlaps(deficit, surplus, shortest, m - 1)
-    order = Window.partitionBy("a").orderBy(F.desc("overlap"), "b")
-    return found.withColumn("i", F.row_number().over(order)).where(F.col("i") <= most).select("a", "b", "overlap", (F.lit(m - 1) - F.col("overlap")).alias("cost"))
+    return nearest_overlaps(deficit, surplus, shortest, m - 1, most).withColumn("cost", F.lit(m - 1) - F.col("overlap"))
 
 
 def shortcuts(edges: DataFrame, longest: int, most: int | None = None) -> DataFrame:
