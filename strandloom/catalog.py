@@ -669,8 +669,8 @@ def g13_ambiguous_edges(spark, sf_dir, source=dna):
 
 
 @query(f"{_GRAPH} select src, dst, label, n from e where n > 1")
-def f10_count_filter(spark, sf_dir):
-    return graph.count_filtered(_word_graph(spark, sf_dir), ">", 1).select("src", "dst", "label", "n")
+def f10_count_filter(spark, sf_dir, source=dna):
+    return graph.count_filtered(_word_graph(spark, sf_dir, source), ">", 1).select("src", "dst", "label", "n")
 
 
 @query("select * from (select o_orderkey * 2 as node, min(least(o_orderkey * 2, o_custkey * 2 + 1)) over (partition by o_custkey) as component from orders) union all select o_custkey * 2 + 1, min(least(o_orderkey * 2, o_custkey * 2 + 1)) from orders group by o_custkey", views=False)
@@ -904,7 +904,7 @@ def stream_exact_match(spark, sf_dir):
 
 #: Each of these reads ``dna``; it is registered again over all letters of the texts, with the same SQL over those.
 WHOLE = (j6_mismatches, j8_anchored_mismatches, j10_seeded_mismatches, a1_counts_by_edits, q18_unique_words, j19_matched_elsewhere, a16_inexact_words, g1_x_spaces, g2_word_graph, a14_degrees, g5_graph_statistics, g13_ambiguous_edges, g16_numbered_nodes, g8_path_counts, j24_edge_passages,
-         x6_six_frames, p3_extract, p4_annotated, p13_colour_space, x10_kmer_codes, a9_n_statistics, j18_annotate_kmers, a15_neighbours, g8_path_tracks, g17_terminators_removed, s24_fasta_records)
+         x6_six_frames, p3_extract, p4_annotated, p13_colour_space, x10_kmer_codes, a9_n_statistics, j18_annotate_kmers, a15_neighbours, g8_path_tracks, g17_terminators_removed, s24_fasta_records, f10_count_filter)
 #: The same without SQL: alignments have ties that SQL does not tell, and tours, restart edges, transports and repairs are one of many right ones; tested by brute force and by what they must keep.
 WHOLE_WITHOUT_SQL = (u1_alignments, g7_balance, g10_euler_tours, g12_transport, g6_resolved_repeats)
 
