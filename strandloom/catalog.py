@@ -638,7 +638,7 @@ def _spaces(spark, sf_dir, source=dna):
 
 
 def _word_graph(spark, sf_dir, source=dna):
-    return graph.word_graph(_spaces(spark, sf_dir, source), source(spark, sf_dir), 5)
+    return graph.text_graph(source(spark, sf_dir), 5)
 
 
 @query(f"{_SPACES} select * from sp")
@@ -690,7 +690,7 @@ def g8_path_counts(spark, sf_dir, source=dna):
 def j24_threads(spark, sf_dir, source=dna):
     """The edges that each document takes whole through the word graph of all documents, found as a read is."""
     own = source(spark, sf_dir)
-    found = graph.threaded(own, graph.word_graph(_spaces(spark, sf_dir, source), own, 5), 5)
+    found = graph.threaded(own, graph.text_graph(own, 5), 5)
     return found.where("first = 0 and last = length(label) - 1").select("entry_id", "start", "src", "dst", "label", "n")
 
 
@@ -698,7 +698,7 @@ def j24_threads(spark, sf_dir, source=dna):
 def j24_edge_passages(spark, sf_dir, source=dna):
     """The same edges, without their threads."""
     own = source(spark, sf_dir)
-    found = graph.edge_passages(own, graph.word_graph(_spaces(spark, sf_dir, source), own, 5), 5)
+    found = graph.edge_passages(own, graph.text_graph(own, 5), 5)
     return found.where("first = 0 and last = length(label) - 1").select("entry_id", "start", "src", "dst", "label", "n")
 
 
@@ -758,7 +758,7 @@ def g12_transport(spark, sf_dir, source=dna):
 
 @query(f"{_SPACES} select row_number() over (order by kmer) as id, kmer as seq from (select distinct kmer from sp)")
 def g16_numbered_nodes(spark, sf_dir, source=dna):
-    return graph.numbered(_spaces(spark, sf_dir, source))
+    return graph.numbered(graph.branching(source(spark, sf_dir), 5))
 
 
 @query("n as (select n_nationkey::bigint as id, substr(n_name, 1, 1) as seq from nation), k as (select seq, min(id) as kept from n group by seq), ed as (select n_nationkey::bigint as src, (n_regionkey * 5)::bigint as dst, 'x' as label from nation) select distinct ks.kept as src, kd.kept as dst, label from ed join n a on a.id = src join k ks on ks.seq = a.seq join n b on b.id = dst join k kd on kd.seq = b.seq")

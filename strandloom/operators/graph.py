@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import seq as S
 from ..plans.lineage import cut
 from ..plans.scans import running
-from .kmers import words, words_with_neighbours
+from .kmers import sized, words
 
 
 def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
@@ -40,13 +40,69 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _counted_windows(sequences: DataFrame, m: int) -> DataFrame:
+    """l, kmer, r, n, first_entry: every different word of m letters with the letters on both sides, null beyond an end. Counted as one text each, so that equal ones are put together where they are read."""
+    padded = sequences.select("entry_id", F.concat(F.lit("$"), "seq", F.lit("$")).alias("seq"))
+    counted = words(padded, m + 2).groupBy("kmer").agg(F.count("*").alias("n"), F.min("entry_id").alias("first_entry"))
+    side = lambda x, name: F.when(F.expr(x) != "$", F.expr(x)).alias(name)
+    return counted.select(side("left(kmer, 1)", "l"), F.expr(f"substring(kmer, 2, {m})").alias("kmer"), side("right(kmer, 1)", "r"), "n", "first_entry")
+
+
+def _branching(windows: DataFrame) -> DataFrame:
+    """kmer: the words of ``x_spaces``, from ``_counted_windows``."""
+    sided = lambda c: F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.col("n"))), F.lit(0))
+    all_of = windows.groupBy("kmer").agg(F.sum("n").alias("n"), F.min("l").alias("l0"), F.max("l").alias("l1"), F.min("r").alias("r0"), F.max("r").alias("r1"), sided("l").alias("nl"), sided("r").alias("nr"))
+    return all_of.where("n > 1 and (nl < n or nr < n or l0 != l1 or r0 != r1)").select("kmer")
+
+
+def branching(sequences: DataFrame, m: int) -> DataFrame:
+    """kmer: the branching words of ``x_spaces``, once each."""
+    return _branching(_counted_windows(sequences, m))
+
+
 def x_spaces(sequences: DataFrame, m: int) -> DataFrame:
     """entry_id, pos, kmer of every occurrence of the branching words: they occur twice at least, and not all with one left and one right letter; a sequence's end is a letter of its own each time."""
-    side = lambda c: F.when(F.col(c) != "$", F.col(c)).alias(c)
-    rows = words_with_neighbours(sequences, m).select("entry_id", F.col("pos").cast("bigint").alias("pos"), "kmer", side("l"), side("r"))
-    branching = rows.groupBy("kmer").agg(F.count("*").alias("n"), F.min("l").alias("l0"), F.max("l").alias("l1"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.count("l").alias("nl"), F.count("r").alias("nr"))
-    chosen = branching.where("n > 1 and (nl < n or nr < n or l0 != l1 or r0 != r1)").select("kmer")
-    return rows.join(chosen, "kmer", "left_semi").select("entry_id", "pos", "kmer")
+    chosen = sized(branching(sequences, m), m)
+    return words(sequences, m).select("entry_id", F.col("pos").cast("bigint").alias("pos"), "kmer").join(chosen, "kmer", "left_semi").select("entry_id", "pos", "kmer")
+
+
+#: Letters of a label that are put together at once.
+BLOCK = 1 << 10
+
+
+def text_graph(sequences: DataFrame, m: int) -> DataFrame:
+    """The ``word_graph`` of the ``x_spaces`` of whole sequences: src, dst, label, n, first_entry, first_pos.
+
+    Two branching words next to each other are one word of m + 1 letters, so these edges are counted as words are, and no place is sorted or joined. Only where a branching word
+    and another meet are places listed: from such a place to the next the letters are a label. Of many letters it is put together in blocks.
+    """
+    windows = cut(_counted_windows(sequences, m))
+    chosen = cut(_branching(windows))
+    pairs = windows.where("r is not null").groupBy(F.concat("kmer", "r").alias("word")).agg(F.sum("n").alias("n"), F.min("first_entry").alias("first_entry"))
+    known = lambda c: chosen.select(F.col("kmer").alias(c), F.lit(True).alias(f"in_{c}"))
+    pairs = pairs.select("word", F.expr(f"left(word, {m})").alias("src"), F.expr(f"right(word, {m})").alias("dst"), "n", "first_entry").join(known("src"), "src", "left").join(known("dst"), "dst", "left")
+    pairs = cut(pairs.select("word", "src", "dst", "n", "first_entry", F.coalesce("in_src", F.lit(False)).alias("a"), F.coalesce("in_dst", F.lit(False)).alias("b")))
+
+    # the first place of a word: that in its first entry, of which only the entries that are first for a word are read again
+    near = pairs.where("a and b")
+    again = sequences.join(sized(near.select(F.col("first_entry").alias("entry_id")).distinct(), 8), "entry_id", "left_semi")
+    places = words(again, m + 1).join(sized(near.select(F.col("word").alias("kmer"), F.col("first_entry").alias("entry_id")), m + 9), ["kmer", "entry_id"])
+    first = places.groupBy(F.col("kmer").alias("word")).agg(F.min("pos").cast("bigint").alias("first_pos"))
+    edges = near.join(first, "word").select("src", "dst", F.expr("right(word, 1)").alias("label"), "n", "first_entry", "first_pos")
+
+    apart = pairs.where("not (a and b)").select(F.col("word").alias("kmer"), "a", "b")
+    if apart.where("a").isEmpty():
+        return edges
+    order = Window.partitionBy("entry_id").orderBy("pos")
+    laid = words(sequences, m + 1).join(sized(apart, m + 3), "kmer").select("entry_id", F.col("pos").cast("bigint").alias("pos"), "kmer", "a", "b").withColumn("gap", F.sum(F.col("a").cast("bigint")).over(order)).where("gap > 0")
+    blocks = laid.groupBy("entry_id", "gap", F.expr(f"pos div {BLOCK}").alias("block")).agg(
+        F.min("pos").alias("pos"), F.max(F.when(F.col("a"), F.expr(f"left(kmer, {m})"))).alias("src"), F.max(F.when(F.col("b"), F.expr(f"right(kmer, {m})"))).alias("dst"), F.array_sort(F.collect_list(F.struct("pos", F.expr("right(kmer, 1)").alias("x")))).alias("all")
+    )
+    blocks = blocks.select("entry_id", "gap", "pos", "src", "dst", F.array_join(F.transform("all", lambda x: x["x"]), "").alias("part"))
+    gaps = blocks.groupBy("entry_id", "gap").agg(F.min("pos").alias("pos"), F.max("src").alias("src"), F.max("dst").alias("dst"), F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("all")).where("dst is not null")
+    steps = gaps.select("entry_id", "pos", "src", "dst", F.array_join(F.transform("all", lambda x: x["part"]), "").alias("label"))
+    least = steps.groupBy("src", "dst", "label").agg(F.count("*").alias("n"), F.min(F.struct("entry_id", "pos")).alias("first"))
+    return edges.unionByName(least.select("src", "dst", "label", "n", F.col("first.entry_id").alias("first_entry"), F.col("first.pos").alias("first_pos")))
 
 
 def word_graph(spaces: DataFrame, sequences: DataFrame, m: int) -> DataFrame:

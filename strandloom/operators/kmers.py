@@ -10,6 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
+from ..plans.lineage import cut
+
+
+#: A table of words up to so many bytes, as counted, is broadcast; what lists places never is.
+BROADCAST_BYTES = 16 << 20
+
+
+def sized(table: DataFrame, width: int) -> DataFrame:
+    """The table, written and counted, to be broadcast up to ``BROADCAST_BYTES`` and to be merged beyond. width: bytes of a row's keys. A few words for many places then need no exchange of the places."""
+    own = cut(table)
+    return own.hint("broadcast" if own.count() * (width + 64) <= BROADCAST_BYTES else "merge")
 
 
 #: Starts in a piece, on two levels: a substring costs what lies before it, so long texts are cut twice.

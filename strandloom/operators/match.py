@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from .kmers import BEYOND, SHORT, windows
+from .kmers import BEYOND, BROADCAST_BYTES, SHORT, windows
 
 HITS = "entry_id bigint, pattern_id bigint, start_pos bigint, end_pos bigint, edits int"
 
@@ -42,9 +42,7 @@ def facts(patterns: DataFrame) -> Facts:
     return Facts({r["n"]: r["count"] for r in patterns.groupBy(F.length("pattern").alias("n")).count().collect() if r["n"]})
 
 
-#: A table of pattern words up to so many bytes, as counted, is broadcast. The other side, made of the sequences, never is.
-BROADCAST_BYTES = 16 << 20
-#: Beyond that: buckets of word hashes that the scan is thinned by (a table of so many numbers at most), and parts that the rows of a word are dealt to.
+#: Beyond ``BROADCAST_BYTES``: buckets of word hashes that the scan is thinned by (a table of so many numbers at most), and parts that the rows of a word are dealt to.
 BUCKETS, SALTS = 1 << 20, 8
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut, release
 from . import match
-from .graph import components, degrees, numbered, unitigs, word_graph, x_spaces
+from .graph import components, degrees, numbered, text_graph, unitigs
 
 
 def widgets(edges: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def resolved(edges: DataFrame, reads: DataFrame, rounds: int = 100) -> DataFrame
 
 def assembled(reads: DataFrame, m: int) -> DataFrame:
     """src, dst, n, text: reads to the longest stretches that they tell: their word graph, drawn together, with repeats resolved by the reads; text: the letters of an edge with those of its source."""
-    edges = word_graph(x_spaces(reads, m), reads, m).select("src", "dst", "label", "n")
+    edges = text_graph(reads, m).select("src", "dst", "label", "n")
     return resolved(edges, reads).select("src", "dst", "n", F.concat(F.substring_index("src", "#", 1), "label").alias("text"))
 
 
