@@ -20,7 +20,11 @@ BROADCAST_BYTES = 16 << 20
 def sized(table: DataFrame, width: int) -> DataFrame:
     """The table, written and counted, to be broadcast up to ``BROADCAST_BYTES`` and to be merged beyond. width: bytes of a row's keys. A few words for many places then need no exchange of the places."""
     own = cut(table)
-    return own.hint("broadcast" if own.count() * (width + 64) <= BROADCAST_BYTES else "merge")
+    return own.hint("broadcast" if fits(own, width) else "merge")
+
+
+def fits(table: DataFrame, width: int) -> bool:
+    return table.count() * (width + 64) <= BROADCAST_BYTES
 
 
 #: Starts in a piece, on two levels: a substring costs what lies before it, so long texts are cut twice.
@@ -99,8 +103,11 @@ def words_with_neighbours(sequences: DataFrame, k: int) -> DataFrame:
 
 
 def dna_words(sequences: DataFrame, k: int) -> DataFrame:
-    """Only words of A, C, G and T: other letters reset the window."""
-    return words(sequences, k).where(F.length(F.translate("kmer", "ACGT", "")) == 0)
+    """Only words of A, C, G and T: other letters reset the window. Words are looked at one by one only in pieces that have others."""
+    pieces = chunks(sequences, k).withColumn("sound", ~F.col("piece").rlike("[^ACGT]"))
+    rows = pieces.select("entry_id", "base", "piece", "sound", F.explode(S.positions("piece", k)).alias("p"))
+    rows = rows.select("entry_id", (F.col("base") + F.col("p")).alias("pos"), F.expr(f"substring(piece, p + 1, {k})").alias("kmer"), "sound")
+    return rows.where(F.col("sound") | ~F.col("kmer").rlike("[^ACGT]")).drop("sound")
 
 
 def count(found: DataFrame, by_entry: bool = False, both_strands: bool = False) -> DataFrame:

@@ -106,7 +106,16 @@ def peptide_scan(proteins: DataFrame, peptides: DataFrame, changes: int = 0, con
 def unmatched_regions(sequences: DataFrame, matched: DataFrame, m: int) -> DataFrame:
     """entry_id, run, start, end, len, text: stretches of which no word of m letters is matched, each run of word starts with the m - 1 letters behind it. matched: entry_id, pos."""
     spans = sequences.select("entry_id", (F.length("seq") - m + 1).alias("size")).where("size > 0")
-    gaps = runs.complement(runs.islands(matched), spans).withColumn("run", F.row_number().over(Window.partitionBy("entry_id").orderBy("start")) - 1)
+    return _regions(sequences, runs.complement(runs.islands(matched), spans), m)
+
+
+def regions_of_words(sequences: DataFrame, starts: DataFrame, m: int) -> DataFrame:
+    """The same of the words of m letters that are given themselves. starts: entry_id, pos."""
+    return _regions(sequences, runs.islands(starts), m)
+
+
+def _regions(sequences: DataFrame, gaps: DataFrame, m: int) -> DataFrame:
+    gaps = gaps.withColumn("run", F.row_number().over(Window.partitionBy("entry_id").orderBy("start")) - 1)
     out = runs.extract(sequences, gaps.withColumn("length", F.col("len") + m - 1).select("entry_id", "run", "start", "length"))
     return out.select("entry_id", F.col("run").cast("bigint").alias("run"), F.col("start").cast("bigint").alias("start"), (F.col("start") + F.col("length")).cast("bigint").alias("end"), F.col("length").cast("bigint").alias("len"), "text")
 

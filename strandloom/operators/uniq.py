@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from .kmers import dna_words, words
+from ..plans.lineage import cut
+from .kmers import dna_words, fits, words
 
 
 def non_redundant(sequences: DataFrame) -> DataFrame:
@@ -51,14 +52,36 @@ def non_redundant_with_containment(sequences: DataFrame, seed: int = 6) -> DataF
     return kept.join(held, "entry_id", "left").select("entry_id", "seq", (F.col("n") + F.coalesce("n_held", F.lit(0))).alias("n"))
 
 
+#: Words of A, C, G and T of up to so many letters are looked up as bits, 64 words a row of the table that is sent around (2^18 rows at most).
+BIT_LETTERS = 12
+
+
+def of_words(places: DataFrame, chosen: DataFrame, m: int, rest: DataFrame | None = None) -> DataFrame:
+    """The places whose word (kmer, of m letters, ACGT) is one of the chosen ones (kmer, once each). rest: all other words of the places, if they are known.
+
+    The fewer of both are sent around; if they are too many and have up to ``BIT_LETTERS`` letters, then a bit for each, so no place is exchanged.
+    """
+    chosen = cut(chosen)
+    if fits(chosen, m):
+        return places.join(F.broadcast(chosen), "kmer", "left_semi").select(*places.columns)
+    if rest is not None and fits(rest := cut(rest), m):
+        return places.join(F.broadcast(rest), "kmer", "left_anti").select(*places.columns)
+    if m > BIT_LETTERS:
+        return places.join(chosen.hint("merge"), "kmer", "left_semi").select(*places.columns)
+    coded = chosen.select(S.kmer_code("kmer").alias("_code")).select(F.shiftright("_code", 6).alias("_high"), F.expr("shiftleft(1L, cast(_code & 63 as int))").alias("_bit"))
+    bits = coded.groupBy("_high").agg(F.expr("bit_or(_bit)").alias("_bits"))
+    found = places.withColumn("_code", S.kmer_code("kmer")).withColumn("_high", F.shiftright("_code", 6)).join(F.broadcast(bits), "_high")
+    return found.where("bit_get(_bits, cast(_code & 63 as int)) = 1").select(*places.columns)
+
+
 def unique_words(sequences: DataFrame, m: int, both_strands: bool = True) -> DataFrame:
     """entry_id, pos, kmer of the ACGT words of m letters that occur at one place only, of both strands if asked."""
     own = dna_words(sequences, m)
-    all_words = own.select("kmer")
+    counted = own.groupBy("kmer").agg(F.count("*").alias("n"))
     if both_strands:
-        all_words = all_words.unionByName(own.select(S.reverse_complement("kmer").alias("kmer")))
-    once = all_words.groupBy("kmer").agg(F.count("*").alias("n")).where("n = 1").select("kmer")
-    return own.hint("merge").join(once, "kmer", "left_semi")
+        counted = cut(counted)
+        counted = counted.unionByName(counted.select(S.reverse_complement("kmer").alias("kmer"), "n")).groupBy("kmer").agg(F.sum("n").alias("n"))
+    return of_words(own, counted.where("n = 1").select("kmer"), m)
 
 
 def near_words(queries: DataFrame, others: DataFrame, m: int, k: int, left: int = 0, right: int = 0) -> DataFrame:
@@ -67,14 +90,8 @@ def near_words(queries: DataFrame, others: DataFrame, m: int, k: int, left: int
     By masked words: two such words are equal in all but some k places. A word has a row for each choice of k places, and of the words that agree in the rest there are
     at most 4^k, so the work is linear in the words.
     """
-    places = list(combinations(range(left, m - right), min(k, m - right - left))) if k and m > left + right else [()]
-
-    def masked(word: str) -> Column:
-        shown = lambda chosen: F.concat(*(F.substring(word, a + 2, b - a - 1) for a, b in zip((-1, *chosen), (*chosen, m), strict=True)))
-        return F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), shown(x).alias("rest")) for i, x in enumerate(places)))).alias("x")
-
-    groups = others.select("b_kmer", masked("b_kmer")).groupBy("x.mask", "x.rest").agg(F.collect_list("b_kmer").alias("words"))
-    pairs = queries.select("kmer", masked("kmer")).select("kmer", "x.*").hint("merge").join(groups, ["mask", "rest"])
+    groups = others.select("b_kmer", _masks("b_kmer", m, k, left, right)).groupBy("x.mask", "x.rest").agg(F.collect_list("b_kmer").alias("words"))
+    pairs = queries.select("kmer", _masks("kmer", m, k, left, right)).select("kmer", "x.*").hint("merge").join(groups, ["mask", "rest"])
     return pairs.select("kmer", F.explode("words").alias("b_kmer")).distinct()
 
 
@@ -94,6 +111,46 @@ def near_lengths(queries: DataFrame, shorter: DataFrame, longer: DataFrame, m: i
     return less.unionByName(more).distinct()
 
 
+#: Of places, the least and greatest entry and position: where the entries differ, a place of another entry is among them; where not, the positions are all of that entry.
+def _widest() -> list[Column]:
+    return [F.min("e0").alias("e0"), F.max("e1").alias("e1"), F.min("p0").alias("p0"), F.max("p1").alias("p1")]
+
+
+def _spans(places: DataFrame, both_strands: bool = False) -> DataFrame:
+    """kmer, e0, e1, p0, p1: numbers alone, so that they are put together by hash where they are read. places: entry_id, pos, kmer; both strands: words are turned when they are counted, not place by place."""
+    found = places.groupBy("kmer").agg(F.min("entry_id").alias("e0"), F.max("entry_id").alias("e1"), F.min("pos").alias("p0"), F.max("pos").alias("p1"))
+    if not both_strands:
+        return found
+    found = cut(found)
+    return found.unionByName(found.withColumn("kmer", S.reverse_complement("kmer"))).groupBy("kmer").agg(*_widest())
+
+
+def _masks(word: str, m: int, k: int, left: int, right: int) -> Column:
+    """x.mask, x.rest: the word without each choice of k places, none in the first ``left`` and last ``right`` letters."""
+    places = list(combinations(range(left, m - right), min(k, m - right - left))) if k and m > left + right else [()]
+    shown = lambda chosen: F.concat(*(F.substring(word, a + 2, b - a - 1) for a, b in zip((-1, *chosen), (*chosen, m), strict=True)))
+    return F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), shown(x).alias("rest")) for i, x in enumerate(places)))).alias("x")
+
+
+def _around(spans: DataFrame, m: int, k: int, left: int, right: int) -> DataFrame:
+    """kmer, e0, e1, p0, p1 of all places of words with at most k substitutions, for each word of the spans. Words that agree but for k places share a masked word, so no pairs are listed."""
+    if not k:
+        return spans
+    masked = cut(spans).select("kmer", _masks("kmer", m, k, left, right), "e0", "e1", "p0", "p1").select("kmer", "x.*", "e0", "e1", "p0", "p1")
+    return masked.select("kmer", "mask", "rest").hint("merge").join(masked.groupBy("mask", "rest").agg(*_widest()), ["mask", "rest"]).groupBy("kmer").agg(*_widest())
+
+
+def _away(places: DataFrame, around: DataFrame, m: int, own: bool) -> DataFrame:
+    """entry_id, pos of the places of which one of those around lies in another entry or m places away at least. around: see ``_spans``, of each word of the places; own: they are among them.
+
+    A word with places in two entries has them all; only of words in one entry, m places apart, are the places looked at.
+    """
+    everywhere = of_words(places, around.where("e0 != e1").select("kmer"), m, around.where("e0 = e1").select("kmer") if own else None).select("entry_id", "pos")
+    alone = cut(around.where(f"e0 = e1 and p1 - p0 >= {m}" if own else "e0 = e1"))
+    near = of_words(places, alone.select("kmer"), m)
+    return everywhere.unionByName(near.hint("merge").join(alone, "kmer").where(f"e0 != entry_id or abs(p0 - pos) >= {m} or abs(p1 - pos) >= {m}").select("entry_id", "pos"))
+
+
 def matched_elsewhere(queries: DataFrame, background: DataFrame, m: int, k: int = 0, same: bool = False, inexact_only: bool = False, both_strands: bool = False, edits: bool = False, left: int = 0, right: int = 0) -> DataFrame:
     """entry_id, pos of the query words of m letters that occur in the background with at most k substitutions (with edits, k of 1: or one letter more or less).
 
@@ -104,25 +161,28 @@ def matched_elsewhere(queries: DataFrame, background: DataFrame, m: int, k: int
         raise ValueError("with edits k is 1")
 
     def stretches(n: int) -> DataFrame:
-        found = dna_words(background, n).select(F.col("entry_id").alias("b_entry"), F.col("pos").alias("b_pos"), F.col("kmer").alias("b_kmer"))
-        return found.withColumn("b_kmer", F.explode(F.array("b_kmer", S.reverse_complement("b_kmer")))) if both_strands else found
+        return dna_words(background, n)
 
     q, b = dna_words(queries, m), stretches(m)
-    words_q, only = q.select("kmer").distinct(), lambda t: t.select("b_kmer").distinct()
-    close = near_words(words_q, only(b), m, k, left, right)
+    if same and not edits and not inexact_only:
+        return _away(q, cut(_around(_spans(b, both_strands), m, k, left, right)), m, own=True)
+
+    def different(places: DataFrame) -> DataFrame:
+        found = places.select("kmer").distinct()
+        return (found.unionByName(found.select(S.reverse_complement("kmer").alias("kmer"))).distinct() if both_strands else found).withColumnRenamed("kmer", "b_kmer")
+
+    words_q = q.select("kmer").distinct()
+    close = near_words(words_q, different(b), m, k, left, right)
     if edits:
         shorter, longer = stretches(m - 1), stretches(m + 1)
-        close = close.unionByName(near_lengths(words_q, only(shorter), only(longer), m, left, right))
+        close = close.unionByName(near_lengths(words_q, different(shorter), different(longer), m, left, right))
         b = b.unionByName(shorter).unionByName(longer)
     if inexact_only:
         close = close.where("kmer != b_kmer")
     if not same:
-        return q.hint("merge").join(close.select("kmer").distinct(), "kmer", "left_semi").select("entry_id", "pos")
-    # Of all words near one: the first and last place overall are enough to know whether one lies away from the query's.
-    span = b.groupBy("b_kmer").agg(F.min(F.struct("b_entry", "b_pos")).alias("lo"), F.max(F.struct("b_entry", "b_pos")).alias("hi"))
-    around = close.hint("merge").join(span, "b_kmer").groupBy("kmer").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    away = f"lo.b_entry != entry_id or hi.b_entry != entry_id or abs(lo.b_pos - pos) >= {m} or abs(hi.b_pos - pos) >= {m}"
-    return q.hint("merge").join(around, "kmer").where(away).select("entry_id", "pos")
+        return of_words(q, close.select("kmer").distinct(), m).select("entry_id", "pos")
+    around = close.hint("merge").join(_spans(b, both_strands).withColumnRenamed("kmer", "b_kmer"), "b_kmer").groupBy("kmer").agg(*_widest())
+    return _away(q, cut(around), m, own=False)
 
 
 def matched_in_others(sequences: DataFrame, m: int) -> DataFrame:
@@ -130,6 +190,20 @@ def matched_in_others(sequences: DataFrame, m: int) -> DataFrame:
 
     Of each word the least and the greatest group are enough, so a frequent word is one row.
     """
-    own = dna_words(sequences, m).join(sequences.select("entry_id", "group"), "entry_id")
-    span = own.groupBy("kmer").agg(F.min("group").alias("g0"), F.max("group").alias("g1"))
-    return own.hint("merge").join(span, "kmer").where("g0 != group or g1 != group").select("entry_id", "pos")
+    spans, own = cut(_groups(sequences, m)), dna_words(sequences, m)
+    return of_words(own, spans.where("g0 != g1").select("kmer"), m, spans.where("g0 = g1").select("kmer")).select("entry_id", "pos")
+
+
+def in_one_group(sequences: DataFrame, m: int) -> DataFrame:
+    """entry_id, pos of the other ACGT words: those that stand in entries of one group only."""
+    spans = cut(_groups(sequences, m))
+    return of_words(dna_words(sequences, m), spans.where("g0 = g1").select("kmer"), m, spans.where("g0 != g1").select("kmer")).select("entry_id", "pos")
+
+
+def _groups(sequences: DataFrame, m: int) -> DataFrame:
+    """kmer, g0, g1: of each ACGT word the least and the greatest group. Groups are numbers, or are numbered, so that they are put together by hash where the words are read."""
+    if dict(sequences.dtypes)["group"] != "bigint":
+        numbers = cut(sequences.select("group").distinct().withColumn("number", F.monotonically_increasing_id()))
+        sequences = sequences.join(numbers, "group").withColumn("group", F.col("number"))
+    grouped = dna_words(sequences.select(F.col("group").alias("entry_id"), "seq"), m)
+    return grouped.groupBy("kmer").agg(F.min("entry_id").alias("g0"), F.max("entry_id").alias("g1"))

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 
 from strandloom import catalog
-from strandloom.operators import graph
+from strandloom.operators import graph, kmers, uniq
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +51,39 @@ def test_word_graph_sorts_no_places(spark):
     assert "SortAggregate" not in plan(graph._counted_windows(catalog.text_dna(spark, SF), 5))
     spaces = plan(catalog.QUERIES["g1_x_spaces_whole"](spark, SF))
     assert "BroadcastHashJoin" in spaces and "SortMergeJoin" not in spaces and "SortAggregate" not in spaces
+
+
+@pytest.mark.parametrize("few", [0, 1 << 24])
+@pytest.mark.parametrize("m", [3, 12, 14])
+def test_places_of_words(spark, monkeypatch, m, few):
+    """Sent around as words, as bits, or merged: the same places."""
+    monkeypatch.setattr(kmers, "BROADCAST_BYTES", few)
+    draw = random.Random(m)
+    texts = ["".join(draw.choice("ACGTACGTACGTACGTN") for _ in range(60)) for _ in range(20)] + ["", "AC"]
+    places = kmers.dna_words(frame(spark, texts), m)
+    want = [(e, i, t[i : i + m]) for e, t in enumerate(texts, 1) for i in range(len(t) - m + 1) if "N" not in t[i : i + m]]
+    assert sorted(map(tuple, places.collect())) == want
+    known = sorted({w for *_, w in want})
+    chosen = set(known[::3])
+    frames = [spark.createDataFrame([(w,) for w in x], "kmer string") for x in (sorted(chosen), [w for w in known if w not in chosen])]
+    for rest in (None, frames[1]):
+        got = uniq.of_words(places, frames[0], m, rest)
+        assert sorted(map(tuple, got.collect())) == [x for x in want if x[2] in chosen]
+        assert ("SortMergeJoin" in plan(got)) == (m > 12 and not few)
+
+
+def test_places_are_not_exchanged(spark):
+    for name in ("q18_unique_words_whole", "f8_matches_of_other_groups", "f9_inexact_only", "a16_inexact_words_whole"):
+        assert "SortMergeJoin" not in plan(catalog.QUERIES[name](spark, SF))
+
+
+def test_groups_by_name(spark):
+    rows = [(1, "ACGTAC", "x"), (2, "TACGTT", "x"), (3, "CGTTTA", "y"), (4, "GGGGGG", "")]
+    df = spark.createDataFrame(rows, "entry_id long, seq string, group string")
+    groups = defaultdict(set)
+    for _, t, g in rows:
+        for i in range(len(t) - 2):
+            groups[t[i : i + 3]].add(g)
+    want = {(e, i): len(groups[t[i : i + 3]]) > 1 for e, t, _ in rows for i in range(len(t) - 2)}
+    assert {tuple(r) for r in uniq.matched_in_others(df, 3).collect()} == {x for x, shared in want.items() if shared}
+    assert {tuple(r) for r in uniq.in_one_group(df, 3).collect()} == {x for x, shared in want.items() if not shared}
