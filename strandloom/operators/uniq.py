@@ -21,32 +21,56 @@ def non_redundant(sequences: DataFrame) -> DataFrame:
     return rows.select("entry_id", F.array_join(F.transform("all", lambda x: x["defline"]), ";").alias("deflines"), "n", "seq")
 
 
+#: Letters that a part is looked up by; shorter parts are looked up whole.
+SEED = 32
+#: Places are thinned out by so many hashes, 64 a row of the table that is sent around.
+HASHES = 1 << 24
+
+
 def contained(sequences: DataFrame, seed: int = 6, skip_short: bool = False) -> DataFrame:
     """part, whole: pairs of different sequences one of which contains the other.
 
-    The part's first ``seed`` letters are equi-joined with all words of that size; what follows is compared.
-    Sequences under the seed's length are compared by their own whole text, or skipped.
+    Equal sequences are compared once, by the first of them, and their pairs put in at the end. A part of ``SEED`` letters and more is looked up by its first ones among all words of that
+    size, which the hashes of those looked for thin out before any place is exchanged. At a place that is left the digests of its first 32, 64, 128 and so on letters are looked up, among
+    them as many as the part has to the last power of two; then the digest of the whole part is compared, so no candidate takes a text along.
+    Shorter ones are matched as patterns are. Sequences under ``seed`` letters are compared by their own whole text, or skipped.
     """
-    parts = sequences.select(F.col("entry_id").alias("part"), F.col("seq").alias("short"))
-    long_enough = parts.where(F.length("short") >= seed).withColumn("mer", F.expr(f"substring(short, 1, {seed})"))
-    places = words(sequences, seed).select(F.col("entry_id").alias("whole"), F.col("pos").alias("p"), F.col("kmer").alias("mer"))
-    wholes = sequences.select(F.col("entry_id").alias("whole"), "seq")
-    hit = places.join(long_enough, "mer").join(wholes, "whole").where("part != whole and length(short) < length(seq) and substring(seq, p + 1, length(short)) = short")
-    out = hit.select("part", "whole").distinct()
-    if skip_short:
-        return out
-    for n in range(1, seed):
-        tiny = parts.where(F.length("short") == n)
-        at = words(sequences, n).select(F.col("entry_id").alias("whole"), F.col("kmer").alias("short")).distinct()
-        sizes = sequences.select(F.col("entry_id").alias("whole"), F.length("seq").alias("n"))
-        out = out.unionByName(at.join(tiny, "short").join(sizes, "whole").where(f"part != whole and n > {n}").select("part", "whole").distinct())
-    return out
+    from . import match
+
+    every = cut(sequences.select("entry_id", F.length("seq").alias("n"), F.md5(F.col("seq").cast("binary")).alias("key")).where("n > 0"))
+    first = cut(every.groupBy("key", "n").agg(F.min("entry_id").alias("entry_id")))
+    own = sequences.select("entry_id", "seq").join(first.select("entry_id"), "entry_id", "left_semi")
+    parts = own.select(F.col("entry_id").alias("part"), "seq", F.length("seq").alias("n"))
+
+    brief = cut(parts.where((F.col("n") >= seed) & (F.col("n") < SEED)).select(F.col("part").alias("pattern_id"), F.col("seq").alias("pattern")))
+    found = match.exact(own, brief).select(F.col("pattern_id").alias("part"), F.col("entry_id").alias("whole")).where("part != whole").distinct()
+
+    wanted = cut(parts.where(F.col("n") >= max(seed, SEED)).select("part", "n", F.md5(F.col("seq").cast("binary")).alias("key"), F.expr(f"left(seq, {SEED})").alias("mer"), F.floor(F.log2("n") + 1e-9).cast("int").alias("level"), F.expr("md5(cast(left(seq, cast(shiftleft(1, cast(floor(log2(n) + 1e-9) as int)) as int)) as binary))").alias("digest")))
+    code = F.pmod(F.xxhash64("mer"), F.lit(HASHES))
+    bits = wanted.select(code.alias("_code")).select(F.shiftright("_code", 6).alias("_high"), F.expr("shiftleft(1L, cast(_code & 63 as int))").alias("_bit")).groupBy("_high").agg(F.expr("bit_or(_bit)").alias("_bits"))
+    places = words(own, SEED).select(F.col("entry_id").alias("whole"), F.col("pos").alias("p"), F.col("kmer").alias("mer")).withColumn("_code", code).withColumn("_high", F.shiftright("_code", 6))
+    near = places.join(F.broadcast(bits), "_high").where("bit_get(_bits, cast(_code & 63 as int)) = 1").select("whole", "p", "mer")
+    near = near.hint("merge").join(wanted.select("mer").distinct(), "mer", "left_semi").select("whole", "p")
+    texts = own.withColumnRenamed("entry_id", "whole")
+    levels = F.expr(f"transform(filter(sequence({SEED.bit_length() - 1}, 30), j -> shiftleft(1, j) <= length(seq) - p), j -> struct(j as level, md5(cast(substring(seq, p + 1, shiftleft(1, j)) as binary)) as digest))")
+    begun = near.hint("merge").join(texts, "whole").select("whole", "p", F.explode(levels).alias("x")).select("whole", "p", "x.*")
+    tries = begun.hint("merge").join(wanted, ["level", "digest"]).where("part != whole").select("part", "whole", "p", "n", "key")
+    held = tries.join(texts, "whole").where("p + n <= length(seq)").where(F.md5(F.expr("substring(seq, p + 1, n)").cast("binary")) == F.col("key"))
+    found = found.unionByName(held.select("part", "whole").distinct())
+
+    for n in [] if skip_short else range(1, seed):
+        tiny = cut(parts.where(F.col("n") == n).select("part", F.col("seq").alias("kmer")))
+        at = words(own, n).join(F.broadcast(tiny.select("kmer")), "kmer", "left_semi").select(F.col("entry_id").alias("whole"), "kmer").distinct()
+        found = found.unionByName(at.join(tiny, "kmer").where("part != whole").select("part", "whole"))
+    same = every.join(first.withColumnRenamed("entry_id", "first"), ["key", "n"])
+    of = lambda role: same.select(F.col("first").alias(role), F.col("entry_id").alias(f"_{role}"))
+    return found.join(of("part"), "part").join(of("whole"), "whole").select(F.col("_part").alias("part"), F.col("_whole").alias("whole"))
 
 
 def non_redundant_with_containment(sequences: DataFrame, seed: int = 6) -> DataFrame:
     """The sequences that no longer one contains, with the number of entries that each stands for."""
-    unique = non_redundant(sequences)
-    inside = contained(unique.select("entry_id", "seq"), seed)
+    unique = cut(non_redundant(sequences).select("entry_id", "n", "seq"))
+    inside = cut(contained(unique.select("entry_id", "seq"), seed))
     kept = unique.join(inside.select(F.col("part").alias("entry_id")).distinct(), "entry_id", "left_anti")
     held = inside.join(unique.select(F.col("entry_id").alias("part"), F.col("n").alias("n_part")), "part").groupBy(F.col("whole").alias("entry_id")).agg(F.sum("n_part").alias("n_held"))
     return kept.join(held, "entry_id", "left").select("entry_id", "seq", (F.col("n") + F.coalesce("n_held", F.lit(0))).alias("n"))

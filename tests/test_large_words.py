@@ -95,3 +95,20 @@ def test_bitmaps_beyond_the_usual_span(spark, tmp_path):
     spark.createDataFrame([(1, p) for p in at] + [(2, 0), (3, 20001), (4, 20000), (5, 25000)], "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     want = {(1, 5, 2), (1, 20000, 3), (1, 30000, 2), (1, 45000, 1), (2, 0, 1), (3, 20001, 1), (4, 20000, 1), (5, 25000, 1)}
     assert {tuple(r) for r in catalog.QUERIES["s19_bitmap_lines_read"](spark, str(tmp_path)).select("entry_id", "start", "len").collect()} == want
+
+
+@pytest.mark.parametrize("skip_short", [False, True])
+def test_containment_by_brute_force(spark, skip_short):
+    """Parts of all lengths around the seeds, equal texts, parts at both ends, and texts that share a beginning."""
+    draw = random.Random(3)
+    long = "".join(draw.choice("ABC") for _ in range(400))
+    texts = [long, long, long[:32], long[:31], long[50:83], long[300:], long[:100] + "X", long[:100] + "Y" + long, long[:100], long[:100], "", "A", "AB", long[7:12], long[7:13], long[:33], "X" * 40, "X" * 64, "X" * 39 + "Y"]
+    want = {(a, b) for a, s in enumerate(texts, 1) for b, w in enumerate(texts, 1) if len(s) >= (6 if skip_short else 1) and len(s) < len(w) and s in w}
+    got = sorted(map(tuple, uniq.contained(frame(spark, texts), skip_short=skip_short).select("part", "whole").collect()))
+    assert got == sorted(want) and len(want) > 40
+
+
+def test_no_candidate_takes_a_text_along(spark):
+    text = plan(uniq.contained(catalog.letters(spark, SF)))
+    before = [line for line in text.split("\n") if "Exchange hashpartitioning(mer" in line]
+    assert before and "_bits" in text and "short" not in text
