@@ -728,7 +728,7 @@ def g7_balance(spark, sf_dir, source=dna):
 
 @query(f"{_GRAPH} select src, dst, label, n, 0::bigint as breaks from e")
 def g10_tours_visit_all(spark, sf_dir, source=dna):
-    """How often the tours, made by joins, take each edge of the graph; breaks: how many steps of all tours begin elsewhere than where the step before ended."""
+    """How often the tours, none of them walked in one task, take each edge of the graph; breaks: how many steps of all tours begin elsewhere than where the step before ended."""
     edges = cut(graph.numbered_graph(_word_graph(spark, sf_dir, source)))
     tours = cut(graph.euler_tours(edges, in_one_task=0))
     after = tours.select("component", (F.col("step") - 1).alias("step"), F.col("src").alias("next"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seq as S
 from ..plans.lineage import cut
-from ..plans.scans import running
+from ..plans.scans import parts_of, running
 from .kmers import sized, words
 
 
@@ -267,35 +267,160 @@ def tour(pairs: list[tuple[object, object, str]]) -> list[tuple[object, object,
     return [e for e in reversed(found) if e[0] is not None]
 
 
-#: A component of up to so many edges, copies and restarts counted, is toured in one task; a larger one by joins.
+#: A component of up to so many edges, copies and restarts counted, is toured in one task; a larger one by a plan or by joins.
 TOUR_EDGES = 1 << 21
+#: A larger component of up to so many different edges is planned in one task and laid out by all; one of more is toured by joins.
+PLAN_EDGES = 1 << 14
+#: Steps of a tour that one row of a plan stands for, at most, before they are laid out.
+LAID_AT_ONCE = 1 << 16
 
 
-def euler_tours(edges: DataFrame, in_one_task: int = TOUR_EDGES) -> DataFrame:
+def planned_tour(edges: list[tuple[object, object, int]]) -> list[tuple[list[int], int]]:
+    """Stretches (places of edges in the list, laps) that are, one after the other, an Euler tour of a connected multigraph, balanced but for two nodes at most. edges: src, dst, n (copies).
+
+    The copies are not walked one by one: what is left beside a path from the one odd node to the other is taken apart into cycles, each as often as its rarest edge is left, so there are no more
+    cycles than different edges. A cycle begins where the tour first meets it; on its first lap it takes in the cycles that it meets, and its other laps are one stretch.
+    """
+    out: dict[object, list[int]] = defaultdict(list)
+    surplus: dict[object, int] = defaultdict(int)
+    left = [n for _, _, n in edges]
+    for i, (a, b, n) in enumerate(edges):
+        if n > 0:
+            out[a].append(i)
+            surplus[a] += n
+            surplus[b] -= n
+    if not out:
+        return []
+    start = min((x for x in surplus if surplus[x] > 0), default=min(out))
+    cycles: list[tuple[list[int], int]] = []
+    through: dict[object, list[tuple[int, int]]] = defaultdict(list)  # node -> (cycle, place of its edge that leaves the node)
+
+    def strip(node: object) -> list[int]:
+        """Walks on until no edge is left and cuts every cycle out of the way; what remains is a path."""
+        path: list[int] = []
+        nodes, place = [node], {node: 0}
+        while True:
+            own = out[nodes[-1]]
+            while own and not left[own[-1]]:
+                own.pop()
+            if not own:
+                return path
+            edge, to = own[-1], edges[own[-1]][1]
+            path.append(edge)
+            if to not in place:
+                place[to] = len(nodes)
+                nodes.append(to)
+                continue
+            at = place[to]
+            ring = path[at:]
+            laps = min(left[e] for e in ring)
+            for i, e in enumerate(ring):
+                left[e] -= laps
+                through[edges[e][0]].append((len(cycles), i))
+            cycles.append((ring, laps))
+            for x in nodes[at + 1 :]:
+                del place[x]
+            del path[at:], nodes[at + 1 :]
+
+    way = strip(start)
+    for e in way:
+        left[e] -= 1
+    for node in list(out):
+        strip(node)
+
+    found: list[tuple[list[int], int]] = []
+    literal: list[int] = []
+    taken = [False] * len(cycles)
+
+    def met(node: object) -> tuple[list[int], int] | None:
+        waiting = through[node]
+        while waiting:
+            i, at = waiting.pop()
+            if not taken[i]:
+                taken[i] = True
+                ring, laps = cycles[i]
+                return ring[at:] + ring[:at], laps
+        return None
+
+    stack = [(way, 1, 0)]
+    while stack:
+        own, laps, at = stack.pop()
+        node = edges[own[at]][0] if at < len(own) else edges[own[-1]][1] if own else start
+        if (ring := met(node)) is not None:
+            stack += [(own, laps, at), (*ring, 0)]
+        elif at < len(own):
+            literal.append(own[at])
+            stack.append((own, laps, at + 1))
+        elif laps > 1:
+            if literal:
+                found.append((literal, 1))
+                literal = []
+            found.append((own, laps - 1))
+    return [*found, (literal, 1)] if literal else found
+
+
+def euler_tours(edges: DataFrame, in_one_task: int = TOUR_EDGES, planned: int = PLAN_EDGES) -> DataFrame:
     """component, step, src, dst, label: every edge (n times) and every restart edge (label null) once, in the order of a tour of its component. edges: src, dst (bigint), label, n.
 
-    Components are counted first: those of up to ``in_one_task`` edges are walked, each in a task, the others toured by joins (see ``_tours_by_joins``).
+    Components are counted first: those of up to ``in_one_task`` edges are walked, each in a task. Of the others, those of up to ``planned`` different edges are planned without their
+    copies (see ``planned_tour``) and laid out by all tasks; the rest are toured by joins (see ``_tours_by_joins``).
     """
     member = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     alone = edges.where("src = dst").select(F.col("src").alias("node")).distinct().join(member, "node", "left_anti").select("node", F.col("node").alias("component"))
     member = cut(member.unionByName(alone))
-    copies = edges.select("src", "dst", "label", F.explode(F.expr("sequence(1, cast(n as int))"))).drop("col").join(member.withColumnRenamed("node", "src"), "src")
+    counted = edges.select("src", "dst", "label", F.col("n").cast("bigint").alias("n")).where("n > 0").join(member.withColumnRenamed("node", "src"), "src")
     closing = cut(balance(edges, close=True).withColumn("id", F.monotonically_increasing_id()))
-    spare = closing.groupBy("component").agg(F.max("id").alias("id"))
-    every = copies.select("component", "src", "dst", "label", F.lit(False).alias("restart"), F.lit(False).alias("spare")).unionByName(
-        closing.join(spare.withColumn("spare", F.lit(True)), ["component", "id"], "left").select("component", "src", "dst", F.lit(None).cast("string").alias("label"), F.lit(True).alias("restart"), F.coalesce("spare", F.lit(False)).alias("spare"))
+    last = closing.groupBy("component").agg(F.max("id").alias("id")).withColumn("spare", F.lit(True))
+    restarts = closing.join(last, ["component", "id"], "left").groupBy("component", "src", "dst", F.coalesce("spare", F.lit(False)).alias("spare")).agg(F.count("*").alias("n"))
+    every = counted.select("component", "src", "dst", "label", F.lit(False).alias("restart"), F.lit(False).alias("spare"), "n").unionByName(
+        restarts.select("component", "src", "dst", F.lit(None).cast("string").alias("label"), F.lit(True).alias("restart"), "spare", "n")
     )
     every = cut(every)
-    sizes = cut(every.groupBy("component").agg(F.count("*").alias("size")))
-    large = sizes.where(F.col("size") > in_one_task).select("component")
+    sizes = every.groupBy("component").agg(F.sum("n").alias("size"), F.count("*").alias("different"))
+    way = F.when(F.col("size") <= in_one_task, "walk").when(F.col("different") <= planned, "plan").otherwise("join")
+    sizes = cut(sizes.select("component", way.alias("way")))
+    chosen = lambda way: every.join(sizes.where(F.col("way") == way).select("component"), "component", "left_semi")
+    copies = lambda rows: rows.withColumn("n", F.explode(F.sequence(F.lit(1).cast("bigint"), "n"))).drop("n")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = tour(list(zip(pdf["src"], pdf["dst"], pdf["label"], strict=True)))
         return pd.DataFrame([(pdf["component"].iloc[0], i, *r) for i, r in enumerate(rows)], columns=["component", "step", "src", "dst", "label"])
 
-    small = every.join(large, "component", "left_anti").where("not spare").select("component", "src", "dst", "label").groupBy("component")
-    walked = small.applyInPandas(walk, "component bigint, step bigint, src bigint, dst bigint, label string")
-    return walked if large.isEmpty() else walked.unionByName(_tours_by_joins(every.join(large, "component", "left_semi")))
+    out = copies(chosen("walk").where("not spare")).select("component", "src", "dst", "label").groupBy("component").applyInPandas(walk, "component bigint, step bigint, src bigint, dst bigint, label string")
+    if not sizes.where("way = 'plan'").isEmpty():
+        out = out.unionByName(_tours_by_plan(chosen("plan").where("not spare")))
+    if not sizes.where("way = 'join'").isEmpty():
+        out = out.unionByName(_tours_by_joins(copies(chosen("join"))))
+    return out
+
+
+def _tours_by_plan(every: DataFrame) -> DataFrame:
+    """The same of components of few different edges with many copies. every: component, src, dst, label, n, without spare edges. Only the plans are made in one task each."""
+
+    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        ends = list(zip(pdf["src"].tolist(), pdf["dst"].tolist(), pdf["n"].tolist(), strict=True))
+        rows, first = [], 0
+        for own, laps in planned_tour(ends):
+            for at in range(0, len(own), LAID_AT_ONCE) if laps == 1 else [0]:
+                part = own[at : at + LAID_AT_ONCE] if laps == 1 else own
+                rows.append((pdf["component"].iloc[0], first, laps, part))
+                first += len(part) * laps
+        return pd.DataFrame(rows, columns=["component", "first", "laps", "way"])
+
+    numbered_edges = cut(every.withColumn("id", F.row_number().over(Window.partitionBy("component").orderBy("src", "dst", F.col("label").asc_nulls_last())) - 1))
+    plans = cut(numbered_edges.select("component", "id", "src", "dst", "n").groupBy("component").applyInPandas(plan, "component bigint, first bigint, laps bigint, way array<int>"))
+    size = F.size("way").cast("bigint")
+    at_once = F.greatest(F.floor(F.lit(LAID_AT_ONCE) / size), F.lit(1)).cast("bigint")
+    blocks = plans.withColumn("k", at_once).withColumn("lap", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("laps") - 1, "k")))
+    blocks = blocks.select("component", (F.col("first") + F.col("lap") * size).alias("first"), F.least("k", F.col("laps") - F.col("lap")).alias("laps"), "way")
+    dealt = blocks.repartition(8 * parts_of(every), "component", "first")
+    laid = dealt.select("component", "first", size.alias("size"), "way", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("laps") - 1)).alias("lap"))
+    steps = laid.select("component", F.col("first").alias("base"), "size", "lap", F.posexplode("way").alias("i", "id")).select("component", "id", (F.col("base") + F.col("lap") * F.col("size") + F.col("i")).alias("step"))
+    known = numbered_edges.select("component", F.col("id").cast("int").alias("id"), "src", "dst", "label")
+    if known.count() <= PLAN_EDGES * 4:
+        known = F.broadcast(known)
+    return steps.join(known, ["component", "id"]).select("component", "step", "src", "dst", "label")
 
 
 def _tours_by_joins(every: DataFrame) -> DataFrame:
@@ -411,6 +536,7 @@ def shortcuts(edges: DataFrame, longest: int, most: int | None = None) -> DataFr
     The search goes backward from all surplus nodes at once: a round joins what got nearer with the edges that lead there, and as an edge has a letter
     at least there are ``longest`` rounds at most. Only (dst, node) minima are kept. Each path, walked once more, takes a unit from its src to its dst. edges: src, dst, label, n.
     """
+    edges = cut(edges.select("src", "dst", "label", "n"))
     d = cut(degrees(edges))
     steps = cut(edges.groupBy("src", "dst").agg(F.min(F.length("label")).cast("bigint").alias("letters")))
     reached = d.where("surplus > 0").select(F.col("node").alias("root"), "node", F.lit(0).cast("bigint").alias("cost"), F.lit(True).alias("new"))
@@ -493,9 +619,10 @@ def transported(units: DataFrame, edges: DataFrame, method: str = "optimal") ->
 
 
 def numbered_graph(edges: DataFrame) -> DataFrame:
-    """Edges of words by number: src, dst, label, n, src_seq, dst_seq."""
+    """Edges of words by number: src, dst, label, n, src_seq, dst_seq. Written once, as what follows reads edges many times and the words they come from shall be listed once."""
+    edges = cut(edges.select("src", "dst", "label", "n"))
     nodes = numbered(edges.select(F.col("src").alias("kmer")).unionByName(edges.select(F.col("dst").alias("kmer"))))
     nodes = cut(nodes)
     out = edges.select(F.col("src").alias("src_seq"), F.col("dst").alias("dst_seq"), "label", "n")
     out = out.join(nodes.select(F.col("id").alias("src"), F.col("seq").alias("src_seq")), "src_seq").join(nodes.select(F.col("id").alias("dst"), F.col("seq").alias("dst_seq")), "dst_seq")
-    return out.select("src", "dst", "label", "n", "src_seq", "dst_seq")
+    return cut(out.select("src", "dst", "label", "n", "src_seq", "dst_seq"))

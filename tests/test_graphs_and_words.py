@@ -59,6 +59,38 @@ def test_tours(spark, seed):
     check_tours(edges, graph.euler_tours(df, in_one_task=[0, 10, 1 << 20, 0][seed]).collect())
 
 
+@pytest.mark.parametrize("planned", [0, 1 << 14])
+def test_tours_of_many_copies(spark, monkeypatch, planned):
+    """Large components by joins, and by plans whose stretches are laid out in several blocks."""
+    monkeypatch.setattr(graph, "LAID_AT_ONCE", 8)
+    rnd = random.Random(9)
+    counts = {}
+    for _ in range(60):  # closed walks and an open one, taken several times
+        at = rnd.randrange(12)
+        walk = [at, *(rnd.randrange(12) for _ in range(rnd.randrange(6))), at]
+        n = rnd.choice([1, 3, 40])
+        for a, b in itertools.pairwise(walk):
+            counts[a, b, "x"] = counts.get((a, b, "x"), 0) + n
+    edges = [(*e, n) for e, n in counts.items()] + [(3, 50, "y", 2), (70, 71, "z", 9), (71, 70, "z", 9), (90, 90, "o", 7)]
+    rows = graph.euler_tours(spark.createDataFrame(edges, "src long, dst long, label string, n long"), in_one_task=0, planned=planned).collect()
+    check_tours(edges, rows)
+
+
+def test_plan_grows_with_different_edges():
+    million = 10**6
+    edges = [(0, 1, million), (1, 2, million), (2, 0, million), (1, 1, 5 * million), (2, 3, 1), (3, 4, 2 * million), (4, 3, 2 * million)]
+    plan = graph.planned_tour(edges)
+    assert sum(len(way) * laps for way, laps in plan) == sum(n for *_, n in edges) and sum(len(way) for way, _ in plan) < 30
+    at, taken = 2, Counter()  # the node with a way out too many
+    for way, laps in plan:
+        for e in way:
+            assert edges[e][0] == at
+            at = edges[e][1]
+            taken[e] += laps
+        assert laps == 1 or edges[way[0]][0] == at
+    assert [taken[i] for i in range(len(edges))] == [n for *_, n in edges]
+
+
 def test_tours_of_nothing(spark):
     assert graph.euler_tours(spark.createDataFrame([], "src long, dst long, label string, n long")).collect() == []
 

@@ -63,3 +63,10 @@ def test_word_expressions(spark):
     texts = ["", "ACG", "ACGTT", "xACGA", "A.", "AB", "GG\\C", "GGC", "(x", "x", "T", "aTT"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert {r.t for r in df.where(df.t.rlike(S.any_of(words))).collect()} == {t for t in texts if any(w in t for w in words)}
+
+
+def test_numbered_graphs_list_words_once(spark):
+    """What reads a numbered graph many times reads a written table, not the words of the texts again."""
+    texts = spark.createDataFrame([(1, "ACGTTGCAACGTACGTTGCA"), (2, "TTGCAACGGACGTTGAC")], "entry_id long, seq string")
+    edges = graph.numbered_graph(graph.text_graph(texts, 3))
+    assert edges.count() and "Generate" not in edges._jdf.queryExecution().executedPlan().toString()
