@@ -98,16 +98,15 @@ def peptides_in_frames(sequences: DataFrame, peptides: DataFrame, changes: int =
     if not ns:
         return sequences.sparkSession.createDataFrame([], "entry_id bigint, pattern_id bigint, pattern string, frame int, aa_start bigint, dna_start bigint, dna_end bigint, text string, edits int, cost int, left_context string, right_context string")
     m = F.length("pattern")
-    seeds = match._seeds(frame_pieces(sequences, ns[-1], context), peptides, changes, None, context, amino_acids).where(F.length("around") == m + 3 * context)
-    hits = seeds.withColumn("codons", F.substring("around", F.lit(2 * context + 1), m)).where(~F.contains("codons", F.lit(BEYOND))).withColumn("text", amino_acids("codons"))
-    hits = hits.withColumn("edits", S.hamming(F.col("text"), F.col("pattern")) if changes else F.when(F.col("text") == F.col("pattern"), 0)).where(F.col("edits") <= changes)
+    hits = match.found(frame_pieces(sequences, ns[-1], context), peptides, changes, None, context, amino_acids)
+    hits = hits.withColumnRenamed("text", "codons").withColumnRenamed("start_pos", "at").withColumn("text", amino_acids("codons"))
     key = lambda c: F.col(f"entry_id.{c}")
     forward_codon = F.when(key("strand") == 0, F.col("at")).otherwise(key("held") - F.col("at") - m)
     hits = hits.where((forward_codon >= key("low")) & (forward_codon < key("high"))).withColumn("dna_start", (key("place") + 3 * forward_codon).cast("bigint"))
     hits = hits.withColumn("dna_end", F.col("dna_start") + 3 * m).withColumn("cost", codon_cost("codons", "pattern") if changes else F.lit(0)).where(F.col("cost") <= changes)
     off = F.when(key("strand") == 0, F.col("dna_start")).otherwise(key("n") - F.col("dna_end"))
     shown = lambda x: F.regexp_replace(amino_acids(x), f"{BEYOND}+", "-")
-    sides = F.substring("around", context + 1, context), F.substring("around", F.lit(2 * context + 1) + m, F.lit(context))
+    sides = F.col("before"), F.col("after")
     return hits.select(
         key("entry_id").alias("entry_id"), "pattern_id", "pattern", (3 * key("strand") + off % 3).cast("int").alias("frame"), F.floor(off / 3).cast("bigint").alias("aa_start"), "dna_start", "dna_end",
         "text", "edits", "cost", shown(sides[0]).alias("left_context"), shown(sides[1]).alias("right_context"),

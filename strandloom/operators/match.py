@@ -9,12 +9,13 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from .kmers import BEYOND, BROADCAST_BYTES, SHORT, windows
+from .kmers import BEYOND, BROADCAST_BYTES, LONG, SHORT, windows
 
 HITS = "entry_id bigint, pattern_id bigint, start_pos bigint, end_pos bigint, edits int"
 
@@ -172,19 +173,119 @@ def _seeds(sequences: DataFrame, patterns: DataFrame, k: int, word: int | None,
     return hit.select("entry_id", "pattern_id", "pattern", (F.col("pos") - F.col("offset")).cast("bigint").alias("at"), around.alias("around"))
 
 
+#: Patterns of so many letters in all, none longer than LONGEST, are compared with all places of a batch at once; of more, words are looked up.
+DIRECT_LETTERS, LONGEST = 1 << 11, 200
+#: Places that a piece owns, and places that are compared at once.
+OWN, AT_ONCE = 1 << 12, 1 << 17
+
+
+def _few(patterns: DataFrame) -> bool:
+    known = facts(patterns)
+    return sum(n * c for n, c in known.by_length.items()) <= min(DIRECT_LETTERS, BROADCAST_BYTES) and max(known.lengths, default=0) <= LONGEST and dict(patterns.dtypes)["pattern_id"] in ("int", "bigint")
+
+
+def _compared(sequences: DataFrame, patterns: DataFrame, parts: dict[int, list[tuple[int, int]]], k: int, before: int, behind: int, early: int = 0, read: Callable[[Column], Column] | None = None) -> DataFrame:
+    """entry_id, pattern_id, pattern, at, edits, around: places where one of a pattern's parts (offset and length, by the pattern's length) differs in k letters at most from what stands there.
+
+    edits: in how many letters that part, the nearest of them. around: the text from ``before`` letters before the pattern's start to ``behind`` letters behind its end, BEYOND outside of the entry.
+    A pattern may start ``early`` letters before the entry. The sequences come in pieces; differences of a letter of a pattern are added up over all places of many pieces at once.
+    read: turns a text's letters to those of the patterns, one for one.
+    """
+    wanted = sorted({(r["pattern_id"], r["pattern"]) for r in patterns.where(F.length("pattern").isin([n for n, own in parts.items() if own] or [0])).select("pattern_id", "pattern").collect()})
+    longest = max((len(p) for _, p in wanted), default=0)
+    span, lead = before + longest + behind, before + early
+    kinds = dict(sequences.dtypes)["entry_id"], dict(patterns.dtypes)["pattern_id"]
+    number = pa.int64() if kinds[1] == "bigint" else pa.int32()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("piece").to_pylist()
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            ends = np.cumsum(sizes)
+            shown = "".join(texts)
+            plain = shown.isascii()
+            code = lambda x: np.frombuffer(x.encode("ascii"), np.uint8) if plain else np.frombuffer(x.encode("utf-32-le"), np.uint32)
+            text = code(shown)
+            looked = "".join(batch.column("looked").to_pylist()) if "looked" in batch.schema.names else shown
+            other = text if looked is shown else np.frombuffer(looked.encode("utf-32-le"), np.uint32)
+            base = batch.column("base").to_numpy(zero_copy_only=False)
+            for lo in range(0, len(other), AT_ONCE):
+                held = other[lo : lo + AT_ONCE + longest]
+                differs = {c: (held != ord(c)).view(np.uint8) for c in {c for _, p in wanted for c in p}}
+                out = []
+                for i, p in wanted:
+                    room = min(len(held) - len(p) + 1, AT_ONCE)
+                    if room <= 0:
+                        continue
+                    least = None
+                    for offset, n in parts[len(p)]:
+                        total = differs[p[offset]][offset : offset + room].copy()
+                        for j in range(offset + 1, offset + n):
+                            total += differs[p[j]][j : j + room]
+                        least = total if least is None else np.minimum(least, total, out=least)
+                    at = np.flatnonzero(least <= k)
+                    first = at + (lo - before)  # of what is around
+                    row = np.searchsorted(ends, first, "right")
+                    fits = first >= 0
+                    row, first, at = row[fits], first[fits], at[fits]
+                    place = first - (ends[row] - sizes[row])
+                    fits = (place < OWN) & (place + span <= sizes[row])
+                    row, first, at, place = row[fits], first[fits], at[fits], place[fits]
+                    if not len(at):
+                        continue
+                    width = before + len(p) + behind
+                    if plain:
+                        letters = text[first[:, None] + np.arange(width)]
+                        around = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.arange(0, (len(at) + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(letters)))
+                    else:
+                        around = pa.array([shown[x : x + width] for x in first.tolist()], pa.string())
+                    n = len(at)
+                    out.append([batch.column("entry_id").take(pa.array(row)), pa.repeat(pa.scalar(i, number), n), pa.repeat(pa.scalar(p), n), pa.array(base[row] + place - early), pa.array(least[at].astype(np.int32)), around])
+                if out:
+                    columns = [pa.concat_arrays([o[c] for o in out]) for c in range(6)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["entry_id", "pattern_id", "pattern", "at", "edits", "around"])
+
+    ddl = f"entry_id {kinds[0]}, pattern_id {kinds[1]}, pattern string, at bigint, edits int, around string"
+    if not wanted:
+        return sequences.sparkSession.createDataFrame([], ddl)
+    padded = sequences.where("seq is not null").select("entry_id", F.concat(F.lit(BEYOND * lead), "seq", F.lit(BEYOND * (longest - 1 + behind))).alias("seq"))
+    far = padded.select("entry_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(LONG))).alias("far")).select("entry_id", "far", F.expr(f"substring(seq, far + 1, {LONG + span - 1})").alias("part"))
+    near = far.select("entry_id", "far", "part", F.explode(F.sequence(F.lit(0), F.least(F.length("part") - 1, F.lit(LONG - 1)), F.lit(OWN))).alias("near"))
+    piece = F.expr(f"substring(part, near + 1, {OWN + span - 1})")
+    pieces = near.select("entry_id", (F.col("far") + F.col("near")).cast("bigint").alias("base"), piece.alias("piece")).where(F.length("piece") >= span)
+    return (pieces if read is None else pieces.withColumn("looked", read(F.col("piece")))).mapInArrow(run, ddl)
+
+
 def seeds(sequences: DataFrame, patterns: DataFrame, k: int, word: int | None = None) -> DataFrame:
     """entry_id, pattern_id, pattern, at: the places alone, once each."""
     return _seeds(sequences, patterns, k, word, 0).drop("around").distinct()
 
 
-def found(sequences: DataFrame, patterns: DataFrame, k: int, word: int | None = None, context: int = 0) -> DataFrame:
-    """entry_id, pattern_id, pattern, start_pos, end_pos, edits, text, before, after: every hit with up to k substitutions, its letters and the ``context`` letters on both sides (BEYOND outside of the entry)."""
-    n = F.length("pattern")
-    around = _seeds(sequences, patterns, k, word, context).where(F.length("around") == n + 3 * context)
-    whole = around.withColumn("text", F.substring("around", F.lit(2 * context + 1), n)).where(~F.contains("text", F.lit(BEYOND)))
-    near = whole.withColumn("edits", S.hamming(F.col("text"), F.col("pattern")) if k else F.when(F.col("text") == F.col("pattern"), 0)).where(F.col("edits") <= k)
-    sides = F.substring("around", context + 1, context).alias("before"), F.substring("around", F.lit(2 * context + 1) + n, F.lit(context)).alias("after")
-    return near.select("entry_id", "pattern_id", "pattern", F.col("at").alias("start_pos"), (F.col("at") + n).alias("end_pos"), "edits", "text", *sides).distinct()
+def found(sequences: DataFrame, patterns: DataFrame, k: int, word: int | None = None, context: int = 0, read: Callable[[Column], Column] | None = None) -> DataFrame:
+    """entry_id, pattern_id, pattern, start_pos, end_pos, edits, text, before, after: every hit with up to k substitutions, its letters and the ``context`` letters on both sides (BEYOND outside of the entry).
+
+    Few patterns are compared with every place, many are found by seeds. read: turns a text's letters to those of the patterns, one for one; text, before and after have those of the text.
+    """
+    n, as_read = F.length("pattern"), read or (lambda x: x)
+    if few := _few(patterns):
+        parts = {m: [(0, m)] for m in facts(patterns).lengths if (pieces(m, k) if word is None else m >= word)}
+        around = _compared(sequences, patterns, parts, k, context, context, read=read)
+        skip = context
+    else:
+        around = _seeds(sequences, patterns, k, word, context, as_read).where(F.length("around") == n + 3 * context)
+        skip = 2 * context
+    whole = around.withColumn("text", F.substring("around", F.lit(skip + 1), n)).where(~F.contains("text", F.lit(BEYOND)))
+    sides = F.substring("around", F.lit(skip - context + 1), F.lit(context)).alias("before"), F.substring("around", F.lit(skip + 1) + n, F.lit(context)).alias("after")
+    if few:
+        near = whole
+        if word is not None and word > 1:  # a word of the pattern stands where it should
+            shown = as_read(F.col("text"))
+            near = near.where(F.exists(F.sequence(F.lit(1), n - word + 1), lambda i: F.substring(shown, i, F.lit(word)) == F.substring(F.col("pattern"), i, F.lit(word))))
+    else:
+        shown = as_read(F.col("text"))
+        near = whole.withColumn("edits", S.hamming(shown, F.col("pattern")) if k else F.when(shown == F.col("pattern"), 0)).where(F.col("edits") <= k)
+    out = near.select("entry_id", "pattern_id", "pattern", F.col("at").alias("start_pos"), (F.col("at") + n).alias("end_pos"), "edits", "text", *sides)
+    return out if few else out.distinct()
 
 
 def mismatches(sequences: DataFrame, patterns: DataFrame, k: int, word: int | None = None, left: int = 0, right: int = 0) -> DataFrame:
@@ -205,7 +306,12 @@ def edit_ends(sequences: DataFrame, patterns: DataFrame, k: int, word: int | Non
     with_text: also pattern and tail, the letters before the end, as many as the pattern has and k more (BEYOND outside of the entry).
     """
     n = F.length("pattern")
-    found = _seeds(sequences, patterns, k, word, k).withColumn("shift", F.explode(F.sequence(F.lit(-k), F.lit(k))))
+    if _few(patterns):
+        parts = {m: pieces(m, k) if word is None else [(i, word) for i in range(m - word + 1)] for m in facts(patterns).lengths}
+        placed = _compared(sequences, patterns, parts, 0, 2 * k, k, early=k)
+    else:
+        placed = _seeds(sequences, patterns, k, word, k)
+    found = placed.withColumn("shift", F.explode(F.sequence(F.lit(-k), F.lit(k))))
     tail = F.substring("around", F.lit(1), n + 2 * k + F.col("shift"))  # all that ends there; the last k * 2 + n letters of it are looked at
     tries = F.transform(F.sequence(F.greatest(n - k, F.lit(1)), n + k), lambda m: F.struct(m.alias("m"), F.right(F.col("tail"), m).alias("text")))
     costs = F.transform(F.filter(tries, lambda x: (F.length(x["text"]) == x["m"]) & ~F.contains(x["text"], F.lit(BEYOND))), lambda x: F.levenshtein(F.col("pattern"), x["text"], k))
@@ -239,5 +345,5 @@ def clusters(ends: DataFrame, k: int) -> DataFrame:
 def counts(hits: DataFrame, patterns: DataFrame, k: int = 0, cap: int | None = None) -> DataFrame:
     """pattern_id, n_0 .. n_k (hits by edits), n, capped: patterns without a hit count 0."""
     by = hits.groupBy("pattern_id").agg(*(F.count_if(F.col("edits") == i).alias(f"n_{i}") for i in range(k + 1)), F.count("*").alias("n"))
-    out = patterns.select("pattern_id").join(by, "pattern_id", "left").fillna(0)
+    out = patterns.select("pattern_id").hint("merge").join(by, "pattern_id", "left").fillna(0)  # what is made of the sequences is never broadcast
     return out.withColumn("capped", F.lit(False) if cap is None else F.col("n") >= cap).withColumn("n", F.col("n") if cap is None else F.least("n", F.lit(cap)))

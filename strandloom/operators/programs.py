@@ -66,7 +66,7 @@ def counts_by_strand(hits: DataFrame, primers: DataFrame, k: int, both: bool = T
     """base_id, strand, n_0 .. n_k, n of every primer and strand, 0 where it has no hit."""
     strands = match.both_strands(primers) if both else primers.select("pattern_id", F.col("pattern_id").alias("base_id"), F.lit("F").alias("strand"))
     counted = match.counts(hits, strands, k)
-    return strands.select("pattern_id", "base_id", "strand").join(counted, "pattern_id").select("base_id", "strand", *(f"n_{i}" for i in range(k + 1)), "n")
+    return strands.select("pattern_id", "base_id", "strand").hint("merge").join(counted, "pattern_id").select("base_id", "strand", *(f"n_{i}" for i in range(k + 1)), "n")
 
 
 def strand_aggregate(counted: DataFrame, k: int) -> DataFrame:
@@ -145,6 +145,10 @@ def spaced_mismatches(sequences: DataFrame, patterns: DataFrame, k: int, templat
     All templates are of one span, no longer than any pattern; with those of ``covering`` no hit is missed.
     """
     span, known = len(templates[0]), match.facts(patterns)
+    if match._few(patterns):  # all hits are found by comparing; templates then choose among them
+        hits = match._compared(sequences, patterns.where(F.length("pattern") >= span), {n: [(0, n)] for n in known.lengths if n >= span}, k, 0, 0).where(~F.contains("around", F.lit(BEYOND)))
+        stands = [S.template_word("around", F.lit(0), t) == S.template_word("pattern", F.lit(0), t) for t in templates]
+        return hits.where(F.array_contains(F.array(*stands), True)).select("entry_id", "pattern_id", F.col("at").alias("start_pos"), (F.col("at") + F.length("pattern")).alias("end_pos"), "edits")
     longest = max([span, *known.lengths])
     keys = lambda x: F.explode(F.array(*(F.struct(F.lit(i).alias("tag"), S.template_word(x, F.lit(0), t).alias("mer")) for i, t in enumerate(templates))))
     wanted = patterns.where(F.length("pattern") >= span).select("pattern_id", "pattern", keys("pattern").alias("x")).select("pattern_id", "pattern", "x.*")

@@ -6,7 +6,7 @@ import pytest
 
 from strandloom import catalog
 from strandloom.functions import seq as S
-from strandloom.operators import match, programs
+from strandloom.operators import graph, match, programs
 
 SF = "/root/testdata/sf0.001"
 

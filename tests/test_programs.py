@@ -202,3 +202,19 @@ def test_two_pieces(spark):
     assert [r.i for r in held] == [0]
     wild = df.where("i = 4").select(align.two_piece("seq", F.lit("ACGN"), "r", "a", "b", wildcards=True).alias("x")).first().x
     assert (wild.edits, wild.ops) == (1, "|||+v|||")
+
+
+def test_comparing_equals_seeds(spark, monkeypatch):
+    """Few patterns are compared with all places, without a row a place; the hits are those of the seeds, over pieces and blocks of any size."""
+    monkeypatch.setattr(match, "OWN", 16)
+    monkeypatch.setattr(match, "AT_ONCE", 50)
+    rnd = random.Random(21)
+    texts = ["".join(rnd.choice("ACGT") for _ in range(n)) for n in (0, 3, 7, 16, 17, 90, 200)] + ["ACGTÄACGTACÖGTACGT", "ACGTACG\U0001f600ACGTACGTA"]
+    sequences = spark.createDataFrame([*enumerate(texts), (99, None)], "entry_id long, seq string")
+    patterns = spark.createDataFrame([(1, "ACGTA"), (2, "CGTACGT"), (3, "TTGAC"), (4, "ACGTACGTA")], "pattern_id long, pattern string")
+    ways = [lambda k=k, w=w, c=c: match.found(sequences, patterns, k, w, c) for k, w, c in ((1, None, 2), (2, None, 0), (2, 3, 1), (0, None, 3))] + [lambda t=t: match.edit_ends(sequences, patterns, 1, with_text=t) for t in (False, True)]
+    few = [way() for way in ways]
+    assert all("Generate explode(sequence(0, (length(piece" not in d._jdf.queryExecution().executedPlan().toString() and "MapInArrow" in d._jdf.queryExecution().executedPlan().toString() for d in few)
+    got = [sorted(map(tuple, d.collect())) for d in few]
+    monkeypatch.setattr(match, "DIRECT_LETTERS", 0)
+    assert got == [sorted(map(tuple, way().collect())) for way in ways] and all(got)
