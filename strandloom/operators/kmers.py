@@ -172,43 +172,59 @@ def seen(pairs: DataFrame, m: int) -> DataFrame:
 _CODES = 1 << 24
 
 
-def seen_by_gap(sequences: DataFrame, m: int, most: int) -> DataFrame:
-    """gap, once, again, unseen of pairs of words of m letters, on both strands, for every gap from 0 to ``most``.
+def seen_by_gap(sequences: DataFrame, m: int, most: int, least: int = 0) -> DataFrame:
+    """gap, once, again, unseen of pairs of words of m letters, on both strands, for every gap from ``least`` to ``most``.
 
-    A task keeps two bitmaps a gap, of the pairs seen and seen again, and sets them for all places of a piece at once; a gap's bitmaps of the tasks, 16^m bits each,
-    are then put together (what two tasks saw was seen again). Gaps are worked off in groups, so that a task's bitmaps stay within ``_CODES`` bytes; m is at most 6.
+    A task keeps what it saw of each gap's pairs, up to twice, and counts a gap at all places of a piece at once; a gap's bitmaps of the tasks, 16^m bits each,
+    are then put together (what two tasks saw was seen again). The other strand is the same table turned, so it is added once at the end. A gap all of whose pairs a task has seen twice
+    can't change any more and isn't counted further there. Gaps are worked off in groups, so that a task's tables stay within ``_CODES`` bytes; m is at most 6.
     """
     if not 1 <= m <= 6:
         raise ValueError("words of 1 to 6 letters")
-    size = 16**m
+    side, size = 4**m, 16**m
     gaps_at_once = max(1, _CODES // size)
-    groups = -(-(most + 1) // gaps_at_once)
+    groups = -(-(most - least + 1) // gaps_at_once)
     digits = np.full(128, 255, np.uint8)
     digits[[ord(c) for c in "ACGT"]] = range(4)
-    turned = np.arange(4**m)
-    turned = sum(((3 - (turned // 4**i) % 4) * 4 ** (m - 1 - i) for i in range(m)), np.zeros(4**m, np.int64))  # code of the reverse complement
+    turned = np.arange(side)
+    turned = sum(((3 - (turned // 4**i) % 4) * 4 ** (m - 1 - i) for i in range(m)), np.zeros(side, np.int64))  # code of the reverse complement
+    own_letters, look_again = 1 << 13, max(8, size >> 10)
+
+    def both(n_of: np.ndarray) -> np.ndarray:
+        table = n_of.reshape(side, side)
+        return (table + table[np.ix_(turned, turned)].T).reshape(size)
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict[int, np.ndarray] = {}
+        done: set[int] = set()
+        pieces = 0
         for batch in batches:
-            for group, piece, owned in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                letters = digits[np.minimum(np.frombuffer(piece.encode("ascii", "replace"), np.uint8), 127)]
+            for group, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                letters = digits[np.minimum(np.frombuffer(piece.encode("utf-32-le"), np.uint32), 127)]
                 if len(letters) < 2 * m:
                     continue
                 n = len(letters) - m + 1
                 code, sound = np.zeros(n, np.int64), np.ones(n, bool)
                 for i in range(m):
                     code, sound = code * 4 + (letters[i : i + n] & 3), sound & (letters[i : i + n] < 4)
-                for gap in range(group * gaps_at_once, min((group + 1) * gaps_at_once, most + 1)):
-                    a = np.arange(min(owned, n - m - gap))
-                    if not len(a):
+                first, whole = code * side, bool(sound.all())
+                pieces += 1
+                low = least + group * gaps_at_once
+                for gap in range(low, min(low + gaps_at_once, most + 1)):
+                    held = min(own_letters, n - m - gap)
+                    if held <= 0:
                         break
-                    a = a[sound[a] & sound[a + m + gap]]
-                    x, y = code[a], code[a + m + gap]
-                    n_of = np.bincount(np.concatenate((x * 4**m + y, turned[y] * 4**m + turned[x])), minlength=size)
+                    if gap in done:
+                        continue
+                    pair = first[:held] + code[m + gap : m + gap + held]
+                    if not whole:
+                        pair = pair[sound[:held] & sound[m + gap : m + gap + held]]
                     own = state.setdefault(gap, np.zeros(size, np.uint8))
-                    np.minimum(own + np.minimum(n_of, 2).astype(np.uint8), 2, out=own)
+                    np.minimum(own + np.minimum(np.bincount(pair, minlength=size), 2).astype(np.uint8), 2, out=own)
+                    if pieces % look_again == 0 and both(own).min() > 1:
+                        done.add(gap)
         for gap, own in state.items():
+            own = both(own)
             yield pa.RecordBatch.from_arrays([pa.array([gap], pa.int64()), pa.array([np.packbits(own > 0).tobytes()], pa.binary()), pa.array([np.packbits(own > 1).tobytes()], pa.binary())], names=["gap", "any", "again"])
 
     def together(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,12 +237,11 @@ def seen_by_gap(sequences: DataFrame, m: int, most: int) -> DataFrame:
         seen, again = int(np.unpackbits(some).sum()), int(np.unpackbits(more).sum())
         yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (key[0].as_py(), seen - again, again, size - seen)], names=["gap", "once", "again", "unseen"])
 
-    own = 1 << 12
     last = F.length("seq") - 1
     starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(LONG))).otherwise(F.array().cast("array<int>"))
     far = sequences.select("seq", F.explode(starts).alias("far")).select(F.expr(f"substring(seq, far + 1, {LONG + 2 * m + most})").alias("part"))
-    near = far.select("part", F.explode(F.sequence(F.lit(0), F.least(F.length("part") - 1, F.lit(LONG - 1)), F.lit(own))).alias("near")).select(F.expr(f"substring(part, near + 1, {own + 2 * m + most})").alias("piece"))
-    work = near.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "piece", F.lit(own).alias("owned"))
+    near = far.select("part", F.explode(F.sequence(F.lit(0), F.least(F.length("part") - 1, F.lit(LONG - 1)), F.lit(own_letters))).alias("near")).select(F.expr(f"substring(part, near + 1, {own_letters + 2 * m + most})").alias("piece"))
+    work = near.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "piece")
     if groups > 1:
         work = work.repartition("group", F.pmod(F.xxhash64("piece"), F.lit(64)))  # a task has few groups' bitmaps
     found = work.mapInArrow(one, "gap bigint, any binary, again binary")
