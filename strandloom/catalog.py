@@ -263,7 +263,9 @@ q as (select a, b from p union all select reverse(translate(b, 'ACGT', 'TGCA')),
 select count(*) filter (n = 1) as once, count(*) filter (n > 1) as again, (4096 - count(*))::bigint as unseen from c
 """)
 def q15_pairs_seen(spark, sf_dir):
-    return kmers.seen(kmers.pair_codes(text_dna(spark, sf_dir), 3, 5), 3)
+    one_gap = kmers.seen_by_gap(text_dna(spark, sf_dir), 3, 5, least=5)
+    total = lambda c, none: F.coalesce(F.sum(c), F.lit(none)).cast("bigint").alias(c)
+    return one_gap.agg(total("once", 0), total("again", 0), total("unseen", 16**3))
 
 
 # --- Matching ------------------------------------------------------------------

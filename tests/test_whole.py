@@ -125,3 +125,12 @@ def test_all_reach_whole_texts():
     assert {f"{f.__name__}_whole" for f in (*catalog.WHOLE, *catalog.WHOLE_WITHOUT_SQL)} <= set(catalog.QUERIES)
     for f in catalog.WHOLE:
         assert "from dna" not in catalog.ORACLE_SQL[f"{f.__name__}_whole"] and "text_dna" in catalog.ORACLE_SQL[f"{f.__name__}_whole"]
+
+
+def test_q15_pairs_seen_lists_no_places(spark, sf):
+    """The pairs of one gap, counted in tables without a row a place."""
+    from strandloom.operators import kmers
+
+    got = catalog.QUERIES["q15_pairs_seen"](spark, sf)
+    assert "Generate explode(sequence(0, (length(piece" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in kmers.seen(kmers.pair_codes(catalog.text_dna(spark, sf), 3, 5), 3).collect()]
