@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import seq as S
 from ..plans.lineage import cut
 from ..plans.scans import parts_of, running
-from .kmers import sized, words
+from .kmers import CODED, coded_words, sized, words
 
 
 def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
@@ -472,20 +472,41 @@ def path_counts(sequences: DataFrame, edges: DataFrame, m: int) -> DataFrame:
     return words(sequences, m + 1).hint("merge").join(table.withColumnRenamed("word", "kmer"), "kmer", "left").select("entry_id", "pos", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+#: Up to so many different words are sent to the tasks that list places, so that no others are listed.
+FEW = 1 << 16
+
+
+def _placed(reads: DataFrame, of_words: DataFrame, k: int, width: int, few: bool = False) -> DataFrame:
+    """The places of the reads (entry_id, pos) joined with a table of words (column kmer); words of A, C, G and T by their numbers. width: bytes of a row's keys; few: most places may have no such word."""
+    table = sized(of_words, width)
+    if k > CODED or not table.where(F.col("kmer").rlike("[^ACGT]")).isEmpty():
+        return words(reads, k).withColumn("pos", F.col("pos").cast("bigint")).join(table, "kmer")
+    by_code = table.withColumn("code", S.kmer_code("kmer").cast("bigint"))
+    codes = by_code.select("code").distinct()
+    only = [r.code for r in codes.collect()] if few and codes.limit(FEW + 1).count() <= FEW else None
+    return coded_words(reads, k, only).join(by_code, "code").drop("code")
+
+
 def edge_passages(reads: DataFrame, edges: DataFrame, m: int) -> DataFrame:
     """entry_id, src, dst, label, n, start, first, last: where reads go along edges whose labels have any lengths.
 
     Every (m+1)-word of a read is looked up among the words along the edges, all reads and places at once; words that follow each other on an edge are one
     passage of it, from its letter ``first`` to ``last`` (all of them, unless the read begins or ends there or differs); start: where the edge's source would stand in the read. No read is
-    gathered. reads: entry_id, seq; edges: src, dst, label, n.
+    gathered. An edge of one letter is passed at one place, so only places on longer ones are exchanged and sorted. reads: entry_id, seq; edges: src, dst, label, n.
     """
     known = cut(edges.select("src", "dst", "label", "n").withColumn("edge", F.monotonically_increasing_id()))
-    placed = words(reads, m + 1).select("entry_id", F.col("pos").cast("bigint").alias("pos"), F.col("kmer").alias("word")).hint("merge").join(edge_words(known, m), "word")
+    zero = F.lit(0).cast("bigint")
+    short = known.where("length(label) = 1").select(F.concat("src", "label").alias("kmer"), "edge", "src", "dst", "label", "n")
+    at_once = _placed(reads, short, m + 1, 3 * m + 26).select("entry_id", "edge", "src", "dst", "label", "n", F.col("pos").alias("start"), zero.alias("first"), zero.alias("last"))
+    far = known.where("length(label) > 1")
+    if far.isEmpty():
+        return at_once
+    placed = _placed(reads, edge_words(far, m).withColumnRenamed("word", "kmer"), m + 1, m + 17, few=True)
     # on one edge and one diagonal, words that follow each other differ from their rank by one number
     on = placed.select("entry_id", "edge", (F.col("pos") - F.col("offset")).alias("start"), F.col("offset").cast("bigint").alias("offset"))
     order = Window.partitionBy("entry_id", "edge", "start").orderBy("offset")  # as many rows as an edge has letters
     runs = on.withColumn("run", F.col("offset") - F.row_number().over(order)).groupBy("entry_id", "edge", "start", "run").agg(F.min("offset").alias("first"), F.max("offset").alias("last"))
-    return runs.join(known, "edge").select("entry_id", "edge", "src", "dst", "label", "n", "start", "first", "last")
+    return at_once.unionByName(runs.join(far, "edge").select(*at_once.columns))
 
 
 def threaded(reads: DataFrame, edges: DataFrame, m: int) -> DataFrame:

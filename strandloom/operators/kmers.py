@@ -110,6 +110,47 @@ def dna_words(sequences: DataFrame, k: int) -> DataFrame:
     return rows.where(F.col("sound") | ~F.col("kmer").rlike("[^ACGT]")).drop("sound")
 
 
+#: Letters that a task turns into codes at once, and the longest words that are (a code is a long).
+_LETTERS, CODED = 1 << 20, 15
+_DIGITS = np.full(128, 255, np.uint8)
+_DIGITS[[ord(c) for c in "ACGT"]] = range(4)
+
+
+def _codes(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """row, place, code of every word of A, C, G and T in a batch's ``part``, some ``_LETTERS`` at a time: the row's number in the batch, the word's place in its text, and its number to the base 4."""
+    texts = batch.column("part").to_pylist()
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    block = (np.cumsum(sizes) - sizes) // _LETTERS
+    for low, high in zip(*(f(block, np.unique(block), side) for f, side in ((np.searchsorted, "left"), (np.searchsorted, "right"))), strict=True):
+        digits = _DIGITS[np.minimum(np.frombuffer("\0".join(texts[low:high]).encode("utf-32-le"), np.uint32), 127)]
+        n = len(digits) - k + 1
+        if n <= 0:
+            continue
+        code, strange = np.zeros(n, np.int32 if k < CODED else np.int64), np.concatenate(([0], np.cumsum(digits > 3, dtype=np.int32)))
+        for i in range(k):
+            code = code * 4 + (digits[i : i + n] & 3)
+        at = np.flatnonzero(strange[k:] == strange[:-k])
+        held = sizes[low:high] + 1
+        row = np.repeat(np.arange(high - low), held)[at]
+        yield row + low, at - (np.cumsum(held) - held)[row], code[at]
+
+
+def coded_words(sequences: DataFrame, k: int, only: list[int] | None = None) -> DataFrame:
+    """entry_id, pos, code: ``dna_words`` by their numbers (``kmer_code``), k at most ``CODED``. only: the numbers of the words that are listed, if not all are."""
+    chosen = None if only is None else np.unique(np.array(only, np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = batch.column("far").to_numpy()
+            for row, place, code in _codes(batch, k):
+                if chosen is not None:
+                    held = np.flatnonzero(np.isin(code, chosen))
+                    row, place, code = row[held], place[held], code[held]
+                yield pa.RecordBatch.from_arrays([batch.column("entry_id").take(pa.array(row)), pa.array(far[row] + place), pa.array(code.astype(np.int64))], names=["entry_id", "pos", "code"])
+
+    return far_pieces(sequences, k - 1).mapInArrow(run, f"entry_id {dict(sequences.dtypes)['entry_id']}, pos bigint, code bigint")
+
+
 def count(found: DataFrame, by_entry: bool = False, both_strands: bool = False) -> DataFrame:
     """[entry_id,] kmer, n. Both strands: the reverse complement of each word counts too, so palindromes count twice."""
     if both_strands:

@@ -259,3 +259,16 @@ def test_assembly_through_repeats(spark):
         assert any(t in g and repeats[0] in t and repeats[1] in t for t in texts)
     words_of = lambda ts: {t[i : i + m + 1] for t in ts for i in range(len(t) - m)}
     assert words_of(texts) == words_of(plain)
+
+
+def test_passages_of_short_edges_are_not_sorted(spark):
+    """Edges of one letter, all of the graph here, are found without an exchange of places; other letters and absent texts have no passage."""
+    texts = {1: "ACGTTGCAACGTNACGTTGCA", 2: None, 3: "", 4: "TTGCAACGGACGTTGAC", 5: "\N{GREEK SMALL LETTER ALPHA}ACGTT"}
+    reads = spark.createDataFrame(list(texts.items()), "entry_id long, seq string")
+    edges = spark.createDataFrame([("ACG", "CGT", "T", 3), ("CGT", "GTT", "T", 2), ("TGC", "GCA", "A", 7)], "src string, dst string, label string, n long")
+    got = graph.edge_passages(reads, edges, 3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan
+    want = {(e, s, d, x, n, i, 0, 0) for e, t in texts.items() for s, d, x, n in edges.collect() for i in range(len(t or "")) if t.startswith(s + x, i)}
+    rows = got.select("entry_id", "src", "dst", "label", "n", "start", "first", "last").collect()
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want) >= 9
