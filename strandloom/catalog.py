@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .functions import seq as S
 from .operators import align, frames, graph, kmers, mass, match, pairs, repair, runs, uniq
 from .plans import chooser, formats
-from .plans.lineage import cut, shared_dir
+from .plans.lineage import cut, dealt, shared_dir
 from .sources import files
 from .streaming import per_entry
 
@@ -473,8 +473,14 @@ _POINTS = "points as (select distinct l_suppkey as entry_id, l_partkey as pos fr
 _ISLANDS = f"{_POINTS}, isl as (select entry_id, min(pos) as start, count(*) as len from (select *, pos - row_number() over (partition by entry_id order by pos) as island from points) group by entry_id, island)"
 
 
-def points(spark, sf_dir, shift: int = 0):
-    return table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") + shift).alias("entry_id"), F.col("l_partkey").alias("pos")).distinct()
+def points(spark, sf_dir):
+    return dealt(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("entry_id"), F.col("l_partkey").alias("pos")), "entry_id").distinct()
+
+
+def both_points(spark, sf_dir):
+    """entry_id, pos, own: the points of the suppliers, and the same of the suppliers before them under the next number, in one pass."""
+    sides = F.explode(F.array(F.struct(F.col("l_suppkey").alias("entry_id"), F.lit(True).alias("own")), F.struct((F.col("l_suppkey") + 1).alias("entry_id"), F.lit(False).alias("own")))).alias("x")
+    return table(spark, sf_dir, "lineitem").select(sides, F.col("l_partkey").alias("pos")).select("x.entry_id", "pos", "x.own")
 
 
 @query(f"{_ISLANDS} select * from isl")
@@ -501,12 +507,13 @@ def w4_points_of_runs(spark, sf_dir):
 
 @query(f"{_POINTS} select entry_id, pos from points union select entry_id + 1, pos from points")
 def t1_union(spark, sf_dir):
-    return points(spark, sf_dir).union(points(spark, sf_dir, 1)).distinct()
+    return dealt(both_points(spark, sf_dir).drop("own"), "entry_id", "pos").distinct()
 
 
 @query(f"{_POINTS} select entry_id, pos from points intersect select entry_id + 1, pos from points")
 def t2_intersection(spark, sf_dir):
-    return points(spark, sf_dir).intersect(points(spark, sf_dir, 1))
+    found = dealt(both_points(spark, sf_dir), "entry_id", "pos").groupBy("entry_id", "pos").agg(F.max("own").alias("own"), F.max(~F.col("own")).alias("shifted"))
+    return found.where("own and shifted").select("entry_id", "pos")
 
 
 @query("h as (select entry_id, n_nationkey as pattern_id, i as start_pos, 2 as m, i // 1 as p from text_dna, unnest(range(0, length(seq) - 1)) t(i), (select n_nationkey, substr('ACGTAGCTCA', n_nationkey + 1, 2) as motif from nation where n_nationkey < 5) where substr(seq, i + 1, 2) = motif), c as (select *, start_pos - 2 * row_number() over (partition by entry_id, pattern_id, start_pos % 2 order by start_pos) as chain from h) select entry_id, pattern_id::bigint as pattern_id, min(start_pos) as start, count(*) as copies, (count(*) * 2)::bigint as length from c group by entry_id, pattern_id, start_pos % 2, chain having count(*) >= 3")

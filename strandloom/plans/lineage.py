@@ -39,6 +39,16 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Rows of a few numbers that a task sorts or holds, on average.
+TASK_ROWS = 1 << 20
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by their keys to as many parts as the counted rows need at ``TASK_ROWS`` each: whatever groups or orders by the keys then exchanges no more, and a task's rows don't grow with the table."""
+    own = -(-df.count() // TASK_ROWS)
+    return df.repartition(max(own, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes what ``cut`` wrote. For tables that nothing still to be run reads."""
     for table in tables:

@@ -7,6 +7,7 @@ import pytest
 from strandloom import catalog
 from strandloom.functions import seq as S
 from strandloom.operators import graph, match, programs
+from strandloom.plans import lineage
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +71,19 @@ def test_numbered_graphs_list_words_once(spark):
     texts = spark.createDataFrame([(1, "ACGTTGCAACGTACGTTGCA"), (2, "TTGCAACGGACGTTGAC")], "entry_id long, seq string")
     edges = graph.numbered_graph(graph.text_graph(texts, 3))
     assert edges.count() and "Generate" not in edges._jdf.queryExecution().executedPlan().toString()
+
+
+def test_points_are_dealt_by_their_number(spark, monkeypatch):
+    """A task's points don't grow with the table, and what is made of an entry's points exchanges them no more."""
+    monkeypatch.setattr(lineage, "TASK_ROWS", 1000)
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    for name, of in (("t1_union", 2 * n), ("t2_intersection", 2 * n), ("w2_islands", n)):
+        df = catalog.QUERIES[name](spark, SF)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and df.rdd.getNumPartitions() == -(-of // 1000)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey", "l_partkey").collect()
+    own = {(r.l_suppkey, r.l_partkey) for r in lines}
+    shifted = {(a + 1, b) for a, b in own}
+    for name, want in (("t1_union", own | shifted), ("t2_intersection", own & shifted)):
+        got = catalog.QUERIES[name](spark, SF).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
