@@ -842,8 +842,8 @@ def d2_absolute_starts(spark, sf_dir):
 
 @query(f"{_ISLANDS}, x as (select entry_id, start, len, 1 as st from isl union all select entry_id, f, t - f, 0 from (select entry_id, coalesce(max(e) over (partition by entry_id order by start rows between unbounded preceding and 1 preceding), 0) as f, start as t from (select entry_id, start, start + len as e from isl union all select distinct entry_id, 20001, 20001 from points)) where t > f) select entry_id, 'BEGIN 20001 ' || case when min_by(st, start) = 1 then '0 ' else '' end || string_agg(cast(len as varchar), ' ' order by start) || ' END' as line from x group by entry_id")
 def s19_bitmap_lines(spark, sf_dir):
-    own = points(spark, sf_dir)
-    return files.bitmap_lines(runs.islands(own), own.select("entry_id").distinct().withColumn("size", F.lit(20001)))
+    spans = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("entry_id"), F.lit(20001).alias("size")).distinct()
+    return files.bitmap_lines(runs.islands(points(spark, sf_dir)), spans)
 
 
 @query(f"{_EXACT} select entry_id || ':' || start_pos || '-' || end_pos || chr(9) || pattern || ' (' || (end_pos - start_pos) || ') 100%' as line from hits join patterns using (pattern_id)")

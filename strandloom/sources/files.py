@@ -106,13 +106,24 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
 
 def bitmap_lines(found: DataFrame, spans: DataFrame, key: str = "entry_id") -> DataFrame:
     """key, line: BEGIN, span, run lengths (unset first) and END of each entry's position set. found: key, start, len; spans: key, size."""
-    from ..operators.runs import complement
-
-    marked = found.select(key, "start", "len", F.lit(1).alias("set")).unionByName(complement(found, spans, key).select(key, "start", "len", F.lit(0).alias("set")))
-    rows = marked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "len", "set"))).alias("all"))
-    lead = F.when(F.element_at("all", 1)["set"] == 1, F.lit("0 ")).otherwise(F.lit(""))
-    lengths = F.array_join(F.transform("all", lambda x: x["len"].cast("string")), " ")
-    return spans.join(rows, key, "left").select(key, F.concat(F.lit("BEGIN "), F.col("size").cast("string"), F.lit(" "), F.coalesce(F.concat(lead, lengths), F.lit("")), F.lit(" END")).alias("line"))
+    before = Window.partitionBy(key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("start") + F.col("len")
+    laid = found.select(key, "start", "len", F.coalesce(F.max(end).over(before), F.lit(0).cast("bigint")).alias("from"))
+    rows = laid.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "len", "from"))).alias("all"), F.max(end).alias("end"))
+    own = spans.join(rows, key, "left").withColumn("_size", F.col("size").cast("bigint"))
+    text = lambda n: n.cast("string")
+
+    def unset(x: Column) -> Column:
+        """What lies before a run: nothing, one length, or two where the span ends in between."""
+        one = F.concat(text(x["start"] - x["from"]), F.lit(" "))
+        two = F.concat(text(F.col("_size") - x["from"]), F.lit(" "), text(x["start"] - F.col("_size")), F.lit(" "))
+        return F.when(x["start"] <= x["from"], F.lit("")).when((x["from"] < F.col("_size")) & (F.col("_size") < x["start"]), two).otherwise(one)
+
+    none = F.array().cast("array<string>")
+    rest = F.col("_size") - F.coalesce("end", F.lit(0))
+    lengths = F.concat(F.coalesce(F.transform("all", lambda x: F.concat(unset(x), text(x["len"]))), none), F.when(rest > 0, F.array(text(rest))).otherwise(none))
+    lead = F.when(F.get("all", F.lit(0))["start"] <= 0, F.lit("0 ")).otherwise(F.lit(""))
+    return own.select(key, F.concat(F.lit("BEGIN "), text(F.col("size")), F.lit(" "), lead, F.array_join(lengths, " "), F.lit(" END")).alias("line"))
 
 
 def read_bitmap_lines(lines: DataFrame, key: str = "entry_id") -> DataFrame:

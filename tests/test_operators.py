@@ -173,3 +173,25 @@ def test_runs_and_gaps(spark):
     own = spark.createDataFrame([(1, "AAANNNNCCA"), (2, ""), (3, "NNNN")], "entry_id long, seq string")
     assert sorted(tuple(r) for r in runs.runs(own, 3, only_n=None).collect()) == [(1, "A", 0, 3), (1, "N", 3, 4), (3, "N", 0, 4)]
     assert sorted(tuple(r) for r in runs.runs(own, 3, only_n=True).collect()) == [(1, "N", 3, 4), (3, "N", 0, 4)]
+
+
+def test_bitmap_lines_are_made_in_one_order(spark):
+    """Lines of sets within, across and beyond their spans, of none and of full ones, from one sort of the runs: no complement is joined to them."""
+    sets = {1: {0, 1, 5}, 2: {3, 4, 19}, 3: set(range(20)), 4: {25, 26, 40}, 5: {2, 18, 19, 20, 21, 30}, 6: {20, 21}, 7: {5, 19, 21}, 8: set()}
+    found = runs.islands(spark.createDataFrame([(e, p) for e, s in sets.items() for p in s], "entry_id long, pos long"))
+    spans = spark.createDataFrame([(e, 20) for e in sets], "entry_id long, size int")
+    lines = files.bitmap_lines(found, spans)
+    assert lines._jdf.queryExecution().executedPlan().toString().count("Window [") <= 2
+
+    def line(s):
+        out, last, now = [], 0, False
+        for p in range(max(20, max(s, default=0) + 1) + 1):
+            end = p == 20 and not now or p == max(20, max(s, default=0) + 1)  # the span's end cuts an unset stretch in two
+            if (p in s) != now or end:
+                out += [p - last] if p > last or not out and p in s else []
+                last, now = p, p in s
+        return f"BEGIN 20 {' '.join(map(str, out))} END"
+
+    want = {e: line(s) for e, s in sets.items()}
+    assert want[4] == "BEGIN 20 20 5 2 13 1 END" and want[1] == "BEGIN 20 0 2 3 1 14 END" and want[8] == "BEGIN 20 20 END"
+    assert {r.entry_id: r.line for r in lines.collect()} == want
