@@ -223,28 +223,28 @@ def _words_sql(source: str, k: int) -> str:
 
 @query(f"{_words_sql('text_dna', 5)} select entry_id, kmer, count(*) as n from w group by all")
 def a4_kmers_by_entry(spark, sf_dir):
-    return kmers.count(kmers.dna_words(text_dna(spark, sf_dir), 5), by_entry=True)
+    return kmers.dna_counts(text_dna(spark, sf_dir), 5, by_entry=True)
 
 
 @query(f"{_words_sql('text_dna', 8)} select kmer, count(*) as n from w group by all")
 def a5_kmers(spark, sf_dir):
-    return kmers.count(kmers.dna_words(text_dna(spark, sf_dir), 8))
+    return kmers.dna_counts(text_dna(spark, sf_dir), 8)
 
 
 @query(f"{_words_sql('letters', 4)}, d as (select kmer from w where regexp_full_match(kmer, '[ACGT]+')) select kmer, count(*) as n from (select kmer from d union all select reverse(translate(kmer, 'ACGT', 'TGCA')) from d) group by all")
 def a6_kmers_of_both_strands(spark, sf_dir):
-    return kmers.count(kmers.dna_words(letters(spark, sf_dir), 4), both_strands=True)
+    return kmers.dna_counts(letters(spark, sf_dir), 4, both_strands=True)
 
 
 @query(f"{_words_sql('text_dna', 4)}, c as (select entry_id, kmer, count(*) as n from w group by all) select entry_id, kmer, n, rank from (select *, row_number() over (partition by entry_id order by n desc, kmer desc) as rank from c) where rank <= 3")
 def o2_top_kmers(spark, sf_dir):
-    return kmers.top(kmers.count(kmers.dna_words(text_dna(spark, sf_dir), 4), by_entry=True), 3)
+    return kmers.top(kmers.dna_counts(text_dna(spark, sf_dir), 4, by_entry=True), 3)
 
 
 @query(f"{_words_sql('dna', 6)}, c as (select kmer, count(*) as n from w group by all) select w.entry_id, w.pos, (coalesce(a.n, 0) + coalesce(b.n, 0))::bigint as n from w left join c a on a.kmer = w.kmer left join c b on b.kmer = reverse(translate(w.kmer, 'ACGT', 'TGCA'))")
 def j18_annotate_kmers(spark, sf_dir, source=dna):
     own = source(spark, sf_dir)
-    return kmers.annotate(own, kmers.count(kmers.dna_words(own, 6)), 6)
+    return kmers.annotate(own, kmers.dna_counts(own, 6), 6)
 
 
 @query("select entry_id, 0::bigint as tag, i as pos, substr(seq, i + 1, 2) || substr(seq, i + 4, 2) as word from dna, unnest(range(0, length(seq) - 4)) t(i) union all select entry_id, 1, i, substr(seq, i + 1, 1) || substr(seq, i + 3, 1) || substr(seq, i + 4, 1) from dna, unnest(range(0, length(seq) - 3)) t(i)")

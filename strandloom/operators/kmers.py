@@ -116,8 +116,11 @@ _DIGITS = np.full(128, 255, np.uint8)
 _DIGITS[[ord(c) for c in "ACGT"]] = range(4)
 
 
-def _codes(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """row, place, code of every word of A, C, G and T in a batch's ``part``, some ``_LETTERS`` at a time: the row's number in the batch, the word's place in its text, and its number to the base 4."""
+def _codes(batch: pa.RecordBatch, k: int, strange_too: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """row, place, code of every word of A, C, G and T in a batch's ``part``, some ``_LETTERS`` at a time: the row's number in the batch, the word's place in its text, and its number to the base 4.
+
+    strange_too: words with other letters come as well, as -1.
+    """
     texts = batch.column("part").to_pylist()
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     block = (np.cumsum(sizes) - sizes) // _LETTERS
@@ -129,10 +132,11 @@ def _codes(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarr
         code, strange = np.zeros(n, np.int32 if k < CODED else np.int64), np.concatenate(([0], np.cumsum(digits > 3, dtype=np.int32)))
         for i in range(k):
             code = code * 4 + (digits[i : i + n] & 3)
-        at = np.flatnonzero(strange[k:] == strange[:-k])
-        held = sizes[low:high] + 1
-        row = np.repeat(np.arange(high - low), held)[at]
-        yield row + low, at - (np.cumsum(held) - held)[row], code[at]
+        sound, held = strange[k:] == strange[:-k], sizes[low:high] + 1
+        row, first = np.repeat(np.arange(high - low), held)[:n], np.cumsum(held) - held
+        at = np.flatnonzero(np.arange(n) + k < (first + held)[row] if strange_too else sound)
+        row = row[at]
+        yield row + low, at - first[row], np.where(sound[at], code[at], -1) if strange_too else code[at]
 
 
 def coded_words(sequences: DataFrame, k: int, only: list[int] | None = None) -> DataFrame:
@@ -151,6 +155,88 @@ def coded_words(sequences: DataFrame, k: int, only: list[int] | None = None) ->
     return far_pieces(sequences, k - 1).mapInArrow(run, f"entry_id {dict(sequences.dtypes)['entry_id']}, pos bigint, code bigint")
 
 
+#: Counts that a task keeps in a table; of longer words each block's are listed.
+_CELLS = 1 << 22
+
+
+def _spelt(codes: np.ndarray, k: int) -> pa.Array:
+    letters = np.frombuffer(b"ACGT", np.uint8)[(codes[:, None] >> np.arange(2 * k - 2, -2, -2)) & 3]
+    return pa.StringArray.from_buffers(len(codes), pa.py_buffer((np.arange(len(codes) + 1) * k).astype(np.int32).tobytes()), pa.py_buffer(letters.tobytes()))
+
+
+def dna_counts(sequences: DataFrame, k: int, by_entry: bool = False, both_strands: bool = False) -> DataFrame:
+    """``count`` of ``dna_words``, k at most ``CODED``: what a task reads is counted by numbers of words before any row is made, and its counts are then added up."""
+    size = 4**k
+
+    def counted(key: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+        if cells > _CELLS:
+            return np.unique(key, return_counts=True)
+        n = np.bincount(key, minlength=cells)
+        found = np.flatnonzero(n)
+        return found, n[found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size if size <= _CELLS else 0, np.int64)
+        for batch in batches:
+            for row, _, code in _codes(batch, k):
+                if not len(code):
+                    continue
+                if by_entry:
+                    low = row[0]
+                    key, n = counted((row - low) * size + code, int(row[-1] - low + 1) * size)
+                    yield pa.RecordBatch.from_arrays([batch.column("entry_id").take(pa.array(key // size + low)), _spelt(key % size, k), pa.array(n, pa.int64())], names=["entry_id", "kmer", "n"])
+                elif len(total):
+                    total += np.bincount(code, minlength=size)
+                else:
+                    key, n = counted(code, size)
+                    yield pa.RecordBatch.from_arrays([_spelt(key, k), pa.array(n, pa.int64())], names=["kmer", "n"])
+        key = np.flatnonzero(total)
+        if len(key):
+            yield pa.RecordBatch.from_arrays([_spelt(key, k), pa.array(total[key])], names=["kmer", "n"])
+
+    entry = f"entry_id {dict(sequences.dtypes)['entry_id']}, " if by_entry else ""
+    found = far_pieces(sequences, k - 1).mapInArrow(run, f"{entry}kmer string, n bigint")
+    if both_strands:
+        found = found.withColumn("kmer", F.explode(F.array("kmer", S.reverse_complement("kmer"))))
+    return found.groupBy(*(["entry_id"] if by_entry else []), "kmer").agg(F.sum("n").alias("n"))
+
+
+def value_runs(sequences: DataFrame, k: int, codes: list[int], values: list[int], other: int, least: int | None = None) -> DataFrame:
+    """entry_id, start, stop, value: maximal stretches of places whose words of k letters have one value; other: the value of words that are not named; least: only values from it.
+
+    Stretches end within a piece of an entry, where they are found at once; of entries of several pieces those that touch a border are put together.
+    """
+    known, by_code = np.array(codes, np.int64), np.array(values, np.int64)
+    order = np.argsort(known)
+    known, by_code, long = known[order], by_code[order], LONG
+
+    def run(open_ones: bool):
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                far = batch.column("far").to_numpy()
+                for row, place, code in _codes(batch, k, strange_too=True):
+                    if not len(row):
+                        continue
+                    at = np.minimum(np.searchsorted(known, code), max(0, len(known) - 1))
+                    value = np.where(known[at] == code, by_code[at], other) if len(known) else np.full(len(code), other, np.int64)
+                    begin = np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (row[1:] != row[:-1]))))
+                    end = np.append(begin[1:], len(value)) - 1
+                    touches = (place[begin] == 0) & (far[row[begin]] > 0) | (place[end] == long - 1)
+                    kept = np.flatnonzero((touches == open_ones) & (True if least is None else value[begin] >= least))
+                    begin, end = begin[kept], end[kept]
+                    yield pa.RecordBatch.from_arrays([batch.column("entry_id").take(pa.array(row[begin])), pa.array(far[row[begin]] + place[begin]), pa.array(far[row[end]] + place[end] + 1), pa.array(value[begin])], names=["entry_id", "start", "stop", "value"])
+
+        return of
+
+    ddl = f"entry_id {dict(sequences.dtypes)['entry_id']}, start bigint, stop bigint, value bigint"
+    closed = far_pieces(sequences, k - 1).mapInArrow(run(False), ddl)
+    touching = far_pieces(sequences.where(F.length("seq") >= long + k - 1), k - 1).mapInArrow(run(True), ddl)
+    order = Window.partitionBy("entry_id").orderBy("start")
+    goes_on = (F.lag("stop").over(order) == F.col("start")) & (F.lag("value").over(order) == F.col("value"))
+    marked = touching.withColumn("run", F.sum(F.when(goes_on, 0).otherwise(1)).over(order))
+    return closed.unionByName(marked.groupBy("entry_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("value").alias("value")).drop("run"))
+
+
 def count(found: DataFrame, by_entry: bool = False, both_strands: bool = False) -> DataFrame:
     """[entry_id,] kmer, n. Both strands: the reverse complement of each word counts too, so palindromes count twice."""
     if both_strands:
@@ -170,7 +256,7 @@ def annotate(sequences: DataFrame, counted: DataFrame, k: int) -> DataFrame:
     """entry_id, pos, n: count of the word at each place on both strands; 0 where the table has none or the word isn't DNA."""
     n = counted.select("kmer", "n")
     both = n.select("kmer", "n").unionByName(n.select(S.reverse_complement("kmer").alias("kmer"), "n")).groupBy("kmer").agg(F.sum("n").alias("n"))
-    return words(sequences, k).hint("merge").join(both, "kmer", "left").select("entry_id", "pos", F.coalesce("n", F.lit(0)).alias("n"))
+    return words(sequences, k).join(sized(both, k + 8), "kmer", "left").select("entry_id", "pos", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def spaced(sequences: DataFrame, templates: list[str]) -> DataFrame:

@@ -112,3 +112,18 @@ def test_no_candidate_takes_a_text_along(spark):
     text = plan(uniq.contained(catalog.letters(spark, SF)))
     before = [line for line in text.split("\n") if "Exchange hashpartitioning(mer" in line]
     assert before and "_bits" in text and "short" not in text
+
+
+@pytest.mark.parametrize(("k", "cells"), [(3, 1 << 22), (3, 8), (13, 1 << 22)])
+def test_words_are_counted_by_their_numbers(spark, monkeypatch, k, cells):
+    """Counts by entry, over all and on both strands without a row a place: other letters, short, absent and long texts, and one entry in two rows."""
+    monkeypatch.setattr(kmers, "_CELLS", cells)
+    monkeypatch.setattr(kmers, "_LETTERS", 50)
+    rnd = random.Random(3)
+    texts = [(i, "".join(rnd.choice("ACGTACGTACGTNα") for _ in range(n))) for i, n in enumerate([0, 2, 13, 300, 70_000, 14])] + [(3, "ACGTTACGTTACGTT"), (9, None)]
+    own = spark.createDataFrame(texts, "entry_id long, seq string")
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    for by_entry, both in ((True, False), (False, False), (False, True)):
+        got = kmers.dna_counts(own, k, by_entry, both)
+        assert "Generate explode(sequence(0, (length(piece" not in got._jdf.queryExecution().executedPlan().toString()
+        assert rows(got) == rows(kmers.count(kmers.dna_words(own, k), by_entry, both)) != []
