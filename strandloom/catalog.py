@@ -688,11 +688,14 @@ def g4_components(spark, sf_dir):
     return graph.components(o.select((F.col("o_orderkey") * 2).alias("a"), (F.col("o_custkey") * 2 + 1).alias("b")))
 
 
+def _path_edges(own):
+    return kmers.dna_counts(own, 6).select(F.substring("kmer", 1, 5).alias("src"), F.expr("substring(kmer, 6, 1)").alias("label"), "n")
+
+
 @query(f"{_words_sql('dna', 6)}, e as (select kmer, count(*) as n from w group by kmer) select entry_id, pos, n from w join e using (kmer)")
 def g8_path_counts(spark, sf_dir, source=dna):
     own = source(spark, sf_dir)
-    edges = kmers.count(kmers.words(own, 6)).select(F.substring("kmer", 1, 5).alias("src"), F.expr("substring(kmer, 6, 1)").alias("label"), "n")
-    return graph.path_counts(own, edges, 5)
+    return graph.path_counts(own, _path_edges(own), 5)
 
 
 @query(f"{_GRAPH} select ed.entry_id, ed.pos as start, src, dst, label, e.n from ed join e using (src, dst, label)")
@@ -790,7 +793,8 @@ v as (select entry_id, i + 5 as place, floor(log2(n::double) + 0.001)::bigint +
 select 'd' || entry_id || ' ' || min(place) || ' ' || (max(place) + 1) || ' ' || value as line from w group by entry_id, value, island
 """)
 def g8_path_tracks(spark, sf_dir, source=dna):
-    tracks = repair.path_tracks(g8_path_counts(spark, sf_dir, source), 5, "log2")
+    own = source(spark, sf_dir)
+    tracks = repair.text_tracks(own, _path_edges(own), 5, "log2")
     return tracks.withColumn("name", F.concat(F.lit("d"), F.col("entry_id").cast("string"))).select(formats.wig_bar().alias("line"))
 
 

@@ -466,10 +466,14 @@ def edge_words(edges: DataFrame, m: int) -> DataFrame:
 
 def path_counts(sequences: DataFrame, edges: DataFrame, m: int) -> DataFrame:
     """entry_id, pos, n: count of the graph's edges at each (m+1)-word of the sequences, 0 where they have none. edges: src, label (of any length), n."""
-    known = edges.withColumn("edge", F.monotonically_increasing_id())
-    known = cut(known.select("edge", "src", "label", "n"))
-    table = edge_words(known, m).hint("merge").join(known.select("edge", "n"), "edge").groupBy("word").agg(F.sum("n").alias("n"))
-    return words(sequences, m + 1).hint("merge").join(table.withColumnRenamed("word", "kmer"), "kmer", "left").select("entry_id", "pos", F.coalesce("n", F.lit(0)).alias("n"))
+    table = sized(along(edges, m), m + 9)
+    return words(sequences, m + 1).join(table.withColumnRenamed("word", "kmer"), "kmer", "left").select("entry_id", "pos", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def along(edges: DataFrame, m: int) -> DataFrame:
+    """word, n: the words of m + 1 letters along the edges, with the counts of all edges that they stand on."""
+    known = cut(edges.withColumn("edge", F.monotonically_increasing_id()).select("edge", "src", "label", "n"))
+    return edge_words(known, m).hint("merge").join(known.select("edge", "n"), "edge").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 #: Up to so many different words are sent to the tasks that list places, so that no others are listed.

@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import seq as S
 from ..plans.lineage import cut, release
 from . import match
-from .graph import components, degrees, numbered, text_graph, unitigs
+from .graph import FEW, along, components, degrees, numbered, path_counts, text_graph, unitigs
+from .kmers import CODED, value_runs
 
 
 def widgets(edges: DataFrame) -> DataFrame:
@@ -143,6 +145,17 @@ def path_tracks(counts: DataFrame, m: int, transform: str = "count", every: bool
     return islands.groupBy("entry_id", "value", "island").agg(F.min("at").alias("start"), (F.max("at") + 1).alias("stop")).select("entry_id", "start", "stop", "value")
 
 
+def text_tracks(sequences: DataFrame, edges: DataFrame, m: int, transform: str = "count", every: bool = False) -> DataFrame:
+    """``path_tracks`` of the ``path_counts`` of whole sequences. Up to ``FEW`` words along the edges are sent to the tasks, which find the stretches of a piece at once; no place is joined or sorted then."""
+    own = cut(along(edges, m))
+    if m >= CODED or own.count() > FEW or not own.where(F.col("word").rlike("[^ACGT]")).isEmpty():
+        return path_tracks(path_counts(sequences, edges, m), m, transform, every)
+    known = own.select(S.kmer_code("word").alias("code"), TRANSFORMS[transform](F.col("n")).cast("bigint").alias("value")).collect()
+    other = own.sparkSession.range(1).select(TRANSFORMS[transform](F.lit(0).cast("bigint")).cast("bigint")).first()[0]
+    found = value_runs(sequences, m + 1, [r.code for r in known], [r.value for r in known], other, None if every else 2)
+    return found.select("entry_id", (F.col("start") + m).alias("start"), (F.col("stop") + m).alias("stop"), "value")
+
+
 def value_letter(value: Column) -> Column:
     """a for 0, b for 1, up to z for 25 and more."""
     return F.char(F.lit(97) + F.least(value, F.lit(25)))

@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from strandloom.operators import kmers, repair
+from strandloom.operators import graph, kmers, repair
 from strandloom.plans import formats
 
 EDGES = "src string, dst string, label string, n bigint"
@@ -80,3 +81,18 @@ def test_tracks(spark):
     lines = got.withColumn("name", F.lit("e")).select(formats.wig_bar(), repair.value_letter(F.col("value"))).orderBy("start")
     assert tuple(lines.first()) == ("e 4 7 3", "d")
     assert formats.wig_header(4).endswith("name=4-mer-cnt priority=10 graphType=bar autoScale=off viewLimits=1:20")
+
+
+@pytest.mark.parametrize(("transform", "every"), [("log2", False), ("unique", True), ("count", True)])
+def test_tracks_of_texts_sort_no_places(spark, monkeypatch, transform, every):
+    """The tracks of the counted places, found piece by piece: with borders in stretches, other letters, words that no edge has, short and absent texts."""
+    monkeypatch.setattr(kmers, "LONG", 16)
+    monkeypatch.setattr(kmers, "_LETTERS", 100)
+    rnd = random.Random(5)
+    texts = {i: "".join(rnd.choice("ACGT") for _ in range(n)) for i, n in enumerate([0, 3, 4, 19, 20, 35, 90])} | {10: "A" * 50 + "NN" + "A" * 31, 11: None, 12: "ACGTN" * 20}
+    own = spark.createDataFrame(list(texts.items()), "entry_id long, seq string")
+    edges = spark.createDataFrame([("AAA", "A", 9), ("ACG", "TTA", 3), ("TAC", "G", 1), ("GTT", "A", 2), ("CCC", "CCC", 4)], "src string, label string, n long")
+    got = repair.text_tracks(own, edges, 3, transform, every)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString() and "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    want = rows(repair.path_tracks(graph.path_counts(own, edges, 3), 3, transform, every))
+    assert rows(got) == want and len(want) > 5
