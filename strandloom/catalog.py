@@ -560,8 +560,8 @@ select query, mw, count(mass) as n from q left join y on mass between mw - 0.100
 def a8_peptide_multiplicity(spark, sf_dir):
     """Over the different tryptic peptides of all letters."""
     q = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query"), F.col("p_retailprice").alias("mw"))
-    w = mass.digest(letters(spark, sf_dir)).select(F.col("peptide").alias("pep")).distinct()
-    return mass.multiplicity(q, w.withColumn("mass", S.residue_mass("pep")), 0.1)
+    w = mass.different_peptides(letters(spark, sf_dir), only=mass.in_reach(q, 0.1))
+    return mass.multiplicity(q, w.withColumn("mass", S.residue_mass("peptide")), 0.1)
 
 
 @query("""

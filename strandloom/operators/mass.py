@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
@@ -36,6 +36,33 @@ def digest(proteins: DataFrame, missed: int = 1, met: bool = True) -> DataFrame:
     return rows
 
 
+def different_peptides(proteins: DataFrame, missed: int = 1, met: bool = True, only: Column | None = None) -> DataFrame:
+    """peptide: those of ``digest``, once each, without their places. only: a condition on them; the others are left out before any is exchanged."""
+    own = proteins.select(F.filter(F.split("seq", "(?<=[KR])(?!P)"), lambda x: x != "").alias("parts")).withColumn("n", F.size("parts"))
+    levels = [F.col("parts")]
+    for j in range(1, missed + 1):
+        held = F.greatest(F.col("n") - j, F.lit(0))
+        levels.append(F.zip_with(F.slice(levels[-1], F.lit(1), held), F.slice("parts", F.lit(j + 1), held), lambda a, b: F.concat(a, b)))
+    if met:
+        first = F.filter(F.array(*(F.get(x, F.lit(0)) for x in levels)), lambda x: x.like("M_%"))
+        levels.append(F.transform(first, lambda x: F.substring(x, F.lit(2), F.length(x))))
+    rows = own.select(F.explode(F.concat(*levels)).alias("peptide"))
+    return (rows if only is None else rows.where(only)).distinct()
+
+
+def in_reach(queries: DataFrame, tolerance: float, table: dict[str, float] | None = None) -> Column:
+    """Whether a peptide (column peptide) has only letters of the table, and neither more nor fewer than a mass near that of any query can have."""
+    table = table or S.MONO
+    low, high = queries.agg(F.min(F.col("mw").cast("double")), F.max(F.col("mw").cast("double"))).first()
+    if low is None or not math.isfinite(low) or not math.isfinite(high):
+        low, high = (0.0, -1.0) if low is None else (-math.inf, math.inf)
+    n, least, most = F.length("peptide"), min(table.values()), max(table.values())
+    fits = F.lit(low is not None and low <= high)
+    if math.isfinite(low):
+        fits = fits & (n * F.lit(most) >= low - 2 * tolerance - 1) & (n * F.lit(least) <= high + 2 * tolerance + 1)
+    return fits & F.col("peptide").rlike(f"^[{''.join(sorted(table))}]*$")
+
+
 def wildcard_masses(peptides: DataFrame, table: dict[str, float] | None = None) -> DataFrame:
     """Each peptide with exactly one X, B or Z, once for every letter it may stand for: peptide, reading."""
     stands = {"X": "ACDEFGHIKLMNPQRSTVWY", "B": "DN", "Z": "EQ"}
@@ -58,10 +85,39 @@ def near(queries: DataFrame, index: DataFrame, tolerance: float, by: list[str] |
 
 
 def multiplicity(queries: DataFrame, peptides: DataFrame, tolerance: float, by: list[str] | None = None) -> DataFrame:
-    """The queries' columns and n: how many peptides have their mass; 0 is kept. queries: query, mw [, by]."""
+    """The queries' columns and n: how many peptides have their mass; 0 is kept. queries: query, mw [, by].
+
+    Different masses are counted, and of different queries a bin at a time, by running sums over its masses; no pairs are listed.
+    """
     by = by or []
-    n = near(queries, peptides.where("mass is not null"), tolerance, by).groupBy(*by, "query").agg(F.count("*").alias("n"))
-    return queries.join(n, [*by, "query"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    width = 16 * tolerance
+    mw = F.col("mw").cast("double")
+    asked = queries.select(*by, mw.alias("mw")).where(F.abs("mw") < 1e15).distinct()  # neither null, infinite nor no number
+    asked = asked.withColumn("bin", F.explode(F.sequence(F.floor((F.col("mw") - 1.5 * tolerance) / width), F.floor((F.col("mw") + 1.5 * tolerance) / width))))
+    kept = peptides.where(F.abs("mass") < 1e15).groupBy(*by, F.col("mass").cast("double").alias("mass")).agg(F.count("*").alias("n")).withColumn("bin", F.floor(F.col("mass") / width))
+
+    def found(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked_for, masses, n = left.column("mw").to_numpy(), right.column("mass").to_numpy(), right.column("n").to_numpy()
+        order = np.argsort(masses)
+        masses, until = masses[order], np.concatenate(([0], np.cumsum(n[order])))
+        held = lambda i: np.abs(asked_for - masses[np.clip(i, 0, len(masses) - 1)]) <= tolerance if len(masses) else np.zeros(len(asked_for), bool)
+        low, high = np.searchsorted(masses, asked_for - tolerance, "left"), np.searchsorted(masses, asked_for + tolerance, "right")
+        # the bounds are rounded: they are moved until they tell just what the difference tells
+        while (more := (low > 0) & held(low - 1)).any():
+            low = low - more
+        while (less := (low < high) & ~held(low)).any():
+            low = low + less
+        while (more := (high < len(masses)) & held(high)).any():
+            high = high + more
+        while (less := (high > low) & ~held(high - 1)).any():
+            high = high - less
+        return left.select([*by, "mw"]).append_column("n", pa.array(until[high] - until[low], pa.int64()))
+
+    kinds = dict(asked.dtypes)
+    ddl = ", ".join([*(f"`{c}` {kinds[c]}" for c in [*by, "mw"]), "n bigint"])
+    n = asked.groupBy(*by, "bin").cogroup(kept.groupBy(*by, "bin")).applyInArrow(found, ddl).groupBy(*by, "mw").agg(F.sum("n").alias("n"))
+    own = queries.withColumn("_mw", mw).join(n.withColumnRenamed("mw", "_mw"), [*by, "_mw"], "left")
+    return own.select(*queries.columns, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def near_relative(queries: DataFrame, index: DataFrame, share: float) -> DataFrame:
