@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import seq as S
 from ..plans.lineage import cut
-from .kmers import dna_words, fits, words
+from . import held
+from .kmers import dna_words, fits, sized, words
 
 
 def non_redundant(sequences: DataFrame) -> DataFrame:
@@ -25,10 +26,12 @@ def non_redundant(sequences: DataFrame) -> DataFrame:
 SEED = 32
 #: Places are thinned out by so many hashes, 64 a row of the table that is sent around.
 HASHES = 1 << 24
+#: Up to so many letters in all, parts are looked up by joins.
+FEW_LETTERS = 1 << 20
 
 
-def contained(sequences: DataFrame, seed: int = 6, skip_short: bool = False) -> DataFrame:
-    """part, whole: pairs of different sequences one of which contains the other.
+def _contained_by_words(sequences: DataFrame, seed: int, skip_short: bool) -> DataFrame:
+    """``contained`` for few letters, by joins alone: candidates take rows of their own, which large tables have no room for.
 
     Equal sequences are compared once, by the first of them, and their pairs put in at the end. A part of ``SEED`` letters and more is looked up by its first ones among all words of that
     size, which the hashes of those looked for thin out before any place is exchanged. At a place that is left the digests of its first 32, 64, 128 and so on letters are looked up, among
@@ -67,6 +70,20 @@ def contained(sequences: DataFrame, seed: int = 6, skip_short: bool = False) ->
     return found.join(of("part"), "part").join(of("whole"), "whole").select(F.col("_part").alias("part"), F.col("_whole").alias("whole"))
 
 
+def contained(sequences: DataFrame, seed: int = 6, skip_short: bool = False) -> DataFrame:
+    """part, whole: pairs of different sequences one of which contains the other.
+
+    Equal sequences are looked for once, and their pairs put in at the end. All texts are read once for every ``held.PARTS`` different ones, and what stands in them is found
+    there, so neither places nor texts are exchanged; of ``FEW_LETTERS`` in all, words are merged instead. skip_short: sequences under ``seed`` letters are no parts.
+    """
+    every, first = held.parted(sequences)
+    if (every.agg(F.sum("n")).first()[0] or 0) <= FEW_LETTERS:
+        return _contained_by_words(sequences, seed, skip_short)
+    found = held.holders(sequences, first.where(F.col("n") >= seed) if skip_short else first)
+    parts = every.select("key", F.col("entry_id").alias("part"))
+    return found.join(sized(parts, 24), "key").where("part != whole").select("part", "whole")
+
+
 def non_redundant_with_containment(sequences: DataFrame, seed: int = 6) -> DataFrame:
     """The sequences that no longer one contains, with the number of entries that each stands for."""
     unique = cut(non_redundant(sequences).select("entry_id", "n", "seq"))
