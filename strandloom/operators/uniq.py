@@ -84,13 +84,17 @@ def contained(sequences: DataFrame, seed: int = 6, skip_short: bool = False) ->
     return found.join(sized(parts, 24), "key").where("part != whole").select("part", "whole")
 
 
-def non_redundant_with_containment(sequences: DataFrame, seed: int = 6) -> DataFrame:
-    """The sequences that no longer one contains, with the number of entries that each stands for."""
-    unique = cut(non_redundant(sequences).select("entry_id", "n", "seq"))
-    inside = cut(contained(unique.select("entry_id", "seq"), seed))
-    kept = unique.join(inside.select(F.col("part").alias("entry_id")).distinct(), "entry_id", "left_anti")
-    held = inside.join(unique.select(F.col("entry_id").alias("part"), F.col("n").alias("n_part")), "part").groupBy(F.col("whole").alias("entry_id")).agg(F.sum("n_part").alias("n_held"))
-    return kept.join(held, "entry_id", "left").select("entry_id", "seq", (F.col("n") + F.coalesce("n_held", F.lit(0))).alias("n"))
+def non_redundant_with_containment(sequences: DataFrame) -> DataFrame:
+    """The sequences that no longer one contains, with the number of entries that each stands for. Who holds whom is told by keys; the texts are put in at the end."""
+    every, first = held.parted(sequences)
+    inside = cut(held.holders(sequences, first).select("key", "whole_key").distinct())
+    n_held = inside.join(sized(first.select("key", "copies"), 24), "key").groupBy(F.col("whole_key").alias("key")).agg(F.sum("copies").alias("n_held"))
+    kept = first.hint("merge").join(inside.select("key").distinct(), "key", "left_anti").hint("merge").join(n_held, "key", "left")
+    kept = kept.select("entry_id", F.lower(F.hex("key")).alias("_key"), (F.col("copies") + F.coalesce("n_held", F.lit(0))).alias("n"))
+    texts = sequences.select("entry_id", "seq").withColumn("_key", F.md5(F.col("seq").cast("binary")))
+    out = texts.where("seq != ''").hint("merge").join(kept, ["entry_id", "_key"]).dropDuplicates(["entry_id", "_key"]).select("entry_id", "seq", "n")
+    empty = sequences.where("seq = ''").groupBy("seq").agg(F.min("entry_id").alias("entry_id"), F.count("*").alias("n"))
+    return out.unionByName(empty.select("entry_id", "seq", "n"))
 
 
 #: Words of A, C, G and T of up to so many letters are looked up as bits, 64 words a row of the table that is sent around (2^18 rows at most).

@@ -36,10 +36,17 @@ def test_containment_without_joins_of_places(spark, monkeypatch, skip_short, at_
     assert sorted(map(tuple, df.select("part", "whole").collect())) == pairs(texts, 6 if skip_short else 1)
 
 
+def test_non_redundant_with_containment(spark):
+    texts = drawn(6)
+    got = sorted(map(tuple, uniq.non_redundant_with_containment(spark.createDataFrame(list(enumerate(texts, 1)), "entry_id long, seq string")).select("entry_id", "seq", "n").collect()))
+    kept = {s for s in texts if not s or not any(len(s) < len(w) and s in w for w in texts)}
+    assert got == sorted((texts.index(s) + 1, s, sum(bool(x) and x in s for x in texts) if s else 2) for s in kept) and len(got) > 4
+
+
 def test_what_is_exchanged(spark, monkeypatch):
     """Neither a row a place nor a row a candidate leaves the task that reads a text."""
     monkeypatch.setattr(uniq, "FEW_LETTERS", 0)
-    for name in ("j20_containment", "f14_short_seeds_skipped"):
+    for name in ("j20_containment", "f14_short_seeds_skipped", "t4_non_redundant_with_containment"):
         plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "explode(" not in plan and "(mer" not in plan and "(level" not in plan
 
