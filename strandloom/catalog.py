@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import seq as S
@@ -46,12 +46,12 @@ def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), F.translate(F.concat(half("a"), half("b")), *_HEX).alias("seq"))
 
 
-def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")).alias("seq"))
+def letters(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", "")).alias("seq"), *more)
 
 
-def text_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return letters(spark, sf_dir).withColumn("seq", F.translate("seq", *_AZ))
+def text_dna(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    return letters(spark, sf_dir, *more).withColumn("seq", F.translate("seq", *_AZ))
 
 
 def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:

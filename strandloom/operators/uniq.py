@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
 from ..plans.lineage import cut
-from . import held
+from . import held, shared
 from .kmers import dna_words, fits, sized, words
 
 
@@ -196,6 +197,35 @@ def _away(places: DataFrame, around: DataFrame, m: int, own: bool) -> DataFrame:
     return everywhere.unionByName(near.hint("merge").join(alone, "kmer").where(f"e0 != entry_id or abs(p0 - pos) >= {m} or abs(p1 - pos) >= {m}").select("entry_id", "pos"))
 
 
+def _elsewhere(sequences: DataFrame, m: int, k: int, both_strands: bool, left: int, right: int) -> tuple[np.ndarray, DataFrame | None]:
+    """Of ``matched_elsewhere`` over one table: the words all of whose places are matched, as near one that stands in two entries, and entry_id, pos of the other places, if there are any.
+
+    Only those of the others are listed, and what is near them; there the least and greatest places are compared.
+    """
+    seen, again = shared.owners(sequences.select("entry_id", "seq"), m)
+    strands = seen | shared.turned(seen, m) if both_strands else seen
+    sure = shared.near(again | shared.turned(again, m) if both_strands else again, m, k, left, right)
+    unsure = seen & ~sure
+    if not unsure.any():
+        return sure, None
+    close = shared.near(unsure, m, k, left, right) & strands
+    listed = cut(shared.places(sequences, m, seen & (close | shared.turned(close, m)) if both_strands else close, unsure))
+    around = cut(_around(_spans(listed, both_strands), m, k, left, right))
+    return sure, _away(listed.where("marked").select("entry_id", "pos", "kmer"), around, m, own=True)
+
+
+def n_matched_elsewhere(sequences: DataFrame, m: int, k: int = 0, both_strands: bool = False, left: int = 0, right: int = 0) -> DataFrame:
+    """entry_id, n: how many places ``matched_elsewhere`` of a table with itself has in each entry, of entries with any."""
+    if m > shared.LETTERS or k > 1 or not shared.one_row_each(sequences):
+        found = matched_elsewhere(sequences, sequences, m, k, same=True, both_strands=both_strands, left=left, right=right)
+        return found.groupBy("entry_id").agg(F.count("*").alias("n"))
+    sure, others = _elsewhere(sequences, m, k, both_strands, left, right)
+    found = shared.counts(sequences, m, sure)
+    if others is not None:
+        found = found.unionByName(others.groupBy("entry_id").agg(F.count("*").alias("n"))).groupBy("entry_id").agg(F.sum("n").alias("n"))
+    return found
+
+
 def matched_elsewhere(queries: DataFrame, background: DataFrame, m: int, k: int = 0, same: bool = False, inexact_only: bool = False, both_strands: bool = False, edits: bool = False, left: int = 0, right: int = 0) -> DataFrame:
     """entry_id, pos of the query words of m letters that occur in the background with at most k substitutions (with edits, k of 1: or one letter more or less).
 
@@ -205,6 +235,11 @@ def matched_elsewhere(queries: DataFrame, background: DataFrame, m: int, k: int
     if edits and k != 1:
         raise ValueError("with edits k is 1")
 
+    if same and not edits and not inexact_only and m <= shared.LETTERS and k <= 1 and shared.one_row_each(queries):
+        sure, others = _elsewhere(queries, m, k, both_strands, left, right)
+        found = shared.places(queries, m, sure)
+        return found if others is None else found.unionByName(others)
+
     def stretches(n: int) -> DataFrame:
         return dna_words(background, n)
 
@@ -230,17 +265,46 @@ def matched_elsewhere(queries: DataFrame, background: DataFrame, m: int, k: int
     return _away(q, cut(around), m, own=False)
 
 
+#: Groups whose numbers are sent around.
+GROUPS = 1 << 15
+
+
+def _owned(sequences: DataFrame, m: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """``shared.owners`` of the groups, if each is one entry or if there are few of them, and if tables of the words are kept."""
+    if m > shared.LETTERS:
+        return None
+    kinds = dict(sequences.dtypes)
+    if kinds["group"] == kinds["entry_id"] and sequences.where("not (group <=> entry_id)").isEmpty() and shared.one_row_each(sequences):
+        return shared.owners(sequences.select("entry_id", "seq"), m)
+    groups = [r[0] for r in sequences.select("group").where("group is not null").distinct().limit(GROUPS + 1).collect()]
+    if len(groups) > GROUPS:
+        return None
+    numbers = sequences.sparkSession.createDataFrame(list(enumerate(groups)), f"number int, group {kinds['group']}")
+    return shared.owners(sequences.join(F.broadcast(numbers), "group").select("entry_id", "seq", F.col("number").alias("group")), m)
+
+
+def n_matched_in_others(sequences: DataFrame, m: int) -> DataFrame:
+    """entry_id, n: how many places ``matched_in_others`` has in each entry, of entries with any."""
+    if (owned := _owned(sequences, m)) is None:
+        return matched_in_others(sequences, m).groupBy("entry_id").agg(F.count("*").alias("n"))
+    return shared.counts(sequences, m, owned[1])
+
+
 def matched_in_others(sequences: DataFrame, m: int) -> DataFrame:
     """entry_id, pos of the ACGT words of m letters that stand in an entry of another group too. sequences: entry_id, seq, group (the last word of the defline, say).
 
     Of each word the least and the greatest group are enough, so a frequent word is one row.
     """
+    if owned := _owned(sequences, m):
+        return shared.places(sequences, m, owned[1])
     spans, own = cut(_groups(sequences, m)), dna_words(sequences, m)
     return of_words(own, spans.where("g0 != g1").select("kmer"), m, spans.where("g0 = g1").select("kmer")).select("entry_id", "pos")
 
 
 def in_one_group(sequences: DataFrame, m: int) -> DataFrame:
     """entry_id, pos of the other ACGT words: those that stand in entries of one group only."""
+    if owned := _owned(sequences, m):
+        return shared.places(sequences, m, owned[0] & ~owned[1])
     spans = cut(_groups(sequences, m))
     return of_words(dna_words(sequences, m), spans.where("g0 = g1").select("kmer"), m, spans.where("g0 != g1").select("kmer")).select("entry_id", "pos")
 
