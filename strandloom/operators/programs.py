@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
+from ..plans.lineage import cut
 from . import align, match, pairs, runs
-from .kmers import BEYOND, windows
+from .kmers import BEYOND, fits, windows
 
 
 def _marks(text: str, pattern: str) -> Column:
@@ -115,7 +116,9 @@ def regions_of_words(sequences: DataFrame, starts: DataFrame, m: int) -> DataFra
 
 
 def _regions(sequences: DataFrame, gaps: DataFrame, m: int) -> DataFrame:
-    gaps = gaps.withColumn("run", F.row_number().over(Window.partitionBy("entry_id").orderBy("start")) - 1)
+    gaps = cut(gaps.withColumn("run", F.row_number().over(Window.partitionBy("entry_id").orderBy("start")) - 1))
+    if fits(entries := gaps.select("entry_id").distinct(), 8):  # only texts that have any are read again
+        sequences = sequences.join(F.broadcast(entries), "entry_id", "left_semi")
     out = runs.extract(sequences, gaps.withColumn("length", F.col("len") + m - 1).select("entry_id", "run", "start", "length"))
     return out.select("entry_id", F.col("run").cast("bigint").alias("run"), F.col("start").cast("bigint").alias("start"), (F.col("start") + F.col("length")).cast("bigint").alias("end"), F.col("length").cast("bigint").alias("len"), "text")
 
