@@ -519,8 +519,7 @@ def t2_intersection(spark, sf_dir):
 @query("h as (select entry_id, n_nationkey as pattern_id, i as start_pos, 2 as m, i // 1 as p from text_dna, unnest(range(0, length(seq) - 1)) t(i), (select n_nationkey, substr('ACGTAGCTCA', n_nationkey + 1, 2) as motif from nation where n_nationkey < 5) where substr(seq, i + 1, 2) = motif), c as (select *, start_pos - 2 * row_number() over (partition by entry_id, pattern_id, start_pos % 2 order by start_pos) as chain from h) select entry_id, pattern_id::bigint as pattern_id, min(start_pos) as start, count(*) as copies, (count(*) * 2)::bigint as length from c group by entry_id, pattern_id, start_pos % 2, chain having count(*) >= 3")
 def w7_tandem_repeats(spark, sf_dir):
     motifs = spark.createDataFrame([(i, "ACGTAGCTCA"[i : i + 2]) for i in range(5)], "pattern_id bigint, pattern string")
-    hits = match.exact(text_dna(spark, sf_dir), motifs).withColumn("m", F.lit(2))
-    return runs.tandems(hits, "m", min_copies=3)
+    return runs.tandem_motifs(text_dna(spark, sf_dir), motifs, min_copies=3)
 
 
 _ASOF = "q as (select l_suppkey as k, l_orderkey as place from lineitem), keys as (select distinct l_suppkey as k, l_partkey as key from lineitem)"

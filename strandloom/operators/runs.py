@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from .kmers import LONG, chunks, far_pieces
+from ..plans.lineage import cut
+from . import match
+from .kmers import BEYOND, LONG, chunks, far_pieces
+from .shared import one_row_each
+
+#: Pieces that a task looks through at once.
+AT_ONCE = 32
 
 
 def runs(sequences: DataFrame, shortest: int = 20, only_n: bool | None = False, any_as_n: bool = False) -> DataFrame:
@@ -119,6 +129,54 @@ def tandems(hits: DataFrame, motif_length: str, min_copies: int = 2, min_length:
     return grouped.select("entry_id", "pattern_id", "start", "copies", (F.col("copies") * F.col("m")).cast("bigint").alias("length")).where((F.col("copies") >= min_copies) & (F.col("length") >= min_length))
 
 
+def tandem_motifs(sequences: DataFrame, motifs: DataFrame, min_copies: int = 2) -> DataFrame:
+    """entry_id, pattern_id, start, copies, length: ``tandems`` of all places of few motifs (pattern_id, pattern), without a row a hit.
+
+    Chains are followed where a piece of an entry is read; those that touch a piece's border are put together with what lies behind it. Entries of several rows are left to ``tandems``.
+    """
+    wanted = sorted((r["pattern_id"], r["pattern"]) for r in motifs.select("pattern_id", "pattern").distinct().collect() if r["pattern"])
+    if not wanted or not one_row_each(sequences):
+        return tandems(match.exact(sequences, motifs).withColumn("m", F.col("end_pos") - F.col("start_pos")), "m", min_copies)
+    longest, long = max(len(p) for _, p in wanted), LONG
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, far = batch.column("part").to_pylist(), batch.column("far").to_numpy()
+            for low in range(0, len(texts), AT_ONCE):
+                own, base = texts[low : low + AT_ONCE], far[low : low + AT_ONCE]
+                held = np.fromiter(map(len, own), np.int64, len(own)) + 1  # a letter that no motif has stands between
+                begin = np.cumsum(held) - held
+                text = np.frombuffer((BEYOND.join(own) + BEYOND).encode("utf-32-le"), np.uint32)
+                for i, p in wanted:
+                    m, n = len(p), len(text) - len(p) + 1
+                    stands = np.ones(max(0, n), bool)
+                    for j, c in enumerate(p):
+                        stands &= text[j : j + n] == ord(c)
+                    at = np.flatnonzero(stands)
+                    row = np.searchsorted(begin, at, "right") - 1
+                    place = at - begin[row]
+                    at, row, place = (x[place < long] for x in (at, row, place))
+                    order = np.argsort(at % m, kind="stable")
+                    at, row, place = at[order], row[order], place[order]
+                    fresh = np.flatnonzero(np.diff(at, prepend=-m - 1) != m) if len(at) else at
+                    copies = np.diff(fresh, append=len(at))
+                    last = place[fresh] + copies * m
+                    open_ = (place[fresh] < m) & (base[row[fresh]] > 0) | (last >= long)
+                    kept = np.flatnonzero(open_ | (copies >= min_copies))
+                    row, place = row[fresh[kept]], place[fresh[kept]]
+                    columns = [batch.column("entry_id").take(pa.array(row + low)), pa.repeat(pa.scalar(i, pa.int64()), len(kept)), pa.repeat(pa.scalar(m, pa.int64()), len(kept)), pa.array(base[row] + place), pa.array(copies[kept]), pa.array(open_[kept])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["entry_id", "pattern_id", "m", "start", "copies", "open"])
+
+    ddl = f"entry_id {dict(sequences.dtypes)['entry_id']}, pattern_id bigint, m bigint, start bigint, copies bigint, open boolean"
+    found = cut(far_pieces(sequences, longest - 1).mapInArrow(run, ddl))
+    phase = Window.partitionBy("entry_id", "pattern_id", F.col("start") % F.col("m")).orderBy("start")
+    goes_on = F.lag(F.col("start") + F.col("copies") * F.col("m")).over(phase) == F.col("start")
+    marked = found.where("open").withColumn("chain", F.sum(F.when(goes_on, 0).otherwise(1)).over(phase)).withColumn("phase", F.col("start") % F.col("m"))
+    joined = marked.groupBy("entry_id", "pattern_id", "m", "phase", "chain").agg(F.min("start").alias("start"), F.sum("copies").alias("copies")).where(F.col("copies") >= min_copies)
+    names = ["entry_id", "pattern_id", "start", "copies", (F.col("copies") * F.col("m")).alias("length")]
+    return found.where("not open").select(*names).unionByName(joined.select(*names))
+
+
 def last_at_most(queries: DataFrame, keys: DataFrame, by: str, query: str, key: str) -> DataFrame:
     """As-of lookup: each query row with the largest key of its group at or before it, null if there is none.
 

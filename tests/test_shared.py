@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 
 from strandloom import catalog
-from strandloom.operators import shared, uniq
+from strandloom.operators import runs, shared, uniq
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +78,31 @@ def test_a_document_in_two_languages(spark, tmp_path):
             n[e] += len(groups[t[i : i + 10]]) > 1
     got = {r.entry_id: r.n for r in catalog.QUERIES["f8_matches_of_other_groups"](spark, str(tmp_path)).collect()}
     assert got == {e: x for e, x in n.items() if x} and len(got) == 2
+
+
+def chains(rows, motifs, least):
+    out = []
+    for e, t in rows:
+        for i, p in motifs:
+            hits = {a for a in range(len(t) - len(p) + 1) if t.startswith(p, a)}
+            for a in sorted(hits):
+                if a - len(p) not in hits:
+                    n = 1
+                    while a + n * len(p) in hits:
+                        n += 1
+                    if n >= least:
+                        out.append((e, i, a, n, n * len(p)))
+    return sorted(out)
+
+
+def test_tandems_without_a_row_a_hit(spark):
+    """Chains within, across and at the borders of pieces, and of motifs that overlap themselves."""
+    draw = random.Random(4)
+    texts = ["", "A", "ACACAC", "AAAAAAA", "é" + "AC" * 5, "G" * (1 << 15) + "AC" * 40, "C" * 32_766 + "ACACACA", "A" * 70_001, "T" + "AC" * 50_000, "".join(draw.choice("AC") for _ in range(66_000))]
+    motifs = [(1, "AC"), (2, "AA"), (3, "CAC"), (4, "C")]
+    rows = list(enumerate(texts, 1))
+    frames = spark.createDataFrame(rows, "entry_id long, seq string"), spark.createDataFrame(motifs, "pattern_id long, pattern string")
+    got = runs.tandem_motifs(*frames, min_copies=3)
+    assert sorted(map(tuple, got.select("entry_id", "pattern_id", "start", "copies", "length").collect())) == chains(rows, motifs, 3)
+    plan = catalog.QUERIES["w7_tandem_repeats"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "start_pos" not in plan and "explode(" not in plan
